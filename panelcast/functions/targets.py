@@ -9,7 +9,9 @@ from panelcast.spec import PanelSpec
 
 
 def clip01(x: Column, eps: float) -> Column:
-    return F.greatest(F.lit(eps), F.least(x, F.lit(1.0 - eps)))
+    """Into [eps, 1 - eps]; null stays null, which ``greatest`` and ``least`` would not keep."""
+    low, high = eps, 1.0 - eps
+    return F.when(x < low, low).when(x > high, high).otherwise(x)
 
 
 def logit(x: Column, eps: float) -> Column:
@@ -22,7 +24,7 @@ def sigmoid(y: Column) -> Column:
 
 
 def log1p_floor(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    return F.log1p(F.when(x < 0.0, 0.0).otherwise(x))
 
 
 def transform(x: Column, spec: PanelSpec) -> Column:

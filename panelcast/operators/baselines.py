@@ -16,10 +16,12 @@ def season_of(day: str):
     return F.floor((F.col(day) % DAYS_PER_YEAR) / SEASON_DAYS).cast("bigint")
 
 
-def season_means(features: DataFrame) -> DataFrame:
-    """Mean transformed target of the training rows per season of the year; at most 14 rows."""
+def season_sums(features: DataFrame) -> DataFrame:
+    """Transformed target of the training rows per season of the year; at most 14 rows."""
     train = features.filter(F.col("split") == "train")
-    return train.groupBy(season_of("abs_timesteps").alias("season")).agg(F.avg("y").alias("season_mean"))
+    return train.groupBy(season_of("abs_timesteps").alias("season")).agg(
+        F.sum("y").alias("y_sum"), F.count("y").alias("y_count")
+    )
 
 
 def predict_baselines(features: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -29,8 +31,9 @@ def predict_baselines(features: DataFrame, spec: PanelSpec) -> DataFrame:
     and falls back to the season where there is none. A season unseen in training takes the mean
     over all training rows.
     """
-    means = season_means(features)
-    overall = features.filter(F.col("split") == "train").agg(F.avg("y"))
+    sums = season_sums(features)
+    overall = sums.agg(F.sum("y_sum") / F.nullif(F.sum("y_count"), F.lit(0)))
+    means = sums.select("season", (F.col("y_sum") / F.col("y_count")).alias("season_mean"))
     in_chunk = Window.partitionBy(*spec.pair, "chunk").orderBy("position")
     rows = (
         features.withColumn("season", season_of("abs_timesteps"))

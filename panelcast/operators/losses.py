@@ -43,27 +43,28 @@ def with_differences(rows: DataFrame, spec: PanelSpec, space: str | None = None)
     return difference(difference(level, 1), 2)
 
 
-def shape_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
-    """Level, slope and curvature loss per group, and their weighted total.
+def shape_terms(spec: PanelSpec) -> dict[str, Column]:
+    """Aggregates over rows with differences. A group without differences has zero for that term."""
 
-    A group without differences, such as windows of length 1, has zero for that term.
-    """
-    terms = with_differences(rows, spec, space)
-    if not spec.curvature_weight:
-        curvature = F.lit(0.0)
-    else:
-        curvature = F.coalesce(weighted_mse(F.col("p2") - F.col("t2"), F.col("w2")), F.lit(0.0))
-    loss = terms.groupBy(*by).agg(
-        weighted_mse(F.col("p0") - F.col("t0"), F.col("w")).alias("base_loss"),
-        F.coalesce(weighted_mse(F.col("p1") - F.col("t1"), F.col("w1")), F.lit(0.0)).alias("slope_loss"),
-        curvature.alias("curvature_loss"),
-    )
-    total = (
-        F.col("base_loss")
-        + spec.slope_weight * F.col("slope_loss")
-        + spec.curvature_weight * F.col("curvature_loss")
-    )
-    return loss.withColumn("total_loss", total)
+    def term(order: int) -> Column:
+        return weighted_mse(F.col(f"p{order}") - F.col(f"t{order}"), F.col(f"w{order}" if order else "w"))
+
+    return {
+        "base_loss": term(0),
+        "slope_loss": F.coalesce(term(1), F.lit(0.0)),
+        "curvature_loss": F.coalesce(term(2), F.lit(0.0)) if spec.curvature_weight else F.lit(0.0),
+    }
+
+
+def with_total(losses: DataFrame, spec: PanelSpec) -> DataFrame:
+    shape = spec.slope_weight * F.col("slope_loss") + spec.curvature_weight * F.col("curvature_loss")
+    return losses.withColumn("total_loss", F.col("base_loss") + shape)
+
+
+def shape_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
+    """Level, slope and curvature loss per group, and their weighted total."""
+    terms = with_differences(rows, spec, space).groupBy(*by)
+    return with_total(terms.agg(*[c.alias(name) for name, c in shape_terms(spec).items()]), spec)
 
 
 def level_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str) -> DataFrame:
@@ -73,14 +74,16 @@ def level_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str) -> D
 
 
 def mean_batch_loss(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame:
-    """Mean over batches of the total loss; rows carry ``batch_id``."""
-    batches = shape_loss(rows, [*by, "batch_id"], spec)
-    return batches.groupBy(*by).agg(
-        F.count("*").alias("n_batches"), F.avg("total_loss").alias("mean_batch_loss")
-    )
-
+    """Means over batches of the total loss and of the level loss in transformed space.
 
-def average_loss(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame:
-    """Mean over batches of the level loss, always in transformed space."""
-    batches = level_loss(rows, [*by, "batch_id"], spec, "transformed")
-    return batches.groupBy(*by).agg(F.avg("base_loss").alias("avg_loss_transformed"))
+    Rows carry ``batch_id``; both means come from one pass over them.
+    """
+    batches = with_differences(rows, spec).groupBy(*by, "batch_id").agg(
+        *[c.alias(name) for name, c in shape_terms(spec).items()],
+        weighted_mse(F.col("yhat") - F.col("y"), F.col("w")).alias("level_loss"),
+    )
+    return with_total(batches, spec).groupBy(*by).agg(
+        F.count("*").alias("n_batches"),
+        F.avg("total_loss").alias("mean_batch_loss"),
+        F.avg("level_loss").alias("avg_loss_transformed"),
+    )

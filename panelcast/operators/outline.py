@@ -17,14 +17,16 @@ def chunk_outline(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     """Add series-level columns to each chunk; the window below runs over chunks, not rows."""
     y = F.col(spec.target)
     valid_rank = F.when(F.col("is_valid"), F.col("in_chunk"))
-    statics = F.struct(*spec.statics)
+    leads = F.col("in_chunk") == 1
+    leads_valid = F.col("is_valid") & (F.col("valid_in_chunk") == 1)
     chunks = windows.groupBy(*spec.pair, "chunk").agg(
         F.count("*").alias("n"),
         F.count(valid_rank).alias("n_valid"),
         F.sum(F.when(~F.isnan(y), y)).alias("y_sum"),
         F.count(F.when(~F.isnan(y), y)).alias("y_count"),
-        F.min_by(statics, "in_chunk").alias("first"),
-        F.min_by(statics, valid_rank).alias("first_valid"),
+        # one row of a chunk leads it; plain maxima of numbers stay in a hash aggregate
+        *[F.max(F.when(leads, F.col(c))).alias(f"first_{c}") for c in spec.statics],
+        *[F.max(F.when(leads_valid, F.col(c))).alias(f"valid_{c}") for c in spec.statics],
         F.min(valid_rank).alias("valid_from"),
         F.max(valid_rank).alias("valid_to"),
         F.max_by(y, valid_rank).alias("last_y"),
@@ -37,21 +39,28 @@ def chunk_outline(windows: DataFrame, spec: PanelSpec) -> DataFrame:
         return F.coalesce(F.sum(column).over(earlier), F.lit(0))
 
     offset = chunks.withColumn("rows_before", before("n")).withColumn("valid_before", before("n_valid"))
-    has_valid = F.when(F.col("n_valid") > 0, F.col("chunk"))
+
+    def of_leading_chunk(leading, prefix: str):
+        return F.struct(
+            *[F.max(F.when(leading, F.col(f"{prefix}_{c}"))).over(series).alias(c) for c in spec.statics]
+        )
+
+    first = F.col("rows_before") == 0
+    first_valid = (F.col("valid_before") == 0) & (F.col("n_valid") > 0)
     return offset.select(
         *spec.pair,
         "chunk",
         "rows_before",
         "valid_before",
         "n_valid",
-        (F.col("rows_before") == 0).alias("is_first"),
+        first.alias("is_first"),
         F.sum("n").over(series).alias("length"),
         F.sum("n_valid").over(series).alias("valid_length"),
         (F.sum("y_sum").over(series) / F.nullif(F.sum("y_count").over(series), F.lit(0))).alias("mean_target"),
         F.min(F.col("rows_before") + F.col("valid_from")).over(series).alias("min_step"),
         F.max(F.col("rows_before") + F.col("valid_to")).over(series).alias("max_step"),
-        F.min_by("first", "chunk").over(series).alias("fit_statics"),
-        F.min_by("first_valid", has_valid).over(series).alias("statics"),
+        of_leading_chunk(first, "first").alias("fit_statics"),
+        of_leading_chunk(first_valid, "valid").alias("statics"),
         F.max_by("last_global", "chunk").over(series).alias(spec.global_id),
         F.last("last_y", ignorenulls=True).over(earlier).alias("y_before"),
     )

@@ -23,12 +23,15 @@ def report_params(outline: DataFrame, spec: PanelSpec, count: int = SHOWN_PARAMS
 def report_series(windows: DataFrame, test_series: DataFrame, params: DataFrame, spec: PanelSpec) -> DataFrame:
     """One series per chosen parameter: its first test simulation, else its first simulation.
 
-    ``windows`` may hold series outside every split, such as those under the threshold.
+    ``windows`` may hold series outside every split, such as those under the threshold; ``params``
+    is a short list from ``report_params``.
     """
-    present = windows.join(params, spec.param, "left_semi").select(*spec.pair).distinct()
+    present = windows.join(F.broadcast(params), spec.param, "left_semi").select(*spec.pair).distinct()
     flagged = flag_test(present, test_series, spec)
-    choice = F.min_by(F.struct(spec.sim, "is_test"), F.struct(~F.col("is_test"), F.col(spec.sim)))
-    return flagged.groupBy(spec.param).agg(choice.alias("choice")).select(spec.param, "choice.*")
+    first_test = F.min(F.when(F.col("is_test"), F.col(spec.sim)))
+    return flagged.groupBy(spec.param).agg(
+        F.coalesce(first_test, F.min(spec.sim)).alias(spec.sim), first_test.isNotNull().alias("is_test")
+    )
 
 
 def flag_test(rows: DataFrame, test_series: DataFrame, spec: PanelSpec) -> DataFrame:

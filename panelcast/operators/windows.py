@@ -94,9 +94,14 @@ def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def stage_windows(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None) -> DataFrame:
-    """The window rows, numbered within chunks and written once; every later pass reads them."""
-    return stage(number_in_chunks(panel_windows(facts, spec, statics), spec), "windows")
+def stage_windows(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
+                  population: DataFrame | None = None) -> DataFrame:
+    """The window rows, numbered within chunks and written once; every later pass reads them.
+
+    Series are sampled from ``population`` where the facts were already cut, say by date.
+    """
+    units = UnitFilter(facts if population is None else population, spec)
+    return stage(number_in_chunks(panel_windows(facts, spec, statics, units), spec), "windows")
 
 
 def with_steps(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -49,9 +49,9 @@ def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = No
 
 
 def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
-            saved_split: str | None = None) -> Panel:
+            saved_split: str | None = None, population: DataFrame | None = None) -> Panel:
     """Sample, aggregate, threshold, split and fit the scaler."""
-    rows = windows.stage_windows(facts, spec, statics)
+    rows = windows.stage_windows(facts, spec, statics, population)
     labelled = stage(label_outline(kept_outline(rows, spec), spec, saved_split), "series")
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
@@ -61,7 +61,7 @@ def evaluation_rows(panel: Panel) -> DataFrame:
     spec = panel.spec
     numbered = sequences.number_windows(panel.outline, spec, sequences.evaluation_windows(spec))
     rows = Panel(spec, panel.windows, numbered, panel.scaler).features(("y_before", "windows_before"))
-    scored = sequences.scored_steps(baselines.predict_baselines(rows, spec), spec)
+    scored = sequences.scored_steps(baselines.predict_baselines(stage(rows, "features"), spec), spec)
     return scored.withColumn("batch_id", sequences.batch_of(F.col("start"), spec.lookback, spec))
 
 

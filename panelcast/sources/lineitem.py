@@ -16,6 +16,13 @@ from panelcast.spec import PanelSpec
 
 EPOCH = datetime.date(1995, 1, 1)
 
+# The columns read, with their stored types.
+LINEITEM_COLUMNS = (
+    "l_suppkey bigint, l_linenumber int, l_quantity double, l_returnflag string, l_shipdate timestamp_ntz"
+)
+SUPPLIER_COLUMNS = "s_suppkey bigint, s_nationkey int, s_acctbal double"
+NATION_COLUMNS = "n_nationkey int, n_regionkey int"
+
 LINEITEM_SPEC = PanelSpec(
     prevalence_counts=("returned_qty", "total_qty"),
     cases_counts=("returned_lines", "total_qty"),
@@ -41,7 +48,7 @@ def lineitem_facts(spark: SparkSession, sf_dir: str, spec: PanelSpec = LINEITEM_
     ``after_burn_in`` adds the burn-in bound on the stored date, which the Parquet scan can use;
     the bound on the derived day number cannot be pushed down.
     """
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines = spark.read.schema(LINEITEM_COLUMNS).parquet(f"{sf_dir}/lineitem.parquet")
     if after_burn_in:
         first = datetime.datetime.combine(EPOCH, datetime.time()) + datetime.timedelta(spec.burn_in)
         lines = lines.filter(F.col("l_shipdate") >= F.lit(first.isoformat(" ")).cast("timestamp_ntz"))
@@ -59,8 +66,8 @@ def lineitem_facts(spark: SparkSession, sf_dir: str, spec: PanelSpec = LINEITEM_
 
 def supplier_statics(spark: SparkSession, sf_dir: str, spec: PanelSpec = LINEITEM_SPEC) -> DataFrame:
     """Covariates, one row per supplier."""
-    suppliers = spark.read.parquet(f"{sf_dir}/supplier.parquet")
-    nations = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    suppliers = spark.read.schema(SUPPLIER_COLUMNS).parquet(f"{sf_dir}/supplier.parquet")
+    nations = spark.read.schema(NATION_COLUMNS).parquet(f"{sf_dir}/nation.parquet")
     return suppliers.join(nations, suppliers.s_nationkey == nations.n_nationkey).select(
         F.col("s_suppkey").alias(spec.param),
         "s_acctbal",
