@@ -13,6 +13,7 @@ from panelcast.functions import targets
 from panelcast.operators.sequences import coverage
 from panelcast.spec import PanelSpec
 
+HISTORY_SCHEMA = "model string, trial bigint, epoch bigint, train_loss double, val_loss double"
 FAMILIES = {"linear": LinearRegression, "boosted": GBTRegressor}
 
 
@@ -53,6 +54,22 @@ def predict(model: Model, name: str, features: DataFrame, spec: PanelSpec) -> Da
     return scored.withColumn("model", F.lit(name))
 
 
+def boosting_history(model: Model, name: str, features: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Squared loss per boosting round on train and validate, as a run history.
+
+    Spark scores all rounds in one pass per split; only one number per round reaches the driver.
+    """
+    train = training_rows(features, spec)
+    held_out = features.filter(F.col("split") == "validate").withColumn("fit_weight", F.col("w"))
+    validate = assemble(held_out, spec).select("features", "y", "fit_weight")
+    losses = zip(
+        model.evaluateEachIteration(train, "squared"), model.evaluateEachIteration(validate, "squared"),
+        strict=True,
+    )
+    rows = [(name, 0, epoch, float(a), float(b)) for epoch, (a, b) in enumerate(losses, start=1)]
+    return features.sparkSession.createDataFrame(rows, HISTORY_SCHEMA)
+
+
 def natural_predictions(rows: DataFrame, spec: PanelSpec) -> DataFrame:
     """Truth and prediction in natural space, one row per (model, series, step)."""
     return rows.select(

@@ -53,6 +53,8 @@ def metrics_record(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame
             F.count(terms["mape"]).alias("mape_n"),
             F.avg("t").alias("t_mean"),
             F.var_pop("t").alias("t_var"),
+            F.min("t").alias("t_min"),
+            F.max("t").alias("t_max"),
             weighted_mse(F.col("yhat") - F.col("y"), F.col("w")).alias("level_loss"),
         )
     )
@@ -63,7 +65,7 @@ def metrics_record(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame
     squares = F.sum("mse_sum")
     r2 = (
         F.when(total < 2, None)
-        .when(spread > 0, 1.0 - squares / F.nullif(spread, F.lit(0.0)))
+        .when(F.min("t_min") < F.max("t_max"), 1.0 - squares / F.nullif(spread, F.lit(0.0)))
         .otherwise(F.when(squares == 0, 1.0).otherwise(0.0))
     )
 

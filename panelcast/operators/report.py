@@ -52,11 +52,13 @@ def actual_vs_predicted(predictions: DataFrame, models: list[str], spec: PanelSp
     ``predictions`` are natural-space rows; rates are shown by day, prevalence by step.
     """
     shown = "abs_timesteps" if spec.is_rate else "timesteps"
+    truth = f"true_{spec.target}"
     columns = [
         F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"{m}_prediction") for m in models
     ]
     return (
         predictions.withColumn("is_test", F.col("split") == "test")
-        .groupBy(*spec.unit, "is_test", F.col(shown).alias("timestep"))
-        .agg(F.first("truth").alias(f"true_{spec.target}"), *columns)
+        .groupBy(*spec.unit, "is_test", "timesteps", "abs_timesteps")
+        .agg(F.first("truth").alias(truth), *columns)
+        .select(*spec.unit, "is_test", F.col(shown).alias("timestep"), truth, *[f"{m}_prediction" for m in models])
     )

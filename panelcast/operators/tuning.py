@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators import forecast, losses, sequences
-from panelcast.sources.stage import stage
 from panelcast.spec import PanelSpec
 
 log = logging.getLogger(__name__)
@@ -90,12 +89,11 @@ def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tup
 def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tuple(forecast.FAMILIES),
            trials: int = 32, parallel_trials: int = 1, timeout: float | None = None,
            lookbacks: tuple[int, ...] = LOOKBACKS) -> DataFrame:
-    """Trial table over all families, from one staged feature table.
+    """Trial table over all families; ``features`` is a staged table, since every trial reads it.
 
     Each family gets an equal part of the timeout; once it is used up no further trial starts. Set
     ``spark.scheduler.mode=FAIR`` to let parallel trials share executors evenly.
     """
-    staged = stage(features, "features")
     results = []
     for family in families:
         deadline = None if timeout is None else time.monotonic() + timeout / len(families)
@@ -103,7 +101,7 @@ def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tup
         def attempt(candidate: Candidate):
             if deadline is not None and time.monotonic() > deadline:
                 return None
-            return run_trial(candidate, staged, spec)
+            return run_trial(candidate, features, spec)
 
         with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
             done = pool.map(attempt, candidates(family, trials, spec, lookbacks))

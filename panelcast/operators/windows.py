@@ -55,23 +55,28 @@ def window_sums(facts: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def panel_windows(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
-                  units: UnitFilter | None = None) -> DataFrame:
-    """Window rows with a target, for the sampled series.
-
-    Covariates come from the fact table, or from ``statics`` with one value set per parameter; that
-    table is joined to window rows, after the aggregate has shrunk the facts.
-    """
+def panel_windows(facts: DataFrame, spec: PanelSpec, units: UnitFilter | None = None) -> DataFrame:
+    """Window rows with a target, for the sampled series, with the covariates the facts hold."""
     units = units or UnitFilter(facts, spec)
     windows = units.after_aggregate(window_sums(units.before_aggregate(facts), spec))
-    windows = windows.filter(F.col(spec.target).isNotNull())
-    missing = [c for c in spec.statics if c not in windows.columns]
+    return windows.filter(F.col(spec.target).isNotNull())
+
+
+def missing_statics(df: DataFrame, spec: PanelSpec) -> list[str]:
+    return [c for c in spec.statics if c not in df.columns]
+
+
+def attach_statics(df: DataFrame, statics: DataFrame | None, missing: list[str], spec: PanelSpec) -> DataFrame:
+    """Add covariates kept in a table by parameter; several rows of one parameter give their maximum.
+
+    Done on aggregated rows or, in the pipeline, on one row per chunk of a series, never on facts.
+    """
     if not missing:
-        return windows
+        return df
     if statics is None:
         raise ValueError(f"covariates {missing} are neither in the fact table nor in a statics table")
     one_each = statics.groupBy(spec.param).agg(*[F.max(c).alias(c) for c in missing])
-    return windows.join(one_each, spec.param)
+    return df.join(one_each, spec.param, "left")
 
 
 def is_finite(column: str | Column) -> Column:
@@ -94,14 +99,13 @@ def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def stage_windows(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
-                  population: DataFrame | None = None) -> DataFrame:
+def stage_windows(facts: DataFrame, spec: PanelSpec, population: DataFrame | None = None) -> DataFrame:
     """The window rows, numbered within chunks and written once; every later pass reads them.
 
     Series are sampled from ``population`` where the facts were already cut, say by date.
     """
     units = UnitFilter(facts if population is None else population, spec)
-    return stage(number_in_chunks(panel_windows(facts, spec, statics, units), spec), "windows")
+    return stage(number_in_chunks(panel_windows(facts, spec, units), spec), "windows")
 
 
 def with_steps(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,14 +28,22 @@ class Panel:
     def features(self, carry: tuple[str, ...] = ()) -> DataFrame:
         return panel_features(self.windows, self.outline, self.scaler, self.spec, carry)
 
+    def with_batches(self) -> "Panel":
+        """The same panel whose outline also knows where each series' evaluation windows begin."""
+        numbered = sequences.number_windows(
+            self.outline, self.spec, sequences.evaluation_windows(self.spec)
+        )
+        return replace(self, outline=numbered)
 
-def kept_outline(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+
+def kept_outline(rows: DataFrame, spec: PanelSpec, statics: DataFrame | None = None) -> DataFrame:
     """Staged outline of the series that reach the threshold."""
-    return stage(outline.above_threshold(outline.chunk_outline(rows, spec), spec), "outline")
+    series = outline.chunk_outline(rows, spec, statics)
+    return stage(outline.above_threshold(series, spec), "outline")
 
 
 def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = None) -> DataFrame:
-    """Add the split: from the saved table if it exists, else a new one."""
+    """Add the split: from the saved table if it exists, else a new one, which is then saved."""
     spark = kept.sparkSession
     if saved_split is not None and records.exists(spark, saved_split):
         saved = split.restrict_split(records.read_split(spark, saved_split, spec), kept, spec)
@@ -51,55 +59,59 @@ def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = No
 def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
             saved_split: str | None = None, population: DataFrame | None = None) -> Panel:
     """Sample, aggregate, threshold, split and fit the scaler."""
-    rows = windows.stage_windows(facts, spec, statics, population)
-    labelled = stage(label_outline(kept_outline(rows, spec), spec, saved_split), "series")
+    rows = windows.stage_windows(facts, spec, population)
+    labelled = stage(label_outline(kept_outline(rows, spec, statics), spec, saved_split), "series")
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
 
 def evaluation_rows(panel: Panel) -> DataFrame:
     """Baseline predictions over complete non-overlapping windows, with batch numbers."""
-    spec = panel.spec
-    numbered = sequences.number_windows(panel.outline, spec, sequences.evaluation_windows(spec))
-    rows = Panel(spec, panel.windows, numbered, panel.scaler).features(("y_before", "windows_before"))
-    scored = sequences.scored_steps(baselines.predict_baselines(stage(rows, "features"), spec), spec)
+    rows = stage(panel.with_batches().features(("y_before", "windows_before")), "features")
+    return batched(baselines.predict_baselines(rows, panel.spec), panel.spec)
+
+
+def batched(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+    scored = sequences.scored_steps(rows, spec)
     return scored.withColumn("batch_id", sequences.batch_of(F.col("start"), spec.lookback, spec))
 
 
-def fit_and_score(panel: Panel, families: dict[str, dict]) -> DataFrame:
-    """Fit each family with its parameters and score all steps of all kept series."""
-    rows = stage(panel.features(), "features")
+def fit_and_score(features: DataFrame, spec: PanelSpec, parameters: dict[str, dict[str, float]]) -> DataFrame:
+    """Fit each family with its parameters and score all steps of the staged feature table.
+
+    A ``lookback`` among the parameters replaces the panel's, as it decides the training windows.
+    """
     scored = None
-    for family, params in families.items():
-        model = forecast.fit(family, rows, panel.spec, **params)
-        part = forecast.predict(model, family, rows, panel.spec)
+    for family, chosen in parameters.items():
+        own = spec.with_(lookback=int(chosen.get("lookback", spec.lookback)))
+        model = forecast.fit(family, features, own, **{k: v for k, v in chosen.items() if k != "lookback"})
+        part = forecast.predict(model, family, features, own)
         scored = part if scored is None else scored.unionByName(part)
     return scored
 
 
-def test_metrics(panel: Panel, scored: DataFrame) -> DataFrame:
-    """The metrics record of each model on the test windows."""
-    spec = panel.spec
-    bases = sequences.number_windows(panel.outline, spec, sequences.evaluation_windows(spec))
-    rows = sequences.scored_steps(scored.filter(F.col("split") == "test"), spec)
-    rows = rows.join(bases.select(*spec.pair, "chunk", "windows_before"), [*spec.pair, "chunk"])
-    rows = rows.withColumn("batch_id", sequences.batch_of(F.col("start"), spec.lookback, spec))
-    return metrics.metrics_record(rows, ["model"], spec)
-
-
-def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1,
-                     timeout: float | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Search, refit the best candidate of each family, and compare.
+def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeout: float | None = None,
+                     lookbacks: tuple[int, ...] = tuning.LOOKBACKS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Search, refit the best candidate of each family, score the test split and compare.
 
-    Returns the trial table, the model comparison and the actual-vs-predicted table.
+    Returns the trial table, the metrics record per model, and the actual-vs-predicted table. A
+    family whose trials all failed is fitted with its defaults.
     """
     spec = panel.spec
-    found = tuning.search(panel.features(), spec, trials=trials, parallel_trials=parallel_trials, timeout=timeout)
-    drawn = {f: tuning.candidates(f, trials, spec) for f in forecast.FAMILIES}
-    families = {
-        row.model_type: drawn[row.model_type][row.trial_number].params
-        for row in best_trial(found).collect()
-    }
-    scored = stage(fit_and_score(panel, families), "scored")
-    names = sorted(families)
-    table = actual_vs_predicted(forecast.natural_predictions(scored, spec), names, spec)
-    return found, metrics.compare_models(test_metrics(panel, scored), names), table
+    features = stage(panel.features(), "features")
+    found = tuning.search(features, spec, trials=trials, parallel_trials=parallel_trials, timeout=timeout,
+                          lookbacks=lookbacks)
+    chosen = {family: {} for family in forecast.FAMILIES}
+    for row in best_trial(found).filter(F.col("state") == "COMPLETE").collect():
+        chosen[row.model_type] = row.hyperparameters
+    scored = stage(fit_and_score(features, spec, chosen), "scored")
+
+    records_ = None
+    for family, parameters in chosen.items():
+        own = spec.with_(lookback=int(parameters.get("lookback", spec.lookback)))
+        bases = replace(panel, spec=own).with_batches().outline.select(*spec.pair, "chunk", "windows_before")
+        test = scored.filter((F.col("split") == "test") & (F.col("model") == family))
+        rows = batched(test.join(bases, [*spec.pair, "chunk"]), own)
+        part = metrics.metrics_record(rows, ["model"], own)
+        records_ = part if records_ is None else records_.unionByName(part)
+    table = actual_vs_predicted(forecast.natural_predictions(scored, spec), list(chosen), spec)
+    return found, records_, table

@@ -44,11 +44,15 @@ def panel(spark: SparkSession, d: str, spec: PanelSpec = PREVALENCE) -> pipeline
 
 def staged_windows(spark: SparkSession, d: str, spec: PanelSpec = PREVALENCE) -> DataFrame:
     facts = lineitem_facts(spark, d, spec, after_burn_in=True)
-    return windows.stage_windows(facts, spec, supplier_statics(spark, d, spec), lineitem_facts(spark, d, spec))
+    return windows.stage_windows(facts, spec, lineitem_facts(spark, d, spec))
+
+
+def series_of(rows: DataFrame, spark: SparkSession, d: str, spec: PanelSpec = PREVALENCE) -> DataFrame:
+    return outline.chunk_outline(rows, spec, supplier_statics(spark, d, spec))
 
 
 def kept(spark: SparkSession, d: str, spec: PanelSpec = PREVALENCE) -> DataFrame:
-    return pipeline.kept_outline(staged_windows(spark, d, spec), spec)
+    return pipeline.kept_outline(staged_windows(spark, d, spec), spec, supplier_statics(spark, d, spec))
 
 
 def labelled(spark: SparkSession, d: str, spec: PanelSpec = PREVALENCE) -> DataFrame:
@@ -94,7 +98,8 @@ def _windows(spark, d, spec):
     facts = lineitem_facts(spark, d, spec, after_burn_in=True)
     # the sample is over all days, so it is drawn before the burn-in bound
     units = sampling.UnitFilter(lineitem_facts(spark, d, spec), spec)
-    rows = windows.panel_windows(facts, spec, supplier_statics(spark, d, spec), units)
+    rows = windows.panel_windows(facts, spec, units)
+    rows = windows.attach_statics(rows, supplier_statics(spark, d, spec), list(spec.statics), spec)
     return rows.select(*spec.unit, "group_id", "abs_timesteps", *spec.measures, *spec.statics)
 
 
@@ -108,13 +113,13 @@ def window_rate(spark, d):
 
 def renumber(spark, d):
     rows = staged_windows(spark, d)
-    steps = windows.with_steps(rows, outline.chunk_outline(rows, PREVALENCE), PREVALENCE)
+    steps = windows.with_steps(rows, series_of(rows, spark, d), PREVALENCE)
     return steps.select(*KEYS, "global_index", "group_id", "timesteps", "abs_timesteps")
 
 
 def threshold_filter(spark, d):
     rows = staged_windows(spark, d)
-    series = outline.above_threshold(outline.chunk_outline(rows, PREVALENCE), PREVALENCE)
+    series = outline.above_threshold(series_of(rows, spark, d), PREVALENCE)
     mean = series.select(*KEYS, "chunk", rounded("mean_target").alias("mean_target"))
     return rows.join(mean, [*KEYS, "chunk"]).select(*KEYS, "group_id", "prevalence", "mean_target")
 
@@ -183,7 +188,7 @@ def norm_time(spark, d):
 
 def _joined(spark, d, spec):
     rows = staged_windows(spark, d, spec)
-    series = outline.above_threshold(outline.chunk_outline(rows, spec), spec).withColumn("split", F.lit("all"))
+    series = outline.above_threshold(series_of(rows, spark, d, spec), spec).withColumn("split", F.lit("all"))
     return features.join_outline(rows, series, spec)
 
 
@@ -371,7 +376,8 @@ def report_params(spark, d):
 
 def report_series(spark, d):
     rows = staged_windows(spark, d)
-    series = pipeline.label_outline(pipeline.kept_outline(rows, PREVALENCE), PREVALENCE)
+    kept_series = pipeline.kept_outline(rows, PREVALENCE, supplier_statics(spark, d))
+    series = pipeline.label_outline(kept_series, PREVALENCE)
     chosen = report.report_params(series, PREVALENCE)
     return report.report_series(rows, report.test_series(series, PREVALENCE), chosen, PREVALENCE)
 
@@ -386,16 +392,27 @@ def actual_vs_pred(spark, d):
 
 def fit_score(spark, d):
     """Fit both families on train and score every step of every kept series."""
-    scored = pipeline.fit_and_score(panel(spark, d), {"linear": {"regParam": 0.01}, "boosted": {"maxIter": 5, "seed": 42}})
+    rows = stage(panel(spark, d).features(), "features")
+    parameters = {"linear": {"regParam": 0.01}, "boosted": {"maxIter": 5, "seed": PREVALENCE.seed}}
+    scored = pipeline.fit_and_score(rows, PREVALENCE, parameters)
     return forecast.natural_predictions(scored, PREVALENCE)
 
 
 def tune(spark, d):
     """Two candidates per family, ranked by validation loss."""
-    found = tuning.search(panel(spark, d).features(), PREVALENCE, trials=2, parallel_trials=2, lookbacks=(13, 26))
+    rows = stage(panel(spark, d).features(), "features")
+    found = tuning.search(rows, PREVALENCE, trials=2, parallel_trials=2, lookbacks=(13, 26))
     return runs.leaderboard(found).select("model_type", "trial_number", "best_val_loss", "state", "rank")
 
 
+def training_history(spark, d):
+    """Boosting rounds as epochs, reported like any other run."""
+    rows = stage(panel(spark, d).features(), "features")
+    model = forecast.fit("boosted", rows, PREVALENCE, maxIter=5, seed=PREVALENCE.seed)
+    history = forecast.boosting_history(model, "boosted", rows, PREVALENCE)
+    return runs.patience_counter(history, ["model", "trial"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -407,6 +424,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_starts, window_rows, batch_ids, coverage,
         diffs, weighted_loss, shape_loss, batch_loss, metrics_prevalence, metrics_rate, compare_models,
         best_epoch, patience, run_report, leaderboard, best_trial, param_precedence,
-        report_params, report_series, actual_vs_pred, fit_score, tune,
+        report_params, report_series, actual_vs_pred, fit_score, training_history, tune,
     )
 }

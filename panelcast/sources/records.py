@@ -7,10 +7,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from panelcast.operators.forecast import HISTORY_SCHEMA
 from panelcast.operators.tuning import TRIAL_SCHEMA
 from panelcast.spec import PanelSpec
 
-HISTORY_SCHEMA = "model string, trial bigint, epoch bigint, train_loss double, val_loss double"
 METRICS_SCHEMA = (
     "model string, n bigint, mse double, rmse double, mae double, r2 double, smape double, bias double, "
     "log_likelihood double, mape double, avg_loss_transformed double"
