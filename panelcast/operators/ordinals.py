@@ -37,3 +37,12 @@ def running_total(df: DataFrame, order: list[str], weight: Column, before: str,
     if total is not None:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_slice", "_weight", "_slice_before", "_total")
+
+
+def total_within(df: DataFrame, group: str, order: list[str], weight: Column, before: str) -> DataFrame:
+    """The same running total, started anew in each group; a group of any size spans many tasks."""
+    placed = running_total(df, [group, *order], weight, "_before")
+    starts = placed.groupBy(group).agg(F.min("_before").alias("_group_before"))
+    return placed.join(starts, group).withColumn(
+        before, F.col("_before") - F.col("_group_before")
+    ).drop("_before", "_group_before")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.operators.ordinals import total_within
+
 
 def patience_counter(history: DataFrame, run: list[str]) -> DataFrame:
     """Add the best loss so far, whether the epoch improved on it, and epochs since the last gain.
@@ -48,9 +50,12 @@ def best_epoch(history: DataFrame, run: list[str]) -> DataFrame:
 
 
 def leaderboard(trials: DataFrame) -> DataFrame:
-    """Rank of each trial within its model, lowest loss first; failed trials (inf) come last."""
-    order = Window.partitionBy("model_type").orderBy("best_val_loss", "trial_number")
-    return trials.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    """Rank of each trial within its model, lowest loss first; failed trials (inf) come last.
+
+    There are few models and perhaps very many trials, so the rank is not taken in one task per model.
+    """
+    ranked = total_within(trials, "model_type", ["best_val_loss", "trial_number"], F.lit(1), "_earlier")
+    return ranked.withColumn("rank", F.col("_earlier") + 1).drop("_earlier")
 
 
 def best_trial(trials: DataFrame) -> DataFrame:

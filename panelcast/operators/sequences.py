@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators.ordinals import running_total
+from panelcast.operators.ordinals import total_within
 from panelcast.operators.outline import one_per_series
 from panelcast.spec import PanelSpec
 
@@ -98,12 +98,8 @@ def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Colum
             F.lit(0), F.floor((length - spec.lookback) / stride(spec)) + 1
         )
     series = one_per_series(outline).select(*spec.pair, "split", starts_per_series.alias("_windows"))
-    placed = running_total(series, ["split", *spec.pair], F.col("_windows"), "_before")
-    split_start = placed.groupBy("split").agg(F.min("_before").alias("_split_before"))
-    bases = placed.join(F.broadcast(split_start), "split").select(
-        *spec.pair, (F.col("_before") - F.col("_split_before")).alias("windows_before")
-    )
-    return outline.join(bases, spec.pair)
+    bases = total_within(series, "split", spec.pair, F.col("_windows"), "windows_before")
+    return outline.join(bases.select(*spec.pair, "windows_before"), spec.pair)
 
 
 def evaluation_windows(spec: PanelSpec) -> Column:

@@ -229,6 +229,22 @@ SHOWN = f"""
     ORDER BY md5('report:{PREVALENCE.seed}:' || parameter_index), parameter_index LIMIT 9"""
 
 
+CHOSEN = """
+    SELECT parameter_index, simulation_index, is_test FROM (
+        SELECT *, row_number() OVER (PARTITION BY parameter_index
+               ORDER BY CASE WHEN is_test THEN 0 ELSE 1 END, simulation_index) AS rn
+        FROM (SELECT DISTINCT p.parameter_index, p.simulation_index, s.split IS NOT NULL AS is_test
+              FROM panel p JOIN shown h ON p.parameter_index = h.parameter_index
+              LEFT JOIN (SELECT * FROM series WHERE split = 'test') s
+                ON p.parameter_index = s.parameter_index AND p.simulation_index = s.simulation_index))
+    WHERE rn = 1"""
+PREDICTED = f"""
+    {KEY}, global_index, split = 'test' AS is_test, timesteps AS timestep,
+    {r(natural('y', PREVALENCE), 'true_prevalence')},
+    {r(natural('persistence', PREVALENCE), 'persistence_prediction')},
+    {r(natural('seasonal', PREVALENCE), 'seasonal_prediction')}"""
+
+
 def precedence_sql() -> str:
     default = DEFAULT_PARAMETERS
     return f"""
@@ -383,23 +399,10 @@ ORACLE: dict[str, str] = {
     "best_trial": f"SELECT model_type, trial_number, best_val_loss FROM ({RANKED}) WHERE rank = 1",
     "param_precedence": precedence_sql(),
     "report_params": sql(SHOWN, upto="series"),
-    "report_series": sql(
-        f"""SELECT parameter_index, simulation_index, is_test FROM (
-                SELECT *, row_number() OVER (PARTITION BY parameter_index
-                       ORDER BY CASE WHEN is_test THEN 0 ELSE 1 END, simulation_index) AS rn
-                FROM (SELECT DISTINCT p.parameter_index, p.simulation_index, s.split IS NOT NULL AS is_test
-                      FROM panel p JOIN shown h ON p.parameter_index = h.parameter_index
-                      LEFT JOIN (SELECT * FROM series WHERE split = 'test') s
-                        ON p.parameter_index = s.parameter_index AND p.simulation_index = s.simulation_index))
-            WHERE rn = 1""",
-        upto="series", extra={"shown": SHOWN},
-    ),
-    "actual_vs_pred": sql(
-        f"""SELECT {KEY}, global_index, split = 'test' AS is_test, timesteps AS timestep,
-                   {r(natural('y', PREVALENCE), 'true_prevalence')},
-                   {r(natural('persistence', PREVALENCE), 'persistence_prediction')},
-                   {r(natural('seasonal', PREVALENCE), 'seasonal_prediction')}
-            FROM forecasts""",
-        upto="forecasts",
+    "report_series": sql(CHOSEN, upto="series", extra={"shown": SHOWN}),
+    "actual_vs_pred": sql(f"SELECT {PREDICTED} FROM forecasts", upto="forecasts"),
+    "report_table": sql(
+        f"SELECT {PREDICTED} FROM forecasts SEMI JOIN chosen USING ({KEY})",
+        upto="forecasts", extra={"shown": SHOWN, "chosen": CHOSEN},
     ),
 }

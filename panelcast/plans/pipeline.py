@@ -7,9 +7,10 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.operators import baselines, forecast, metrics, outline, scale, sequences, split, tuning, windows
+from panelcast.operators import (
+    baselines, forecast, metrics, outline, report, scale, sequences, split, tuning, windows,
+)
 from panelcast.operators.features import panel_features
-from panelcast.operators.report import actual_vs_predicted
 from panelcast.operators.runs import best_trial
 from panelcast.sources import records
 from panelcast.sources.stage import stage
@@ -64,6 +65,17 @@ def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
 
+def report_table(panel: Panel, predictions: DataFrame, models: list[str]) -> DataFrame:
+    """Actual against predicted for one series of each of up to nine test parameters."""
+    spec = panel.spec
+    chosen = report.report_series(
+        panel.windows, report.test_series(panel.outline, spec), report.report_params(panel.outline, spec), spec
+    )
+    # one row per shown parameter, so at most nine
+    shown = predictions.join(F.broadcast(chosen.select(*spec.pair)), spec.pair, "left_semi")
+    return report.actual_vs_predicted(shown, models, spec)
+
+
 def evaluation_rows(panel: Panel) -> DataFrame:
     """Baseline predictions over complete non-overlapping windows, with batch numbers."""
     rows = stage(panel.with_batches().features(("y_before", "windows_before")), "features")
@@ -113,5 +125,5 @@ def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeou
         rows = batched(test.join(bases, [*spec.pair, "chunk"]), own)
         part = metrics.metrics_record(rows, ["model"], own)
         records_ = part if records_ is None else records_.unionByName(part)
-    table = actual_vs_predicted(forecast.natural_predictions(scored, spec), list(chosen), spec)
+    table = report.actual_vs_predicted(forecast.natural_predictions(scored, spec), list(chosen), spec)
     return found, records_, table

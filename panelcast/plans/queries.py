@@ -382,12 +382,23 @@ def report_series(spark, d):
     return report.report_series(rows, report.test_series(series, PREVALENCE), chosen, PREVALENCE)
 
 
+def _predictions(prepared: pipeline.Panel) -> DataFrame:
+    rows = stage(prepared.features(("y_before",)), "features")
+    return forecast.natural_predictions(baselines.predict_baselines(rows, PREVALENCE), PREVALENCE)
+
+
 def actual_vs_pred(spark, d):
-    rows = baselines.predict_baselines(stage(panel(spark, d).features(("y_before",)), "features"), PREVALENCE)
-    natural = forecast.natural_predictions(rows, PREVALENCE)
+    """All kept series, every step."""
+    natural = _predictions(panel(spark, d))
     return round_doubles(report.actual_vs_predicted(natural, baselines.BASELINES, PREVALENCE))
 
 
+def report_table(spark, d):
+    """The series chosen for the report, every step."""
+    prepared = panel(spark, d)
+    return round_doubles(pipeline.report_table(prepared, _predictions(prepared), baselines.BASELINES))
+
+
 # models; no SQL form
 
 def fit_score(spark, d):
@@ -424,6 +435,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_starts, window_rows, batch_ids, coverage,
         diffs, weighted_loss, shape_loss, batch_loss, metrics_prevalence, metrics_rate, compare_models,
         best_epoch, patience, run_report, leaderboard, best_trial, param_precedence,
-        report_params, report_series, actual_vs_pred, fit_score, training_history, tune,
+        report_params, report_series, actual_vs_pred, report_table, fit_score, training_history, tune,
     )
 }
