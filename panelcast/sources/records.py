@@ -27,17 +27,18 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
-def split_schema(spec: PanelSpec) -> T.StructType:
-    keys = [T.StructField(c, T.LongType()) for c in spec.unit]
-    return T.StructType([*keys, T.StructField("split", T.StringType())])
-
-
 def write_split(split: DataFrame, path: str, spec: PanelSpec) -> None:
     split.select(*spec.unit, "split").write.option("header", True).csv(path)
 
 
 def read_split(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
-    return spark.read.schema(split_schema(spec)).option("header", True).csv(path)
+    """The saved table; global ids written as decimals, like ``11.0``, are read as whole numbers."""
+    keys = [T.StructField(c, T.LongType()) for c in spec.pair]
+    texts = [T.StructField(c, T.StringType()) for c in (spec.global_id, "split")]
+    saved = spark.read.schema(T.StructType([*keys, *texts])).option("header", True).csv(path)
+    whole = F.col(spec.global_id).try_cast("bigint")
+    decimal = F.col(spec.global_id).try_cast("double").try_cast("bigint")
+    return saved.withColumn(spec.global_id, F.coalesce(whole, decimal))
 
 
 def write_scaler(scaler: DataFrame, path: str) -> None:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import baselines, losses, metrics, outline, sequences, windows
 from panelcast.plans import pipeline
+from panelcast.spec import PanelSpec
 
 PAIR = brute.PAIR
 SPECS = {
@@ -179,3 +180,29 @@ def test_test_rows_do_not_reach_the_scaler_or_the_model(spark, facts):
     assert panel.scaler.collect() == other.scaler.collect()
     fits = [forecast.fit("linear", p.features(), spec, regParam=0.01) for p in (panel, other)]
     np.testing.assert_allclose(fits[0].coefficients.toArray(), fits[1].coefficients.toArray(), rtol=1e-6, atol=1e-9)
+
+
+@pytest.mark.parametrize("mode", ["prevalence", "cases"])
+def test_default_columns_and_calendar(spark, mode):
+    """Twelve covariates, twelve years of days, weekly windows: the settings nobody changed."""
+    spec = PanelSpec(mode=mode)
+    rng = np.random.default_rng(3)
+    days = np.arange(1, 12 * 365 + 1)
+    parts = []
+    for param in range(8):
+        covariates = dict(zip(spec.statics, rng.random(12)))
+        for sim in range(2):
+            n = rng.integers(200, 400, len(days))
+            parts.append(pd.DataFrame({
+                "parameter_index": param, "simulation_index": sim, "global_index": param * 2 + sim, "timesteps": days,
+                "n_detect_lm_0_1825": rng.binomial(n, 0.2).astype(float), "n_age_0_1825": n.astype(float),
+                "n_inc_clinical_0_36500": rng.poisson(3, len(days)).astype(float), "n_age_0_36500": n * 5.0,
+                **covariates,
+            }))
+    table = pd.concat(parts, ignore_index=True)
+    panel = pipeline.prepare(spark.createDataFrame(table), spec)
+    rows = brute.keep(brute.windows(table, spec), spec)
+    label = brute.labels(rows.parameter_index, spec)
+    columns = [*PAIR, "split", "timesteps", "abs_timesteps", *spec.feature_columns, "y", "w"]
+    assert len(spec.feature_columns) == spec.input_size == 15
+    same(panel.features().select(*columns).toPandas(), brute.features(rows, label, spec), [*PAIR, "timesteps"])

@@ -55,6 +55,12 @@ def test_a_saved_split_with_overlap_is_refused(spark, tmp_path, panel):
         pipeline.prepare(spark.createDataFrame(small.facts()), SPEC, saved_split=path)
 
 
+def test_split_written_with_decimal_ids(spark, tmp_path):
+    path = tmp_path / "split.csv"
+    path.write_text("parameter_index,simulation_index,global_index,split\n1,2,12.0,train\n3,4,9007199254740993,test\n")
+    assert rows(records.read_split(spark, str(path), SPEC)) == [(1, 2, 12, "train"), (3, 4, 9007199254740993, "test")]
+
+
 def test_scaler(spark, tmp_path, panel):
     path = str(tmp_path / "scaler")
     records.write_scaler(panel.scaler, path)
