@@ -16,29 +16,31 @@ def season_of(day: str):
     return F.floor((F.col(day) % DAYS_PER_YEAR) / SEASON_DAYS).cast("bigint")
 
 
-def season_sums(features: DataFrame) -> DataFrame:
-    """Transformed target of the training rows per season of the year; at most 14 rows."""
-    train = features.filter(F.col("split") == "train")
-    return train.groupBy(season_of("abs_timesteps").alias("season")).agg(
-        F.sum("y").alias("y_sum"), F.count("y").alias("y_count")
+def season_means(features: DataFrame) -> DataFrame:
+    """Mean transformed training target per season of the year that any row falls in; at most 14 rows.
+
+    A season without training rows takes the mean over all training rows.
+    """
+    y = F.when(F.col("split") == "train", F.col("y"))
+    sums = features.groupBy(season_of("abs_timesteps").alias("season")).agg(
+        F.sum(y).alias("y_sum"), F.count(y).alias("y_count")
     )
+    every = Window.partitionBy()
+    overall = F.sum("y_sum").over(every) / F.nullif(F.sum("y_count").over(every), F.lit(0))
+    mean = F.col("y_sum") / F.nullif(F.col("y_count"), F.lit(0))
+    return sums.select("season", F.coalesce(mean, overall).alias("season_mean"))
 
 
 def predict_baselines(features: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Long predictions of both baselines.
+    """Long predictions of both baselines from a staged table.
 
     Persistence repeats the previous step's target (``y_before`` reaches back over a chunk border)
-    and falls back to the season where there is none. A season unseen in training takes the mean
-    over all training rows.
+    and falls back to the season where there is none.
     """
-    sums = season_sums(features)
-    overall = sums.agg(F.sum("y_sum") / F.nullif(F.sum("y_count"), F.lit(0)))
-    means = sums.select("season", (F.col("y_sum") / F.col("y_count")).alias("season_mean"))
     in_chunk = Window.partitionBy(*spec.pair, "chunk").orderBy("position")
     rows = (
         features.withColumn("season", season_of("abs_timesteps"))
-        .join(F.broadcast(means), "season", "left")
-        .withColumn("season_mean", F.coalesce("season_mean", overall.scalar()))
+        .join(F.broadcast(season_means(features)), "season")
         .withColumn(
             "previous",
             F.coalesce(

@@ -29,15 +29,17 @@ def with_differences(rows: DataFrame, spec: PanelSpec, space: str | None = None)
     Differences stay inside one look-back window, so each sort group has L rows.
     """
     step = Window.partitionBy("model", *spec.pair, "start").orderBy("position")
-    level = rows.withColumn("p0", in_space("yhat", spec, space)).withColumn("t0", in_space("y", spec, space))
+    level = rows.withColumns({"p0": in_space("yhat", spec, space), "t0": in_space("y", spec, space)})
 
     def difference(df: DataFrame, order: int) -> DataFrame:
-        was = order - 1
-        weight = "w" if order == 1 else f"w{was}"
-        return (
-            df.withColumn(f"p{order}", F.col(f"p{was}") - F.lag(f"p{was}").over(step))
-            .withColumn(f"t{order}", F.col(f"t{was}") - F.lag(f"t{was}").over(step))
-            .withColumn(f"w{order}", (F.col(weight) + F.lag(weight).over(step)) * 0.5)
+        p, t = f"p{order - 1}", f"t{order - 1}"
+        w = f"w{order - 1}" if order > 1 else "w"
+        before = {c: F.lag(c).over(step) for c in (p, t, w)}
+        return df.select(
+            "*",
+            (F.col(p) - before[p]).alias(f"p{order}"),
+            (F.col(t) - before[t]).alias(f"t{order}"),
+            ((F.col(w) + before[w]) * 0.5).alias(f"w{order}"),
         )
 
     return difference(difference(level, 1), 2)

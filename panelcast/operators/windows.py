@@ -91,11 +91,14 @@ def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     """
     order = Window.partitionBy(*spec.pair, "chunk").orderBy("group_id", spec.global_id)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return (
-        windows.withColumn("chunk", F.floor(F.col("group_id") / spec.chunk).cast("bigint"))
-        .withColumn("is_valid", is_finite(spec.target))
-        .withColumn("in_chunk", F.row_number().over(order).cast("bigint"))
-        .withColumn("valid_in_chunk", F.sum(F.col("is_valid").cast("bigint")).over(so_far))
+    placed = windows.withColumns({
+        "chunk": F.floor(F.col("group_id") / spec.chunk).cast("bigint"),
+        "is_valid": is_finite(spec.target),
+    })
+    return placed.select(
+        "*",
+        F.row_number().over(order).cast("bigint").alias("in_chunk"),
+        F.sum(F.col("is_valid").cast("bigint")).over(so_far).alias("valid_in_chunk"),
     )
 
 

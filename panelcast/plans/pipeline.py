@@ -78,7 +78,8 @@ def report_table(panel: Panel, predictions: DataFrame, models: list[str]) -> Dat
 
 def evaluation_rows(panel: Panel) -> DataFrame:
     """Baseline predictions over complete non-overlapping windows, with batch numbers."""
-    rows = stage(panel.with_batches().features(("y_before", "windows_before")), "features")
+    features = panel.with_batches().features(("y_before", "windows_before"))
+    rows = stage(features.drop(*panel.spec.feature_columns), "targets")
     return batched(baselines.predict_baselines(rows, panel.spec), panel.spec)
 
 

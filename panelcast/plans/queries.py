@@ -383,7 +383,7 @@ def report_series(spark, d):
 
 
 def _predictions(prepared: pipeline.Panel) -> DataFrame:
-    rows = stage(prepared.features(("y_before",)), "features")
+    rows = stage(prepared.features(("y_before",)).drop(*PREVALENCE.feature_columns), "targets")
     return forecast.natural_predictions(baselines.predict_baselines(rows, PREVALENCE), PREVALENCE)
 
 
