@@ -16,7 +16,7 @@ from panelcast.operators.forecast import create_model
 from panelcast.spec import PanelSpec
 
 SPEC = small.SPEC
-slow = settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+slow = settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 
 
 def values(df):
