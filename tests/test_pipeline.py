@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators import baselines, losses, metrics, outline, sequences, windows
 from panelcast.plans import pipeline
+from panelcast.sources.facts import read_facts
 from panelcast.spec import PanelSpec
 
 PAIR = brute.PAIR
@@ -183,7 +184,7 @@ def test_test_rows_do_not_reach_the_scaler_or_the_model(spark, facts):
 
 
 @pytest.mark.parametrize("mode", ["prevalence", "cases"])
-def test_default_columns_and_calendar(spark, mode):
+def test_default_columns_and_calendar(spark, mode, tmp_path):
     """Twelve covariates, twelve years of days, weekly windows: the settings nobody changed."""
     spec = PanelSpec(mode=mode)
     rng = np.random.default_rng(3)
@@ -200,7 +201,8 @@ def test_default_columns_and_calendar(spark, mode):
                 **covariates,
             }))
     table = pd.concat(parts, ignore_index=True)
-    panel = pipeline.prepare(spark.createDataFrame(table), spec)
+    table.to_parquet(tmp_path / "facts.parquet")
+    panel = pipeline.prepare(read_facts(spark, str(tmp_path / "facts.parquet"), spec), spec)
     rows = brute.keep(brute.windows(table, spec), spec)
     label = brute.labels(rows.parameter_index, spec)
     columns = [*PAIR, "split", "timesteps", "abs_timesteps", *spec.feature_columns, "y", "w"]
