@@ -2,37 +2,50 @@
 
 A pass that feeds several later ones is written once, as Parquet, to the folder the cluster names
 in ``spark.checkpoint.dir``. That cuts the lineage, survives lost executors, lets later passes read
-only the columns they need, and gives the planner real sizes to choose joins by.
+only the columns they need, and gives the planner real sizes to choose joins by. A session that
+names no shared folder keeps the table in Spark's cache instead, which recomputes what is lost;
+nothing is ever written to a folder of one machine.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
-def staging_folder(spark: SparkSession) -> str:
-    """The shared folder; a fresh local one only in local mode with none set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="panelcast-"))
-    return context.getCheckpointDir().rstrip("/")
+def staging_folder(spark: SparkSession) -> str | None:
+    """The shared folder, or None if the session names none."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/") if folder else None
+
+
+def staging_path(spark: SparkSession, name: str) -> str | None:
+    folder = staging_folder(spark)
+    return f"{folder}/{name}-{uuid.uuid4().hex}" if folder else None
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and return a reader of the written table."""
-    path = f"{staging_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    """Compute ``df`` once and return a reader of the result."""
+    path = staging_path(df.sparkSession, name)
+    if path is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unstage(staged: DataFrame) -> None:
+    """Delete a table of ``stage`` that nothing reads any more."""
+    spark = staged.sparkSession
+    if staging_folder(spark) is None:
+        staged.unpersist()
+        return
+    for path in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def fits_broadcast(staged: DataFrame, row_limit: int) -> bool:
     """Whether a staged table of a few narrow columns is small enough to send to every executor.
 
