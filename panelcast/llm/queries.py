@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelcast.llm import decontaminate, langid, lm, mixing, ngram_quality, rule_ensemble, secret_scan, simhash, urls
+from panelcast.llm import decontaminate, langid, licenses, lm, mixing, ngram_quality, rule_ensemble, secret_scan, simhash, urls
 from panelcast.llm.text import read
 
 
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_url_filters": on("pages", urls.query),
     "op3_curriculum_mix": on("documents", mixing.query),
     "op4_quality_rules": on("documents", ngram_quality.query, "labels"),
+    "op5_license_scan": on("documents", licenses.query),
     "op6_lm_scoring": on("documents", lm.query),
     "op7_simhash_near_dedup": on("documents", simhash.query),
     "op8_secret_scan": on("documents", secret_scan.query),
