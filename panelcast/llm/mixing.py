@@ -66,7 +66,7 @@ def fill_level(sources: DataFrame) -> float:
 
 
 def targets(sums: DataFrame) -> DataFrame:
-    """Add ``weight``, ``target`` and the two weights of the schedule, ``w0`` and ``w1``, to sums by source."""
+    """Add ``weight``, ``target`` and the weights at either end of the schedule, ``_w0`` and ``_w1``, to sums by source."""
     placed = running_total(sums.withColumn("_last", F.col("source").isNull()), ["_last", "_source"], F.lit(1), "_rank")
     weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int"))
     sources = stage(placed.withColumn("weight", weight.cast("bigint")), "source_weights")
@@ -74,9 +74,9 @@ def targets(sums: DataFrame) -> DataFrame:
     capped = F.col("weight") * level > MOST_PASSES * F.col("source_size")
     sources = sources.withColumn(
         "target", F.when(capped, (MOST_PASSES * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.lit(level)))
-    mean = sources.agg(F.sum(F.col("target") * F.col("weight")) / F.sum("target")).first()[0] or 0.0
+    mean = sources.agg(F.try_divide(F.sum(F.col("target") * F.col("weight")), F.sum("target"))).first()[0] or 0.0
     lean = F.lit(TILT) * (F.col("weight") - F.lit(mean)) / (max(WEIGHTS) - min(WEIGHTS))
-    return sources.withColumn("w0", 1 + lean).withColumn("w1", 1 - lean).drop("_last", "_rank", "source")
+    return sources.withColumn("_w0", 1 + lean).withColumn("_w1", 1 - lean).drop("_last", "_rank", "source")
 
 
 def due(offset, total, w0, w1):
@@ -98,17 +98,17 @@ def mix(sized: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(
         "_source", "_bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start"))
-    starts = starts.join(wanted, "_source").select("_source", "_bucket", "_start", "source_size", "target", "w0", "w1")
+    starts = starts.join(wanted, "_source").select("_source", "_bucket", "_start", "source_size", "target", "_w0", "_w1")
     tie = [F.xxhash64("text")] if "text" in sized.columns else []
     within = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id", "size", *tie)
     inside = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.join(starts, ["_source", "_bucket"]).withColumn("_before", F.col("_start") + inside)
     goal = F.floor(F.col("target") + 0.5)
-    placed = placed.withColumn("_passes", F.coalesce(F.floor(goal / F.col("source_size")), F.lit(0)))
+    placed = placed.withColumn("_passes", F.coalesce(F.floor(F.try_divide(goal, F.col("source_size"))), F.lit(0)))
     left = goal - F.col("_passes") * F.col("source_size") - F.col("_before")
     placed = placed.withColumn(
         "taken", F.col("_passes") * F.col("size") + F.greatest(F.lit(0), F.least(left, F.col("size"))))
-    position = due(F.col("_before"), F.col("target"), F.col("w0"), F.col("w1"))
+    position = due(F.col("_before"), F.col("target"), F.col("_w0"), F.col("_w1"))
     return placed.withColumn("position", F.when(F.col("taken") > 0, position))
 
 
@@ -130,7 +130,7 @@ def training_stream(docs: DataFrame) -> DataFrame:
     each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     offset = F.col("pass") * F.col("source_size") + F.col("_before")
     words_now = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
-    position = due(offset, F.col("target"), F.col("w0"), F.col("w1"))
+    position = due(offset, F.col("target"), F.col("_w0"), F.col("_w1"))
     return each.select(
         *kept, "size", "source_size", "target", words_now.alias("taken"), position.alias("position"), "pass",
     ).orderBy("position", "doc_id", "pass")

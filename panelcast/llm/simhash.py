@@ -173,10 +173,10 @@ def keep_first(docs: DataFrame) -> DataFrame:
     alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
     if alone.isEmpty():
         return kept
-    roots = components(links(alone), "nameless_links")
-    of_text = of_text.join(alone, F.col("_fp") == F.col("fp"), "left_semi")
-    of_text = of_text.join(roots, F.col("_fp") == F.col("a"), "left").withColumn("_root", F.coalesce("b", "_fp"))
-    return kept.union(_first_of(of_text, "_root").select(docs.columns))
+    roots = components(links(alone), "nameless_links").toDF("_fp", "_root")
+    of_text = of_text.join(alone.toDF("_fp"), "_fp", "left_semi").join(roots, "_fp", "left")
+    first = _first_of(of_text.withColumn("_root", F.coalesce("_root", "_fp")), "_root")
+    return kept.union(first.select([F.col(f"`{c}`") for c in docs.columns]))
 
 
 def _first_of(rows: DataFrame, key: str) -> DataFrame:
