@@ -1,0 +1,138 @@
+"""Fingerprints, BK-trees and components against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from panelcast.llm import simhash
+from panelcast.llm.bktree import BKTree, groups
+from panelcast.llm.components import components
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+def plain_print(text):
+    words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    if not words:
+        return 0
+    shingles = [" ".join(words[i:i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64(s.encode(), seed=42).intdigest() for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def plain_groups(values, radius=3):
+    """Least place reachable from each place over links within the radius."""
+    out = list(range(len(values)))
+    changed = True
+    while changed:
+        changed = False
+        for i, x in enumerate(values):
+            for j, y in enumerate(values):
+                if (x ^ y).bit_count() <= radius and out[j] < out[i]:
+                    out[i], changed = out[j], True
+    return out
+
+
+def expected(rows):
+    prints = [plain_print(r[1]) for r in rows]
+    group = plain_groups(prints)
+    names = {g: min((r[0] for r, h in zip(rows, group) if h == g and r[0] is not None), default=None) for g in set(group)}
+    return [(r[0], f"{p:016x}", names[g]) for r, p, g in zip(rows, prints, group)]
+
+
+def key(row):
+    return tuple((v is None, str(v)) for v in row)
+
+
+def test_query_equals_brute_force(docs):
+    got = [tuple(r) for r in simhash.query(docs).collect()]
+    rows = [tuple(r) for r in docs.collect()]
+    assert sorted(got, key=key) == sorted(expected(rows), key=key)
+
+
+def test_empty_and_clashing(docs, clashing, empty):
+    assert simhash.query(empty).collect() == []
+    assert simhash.keep_first(empty).collect() == []
+    same = lambda df: Counter(map(tuple, df.collect()))
+    assert same(simhash.query(clashing)) == same(simhash.query(docs))
+    kept = simhash.keep_first(clashing)
+    assert kept.columns == clashing.columns
+    assert same(kept.select(docs.columns)) == same(simhash.keep_first(docs))
+
+
+def test_one_of_each_group_stays(docs):
+    rows = [tuple(r) for r in docs.collect()]
+    kept = [tuple(r) for r in simhash.keep_first(docs).collect()]
+    groups_of = Counter(e[2] for e in expected(rows))
+    named = [r for r in kept if r[0] is not None]
+    assert sorted(r[0] for r in named) == sorted(g for g in groups_of if g is not None)
+    assert set(kept) <= set(rows)
+    assert all(r[3] == "src0" or r[0] != 20 for r in named) or min(r[3] for r in rows if r[0] == 20) == "src1"
+
+
+def test_group_without_ids_keeps_one_row(spark):
+    rows = [(None, "only words without any id", None, None, None)] * 3 + [(4, "something else that is far away", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert sorted((r.doc_id is None, r.text) for r in simhash.keep_first(df).collect()) == [
+        (False, rows[3][1]), (True, rows[0][1])]
+
+
+def test_very_long_text():
+    text = " ".join(random.Random(1).choices("ab cd ef gh ij".split(), k=70_000))
+    assert simhash.fingerprint(text.encode()) % 2**64 == plain_print(text)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 2**12 - 1), max_size=60), st.integers(0, 4))
+def test_tree_finds_all_within_radius(values, radius):
+    tree = BKTree()
+    for v in values:
+        tree.add(v)
+    assert len(tree.values) == len(set(values))
+    for v in [*values, 7, 2**11]:
+        assert {tree.values[i] for i in tree.near(v, radius)} == {x for x in values if (x ^ v).bit_count() <= radius}
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.sets(st.integers(0, 2**14 - 1), max_size=40))
+def test_groups_are_linked_sets(values):
+    values = sorted(values)
+    assert groups(values, 3) == plain_groups(values)
+
+
+@pytest.mark.parametrize("limit", [1024, 4])
+def test_links_of_a_dense_ball_and_strays(spark, monkeypatch, limit):
+    """A small limit forces hot shards to be placed anew, down to the last bits."""
+    monkeypatch.setattr(simhash, "SHARD_LIMIT", limit)
+    rng = random.Random(3)
+    centre = rng.getrandbits(64)
+    ball = {centre}
+    while len(ball) < 120:
+        ball.add(rng.choice(sorted(ball)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
+    values = sorted(ball | {rng.getrandbits(64) for _ in range(100)} | {0, 7, 1 << 63})
+    signed = [v - 2**64 if v >= 2**63 else v for v in values]
+    prints = spark.createDataFrame([(i, v) for i, v in enumerate(signed)], "doc_id bigint, fp bigint")
+    got = {r.fp: r.component_id for r in simhash.label(prints).collect()}
+    assert [got[v] for v in signed] == plain_groups(values)
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_components(spark, edges):
+    got = {r.a: r.b for r in components(spark.createDataFrame(edges, "x bigint, y bigint"), "test_edges").collect()}
+    label = {v: v for e in edges for v in e}
+    for _ in label:
+        for x, y in edges:
+            label[x] = label[y] = min(label[x], label[y])
+    assert got == {v: m for v, m in label.items() if v != m}
+
+
+def test_long_chain(spark):
+    edges = [(i, i + 1) for i in range(200)]
+    got = components(spark.createDataFrame(edges, "x bigint, y bigint"), "chain").collect()
+    assert sorted((r.a, r.b) for r in got) == [(i, 0) for i in range(1, 201)]

@@ -1,0 +1,149 @@
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.ml.classification import DecisionTreeClassifier
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import functions as F
+
+from panelcast.llm import ngram_quality, rule_ensemble
+from panelcast.llm.rule_ensemble import STATISTICS, RuleEnsemble, tree_rules
+
+WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
+@pytest.fixture(scope="module")
+def graded(spark):
+    """Documents that good prose or junk marks make good or bad, with labels for most."""
+    rng = np.random.default_rng(4)
+    words = "the of and a in to it is was that he for on are with as".split()
+    rows, labels = [], []
+    for i in range(240):
+        text = " ".join(rng.choice(words, rng.integers(60, 90)))
+        good = i % 4 != 0
+        rows.append((i, text if good else " ".join(w + "$$$" for w in text.upper().split())))
+        if i % 5:
+            labels.append((i, int(good)))
+    return (spark.createDataFrame(rows, "doc_id bigint, text string").cache(),
+            spark.createDataFrame(labels, "doc_id bigint, quality int").cache())
+
+
+def held(doc_id):
+    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+
+
+def test_rules_learn_and_hold_out(graded):
+    rows = rule_ensemble.query(*graded).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(240))
+    assert all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in rows)
+    assert all(r.predicted == int(r.doc_id % 4 != 0) for r in rows if r.held_out)
+
+
+def test_labels_of_held_out_rows_do_not_matter(graded):
+    docs, labels = graded
+    turned = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, 1 - F.col("quality"))
+                               .otherwise(F.col("quality")).cast("int"))
+    score = lambda own: {r.doc_id: r.score for r in rule_ensemble.query(docs, own).collect()}
+    a, b = score(labels), score(turned)
+    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], abs=1e-6) for k in a)
+
+
+def test_paths_hold_where_the_tree_goes(spark):
+    rng = np.random.default_rng(1)
+    rows = [(float(int(x[0] > 0.5) ^ int(x[1] > 0.3)), *map(float, x)) for x in rng.random((400, len(STATISTICS)))]
+    df = spark.createDataFrame(rows, "label double, " + ", ".join(f"{s} double" for s in STATISTICS))
+    df = df.withColumn("features", array_to_vector(F.array(*STATISTICS)))
+    tree = DecisionTreeClassifier(maxDepth=3, seed=1).fit(df)
+    rules = tree_rules(tree.toDebugString)
+    assert len(rules) >= tree.numNodes - 1 - 1  # a path may equal another once bounds are merged
+    leaves = {r for r in rules if not any(set(r) < set(o) for o in rules)}
+    counts = df.select(*[F.sum(rule_ensemble.holds(r).cast("int")) for r in sorted(leaves)]).first()
+    assert sum(counts) >= 400
+
+
+def test_compiled_score_is_the_logistic_of_the_weights(spark):
+    rule_a, rule_b = ((0, True, 0.5),), ((0, False, 0.2), (1, True, 0.9))
+    model = RuleEnsemble(0.1, ((rule_a, 1.5), (rule_b, -2.0)))
+    points = [(0.1, 0.1), (0.3, 0.5), (0.9, 0.95), (0.5, 0.9)]
+    df = spark.createDataFrame([(*p, *[0.0] * (len(STATISTICS) - 2)) for p in points], ", ".join(f"{s} double" for s in STATISTICS))
+    for (x, y), r in zip(points, df.select(model.column().alias("p")).collect()):
+        z = 0.1 + 1.5 * (x <= 0.5) - 2.0 * (x > 0.2 and y <= 0.9)
+        assert r.p == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def plain_statistics(text):
+    text = text or ""
+    w = WORD.findall(text)
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    seen, repeats = set(), 0
+    for line in lines:
+        repeats += line in seen
+        seen.add(line)
+    windows = Counter(tuple(w[i:i + 3]) for i in range(len(w) - 2))
+    inside = {i + k for i in range(len(w) - 2) if windows[tuple(w[i:i + 3])] > 1 for k in range(3)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), repeats, len(inside)
+
+
+AWKWARD = ["a b c a b c", "x\nx\n\nx\n \n y", "é é é é é é", "a a a a", "#*$%&|<>", "a b", "a b c d", "l\r\nl\n", "1 2 3 4 1 2 3"]
+
+
+def test_plain_rules_equal_brute_force(spark, docs, labels):
+    extra = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(AWKWARD)], "doc_id bigint, text string")
+    rows = docs.select("doc_id", "text").union(extra)
+    want = Counter()
+    for r in rows.collect():
+        s = plain_statistics(r.text)
+        want[(r.doc_id, *s, s[0] < 50 or 100 * s[4] > 50 * s[0])] += 1
+    got = ngram_quality.query(rows, labels).collect()
+    assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
+                   for r in got) == want
+    assert not any(r.kept and r.base_failed for r in got)
+
+
+def test_ngrams_learn_and_are_calibrated(graded):
+    docs, labels = graded
+    longer = docs.withColumn("text", F.concat(F.col("text"), F.lit(" "), F.reverse("text"), F.col("doc_id").cast("string")))
+    model = ngram_quality.fit(longer, labels)
+    rows = ngram_quality.judge(longer, model).collect()
+    unlabelled = [r for r in rows if r.doc_id % 5 == 0 and not r.base_failed]
+    assert unlabelled and all(r.kept == (r.doc_id % 4 != 0) for r in unlabelled)
+    assert all(0 <= r.score <= 1 for r in rows)
+
+
+def test_calibration_recovers_a_known_logistic():
+    rng = np.random.default_rng(2)
+    margin = rng.normal(size=20_000)
+    label = (rng.random(20_000) < 1 / (1 + np.exp(-(2.5 * margin - 1)))).astype(float)
+    slope, offset = ngram_quality.calibrate(margin, label)
+    assert slope == pytest.approx(2.5, abs=0.15) and offset == pytest.approx(-1, abs=0.15)
+
+
+def test_gradient_is_the_slope_of_the_margin():
+    hasher = ngram_quality.Hasher()
+    weights = np.random.default_rng(3).normal(size=1 << ngram_quality.BITS)
+    texts = ["the cat sat".encode(), b"", None, "é".encode()]
+    margin, parts = ngram_quality.margins(weights, 0.5, texts, hasher)
+    assert margin[1] == margin[2] == 0.5
+    buckets, owner, size = parts[0]
+    assert [int((owner == i).sum()) for i in range(4)] == [5, 0, 0, 1]
+    alone, _ = ngram_quality.margins(weights, 0.5, texts[:1], hasher)
+    assert alone[0] == pytest.approx(margin[0])
+
+
+@pytest.mark.parametrize("query", [rule_ensemble.query, ngram_quality.query])
+def test_edges(spark, docs, clashing, empty, labels, query):
+    nothing = labels.limit(0)
+    assert query(empty, labels).collect() == []
+    same = query(docs, nothing).collect()
+    assert len(same) == docs.count() and len({r.score for r in same}) == 1
+    ones = labels.where("quality = 1")
+    assert len({r.score for r in query(docs, ones).collect()}) == 1
+    keys = lambda df: Counter(r.doc_id for r in query(df, labels).collect())
+    assert keys(clashing) == keys(docs) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_one_label_takes_the_majority(labels):
+    got = {r.doc_id: r.label for r in rule_ensemble.one_label(labels).collect()}
+    assert got[1] == 0.0 and got[2] == 1.0 and got[3] == 0.0 and None not in got
