@@ -11,24 +11,27 @@ from panelcast.operators.ordinals import total_within
 def patience_counter(history: DataFrame, run: list[str]) -> DataFrame:
     """Add the best loss so far, whether the epoch improved on it, and epochs since the last gain.
 
-    Only a strictly lower loss is an improvement. ``history`` holds one row per run and epoch.
+    An epoch improves if its loss is below infinity and below all earlier losses, of which those that are not
+    numbers do not count. Before the first gain every epoch counts. ``history`` holds one row per run and epoch.
     """
     by_epoch = Window.partitionBy(*run).orderBy("epoch")
     earlier = by_epoch.rowsBetween(Window.unboundedPreceding, -1)
     so_far = by_epoch.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    best_before = F.min("val_loss").over(earlier)
-    improved = best_before.isNull() | (F.col("val_loss") < best_before)
+    number = F.when(~F.isnan("val_loss"), F.col("val_loss"))
+    best_before = F.coalesce(F.min(number).over(earlier), F.lit(float("inf")))
+    improved = F.coalesce(number < best_before, F.lit(False))
     rows = history.withColumn("improved", improved).withColumn(
         "epoch_number", F.row_number().over(by_epoch).cast("bigint")
     )
     last_gain = F.max(F.when(F.col("improved"), F.col("epoch_number"))).over(so_far)
-    return rows.withColumn("best_so_far", F.min("val_loss").over(so_far)).withColumn(
-        "patience_counter", F.col("epoch_number") - last_gain
+    best = F.min(F.when(F.col("improved"), F.col("val_loss"))).over(so_far)
+    return rows.withColumn("best_so_far", best).withColumn(
+        "patience_counter", F.col("epoch_number") - F.coalesce(last_gain, F.lit(0))
     )
 
 
 def run_report(history: DataFrame, run: list[str], patience: int) -> DataFrame:
-    """Per run: stop epoch, whether it stopped early, and the best epoch up to the stop."""
+    """Per run: stop epoch, whether it stopped early, and the best epoch up to the stop, null if none improved."""
     counted = patience_counter(history, run)
     limit = F.min(F.when(F.col("patience_counter") >= patience, F.col("epoch")))
     stops = counted.withColumn("_stop", limit.over(Window.partitionBy(*run)))
@@ -36,8 +39,8 @@ def run_report(history: DataFrame, run: list[str], patience: int) -> DataFrame:
     return seen.groupBy(*run).agg(
         F.max("epoch").alias("stop_epoch"),
         F.max(F.col("_stop").isNotNull()).alias("stopped_early"),
-        F.min("val_loss").alias("best_val_loss"),
-        F.min_by("epoch", F.struct("val_loss", "epoch")).alias("best_epoch"),
+        F.min("best_so_far").alias("best_val_loss"),
+        F.max(F.when(F.col("improved"), F.col("epoch"))).alias("best_epoch"),
     )
 
 

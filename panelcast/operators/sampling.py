@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.sources.stage import fits_broadcast, stage
+from panelcast.sources.stage import stage
 from panelcast.spec import PanelSpec
 
 
@@ -53,29 +53,15 @@ def keep_units(df: DataFrame, units: DataFrame, spec: PanelSpec) -> DataFrame:
     return df.join(units.select(*spec.pair).distinct(), spec.pair, "left_semi")
 
 
-class UnitFilter:
-    """Applies a sample of pairs where it is cheapest.
+def sampled(facts: DataFrame, spec: PanelSpec, population: DataFrame | None = None) -> DataFrame:
+    """Facts within the parameter limit, of the sampled series if there is a sample.
 
-    A small sample is broadcast and drops fact rows in the scan stage. A large one is joined after
-    the window aggregate instead, so that raw fact rows are never shuffled for it; the pair is part
-    of the grouping key, so both places give the same rows.
+    Series are drawn from ``population`` where the facts were already cut, say by date. The staged sample
+    has a known size, by which the planner sends it to every scan or shuffles both sides by the pair;
+    the latter partitioning also serves the window sums that follow.
     """
-
-    def __init__(self, facts: DataFrame, spec: PanelSpec):
-        self.spec = spec
-        self.units = None
-        self.small = False
-        if spec.sims_per_param is not None:
-            self.units = stage(sample_units(facts, spec), "units")
-            self.small = fits_broadcast(self.units, spec.broadcast_rows)
-
-    def before_aggregate(self, facts: DataFrame) -> DataFrame:
-        facts = limit_params(facts, self.spec)
-        if self.units is not None and self.small:
-            return facts.join(F.broadcast(self.units), self.spec.pair, "left_semi")
+    facts = limit_params(facts, spec)
+    if spec.sims_per_param is None:
         return facts
-
-    def after_aggregate(self, windows: DataFrame) -> DataFrame:
-        if self.units is not None and not self.small:
-            return windows.join(self.units, self.spec.pair, "left_semi")
-        return windows
+    units = stage(sample_units(facts if population is None else population, spec), "units")
+    return facts.join(units, spec.pair, "left_semi")

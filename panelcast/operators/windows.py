@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.sampling import UnitFilter
+from panelcast.operators.sampling import sampled
 from panelcast.sources.stage import stage
 from panelcast.spec import PanelSpec
 
@@ -55,10 +55,9 @@ def window_sums(facts: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
-def panel_windows(facts: DataFrame, spec: PanelSpec, units: UnitFilter | None = None) -> DataFrame:
+def panel_windows(facts: DataFrame, spec: PanelSpec, population: DataFrame | None = None) -> DataFrame:
     """Window rows with a target, for the sampled series, with the covariates the facts hold."""
-    units = units or UnitFilter(facts, spec)
-    windows = units.after_aggregate(window_sums(units.before_aggregate(facts), spec))
+    windows = window_sums(sampled(facts, spec, population), spec)
     return windows.filter(F.col(spec.target).isNotNull())
 
 
@@ -107,8 +106,7 @@ def stage_windows(facts: DataFrame, spec: PanelSpec, population: DataFrame | Non
 
     Series are sampled from ``population`` where the facts were already cut, say by date.
     """
-    units = UnitFilter(facts if population is None else population, spec)
-    return stage(number_in_chunks(panel_windows(facts, spec, units), spec), "windows")
+    return stage(number_in_chunks(panel_windows(facts, spec, population), spec), "windows")
 
 
 def with_steps(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelcast.operators.baselines import SEASON_DAYS
-from panelcast.plans.queries import CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE
+from panelcast.plans.queries import CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE, SAMPLED_SPEC
 from panelcast.spec import DAYS_PER_YEAR, METRIC_EPS, PanelSpec
 
 KEY = "parameter_index, simulation_index"
@@ -46,7 +46,7 @@ def chain(spec: PanelSpec) -> dict[str, str]:
                    l_quantity AS total_qty, s_acctbal, CAST(s_nationkey AS DOUBLE) AS s_nationkey,
                    CAST(n_regionkey AS DOUBLE) AS n_regionkey
             FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey""",
-        "units": f"""
+        "units": f"SELECT DISTINCT {KEY} FROM facts" if spec.sims_per_param is None else f"""
             SELECT {KEY} FROM (
                 SELECT *, row_number() OVER (PARTITION BY parameter_index ORDER BY
                     md5('{spec.seed}:' || parameter_index || ':' || simulation_index), simulation_index) AS rn
@@ -212,16 +212,22 @@ TRIALS = """
 RANKED = f"""
     SELECT *, row_number() OVER (PARTITION BY model_type ORDER BY best_val_loss, trial_number) AS rank
     FROM ({TRIALS})"""
+AGAIN = f"""
+    SELECT -1 - run AS run, epoch, CASE WHEN run % 3 = 0 THEN 'nan'::DOUBLE ELSE val_loss END AS val_loss FROM ({HISTORY})"""
+AWKWARD = f"""
+    SELECT * FROM ({HISTORY}) UNION ALL SELECT * FROM ({AGAIN})
+    UNION ALL SELECT DISTINCT run, e, x::DOUBLE FROM ({AGAIN}), (VALUES (-2, 'inf'), (-1, 'nan')) v(e, x)"""
+#: A gain is a loss below infinity that none of the earlier numbers reaches.
 IMPROVED = f"""
-    SELECT *, best_before IS NULL OR val_loss < best_before AS improved FROM (
+    SELECT *, epoch_number = 1 + lower_count AND NOT isnan(val_loss) AND val_loss < 'inf'::DOUBLE AS improved FROM (
         SELECT *, row_number() OVER (PARTITION BY run ORDER BY epoch) AS epoch_number,
-               min(val_loss) OVER (PARTITION BY run ORDER BY epoch
-                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best_before
-        FROM ({HISTORY}))"""
+               (SELECT count(*) FROM ({AWKWARD}) e WHERE e.run = a.run AND e.epoch < a.epoch
+                AND (isnan(e.val_loss) OR e.val_loss > a.val_loss)) AS lower_count
+        FROM ({AWKWARD}) a)"""
 COUNTED = f"""
     SELECT run, epoch, val_loss, improved, epoch_number,
-           min(val_loss) OVER so_far AS best_so_far,
-           epoch_number - max(CASE WHEN improved THEN epoch_number END) OVER so_far AS patience_counter
+           min(CASE WHEN improved THEN val_loss END) OVER so_far AS best_so_far,
+           epoch_number - coalesce(max(CASE WHEN improved THEN epoch_number END) OVER so_far, 0) AS patience_counter
     FROM ({IMPROVED})
     WINDOW so_far AS (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
 SHOWN = f"""
@@ -284,10 +290,10 @@ ORACLE: dict[str, str] = {
     "scan_panel": sql("SELECT * FROM facts", upto="facts"),
     "param_limit": sql(f"SELECT {KEY}, timesteps, total_qty FROM facts WHERE parameter_index < {PARAM_LIMIT}", upto="facts"),
     "distinct_units": sql(f"SELECT DISTINCT {KEY}, global_index FROM facts", upto="facts"),
-    "sample_units": sql("SELECT * FROM units", upto="units"),
+    "sample_units": sql("SELECT * FROM units", SAMPLED_SPEC, "units"),
     "semi_join_sample": sql(
         f"SELECT {KEY}, global_index, timesteps, returned_qty, total_qty FROM facts SEMI JOIN units USING ({KEY})",
-        upto="units",
+        SAMPLED_SPEC, "units",
     ),
     "row_rate": sql(f"SELECT {KEY}, timesteps, {r('1000.0 * returned_lines / nullif(total_qty, 0)', 'raw_cases')} FROM facts", upto="facts"),
     "window_prevalence": window_sql(PREVALENCE, "target AS prevalence"),
@@ -317,7 +323,7 @@ ORACLE: dict[str, str] = {
                 SELECT parameter_index, count(*) OVER () AS n, row_number() OVER (
                     ORDER BY md5('split:{PREVALENCE.seed}:' || parameter_index), parameter_index) - 1 AS rk
                 FROM (SELECT DISTINCT parameter_index FROM facts)) q ON u.parameter_index = q.parameter_index""",
-        upto="kept",
+        SAMPLED_SPEC, "kept",
     ),
     "scaler_stats": sql(
         "SELECT " + ", ".join(r(f"{s}_{c}") for c in PREVALENCE.statics for s in ("mean", "std")) + " FROM scaler",
@@ -392,7 +398,7 @@ ORACLE: dict[str, str] = {
         stops AS (SELECT run, min(CASE WHEN patience_counter >= {PREVALENCE.patience} THEN epoch END) AS stop
                   FROM counted GROUP BY run),
         seen AS (SELECT c.*, stop FROM counted c JOIN stops s ON c.run = s.run WHERE stop IS NULL OR epoch <= stop)
-        SELECT run, max(epoch) AS stop_epoch, max(stop) IS NOT NULL AS stopped_early, min(val_loss) AS best_val_loss,
+        SELECT run, max(epoch) AS stop_epoch, max(stop) IS NOT NULL AS stopped_early, min(best_so_far) AS best_val_loss,
                max(CASE WHEN improved THEN epoch END) AS best_epoch
         FROM seen GROUP BY run""",
     "leaderboard": f"SELECT model_type, trial_number, best_val_loss, rank FROM ({RANKED})",

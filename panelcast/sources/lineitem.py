@@ -28,7 +28,6 @@ LINEITEM_SPEC = PanelSpec(
     cases_counts=("returned_lines", "total_qty"),
     statics=("s_acctbal", "s_nationkey", "n_regionkey"),
     gated=("n_regionkey",),
-    sims_per_param=4,
     min_prevalence=0.2,
     min_cases=12.0,
     burn_in=728,
@@ -39,6 +38,8 @@ LINEITEM_SPEC = PanelSpec(
     batch_size=64,
     seed=42,
 )
+#: For the operators that sample: four of a supplier's seven line numbers.
+SAMPLED_SPEC = LINEITEM_SPEC.with_(sims_per_param=4)
 
 
 def lineitem_facts(spark: SparkSession, sf_dir: str, spec: PanelSpec = LINEITEM_SPEC,

@@ -44,11 +44,3 @@ def unstage(staged: DataFrame) -> None:
     for path in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def fits_broadcast(staged: DataFrame, row_limit: int) -> bool:
-    """Whether a staged table of a few narrow columns is small enough to send to every executor.
-
-    The count comes from Parquet footers. The caller must have another way for a larger table.
-    """
-    return staged.count() <= row_limit

@@ -60,9 +60,8 @@ class PanelSpec:
     curvature_weight: float = 0.0
     patience: int = 16
 
-    # how rows are spread: windows of one series per chunk, rows of a table safe to broadcast
+    # how rows are spread: windows of one series per chunk
     chunk: int = 512
-    broadcast_rows: int = 500_000
 
     def __post_init__(self) -> None:
         if self.mode not in MODES:
