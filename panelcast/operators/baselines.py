@@ -31,27 +31,19 @@ def season_means(features: DataFrame) -> DataFrame:
     return sums.select("season", F.coalesce(mean, overall).alias("season_mean"))
 
 
-def predict_baselines(features: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Long predictions of both baselines from a staged table.
+def predict_baselines(features: DataFrame, spec: PanelSpec, learned: DataFrame | None = None) -> DataFrame:
+    """Add both baselines' forecasts, ``yhat_persistence`` and ``yhat_seasonal``; no shuffle.
 
-    Persistence repeats the previous step's target (``y_before`` reaches back over a chunk border)
-    and falls back to the season where there is none.
+    Persistence repeats the previous step's target (``previous_y`` in the chunk, ``y_before`` over a chunk
+    border) and falls back to the season where there is none. Seasons are learned from ``learned`` where
+    ``features`` are only some of the rows.
     """
-    in_chunk = Window.partitionBy(*spec.pair, "chunk").orderBy("position")
-    rows = (
+    means = season_means(features if learned is None else learned)
+    before = F.coalesce("previous_y", "y_before")
+    return (
         features.withColumn("season", season_of("abs_timesteps"))
-        .join(F.broadcast(season_means(features)), "season")
-        .withColumn(
-            "previous",
-            F.coalesce(
-                F.lag("y").over(in_chunk),
-                targets.transform(F.col("y_before"), spec),
-                F.col("season_mean"),
-            ),
-        )
+        .join(F.broadcast(means), "season")  # at most 14 rows
+        .withColumn("yhat_persistence", F.coalesce(targets.transform(before, spec), F.col("season_mean")))
+        .withColumn("yhat_seasonal", F.col("season_mean"))
+        .drop("season", "season_mean", "previous_y", "y_before")
     )
-    forecasts = F.array(
-        F.struct(F.lit(BASELINES[0]).alias("model"), F.col("previous").alias("yhat")),
-        F.struct(F.lit(BASELINES[1]).alias("model"), F.col("season_mean").alias("yhat")),
-    )
-    return rows.select("*", F.inline(forecasts)).drop("season", "season_mean", "previous")

@@ -30,7 +30,7 @@ def join_outline(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> Dat
     """
     key = [*spec.pair, "chunk"]
     rows = windows.filter("is_valid").select(
-        *key, "in_chunk", "valid_in_chunk", "abs_timesteps", *spec.measures
+        *key, "in_chunk", "valid_in_chunk", "abs_timesteps", "previous_y", *spec.measures
     )
     return (
         rows.join(outline.drop("is_first", "n_valid", "length", "mean_target", "fit_statics"), key)
@@ -48,8 +48,8 @@ def panel_features(windows: DataFrame, outline: DataFrame, scaler: DataFrame, sp
                    carry: tuple[str, ...] = ()) -> DataFrame:
     """Keys, step, features in model order, transformed target ``y`` and weight ``w``.
 
-    ``outline`` must hold the kept series with their split label; ``carry`` names further outline
-    columns to keep.
+    ``outline`` must hold the kept series with their split label; ``carry`` names further columns of
+    the windows or the outline to keep.
     """
     rows = join_outline(windows, outline, spec)
     day, stats = F.col("abs_timesteps"), scaler_value(scaler)

@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import targets
+from panelcast.operators import losses
+from panelcast.operators.losses import forecast_of
 from panelcast.operators.sequences import coverage
 from panelcast.spec import PanelSpec
 
@@ -18,12 +20,13 @@ FAMILIES = {"linear": LinearRegression, "boosted": GBTRegressor}
 
 
 def create_model(family: str, **params) -> Estimator:
-    """An unfitted estimator of the named family."""
+    """An unfitted estimator of the named family, whose forecast goes to ``yhat_<family>``."""
     try:
         kind = FAMILIES[family.lower()]
     except KeyError:
         raise ValueError(f"unknown model family {family!r}; choose from {sorted(FAMILIES)}") from None
-    return kind(featuresCol="features", labelCol="y", weightCol="fit_weight", predictionCol="yhat", **params)
+    return kind(featuresCol="features", labelCol="y", weightCol="fit_weight",
+                predictionCol=forecast_of(family.lower()), **params)
 
 
 def assemble(features: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -48,31 +51,47 @@ def fit(family: str, features: DataFrame, spec: PanelSpec, **params) -> Model:
     return estimator.fit(train)
 
 
-def predict(model: Model, name: str, features: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Score every step of whole series; adds ``model`` and transformed ``yhat``."""
-    scored = model.transform(assemble(features, spec)).drop("features")
-    return scored.withColumn("model", F.lit(name))
+def predict(models: dict[str, Model], features: DataFrame, spec: PanelSpec) -> DataFrame:
+    """Score every step of whole series in one pass; each family adds its transformed ``yhat_<family>``."""
+    scored = assemble(features, spec)
+    for family, model in models.items():
+        scored = model.setPredictionCol(forecast_of(family)).transform(scored)
+    return scored.drop("features")
 
 
-def boosting_history(model: Model, name: str, features: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Squared loss per boosting round on train and validate, as a run history.
+def rounds(model: Model, features: DataFrame, spec: PanelSpec) -> tuple[DataFrame, list[str]]:
+    """Forecasts after each round of a model, as one more column a round; and the rounds' names.
 
-    Spark scores all rounds in one pass per split; only one number per round reaches the driver.
+    A linear model has one round. All rounds of a boosted one come from one pass, each tree scored once.
     """
-    train = training_rows(features, spec)
-    held_out = features.filter(F.col("split") == "validate").withColumn("fit_weight", F.col("w"))
-    validate = assemble(held_out, spec).select("features", "y", "fit_weight")
-    losses = zip(
-        model.evaluateEachIteration(train, "squared"), model.evaluateEachIteration(validate, "squared"),
-        strict=True,
-    )
-    rows = [(name, 0, epoch, float(a), float(b)) for epoch, (a, b) in enumerate(losses, start=1)]
-    return features.sparkSession.createDataFrame(rows, HISTORY_SCHEMA)
+    trees = list(zip(model.trees, model.treeWeights)) if hasattr(model, "trees") else [(model, 1.0)]
+    scored, total = assemble(features, spec), F.lit(0.0)
+    for k, (tree, _) in enumerate(trees, start=1):
+        scored = tree.setPredictionCol(f"_tree_{k}").transform(scored)
+    for k, (_, weight) in enumerate(trees, start=1):
+        total = total + F.lit(float(weight)) * F.col(f"_tree_{k}")
+        scored = scored.withColumn(forecast_of(str(k)), total)
+    return scored.drop("features", *[f"_tree_{k}" for k in range(1, len(trees) + 1)]), [
+        str(k) for k in range(1, len(trees) + 1)]
+
+
+def history(model: Model, name: str, batched: DataFrame, spec: PanelSpec, trial: int = 0) -> DataFrame:
+    """Mean batch loss after each round on train and validate, as a run history: the loss that ranks trials.
+
+    ``batched`` holds the features of scored steps with ``start`` and ``batch_id``.
+    """
+    scored, names = rounds(model, batched.filter(F.col("split").isin("train", "validate")), spec)
+    found = losses.mean_batch_loss(scored, names, ["model", "split"], spec)
+    wide = found.groupBy(F.col("model").cast("bigint").alias("epoch")).agg(*[
+        F.max(F.when(F.col("split") == s, F.col("mean_batch_loss"))).alias(f"{short}_loss")
+        for s, short in (("train", "train"), ("validate", "val"))
+    ])
+    return wide.select(F.lit(name).alias("model"), F.lit(trial).cast("bigint").alias("trial"), "epoch", "train_loss", "val_loss")
 
 
-def natural_predictions(rows: DataFrame, spec: PanelSpec) -> DataFrame:
+def natural_predictions(rows: DataFrame, models: list[str], spec: PanelSpec) -> DataFrame:
     """Truth and prediction in natural space, one row per (model, series, step)."""
-    return rows.select(
+    return losses.by_model(rows, models).select(
         "model",
         *spec.unit,
         "split",

@@ -1,7 +1,8 @@
 """Weighted level, slope and curvature losses over scored steps.
 
-Input rows hold ``model``, the series key, ``start``, ``position``, ``y``, ``yhat`` (transformed
-space) and ``w``.
+Input rows are steps: the series key, ``start``, ``position``, ``y``, ``w``, and for every model its forecast in
+a column ``yhat_<model>``, in transformed space. Steps are told apart by model only after the differences,
+so the sort that these need does not grow with the number of models.
 """
 
 from __future__ import annotations
@@ -23,26 +24,39 @@ def in_space(column: str, spec: PanelSpec, space: str | None = None) -> Column:
     return targets.inverse(F.col(column), spec) if natural else F.col(column)
 
 
-def with_differences(rows: DataFrame, spec: PanelSpec, space: str | None = None) -> DataFrame:
-    """First and second differences of truth and prediction, with mid-point weights.
+def forecast_of(model: str) -> str:
+    return f"yhat_{model}"
+
+
+def by_model(rows: DataFrame, models: list[str], parts: tuple[str, ...] = ("yhat",)) -> DataFrame:
+    """A row per step and model, with ``model`` and the model's own columns ``<part>_<model>`` as ``<part>``."""
+    own = {f"{part}_{m}" for part in parts for m in models}
+    each = [F.struct(F.lit(m).alias("model"), *[F.col(f"{part}_{m}").alias(part) for part in parts]) for m in models]
+    return rows.select(*[c for c in rows.columns if c not in own], F.inline(F.array(*each)))
+
+
+def with_differences(rows: DataFrame, models: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
+    """First and second differences of truth and forecasts, with mid-point weights; a row per step and model.
 
     Differences stay inside one look-back window, so each sort group has L rows.
     """
-    step = Window.partitionBy("model", *spec.pair, "start").orderBy("position")
-    level = rows.withColumns({"p0": in_space("yhat", spec, space), "t0": in_space("y", spec, space)})
-
-    def difference(df: DataFrame, order: int) -> DataFrame:
-        p, t = f"p{order - 1}", f"t{order - 1}"
-        w = f"w{order - 1}" if order > 1 else "w"
-        before = {c: F.lag(c).over(step) for c in (p, t, w)}
-        return df.select(
+    step = Window.partitionBy(*spec.pair, "start").orderBy("position")
+    level = rows.withColumns({
+        "t0": in_space("y", spec, space), "w0": F.col("w"),
+        **{f"p0_{m}": in_space(forecast_of(m), spec, space) for m in models},
+    })
+    for order in (1, 2):
+        def lagged(name: str):
+            return F.lag(name).over(step)
+
+        parts = {f"p{order}_{m}": f"p{order - 1}_{m}" for m in models} | {f"t{order}": f"t{order - 1}"}
+        weight = f"w{order - 1}"
+        level = level.select(
             "*",
-            (F.col(p) - before[p]).alias(f"p{order}"),
-            (F.col(t) - before[t]).alias(f"t{order}"),
-            ((F.col(w) + before[w]) * 0.5).alias(f"w{order}"),
+            *[(F.col(last) - lagged(last)).alias(name) for name, last in parts.items()],
+            ((F.col(weight) + lagged(weight)) * 0.5).alias(f"w{order}"),
         )
-
-    return difference(difference(level, 1), 2)
+    return by_model(level, models, ("yhat", "p0", "p1", "p2"))
 
 
 def shape_terms(spec: PanelSpec) -> dict[str, Column]:
@@ -63,24 +77,25 @@ def with_total(losses: DataFrame, spec: PanelSpec) -> DataFrame:
     return losses.withColumn("total_loss", F.col("base_loss") + shape)
 
 
-def shape_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
+def shape_loss(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpec,
+               space: str | None = None) -> DataFrame:
     """Level, slope and curvature loss per group, and their weighted total."""
-    terms = with_differences(rows, spec, space).groupBy(*by)
+    terms = with_differences(rows, models, spec, space).groupBy(*by)
     return with_total(terms.agg(*[c.alias(name) for name, c in shape_terms(spec).items()]), spec)
 
 
-def level_loss(rows: DataFrame, by: list[str], spec: PanelSpec, space: str) -> DataFrame:
+def level_loss(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpec, space: str) -> DataFrame:
     """The level term alone, without the sort that differences need."""
     error = in_space("yhat", spec, space) - in_space("y", spec, space)
-    return rows.groupBy(*by).agg(weighted_mse(error, F.col("w")).alias("base_loss"))
+    return by_model(rows, models).groupBy(*by).agg(weighted_mse(error, F.col("w")).alias("base_loss"))
 
 
-def mean_batch_loss(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame:
+def mean_batch_loss(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpec) -> DataFrame:
     """Means over batches of the total loss and of the level loss in transformed space.
 
     Rows carry ``batch_id``; both means come from one pass over them.
     """
-    batches = with_differences(rows, spec).groupBy(*by, "batch_id").agg(
+    batches = with_differences(rows, models, spec).groupBy(*by, "batch_id").agg(
         *[c.alias(name) for name, c in shape_terms(spec).items()],
         weighted_mse(F.col("yhat") - F.col("y"), F.col("w")).alias("level_loss"),
     )

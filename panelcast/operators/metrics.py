@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelcast.functions import targets
-from panelcast.operators.losses import weighted_mse
+from panelcast.operators.losses import by_model, weighted_mse
 from panelcast.spec import METRIC_EPS, PanelSpec
 
 
@@ -35,7 +35,7 @@ def error_terms(p: Column, t: Column, spec: PanelSpec) -> dict[str, Column]:
     }
 
 
-def metrics_record(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame:
+def metrics_record(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpec) -> DataFrame:
     """mse, rmse, mae, r2, smape, bias, log_likelihood, mape and the mean batch loss per group.
 
     Rows carry ``batch_id``. Sums are taken per batch and rolled up, so the rows are read once for
@@ -45,7 +45,7 @@ def metrics_record(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame
     p, t = targets.inverse(F.col("yhat"), spec), targets.inverse(F.col("y"), spec)
     terms = error_terms(F.col("p"), F.col("t"), spec)
     batches = (
-        rows.select(*by, "batch_id", "y", "yhat", "w", p.alias("p"), t.alias("t"))
+        by_model(rows, models).select(*by, "batch_id", "y", "yhat", "w", p.alias("p"), t.alias("t"))
         .groupBy(*by, "batch_id")
         .agg(
             F.count("*").alias("n"),
@@ -87,7 +87,12 @@ def metrics_record(rows: DataFrame, by: list[str], spec: PanelSpec) -> DataFrame
 
 
 def compare_models(records: DataFrame, models: list[str]) -> DataFrame:
-    """One row per metric, one column per model; a model without a record gives nulls."""
+    """One row per metric, one column per model; a model without a record gives nulls.
+
+    Two records of one model are an error, found when the table is read.
+    """
     names = ["mse", "rmse", "mae", "r2"]
     long = records.unpivot(["model"], names, "metric", "value")
-    return long.groupBy("metric").pivot("model", models).agg(F.first("value"))
+    once = F.when(F.count(F.lit(1)) <= 1, F.max("value")).otherwise(
+        F.raise_error(F.lit("two records of one model")).cast("double"))
+    return long.groupBy("metric").pivot("model", models).agg(once)

@@ -16,12 +16,7 @@ def running_total(df: DataFrame, order: list[str], weight: Column, before: str,
     of the order. Slices are summed, the running sum over slices is taken on one row per slice, and
     each slice finishes its own rows. The slice table has at most one row per shuffle partition.
     """
-    placed = stage(
-        df.withColumn("_weight", weight.cast("bigint"))
-        .repartitionByRange(*order)
-        .withColumn("_slice", F.spark_partition_id()),
-        "ordered",
-    )
+    placed = _sliced(df, order, weight)
     slices = placed.groupBy("_slice").agg(F.sum("_weight").alias("_size"))
     earlier = Window.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = slices.select(
@@ -29,20 +24,36 @@ def running_total(df: DataFrame, order: list[str], weight: Column, before: str,
         F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_slice_before"),
         F.sum("_size").over(Window.partitionBy()).alias("_total"),
     )
-    within = Window.partitionBy("_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = placed.join(F.broadcast(slices), "_slice").withColumn(
-        before,
-        F.col("_slice_before") + F.coalesce(F.sum("_weight").over(within), F.lit(0)),
-    )
+    out = _finished(placed.join(F.broadcast(slices), "_slice"), ["_slice"], order, before)
     if total is not None:
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_slice", "_weight", "_slice_before", "_total")
 
 
 def total_within(df: DataFrame, group: str, order: list[str], weight: Column, before: str) -> DataFrame:
-    """The same running total, started anew in each group; a group of any size spans many tasks."""
-    placed = running_total(df, [group, *order], weight, "_before")
-    starts = placed.groupBy(group).agg(F.min("_before").alias("_group_before"))
-    return placed.join(starts, group).withColumn(
-        before, F.col("_before") - F.col("_group_before")
-    ).drop("_before", "_group_before")
+    """The same running total, started anew in each group; a group of any size spans many slices.
+
+    The table of sums has a row per slice and group that meet: slices and groups together at most.
+    """
+    placed = _sliced(df, [group, *order], weight)
+    earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    slices = placed.groupBy("_slice", group).agg(F.sum("_weight").alias("_size")).select(
+        "_slice", group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_slice_before")
+    )
+    out = _finished(placed.join(slices, ["_slice", group]), ["_slice", group], order, before)
+    return out.drop("_slice", "_weight", "_slice_before")
+
+
+def _sliced(df: DataFrame, order: list[str], weight: Column) -> DataFrame:
+    """Rows with the number of their range partition, written once so that it cannot change."""
+    return stage(
+        df.withColumn("_weight", weight.cast("bigint"))
+        .repartitionByRange(*order)
+        .withColumn("_slice", F.spark_partition_id()),
+        "ordered",
+    )
+
+
+def _finished(rows: DataFrame, within: list[str], order: list[str], before: str) -> DataFrame:
+    earlier = Window.partitionBy(*within).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn(before, F.col("_slice_before") + F.coalesce(F.sum("_weight").over(earlier), F.lit(0)))

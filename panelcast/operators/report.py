@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelcast.functions import targets
+from panelcast.operators.losses import forecast_of
 from panelcast.operators.outline import one_per_series
 from panelcast.operators.sampling import seeded_order
 from panelcast.operators.split import distinct_params
@@ -46,19 +48,15 @@ def test_series(outline: DataFrame, spec: PanelSpec) -> DataFrame:
     return one_per_series(outline).filter(F.col("split") == "test").select(*spec.pair)
 
 
-def actual_vs_predicted(predictions: DataFrame, models: list[str], spec: PanelSpec) -> DataFrame:
-    """One row per (series, step) with the truth and a ``<model>_prediction`` column per model.
+def actual_vs_predicted(rows: DataFrame, models: list[str], spec: PanelSpec) -> DataFrame:
+    """One row per (series, step) with the truth and a ``<model>_prediction`` column per model; a projection.
 
-    ``predictions`` are natural-space rows; rates are shown by day, prevalence by step.
+    Values are in natural space; rates are shown by day, prevalence by step.
     """
-    shown = "abs_timesteps" if spec.is_rate else "timesteps"
-    truth = f"true_{spec.target}"
-    columns = [
-        F.max(F.when(F.col("model") == m, F.col("prediction"))).alias(f"{m}_prediction") for m in models
-    ]
-    return (
-        predictions.withColumn("is_test", F.col("split") == "test")
-        .groupBy(*spec.unit, "is_test", "timesteps", "abs_timesteps")
-        .agg(F.first("truth").alias(truth), *columns)
-        .select(*spec.unit, "is_test", F.col(shown).alias("timestep"), truth, *[f"{m}_prediction" for m in models])
+    return rows.select(
+        *spec.unit,
+        (F.col("split") == "test").alias("is_test"),
+        F.col("abs_timesteps" if spec.is_rate else "timesteps").alias("timestep"),
+        targets.inverse(F.col("y"), spec).alias(f"true_{spec.target}"),
+        *[targets.inverse(F.col(forecast_of(m)), spec).alias(f"{m}_prediction") for m in models],
     )

@@ -26,11 +26,14 @@ def starts_between(first: Column, last: Column, step: Column) -> Column:
     )
 
 
-def window_starts(outline: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Start of every look-back window, made chunk by chunk from series lengths alone."""
+def window_starts(outline: DataFrame, spec: PanelSpec, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Start of every look-back window, made chunk by chunk from series lengths alone.
+
+    ``carry`` names outline columns that the windows keep.
+    """
     last = F.least(F.col("valid_before") + F.col("n_valid"), F.col("valid_length") - spec.lookback + 1) - 1
     starts = starts_between(F.col("valid_before"), last, stride(spec).cast("bigint"))
-    return outline.select(*spec.pair, "split", F.explode(starts).alias("start"))
+    return outline.select(*spec.pair, "split", *carry, F.explode(starts).alias("start"))
 
 
 def window_arrays(features: DataFrame, spec: PanelSpec) -> DataFrame:
@@ -86,8 +89,9 @@ def coverage(spec: PanelSpec) -> Column:
     return F.when(last >= 0, F.greatest(count, F.lit(0))).otherwise(F.lit(0)).cast("double")
 
 
-def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Column | None = None) -> DataFrame:
-    """Add ``windows_before``: windows of the same split in series with a smaller key.
+def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Column | None = None,
+                   name: str = "windows_before") -> DataFrame:
+    """Add ``windows_before``, or ``name``: windows of the same split in series with a smaller key.
 
     Windows are ordered by (parameter, simulation, start). Only series lengths are ranked, so no
     window is made to number it.
@@ -98,8 +102,8 @@ def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Colum
             F.lit(0), F.floor((length - spec.lookback) / stride(spec)) + 1
         )
     series = one_per_series(outline).select(*spec.pair, "split", starts_per_series.alias("_windows"))
-    bases = total_within(series, "split", spec.pair, F.col("_windows"), "windows_before")
-    return outline.join(bases.select(*spec.pair, "windows_before"), spec.pair)
+    bases = total_within(series, "split", spec.pair, F.col("_windows"), name)
+    return outline.join(bases.select(*spec.pair, name), spec.pair)
 
 
 def evaluation_windows(spec: PanelSpec) -> Column:
@@ -107,7 +111,13 @@ def evaluation_windows(spec: PanelSpec) -> Column:
     return F.floor(F.col("valid_length") / spec.lookback)
 
 
-def batch_of(start: Column, step: Column | int, spec: PanelSpec) -> Column:
+def batch_of(start: Column, step: Column | int, spec: PanelSpec, before: str = "windows_before") -> Column:
     """Batch number of a window: consecutive windows in groups of the batch size."""
-    ordinal = F.col("windows_before") + F.floor(start / step)
+    ordinal = F.col(before) + F.floor(start / step)
     return F.floor(ordinal / spec.batch_size).cast("bigint")
+
+
+def batched_steps(rows: DataFrame, spec: PanelSpec, before: str = "windows_before") -> DataFrame:
+    """Steps of complete non-overlapping windows with their window's start and batch number; no shuffle."""
+    scored = scored_steps(rows, spec)
+    return scored.withColumn("batch_id", batch_of(F.col("start"), spec.lookback, spec, before))

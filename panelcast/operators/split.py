@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.operators.ordinals import running_total
 from panelcast.operators.outline import one_per_series
 from panelcast.operators.sampling import seeded_order
 from panelcast.spec import SPLITS, TRAIN_SHARE, VALIDATE_SHARE, PanelSpec
@@ -16,11 +15,24 @@ def distinct_params(series: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def split_params(series: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Label each parameter by its rank in a seeded shuffle: 70 %, 15 %, and the rest."""
+    """Label each parameter by its rank in a seeded shuffle: 70 %, 15 %, and the rest.
+
+    The order is a digest in hex, so its leading digits cut it into 4,096 even buckets: what lies before a
+    bucket comes from the buckets' counts, and a parameter is ranked within its bucket.
+    """
     shuffled = distinct_params(series, spec).withColumn(
         "_order", seeded_order(spec, spec.param, salt="split")
+    ).withColumn("_bucket", F.substring("_order", 1, 3))
+    counts = shuffled.groupBy("_bucket").agg(F.count("*").alias("_size"))
+    earlier = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        "_bucket",
+        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_before"),
+        F.sum("_size").over(Window.partitionBy()).alias("_count"),
     )
-    ranked = running_total(shuffled, ["_order", spec.param], F.lit(1), "_rank", "_count")
+    in_bucket = F.row_number().over(Window.partitionBy("_bucket").orderBy("_order", spec.param))
+    # at most 4,096 rows
+    ranked = shuffled.join(F.broadcast(counts), "_bucket").withColumn("_rank", F.col("_before") + in_bucket - 1)
     n_train = F.floor(F.lit(TRAIN_SHARE) * F.col("_count"))
     n_validate = F.floor(F.lit(VALIDATE_SHARE) * F.col("_count"))
     label = (
@@ -56,12 +68,16 @@ def split_overlap(split: DataFrame, spec: PanelSpec) -> DataFrame:
     )
 
 
+def overlap_examples(split: DataFrame, spec: PanelSpec, count: int = 5) -> DataFrame:
+    """The first few series, by key, that are in more than one split."""
+    return split_overlap(split, spec).select(*spec.pair).orderBy(*spec.pair).limit(count)
+
+
 def verify_split(split: DataFrame, spec: PanelSpec) -> None:
     """Raise if any series is in two splits; the message shows up to five of them."""
-    shared = split_overlap(split, spec)
-    examples = [(r[0], r[1]) for r in shared.select(*spec.pair).limit(5).collect()]
+    examples = [(r[0], r[1]) for r in overlap_examples(split, spec).collect()]
     if examples:
-        raise ValueError(f"{shared.count()} series are in more than one split, such as {examples}")
+        raise ValueError(f"{split_overlap(split, spec).count()} series are in more than one split, such as {examples}")
 
 
 def split_sizes(split: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 import random
 import time
 from concurrent.futures import ThreadPoolExecutor
@@ -13,21 +14,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators import forecast, losses, sequences
+from panelcast.operators import forecast, sequences
 from panelcast.spec import PanelSpec
 
 log = logging.getLogger(__name__)
 
-# Look-back lengths to search, learning rate and weight decay ranges.
+# Look-back lengths to search and the weight decay range.
 LOOKBACKS = (13, 26, 52, 78)
-LEARNING_RATES = (1e-5, 1e-2)
 WEIGHT_DECAYS = (1e-6, 1e-1)
+#: Boosting takes far larger steps than a gradient descent does.
+STEP_SIZES = (1e-2, 3e-1)
 
 TRIAL_SCHEMA = T.StructType([
     T.StructField("trial_number", T.LongType()),
     T.StructField("model_type", T.StringType()),
     T.StructField("hyperparameters", T.MapType(T.StringType(), T.DoubleType())),
     T.StructField("best_val_loss", T.DoubleType()),
+    T.StructField("best_epoch", T.LongType()),
     T.StructField("state", T.StringType()),
 ])
 
@@ -53,7 +56,7 @@ def candidates(family: str, count: int, spec: PanelSpec, lookbacks: tuple[int, .
             params = {"regParam": log_uniform(*WEIGHT_DECAYS), "elasticNetParam": draw.random()}
         else:
             params = {
-                "stepSize": min(1.0, 30 * log_uniform(*LEARNING_RATES)),
+                "stepSize": log_uniform(*STEP_SIZES),
                 "maxDepth": draw.randint(2, 5),
                 "maxIter": draw.choice((5, 10, 20)),
                 "subsamplingRate": 1.0 - 0.5 * draw.random(),
@@ -63,36 +66,48 @@ def candidates(family: str, count: int, spec: PanelSpec, lookbacks: tuple[int, .
     return found
 
 
-def validation_loss(model, name: str, features: DataFrame, spec: PanelSpec) -> float:
-    """Total loss of a fitted model over the validation windows."""
-    rows = features.filter(F.col("split") == "validate")
-    scored = sequences.scored_steps(forecast.predict(model, name, rows, spec), spec)
-    loss = losses.shape_loss(scored, ["model"], spec).select("total_loss").first()
-    if loss is None:
+def validation_history(model, batched: DataFrame, candidate: Candidate, spec: PanelSpec) -> list[tuple[int, float]]:
+    """Epoch and mean batch loss on the validation windows, one row per round; losses that are no numbers are inf."""
+    rows = forecast.history(model, candidate.family, batched.filter(F.col("split") == "validate"), spec)
+    found = [(r["epoch"], r["val_loss"]) for r in rows.select("epoch", "val_loss").collect()]
+    if not found:
         raise ValueError(f"no validation series reaches the look-back length {spec.lookback}")
-    return float(loss[0])
+    return [(epoch, loss if loss is not None and math.isfinite(loss) else math.inf) for epoch, loss in found]
 
 
 def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tuple:
-    """Fit on train, score on validate; a failing candidate scores infinity."""
+    """Fit on train, score on validate; a failing candidate, or one without a finite loss, scores infinity.
+
+    The loss is the mean over validation batches after the best round, and that round is ``best_epoch``.
+    ``features`` carries ``evaluation_windows_before`` for each look-back, see ``with_window_numbers``.
+    """
     spec = spec.with_(lookback=candidate.lookback)
     shown = {**{k: float(v) for k, v in candidate.params.items()}, "lookback": float(candidate.lookback)}
+    loss, epoch, state = math.inf, None, "FAIL"
     try:
         model = forecast.fit(candidate.family, features, spec, **candidate.params)
-        loss, state = validation_loss(model, candidate.family, features, spec), "COMPLETE"
+        batched = sequences.batched_steps(features, spec, numbered(candidate.lookback))
+        epoch, loss = min(validation_history(model, batched, candidate, spec), key=lambda r: (r[1], r[0]))
+        state = "COMPLETE" if math.isfinite(loss) else "FAIL"
     except (ValueError, RuntimeError, PySparkException) as error:
         log.error("trial %s of %s failed: %s", candidate.number, candidate.family, error)
-        loss, state = float("inf"), "FAIL"
-    return (candidate.number, candidate.family, shown, loss, state)
+    return (candidate.number, candidate.family, shown, loss, epoch if state == "COMPLETE" else None, state)
+
+
+def numbered(lookback: int) -> str:
+    """Name of the column with the number of earlier evaluation windows at this look-back."""
+    return f"windows_before_{lookback}"
 
 
 def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tuple(forecast.FAMILIES),
            trials: int = 32, parallel_trials: int = 1, timeout: float | None = None,
-           lookbacks: tuple[int, ...] = LOOKBACKS) -> DataFrame:
+           lookbacks: tuple[int, ...] = LOOKBACKS,
+           chosen: dict[str, list[Candidate]] | None = None) -> DataFrame:
     """Trial table over all families; ``features`` is a staged table, since every trial reads it.
 
-    Each family gets an equal part of the timeout; once it is used up no further trial starts. Set
-    ``spark.scheduler.mode=FAIR`` to let parallel trials share executors evenly.
+    Each family gets an equal part of the timeout; once it is used up no further trial starts, and those
+    left are recorded as ``SKIPPED``. Set ``spark.scheduler.mode=FAIR`` to let parallel trials share executors
+    evenly. ``chosen`` replaces the random candidates of a family.
     """
     results = []
     for family in families:
@@ -100,10 +115,11 @@ def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tup
 
         def attempt(candidate: Candidate):
             if deadline is not None and time.monotonic() > deadline:
-                return None
+                shown = {k: float(v) for k, v in candidate.params.items()} | {"lookback": float(candidate.lookback)}
+                return (candidate.number, candidate.family, shown, math.inf, None, "SKIPPED")
             return run_trial(candidate, features, spec)
 
+        drawn = (chosen or {}).get(family) or candidates(family, trials, spec, lookbacks)
         with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
-            done = pool.map(attempt, candidates(family, trials, spec, lookbacks))
-            results += [r for r in done if r is not None]
+            results += pool.map(attempt, drawn)
     return features.sparkSession.createDataFrame(results, TRIAL_SCHEMA)

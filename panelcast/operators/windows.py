@@ -86,10 +86,12 @@ def is_finite(column: str | Column) -> Column:
 def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     """Rank rows inside chunks of consecutive windows, so that a long series is spread over tasks.
 
-    ``in_chunk`` counts all rows from 1, ``valid_in_chunk`` those with a finite target.
+    ``in_chunk`` counts all rows from 1, ``valid_in_chunk`` those with a finite target, and ``previous_y`` is
+    the last finite target before the row in its chunk.
     """
     order = Window.partitionBy(*spec.pair, "chunk").orderBy("group_id", spec.global_id)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     placed = windows.withColumns({
         "chunk": F.floor(F.col("group_id") / spec.chunk).cast("bigint"),
         "is_valid": is_finite(spec.target),
@@ -98,6 +100,7 @@ def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
         "*",
         F.row_number().over(order).cast("bigint").alias("in_chunk"),
         F.sum(F.col("is_valid").cast("bigint")).over(so_far).alias("valid_in_chunk"),
+        F.last(F.when(F.col("is_valid"), F.col(spec.target)), ignorenulls=True).over(earlier).alias("previous_y"),
     )
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from panelcast.operators.baselines import SEASON_DAYS
+from panelcast.operators.tuning import LOOKBACKS
 from panelcast.plans.queries import CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE, SAMPLED_SPEC
 from panelcast.spec import DAYS_PER_YEAR, METRIC_EPS, PanelSpec
 
@@ -281,6 +282,52 @@ def compare_sql() -> str:
     })
 
 
+def fit_steps(spec: PanelSpec) -> dict[str, str]:
+    """Weighted least squares on the training steps: normal equations, one elimination a step, coefficients."""
+    x = ["1.0::DOUBLE", *spec.feature_columns]
+    n, stride = len(x), spec.train_stride
+    first, last = f"greatest(0, position - {spec.lookback} + 1)", f"least(position, n_steps - {spec.lookback})"
+    held = f"CASE WHEN {last} < 0 THEN 0 ELSE greatest(0, floor({last} / {stride}.0) - ceil({first} / {stride}.0) + 1) END"
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    sums = ", ".join(f"sum(fw * {x[i]} * {(*x, 'y')[j]}) AS a_{i}_{j}" for i, j in cells)
+    steps = {
+        "fit_rows": f"SELECT *, w * ({held}) AS fw FROM feat WHERE split = 'train'",
+        "step_0": f"SELECT {sums} FROM fit_rows",
+    }
+    for k in range(n):
+        rest = (f"a_{i}_{j} - a_{i}_{k} / a_{k}_{k} * a_{k}_{j}" if i != k else f"a_{i}_{j}" for i, j in cells)
+        named = ", ".join(f"{e} AS a_{i}_{j}" for e, (i, j) in zip(rest, cells))
+        steps[f"step_{k + 1}"] = f"SELECT {named} FROM step_{k}"
+    steps["beta"] = "SELECT " + ", ".join(f"a_{i}_{n} / a_{i}_{i} AS b_{i}" for i in range(n)) + f" FROM step_{n}"
+    value = " + ".join(f"b_{i} * {x[i]}" for i in range(n))
+    steps["predicted"] = f"SELECT feat.*, 'linear' AS model, {value} AS yhat FROM feat, beta"
+    return steps
+
+
+def fitted_sql(body: str, spec: PanelSpec, after: tuple[str, ...] = ()) -> str:
+    """The chain up to features, the fit in place of the baselines, and further steps of the chain."""
+    steps = chain(spec)
+    names = list(steps)
+    wanted = {name: steps[name] for name in names[: names.index("feat") + 1]} | fit_steps(spec)
+    wanted |= {name: steps[name] for name in after}
+    return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({t})" for n, t in wanted.items()) + "\n" + body
+
+
+def tune_sql() -> str:
+    parts = []
+    for number, lookback in enumerate(LOOKBACKS):
+        spec = PREVALENCE.with_(lookback=lookback)
+        loss = f"SELECT avg(total_loss) AS loss FROM ({losses('split, batch_id', spec)}) WHERE split = 'validate'"
+        inner = fitted_sql(loss, spec, ("bases", "scored", "d1", "d2"))
+        parts.append(f"SELECT {number} AS trial_number, {lookback} AS lookback, loss FROM ({inner})")
+    return f"""
+        SELECT trial_number::BIGINT AS trial_number, lookback::BIGINT AS lookback, round(coalesce(loss, 'inf'::DOUBLE), 6) AS best_val_loss,
+               CASE WHEN loss IS NOT NULL THEN 1::BIGINT END AS best_epoch,
+               CASE WHEN loss IS NOT NULL THEN 'COMPLETE' ELSE 'FAIL' END AS state,
+               row_number() OVER (ORDER BY coalesce(loss, 'inf'::DOUBLE), trial_number) AS rank
+        FROM ({" UNION ALL ".join(parts)})"""
+
+
 def window_sql(spec: PanelSpec, shown: str) -> str:
     return sql(f"SELECT {KEY}, global_index, group_id, abs_timesteps, {shown}, {STATICS} "
                "FROM win WHERE target IS NOT NULL", spec, "win")
@@ -411,4 +458,34 @@ ORACLE: dict[str, str] = {
         f"SELECT {PREDICTED} FROM forecasts SEMI JOIN chosen USING ({KEY})",
         upto="forecasts", extra={"shown": SHOWN, "chosen": CHOSEN},
     ),
+    "fit_score_linear": fitted_sql(
+        f"SELECT {KEY}, split, timesteps, abs_timesteps, {r(natural('y', PREVALENCE), 'truth')}, "
+        f"{r(natural('yhat', PREVALENCE), 'prediction')} FROM predicted",
+        PREVALENCE,
+    ),
+    "tune_linear": tune_sql(),
+    "saved_split": sql(f"SELECT {KEY}, global_index, split FROM series", upto="series"),
+    "reused_split": sql(f"SELECT {KEY}, global_index, split FROM series WHERE split <> 'test'", upto="series"),
+    "split_examples": sql(f"SELECT {KEY} FROM series WHERE split = 'test' ORDER BY {KEY} LIMIT 5", upto="series"),
+    "saved_scaler": sql(
+        "SELECT " + ", ".join(r(f"{s}_{c}") for c in PREVALENCE.statics for s in ("mean", "std")) + " FROM scaler",
+        upto="scaler",
+    ),
+    "saved_metrics": " UNION ALL ".join(
+        f"""SELECT '{spec.mode}' AS mode, model, n, mse, rmse, mae, r2, smape, bias, avg_loss_transformed,
+                   {"mape, NULL::DOUBLE" if spec.is_rate else "NULL::DOUBLE AS mape, log_likelihood"} AS log_likelihood
+            FROM ({metric_sql(spec)}) WHERE split = 'test'"""
+        for spec in (PREVALENCE, CASES)
+    ).replace("log_likelihood AS log_likelihood", "log_likelihood"),
+    "saved_history": f"SELECT 'user' AS model, run AS trial, epoch, val_loss * 2 AS train_loss, val_loss FROM ({HISTORY})",
+    "saved_trials": f"""SELECT model_type, trial_number, best_val_loss, n_events AS best_epoch, 'COMPLETE' AS state,
+                               n_events::DOUBLE AS lookback FROM ({TRIALS})""",
+    "best_params": f"""
+        SELECT m.model_type, CASE WHEN b.model_type IS NOT NULL THEN 'loaded' ELSE 'default' END AS source,
+               coalesce(round(best_val_loss / 1000.0, 9), {DEFAULT_PARAMETERS["learning_rate"]}::DOUBLE) AS learning_rate,
+               CAST(coalesce(n_events, {DEFAULT_PARAMETERS["lookback"]}) AS BIGINT) AS lookback
+        FROM (SELECT DISTINCT event_type AS model_type FROM events) m
+        LEFT JOIN (SELECT * FROM ({RANKED}) WHERE rank = 1 AND model_type IN ('click', 'view')) b
+          ON m.model_type = b.model_type""",
+    "saved_report": sql(f"SELECT {PREDICTED} FROM forecasts", upto="forecasts"),
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
+from pyspark.ml import Model
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,63 +45,90 @@ def kept_outline(rows: DataFrame, spec: PanelSpec, statics: DataFrame | None = N
     return stage(outline.above_threshold(series, spec), "outline")
 
 
-def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = None) -> DataFrame:
-    """Add the split: from the saved table if it exists, else a new one, which is then saved."""
+def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = None,
+                  reuse_split: bool = False) -> DataFrame:
+    """Add the split: the saved one if ``reuse_split`` asks for it and it is there, else a new one.
+
+    A new split is saved over what ``saved_split`` held. A folder whose writing never ended is not reused.
+    """
     spark = kept.sparkSession
-    if saved_split is not None and records.exists(spark, saved_split):
+    if reuse_split and saved_split is not None and records.is_complete(spark, saved_split):
         saved = split.restrict_split(records.read_split(spark, saved_split, spec), kept, spec)
         split.verify_split(saved, spec)
         return kept.join(saved.select(*spec.pair, "split").distinct(), spec.pair)
     labelled = split.split_series(kept, split.split_params(kept, spec), spec)
     if saved_split is not None:
-        labelled = stage(labelled, "labelled")
         records.write_split(split.split_table(labelled, spec), saved_split, spec)
     return labelled
 
 
-def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None,
-            saved_split: str | None = None, population: DataFrame | None = None) -> Panel:
-    """Sample, aggregate, threshold, split and fit the scaler."""
+def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None, saved_split: str | None = None,
+            population: DataFrame | None = None, reuse_split: bool = False) -> Panel:
+    """Sample, aggregate, threshold, split and fit the scaler. Window rows and the outline are staged."""
     rows = windows.stage_windows(facts, spec, population)
-    labelled = stage(label_outline(kept_outline(rows, spec, statics), spec, saved_split), "series")
+    labelled = label_outline(kept_outline(rows, spec, statics), spec, saved_split, reuse_split)
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
 
-def report_table(panel: Panel, predictions: DataFrame, models: list[str]) -> DataFrame:
-    """Actual against predicted for one series of each of up to nine test parameters."""
+def baseline_rows(panel: Panel, shown: Panel | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Steps with both baselines' forecasts: of the whole panel, or of the part ``shown``.
+
+    Seasons are always learned from the whole panel.
+    """
+    inputs = panel.spec.feature_columns
+    every = panel.features().drop(*inputs)
+    rows = (shown or panel).features(("previous_y", "y_before", *carry)).drop(*inputs)
+    return baselines.predict_baselines(rows, panel.spec, every)
+
+
+def shown_series(panel: Panel) -> DataFrame:
+    """One series of each of up to nine test parameters."""
     spec = panel.spec
-    chosen = report.report_series(
+    return report.report_series(
         panel.windows, report.test_series(panel.outline, spec), report.report_params(panel.outline, spec), spec
     )
+
+
+def report_table(panel: Panel, forecasts: Callable[[Panel], DataFrame], models: list[str]) -> DataFrame:
+    """Actual against predicted for the shown series; only their rows are ever joined or forecast."""
+    spec = panel.spec
     # one row per shown parameter, so at most nine
-    shown = predictions.join(F.broadcast(chosen.select(*spec.pair)), spec.pair, "left_semi")
-    return report.actual_vs_predicted(shown, models, spec)
+    chosen = F.broadcast(shown_series(panel).select(*spec.pair))
+    part = replace(
+        panel,
+        windows=panel.windows.join(chosen, spec.pair, "left_semi"),
+        outline=panel.outline.join(chosen, spec.pair, "left_semi"),
+    )
+    return report.actual_vs_predicted(forecasts(part), models, spec)
 
 
 def evaluation_rows(panel: Panel) -> DataFrame:
-    """Baseline predictions over complete non-overlapping windows, with batch numbers."""
-    features = panel.with_batches().features(("y_before", "windows_before"))
-    rows = stage(features.drop(*panel.spec.feature_columns), "targets")
-    return batched(baselines.predict_baselines(rows, panel.spec), panel.spec)
+    """Baseline forecasts over complete non-overlapping windows, with batch numbers."""
+    rows = baseline_rows(panel, panel.with_batches(), ("windows_before",))
+    return sequences.batched_steps(rows, panel.spec)
 
 
-def batched(rows: DataFrame, spec: PanelSpec) -> DataFrame:
-    scored = sequences.scored_steps(rows, spec)
-    return scored.withColumn("batch_id", sequences.batch_of(F.col("start"), spec.lookback, spec))
+def features_with_windows(panel: Panel, lookbacks: tuple[int, ...]) -> DataFrame:
+    """Features that also know, for each look-back, where their series' evaluation windows begin."""
+    numbered = panel.outline
+    for lookback in dict.fromkeys(lookbacks):
+        own = panel.spec.with_(lookback=lookback)
+        numbered = sequences.number_windows(
+            numbered, own, sequences.evaluation_windows(own), tuning.numbered(lookback)
+        )
+    return replace(panel, outline=numbered).features(tuple(tuning.numbered(n) for n in dict.fromkeys(lookbacks)))
 
 
-def fit_and_score(features: DataFrame, spec: PanelSpec, parameters: dict[str, dict[str, float]]) -> DataFrame:
-    """Fit each family with its parameters and score all steps of the staged feature table.
+def fit_models(features: DataFrame, spec: PanelSpec, parameters: dict[str, dict[str, float]]) -> dict[str, Model]:
+    """Fit each family with its parameters on the staged feature table.
 
     A ``lookback`` among the parameters replaces the panel's, as it decides the training windows.
     """
-    scored = None
+    models = {}
     for family, chosen in parameters.items():
         own = spec.with_(lookback=int(chosen.get("lookback", spec.lookback)))
-        model = forecast.fit(family, features, own, **{k: v for k, v in chosen.items() if k != "lookback"})
-        part = forecast.predict(model, family, features, own)
-        scored = part if scored is None else scored.unionByName(part)
-    return scored
+        models[family] = forecast.fit(family, features, own, **{k: v for k, v in chosen.items() if k != "lookback"})
+    return models
 
 
 def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeout: float | None = None,
@@ -110,21 +139,19 @@ def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeou
     family whose trials all failed is fitted with its defaults.
     """
     spec = panel.spec
-    features = stage(panel.features(), "features")
+    features = stage(features_with_windows(panel, (*lookbacks, spec.lookback)), "features")
     found = tuning.search(features, spec, trials=trials, parallel_trials=parallel_trials, timeout=timeout,
                           lookbacks=lookbacks)
     chosen = {family: {} for family in forecast.FAMILIES}
     for row in best_trial(found).filter(F.col("state") == "COMPLETE").collect():
         chosen[row.model_type] = row.hyperparameters
-    scored = stage(fit_and_score(features, spec, chosen), "scored")
+    scored = stage(forecast.predict(fit_models(features, spec, chosen), features, spec), "scored")
 
     records_ = None
     for family, parameters in chosen.items():
         own = spec.with_(lookback=int(parameters.get("lookback", spec.lookback)))
-        bases = replace(panel, spec=own).with_batches().outline.select(*spec.pair, "chunk", "windows_before")
-        test = scored.filter((F.col("split") == "test") & (F.col("model") == family))
-        rows = batched(test.join(bases, [*spec.pair, "chunk"]), own)
-        part = metrics.metrics_record(rows, ["model"], own)
+        rows = sequences.batched_steps(scored.filter("split = 'test'"), own, tuning.numbered(own.lookback))
+        part = metrics.metrics_record(rows, [family], ["model"], own)
         records_ = part if records_ is None else records_.unionByName(part)
-    table = report.actual_vs_predicted(forecast.natural_predictions(scored, spec), list(chosen), spec)
+    table = report.actual_vs_predicted(scored, list(chosen), spec)
     return found, records_, table

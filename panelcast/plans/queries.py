@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,14 +14,17 @@ from panelcast.operators import (
     tuning, windows,
 )
 from panelcast.plans import pipeline
+from panelcast.sources import records
 from panelcast.sources.lineitem import LINEITEM_SPEC, SAMPLED_SPEC, lineitem_facts, supplier_statics
-from panelcast.sources.stage import stage
+from panelcast.sources.stage import stage, staging_folder
 from panelcast.spec import PanelSpec
 
 PREVALENCE = LINEITEM_SPEC
 CASES = LINEITEM_SPEC.with_(mode="cases", slope_weight=0.1, curvature_weight=0.05)
 KEYS = ["parameter_index", "simulation_index"]
 PARAM_LIMIT = 40
+#: Candidates per family that ``tune`` draws; a search of its own takes the library's default of 32.
+TRIALS = 4
 HISTORY_START = "2024-01-01"
 EVENT_COLUMNS = "ts timestamp_ntz, user_id bigint, event_type string, value double"
 DEFAULT_PARAMETERS = {"learning_rate": 0.001, "lookback": 30}
@@ -250,8 +254,7 @@ def window_rows(spark, d):
 
 def batch_ids(spark, d):
     series = sequences.number_windows(labelled(spark, d), PREVALENCE)
-    bases = outline.one_per_series(series).select(*KEYS, "windows_before")
-    starts = sequences.window_starts(series, PREVALENCE).join(bases, KEYS)
+    starts = sequences.window_starts(series, PREVALENCE, ("windows_before",))
     batch = sequences.batch_of(F.col("start"), sequences.stride(PREVALENCE), PREVALENCE)
     return starts.select(*KEYS, "split", "start", batch.alias("batch_id"))
 
@@ -268,14 +271,14 @@ def _scored(spark, d, spec):
 
 
 def diffs(spark, d):
-    rows = losses.with_differences(_scored(spark, d, CASES), CASES, "natural")
+    rows = losses.with_differences(_scored(spark, d, CASES), baselines.BASELINES, CASES, "natural")
     return round_doubles(rows.select("model", *KEYS, "start", "position", "p1", "t1", "w1", "p2", "t2", "w2"))
 
 
 def weighted_loss(spark, d):
     rows = _scored(spark, d, CASES)
     parts = [
-        losses.level_loss(rows, ["model", "split"], CASES, space).withColumn("loss_space", F.lit(space))
+        losses.level_loss(rows, baselines.BASELINES, ["model", "split"], CASES, space).withColumn("loss_space", F.lit(space))
         for space in ("natural", "transformed")
     ]
     return round_doubles(parts[0].unionByName(parts[1]))
@@ -283,27 +286,27 @@ def weighted_loss(spark, d):
 
 def shape_loss(spark, d):
     spec = PREVALENCE.with_(curvature_weight=0.02)
-    return round_doubles(losses.shape_loss(_scored(spark, d, spec), ["model", "split"], spec))
+    return round_doubles(losses.shape_loss(_scored(spark, d, spec), baselines.BASELINES, ["model", "split"], spec))
 
 
 def batch_loss(spark, d):
     rows = _scored(spark, d, CASES)
-    return round_doubles(losses.mean_batch_loss(rows, ["model", "split"], CASES))
+    return round_doubles(losses.mean_batch_loss(rows, baselines.BASELINES, ["model", "split"], CASES))
 
 
 def metrics_prevalence(spark, d):
     rows = _scored(spark, d, PREVALENCE)
-    return round_doubles(metrics.metrics_record(rows, ["model", "split"], PREVALENCE).drop("mape"))
+    return round_doubles(metrics.metrics_record(rows, baselines.BASELINES, ["model", "split"], PREVALENCE).drop("mape"))
 
 
 def metrics_rate(spark, d):
     rows = _scored(spark, d, CASES)
-    return round_doubles(metrics.metrics_record(rows, ["model", "split"], CASES).drop("log_likelihood"))
+    return round_doubles(metrics.metrics_record(rows, baselines.BASELINES, ["model", "split"], CASES).drop("log_likelihood"))
 
 
 def compare_models(spark, d):
     rows = _scored(spark, d, PREVALENCE).filter("split = 'test'")
-    records = metrics.metrics_record(rows, ["model"], PREVALENCE)
+    records = metrics.metrics_record(rows, baselines.BASELINES, ["model"], PREVALENCE)
     return round_doubles(metrics.compare_models(records, baselines.BASELINES))
 
 
@@ -393,46 +396,166 @@ def report_series(spark, d):
     return report.report_series(rows, report.test_series(series, PREVALENCE), chosen, PREVALENCE)
 
 
-def _predictions(prepared: pipeline.Panel) -> DataFrame:
-    rows = stage(prepared.features(("y_before",)).drop(*PREVALENCE.feature_columns), "targets")
-    return forecast.natural_predictions(baselines.predict_baselines(rows, PREVALENCE), PREVALENCE)
-
-
 def actual_vs_pred(spark, d):
     """All kept series, every step."""
-    natural = _predictions(panel(spark, d))
-    return round_doubles(report.actual_vs_predicted(natural, baselines.BASELINES, PREVALENCE))
+    rows = pipeline.baseline_rows(panel(spark, d))
+    return round_doubles(report.actual_vs_predicted(rows, baselines.BASELINES, PREVALENCE))
 
 
 def report_table(spark, d):
     """The series chosen for the report, every step."""
-    prepared = panel(spark, d)
-    return round_doubles(pipeline.report_table(prepared, _predictions(prepared), baselines.BASELINES))
+    whole = panel(spark, d)
+    rows = lambda part: pipeline.baseline_rows(whole, part)
+    return round_doubles(pipeline.report_table(whole, rows, baselines.BASELINES))
+
 
+# models
+
+def _features_for(spark, d, lookbacks=(PREVALENCE.lookback,)):
+    return stage(pipeline.features_with_windows(panel(spark, d), lookbacks), "features")
 
-# models; no SQL form
 
 def fit_score(spark, d):
-    """Fit both families on train and score every step of every kept series."""
-    rows = stage(panel(spark, d).features(), "features")
-    parameters = {"linear": {"regParam": 0.01}, "boosted": {"maxIter": 5, "seed": PREVALENCE.seed}}
-    scored = pipeline.fit_and_score(rows, PREVALENCE, parameters)
-    return forecast.natural_predictions(scored, PREVALENCE)
+    """Fit both families on train and score every step of every kept series; boosting has no SQL form."""
+    rows = _features_for(spark, d)
+    parameters = {"linear": {"regParam": 0.01}, "boosted": {"seed": PREVALENCE.seed}}
+    scored = forecast.predict(pipeline.fit_models(rows, PREVALENCE, parameters), rows, PREVALENCE)
+    return forecast.natural_predictions(scored, list(parameters), PREVALENCE)
+
+
+def fit_score_linear(spark, d):
+    """The linear family without a penalty, which has a closed form."""
+    rows = _features_for(spark, d)
+    models = pipeline.fit_models(rows, PREVALENCE, {"linear": {}})
+    scored = forecast.predict(models, rows, PREVALENCE)
+    return round_doubles(forecast.natural_predictions(scored, ["linear"], PREVALENCE).drop("model", "global_index"))
 
 
 def tune(spark, d):
-    """Two candidates per family, ranked by validation loss."""
-    rows = stage(panel(spark, d).features(), "features")
-    found = tuning.search(rows, PREVALENCE, trials=2, parallel_trials=2, lookbacks=(13, 26))
-    return runs.leaderboard(found).select("model_type", "trial_number", "best_val_loss", "state", "rank")
+    """Random candidates of both families over all look-backs, ranked by validation loss; no SQL form."""
+    rows = _features_for(spark, d, tuning.LOOKBACKS)
+    found = tuning.search(rows, PREVALENCE, trials=TRIALS, parallel_trials=2)
+    return runs.leaderboard(found).select("model_type", "trial_number", "best_val_loss", "best_epoch", "state", "rank")
+
+
+def tune_linear(spark, d):
+    """Every look-back with the linear family without a penalty; those that no series reaches score infinity."""
+    rows = _features_for(spark, d, tuning.LOOKBACKS)
+    chosen = [tuning.Candidate(k, "linear", n, {}) for k, n in enumerate(tuning.LOOKBACKS)]
+    found = tuning.search(rows, PREVALENCE, ("linear",), chosen={"linear": chosen})
+    return round_doubles(runs.leaderboard(found).select(
+        "trial_number", F.col("hyperparameters")["lookback"].cast("bigint").alias("lookback"),
+        "best_val_loss", "best_epoch", "state", "rank"))
 
 
 def training_history(spark, d):
-    """Boosting rounds as epochs, reported like any other run."""
-    rows = stage(panel(spark, d).features(), "features")
-    model = forecast.fit("boosted", rows, PREVALENCE, maxIter=5, seed=PREVALENCE.seed)
-    history = forecast.boosting_history(model, "boosted", rows, PREVALENCE)
-    return runs.patience_counter(history, ["model", "trial"])
+    """Rounds of both families as epochs, reported like any other run; boosting has no SQL form."""
+    rows = _features_for(spark, d)
+    models = pipeline.fit_models(rows, PREVALENCE, {"linear": {}, "boosted": {"seed": PREVALENCE.seed}})
+    batched = sequences.batched_steps(rows, PREVALENCE, tuning.numbered(PREVALENCE.lookback))
+    parts = [forecast.history(model, family, batched, PREVALENCE) for family, model in models.items()]
+    return runs.patience_counter(parts[0].unionByName(parts[1]), ["model", "trial"])
+
+
+# sinks: written twice below the staging folder, first with other content, then read back
+
+def saved_path(spark, name):
+    folder = staging_folder(spark) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
+def saved_split(spark, d):
+    path, table = saved_path(spark, "split"), split.split_table(labelled(spark, d), PREVALENCE)
+    records.write_split(table.withColumn("split", F.lit("train")), path, PREVALENCE)
+    records.write_split(table, path, PREVALENCE)
+    return records.read_split(spark, path, PREVALENCE)
+
+
+def reused_split(spark, d):
+    """A panel labelled anew by the split that an earlier run saved, of which the test part was lost."""
+    path, series = saved_path(spark, "split"), kept(spark, d)
+    first = pipeline.label_outline(series, PREVALENCE, path)
+    records.write_split(split.split_table(first, PREVALENCE).filter("split <> 'test'"), path, PREVALENCE)
+    again = pipeline.label_outline(series, PREVALENCE, path, reuse_split=True)
+    return split.split_table(again, PREVALENCE)
+
+
+def split_examples(spark, d):
+    table = split.split_table(labelled(spark, d), PREVALENCE)
+    doctored = table.unionByName(table.filter("split = 'test'").withColumn("split", F.lit("train")))
+    return split.overlap_examples(doctored, PREVALENCE)
+
+
+def saved_scaler(spark, d):
+    path, scaler = saved_path(spark, "scaler"), scale.fit_scaler(labelled(spark, d), PREVALENCE)
+    records.write_scaler(scaler.select(*[F.lit(0.0).alias(c) for c in scaler.columns]), path)
+    records.write_scaler(scaler, path)
+    return round_doubles(records.read_scaler(spark, path, PREVALENCE))
+
+
+def saved_metrics(spark, d):
+    """Both modes' records in one folder; those of the first are written again."""
+    path = saved_path(spark, "metrics")
+    for spec, factor in ((PREVALENCE, 2.0), (CASES, 1.0), (PREVALENCE, 1.0)):
+        rows = _scored(spark, d, spec).filter("split = 'test'")
+        found = metrics.metrics_record(rows, baselines.BASELINES, ["model"], spec)
+        records.write_metrics(found.withColumn("mse", F.col("mse") * factor), path, spec)
+    return round_doubles(records.read_metrics(spark, path))
+
+
+def saved_history(spark, d):
+    path, history = saved_path(spark, "history"), run_history(spark, d).select(
+        F.lit("user").alias("model"), F.col("run").alias("trial"), "epoch",
+        (F.col("val_loss") * 2).alias("train_loss"), "val_loss")
+    records.write_history(history.limit(1), path)
+    records.write_history(history, path)
+    return records.read_history(spark, path)
+
+
+def trial_records(spark, d):
+    """The trials as their saved form; the number of events stands for the look-back and the best epoch."""
+    n = F.col("n_events")
+    return trials(spark, d).select(
+        "trial_number", "model_type",
+        F.create_map(F.lit("lookback"), n.cast("double"), F.lit("learning_rate"),
+                     rounded(F.col("best_val_loss") / 1000.0, 9)).alias("hyperparameters"),
+        "best_val_loss", n.alias("best_epoch"), F.lit("COMPLETE").alias("state"))
+
+
+def saved_trials(spark, d):
+    """All models' trials, then those of one model again."""
+    path, found = saved_path(spark, "trials"), trial_records(spark, d)
+    records.write_trials(found.withColumn("best_val_loss", F.when(
+        F.col("model_type") == "view", -1.0).otherwise(F.col("best_val_loss"))), path)
+    records.write_trials(found.filter("model_type = 'view'"), path)
+    back = records.read_trials(spark, path)
+    return back.select("model_type", "trial_number", "best_val_loss", "best_epoch", "state",
+                       F.col("hyperparameters")["lookback"].alias("lookback"))
+
+
+def best_params(spark, d):
+    """Saved best parameters of two models, the combined table lacking the others, over defaults for all."""
+    combined, own = saved_path(spark, "best"), {m: saved_path(spark, m) for m in ("click", "view")}
+    best = runs.best_trial(trial_records(spark, d))
+    records.write_best_params(best.filter("model_type = 'click'"), combined)
+    for model, path in own.items():
+        records.write_best_params(best.filter(F.col("model_type") != model).limit(1).withColumn("model_type", F.lit(model)), path)
+        records.write_best_params(best.filter(F.col("model_type") == model), path)
+    models = ["click", "purchase", "signup", "view"]
+    loaded = records.read_best_params(spark, models, combined, own).filter("hyperparameters IS NOT NULL").select(
+        "model_type", F.col("hyperparameters")["learning_rate"].alias("learning_rate"),
+        F.col("hyperparameters")["lookback"].cast("bigint").alias("lookback"))
+    defaults = trials(spark, d).select("model_type").distinct().select(
+        "model_type", F.lit(DEFAULT_PARAMETERS["learning_rate"]).alias("learning_rate"),
+        F.lit(DEFAULT_PARAMETERS["lookback"]).cast("bigint").alias("lookback"))
+    return runs.choose_parameters(defaults, loaded, loaded.limit(0), ["learning_rate", "lookback"])
+
+
+def saved_report(spark, d):
+    path, table = saved_path(spark, "report"), actual_vs_pred(spark, d)
+    records.write_actual_vs_predicted(table.limit(3), path)
+    records.write_actual_vs_predicted(table, path)
+    return records.read_actual_vs_predicted(spark, baselines.BASELINES, path, PREVALENCE)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -446,6 +569,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         window_starts, window_rows, batch_ids, coverage,
         diffs, weighted_loss, shape_loss, batch_loss, metrics_prevalence, metrics_rate, compare_models,
         best_epoch, patience, run_report, leaderboard, best_trial, param_precedence,
-        report_params, report_series, actual_vs_pred, report_table, fit_score, training_history, tune,
+        report_params, report_series, actual_vs_pred, report_table,
+        fit_score, fit_score_linear, training_history, tune, tune_linear,
+        saved_split, reused_split, split_examples, saved_scaler, saved_metrics, saved_history, saved_trials, best_params,
+        saved_report,
     )
 }

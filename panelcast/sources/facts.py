@@ -4,21 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from panelcast.spec import PanelSpec
 
 
-def fact_schema(spec: PanelSpec) -> T.StructType:
-    """Explicit schema of a fact table file; nothing is inferred."""
-    longs = [*spec.unit, spec.day]
-    doubles = dict.fromkeys([*spec.prevalence_counts, *spec.cases_counts, *spec.statics])
-    return T.StructType(
-        [T.StructField(c, T.LongType()) for c in longs]
-        + [T.StructField(c, T.DoubleType()) for c in doubles]
-    )
-
-
 def read_facts(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
     """Scan a Parquet fact table, only the columns the mode needs."""
     return select_facts(spark.read.parquet(path), spec)

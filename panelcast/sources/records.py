@@ -12,7 +12,7 @@ from panelcast.operators.tuning import TRIAL_SCHEMA
 from panelcast.spec import PanelSpec
 
 METRICS_SCHEMA = (
-    "model string, n bigint, mse double, rmse double, mae double, r2 double, smape double, bias double, "
+    "mode string, model string, n bigint, mse double, rmse double, mae double, r2 double, smape double, bias double, "
     "log_likelihood double, mape double, avg_loss_transformed double"
 )
 
@@ -27,8 +27,22 @@ def exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def is_complete(spark: SparkSession, path: str) -> bool:
+    """Whether the table is there and, if it is a folder, its writing ended."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(hadoop):
+        return False
+    return files.getFileStatus(hadoop).isFile() or files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
+
+
+def _replace_parts(df: DataFrame, *keys: str):
+    """A writer that replaces the folders of the keys it writes and leaves all others."""
+    return df.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic")
+
+
 def write_split(split: DataFrame, path: str, spec: PanelSpec) -> None:
-    split.select(*spec.unit, "split").write.option("header", True).csv(path)
+    split.select(*spec.unit, "split").write.option("header", True).mode("overwrite").csv(path)
 
 
 def read_split(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
@@ -42,7 +56,7 @@ def read_split(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
 
 
 def write_scaler(scaler: DataFrame, path: str) -> None:
-    scaler.write.parquet(path)
+    scaler.write.mode("overwrite").parquet(path)
 
 
 def read_scaler(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
@@ -50,9 +64,9 @@ def read_scaler(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
     return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
-def write_metrics(records: DataFrame, path: str) -> None:
-    """One folder per model, so that either model can be written or replaced alone."""
-    records.write.partitionBy("model").mode("append").json(path)
+def write_metrics(records: DataFrame, path: str, spec: PanelSpec) -> None:
+    """One folder per target mode and model, so that each can be written or replaced alone."""
+    _replace_parts(records.withColumn("mode", F.lit(spec.mode)), "mode", "model").json(path)
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +74,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_history(history: DataFrame, path: str) -> None:
-    history.write.json(path)
+    history.write.mode("overwrite").json(path)
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
@@ -68,7 +82,8 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_trials(trials: DataFrame, path: str) -> None:
-    trials.write.partitionBy("model_type").mode("append").json(path)
+    """One folder per model; a new search of a model replaces its trials."""
+    _replace_parts(trials, "model_type").json(path)
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +91,8 @@ def read_trials(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_best_params(best: DataFrame, path: str) -> None:
-    best.write.partitionBy("model_type").mode("append").json(path)
+    """One folder per model, replaced when the model is tuned again."""
+    _replace_parts(best, "model_type").json(path)
 
 
 def read_best_params(spark: SparkSession, models: list[str], combined: str,
@@ -107,5 +123,12 @@ def read_best_params(spark: SparkSession, models: list[str], combined: str,
     return of_models(found)
 
 
+def read_actual_vs_predicted(spark: SparkSession, models: list[str], path: str, spec: PanelSpec) -> DataFrame:
+    keys = ", ".join(f"{c} bigint" for c in spec.unit)
+    values = ", ".join(f"{c} double" for c in (f"true_{spec.target}", *[f"{m}_prediction" for m in models]))
+    schema = f"{keys}, is_test boolean, timestep bigint, {values}"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 def write_actual_vs_predicted(table: DataFrame, path: str) -> None:
-    table.write.option("header", True).csv(path)
+    table.write.option("header", True).mode("overwrite").csv(path)

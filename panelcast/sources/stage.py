@@ -10,10 +10,14 @@ nothing is ever written to a folder of one machine.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+_scopes: list[list[DataFrame]] = []
+
 
 def staging_folder(spark: SparkSession) -> str | None:
     """The shared folder, or None if the session names none."""
@@ -30,9 +34,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Compute ``df`` once and return a reader of the result."""
     path = staging_path(df.sparkSession, name)
     if path is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        staged = df.persist(StorageLevel.MEMORY_AND_DISK)
+    else:
+        df.write.parquet(path)
+        staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _scopes:
+        _scopes[-1].append(staged)
+    return staged
+
+
+@contextmanager
+def staging_scope() -> Iterator[None]:
+    """Whatever is staged inside is deleted at the end, so results must be written or collected before.
+
+    Without a scope staged tables stay in the shared folder, as a lazy result may still read them.
+    """
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for staged in _scopes.pop():
+            unstage(staged)
 
 
 def unstage(staged: DataFrame) -> None:
@@ -41,6 +63,6 @@ def unstage(staged: DataFrame) -> None:
     if staging_folder(spark) is None:
         staged.unpersist()
         return
-    for path in {f.rsplit("/", 1)[0] for f in staged.inputFiles()}:
+    for path in staged._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString("\n").split("\n"):
         hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
         hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
