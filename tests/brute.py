@@ -1,4 +1,4 @@
-"""Plain pandas and NumPy versions of the pipeline, one series at a time, to compare with."""
+"""What the pipeline should give, worked out step by step from the definitions, to compare with."""
 
 import hashlib
 import math
@@ -47,62 +47,75 @@ def scaler(rows: pd.DataFrame, label: dict, spec):
     return x.mean(axis=0), np.where(std < 1e-12, 1.0, std)
 
 
-def transform(y, spec):
+def into_training_space(value: float, spec) -> float:
+    """The log of one more than a rate, or the log odds of a share kept off 0 and 1."""
     if spec.is_rate:
-        return np.log1p(np.maximum(y, 0))
-    y = np.clip(y, spec.eps, 1 - spec.eps)
-    return np.log(y / (1 - y))
+        return math.log(1 + max(value, 0.0))
+    share = min(max(value, spec.eps), 1 - spec.eps)
+    return math.log(share) - math.log(1 - share)
 
 
-def inverse(y, spec):
-    return np.expm1(y) if spec.is_rate else 1 / (1 + np.exp(-y))
+def natural(y: float, spec) -> float:
+    return math.exp(y) - 1 if spec.is_rate else 1 / (1 + math.exp(-y))
+
+
+def phase(day: int) -> float:
+    """Angle of the day in a year of 365."""
+    return math.tau * (day % 365) / 365
 
 
 def features(rows: pd.DataFrame, label: dict, spec) -> pd.DataFrame:
+    """One record per step with a finite target, each input by its definition."""
     mean, std = scaler(rows, label, spec)
-    parts = []
+    centre, unit = dict(zip(spec.statics, mean)), dict(zip(spec.statics, std))
+    out = []
     for (param, sim), g in rows.groupby(PAIR):
-        g = g[np.isfinite(g.target)].sort_values("timesteps")
-        if g.empty:
+        steps = [r for r in g.sort_values("timesteps").to_dict("records") if math.isfinite(r["target"])]
+        if not steps:
             continue
-        day, t = g.abs_timesteps.to_numpy(), g.timesteps.to_numpy(float)
-        post = day >= spec.intervention
-        raw = np.tile(g.iloc[0][list(spec.statics)].to_numpy(float), (len(g), 1))
-        for c in spec.gated:
-            raw[~post, spec.statics.index(c)] = 0.0
-        out = {"parameter_index": param, "simulation_index": sim, "split": label[param], "timesteps": g.timesteps,
-               "abs_timesteps": day, "position": np.arange(len(g)), "valid_length": len(g)}
-        if spec.cyclic_time:
-            out["sin_day"] = np.sin(2 * math.pi * (day % 365) / 365)
-            out["cos_day"] = np.cos(2 * math.pi * (day % 365) / 365)
-        else:
-            out["time_norm"] = (t - t.min()) / (t.max() - t.min()) if t.max() > t.min() else t
-        for j, c in enumerate(spec.statics):
-            out[f"scaled_{c}"] = (raw[:, j] - mean[j]) / std[j]
-        out["post_intervention"] = post.astype(int)
-        out["years_since"] = np.maximum(0, day - spec.intervention) / 365
-        out["y"] = transform(g.target.to_numpy(float), spec)
-        out["w"] = g.exposure_pd.to_numpy(float) if spec.is_rate else 1.0
-        parts.append(pd.DataFrame(out))
-    return pd.concat(parts, ignore_index=True)
-
-
-def starts(length: int, split: str, spec) -> range:
-    step = spec.train_stride if split == "train" else spec.lookback
-    return range(0, length - spec.lookback + 1, step)
-
-
-def weighted_mse(p, t, w):
-    return (w * (p - t) ** 2).sum() / max(w.sum(), 1.0)
-
-
-def loss(p, t, w, spec):
-    """Arrays of shape (windows, L)."""
-    if spec.loss_space == "natural":
-        p, t = inverse(p, spec), inverse(t, spec)
-    w1 = (w[:, 1:] + w[:, :-1]) / 2
-    w2 = (w1[:, 1:] + w1[:, :-1]) / 2
-    base = weighted_mse(p, t, w)
-    slope = weighted_mse(np.diff(p), np.diff(t), w1)
-    curve = weighted_mse(np.diff(p, n=2), np.diff(t, n=2), w2) if spec.curvature_weight else 0.0
-    return base + spec.slope_weight * slope + spec.curvature_weight * curve
+        first, last = steps[0]["timesteps"], steps[-1]["timesteps"]
+        for place, r in enumerate(steps):
+            day, step = r["abs_timesteps"], r["timesteps"]
+            since = day - spec.intervention
+            if spec.cyclic_time:
+                time = {"sin_day": math.sin(phase(day)), "cos_day": math.cos(phase(day))}
+            else:
+                time = {"time_norm": float(step) if first == last else (step - first) / (last - first)}
+            inputs = {}
+            for c in spec.statics:
+                hidden = c in spec.gated and since < 0
+                inputs[f"scaled_{c}"] = ((0.0 if hidden else steps[0][c]) - centre[c]) / unit[c]
+            out.append({
+                "parameter_index": param, "simulation_index": sim, "split": label[param], "timesteps": step,
+                "abs_timesteps": day, "position": place, "valid_length": len(steps), **time, **inputs,
+                "post_intervention": int(since >= 0), "years_since": max(0, since) / 365,
+                "y": into_training_space(r["target"], spec), "w": r["exposure_pd"] if spec.is_rate else 1.0,
+            })
+    return pd.DataFrame(out)
+
+
+def starts(length: int, split: str, spec) -> list[int]:
+    """Places from which a whole look-back window fits: all multiples of the stride for training, else of the length."""
+    every = spec.train_stride if split == "train" else spec.lookback
+    return [s for s in range(length) if s % every == 0 and s + spec.lookback <= length]
+
+
+def mean_square(pairs) -> float:
+    """Of (weight, error) pairs, over a total weight of at least 1."""
+    pairs = list(pairs)
+    return sum(w * e * e for w, e in pairs) / max(1.0, sum(w for w, _ in pairs))
+
+
+def loss(p, t, w, spec) -> float:
+    """Level, slope and curvature errors of all windows; those of slope and curvature are differences of level errors."""
+    level, slope, curve = [], [], []
+    for forecasts, truths, weight in zip(p, t, w):
+        shown = (lambda v: natural(v, spec)) if spec.loss_space == "natural" else float
+        error = [shown(a) - shown(b) for a, b in zip(forecasts, truths)]
+        for k, e in enumerate(error):
+            level.append((weight[k], e))
+            if k >= 1:
+                slope.append(((weight[k] + weight[k - 1]) / 2, e - error[k - 1]))
+            if k >= 2:
+                curve.append(((weight[k] + 2 * weight[k - 1] + weight[k - 2]) / 4, e - 2 * error[k - 1] + error[k - 2]))
+    return mean_square(level) + spec.slope_weight * mean_square(slope) + spec.curvature_weight * mean_square(curve)

@@ -137,13 +137,18 @@ def test_sample_takes_k_and_ignores_extra_global_ids(spark):
     assert kept.count() == facts.filter(F.concat_ws("-", *SPEC.pair).isin([f"{p}-{s}" for p, s in got])).count()
 
 
-def test_large_samples_are_joined_after_the_aggregate_with_equal_rows(spark):
+def test_a_sample_gives_equal_rows_whether_it_is_broadcast_or_not(spark):
     facts = spark.createDataFrame(small.facts())
     spec = SPEC.with_(sims_per_param=2, param_limit=102)
-    small_way, large_way = (windows.panel_windows(facts, s) for s in (spec, spec.with_(broadcast_rows=0)))
-    assert small_way.count() > 0
-    assert small_way.exceptAll(large_way).isEmpty() and large_way.exceptAll(small_way).isEmpty()
-    assert small_way.agg(F.max("parameter_index")).first()[0] < 102
+    sent = windows.panel_windows(facts, spec).collect()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        shuffled = windows.panel_windows(facts, spec).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sorted(map(tuple, sent)) == sorted(map(tuple, shuffled)) and sent
+    assert max(r.parameter_index for r in sent) < 102
 
 
 # ordinals
@@ -157,6 +162,14 @@ def test_running_total_is_exact(spark, weights, parts):
     assert got == {k: (ends[k] - weights[k], ends[-1]) for k in range(len(weights))}
 
 
+@slow
+@given(st.lists(st.tuples(st.sampled_from("aab"), st.integers(0, 5)), min_size=1, max_size=40), st.integers(1, 6))
+def test_total_within_groups_is_exact(spark, rows, parts):
+    df = spark.createDataFrame([(k, g, v) for k, (g, v) in enumerate(rows)], "k bigint, g string, v bigint")
+    got = {r.k: r.b for r in ordinals.total_within(df.repartition(parts), "g", ["k"], F.col("v"), "b").collect()}
+    assert got == {k: sum(v for h, v in rows[:k] if h == g) for k, (g, _) in enumerate(rows)}
+
+
 # split
 
 @slow
@@ -194,24 +207,24 @@ def test_saved_split_keeps_known_labels_of_present_series(spark):
 # losses and metrics
 
 def scored(spark, rows):
-    schema = "model string, parameter_index bigint, simulation_index bigint, start bigint, position bigint, y double, yhat double, w double, batch_id bigint"
-    return spark.createDataFrame([("m", 1, 1, 0, i, *r, 0) for i, r in enumerate(rows)], schema)
+    schema = "parameter_index bigint, simulation_index bigint, start bigint, position bigint, y double, yhat_m double, w double, batch_id bigint"
+    return spark.createDataFrame([(1, 1, 0, i, *r, 0) for i, r in enumerate(rows)], schema)
 
 
 def test_total_weight_is_at_least_one(spark):
     rows = scored(spark, [(0.0, 1.0, 0.1), (0.0, 2.0, 0.2)])
-    got = losses.level_loss(rows, ["model"], SPEC, "transformed").first().base_loss
+    got = losses.level_loss(rows, ["m"], ["model"], SPEC, "transformed").first().base_loss
     assert got == pytest.approx(0.1 * 1 + 0.2 * 4)
 
 
 def test_window_of_one_step_has_no_shape_terms(spark):
-    r = losses.shape_loss(scored(spark, [(0.0, 1.0, 2.0)]), ["model"], SPEC, "transformed").first()
+    r = losses.shape_loss(scored(spark, [(0.0, 1.0, 2.0)]), ["m"], ["model"], SPEC, "transformed").first()
     assert (r.base_loss, r.slope_loss, r.curvature_loss, r.total_loss) == (1.0, 0.0, 0.0, 1.0)
 
 
 def test_curvature_is_off_without_weight(spark):
     rows = scored(spark, [(0.0, 1.0, 1.0), (0.0, 0.0, 1.0), (0.0, 5.0, 1.0)])
-    r = losses.shape_loss(rows, ["model"], SPEC.with_(curvature_weight=0.0), "transformed").first()
+    r = losses.shape_loss(rows, ["m"], ["model"], SPEC.with_(curvature_weight=0.0), "transformed").first()
     assert r.curvature_loss == 0.0 and r.slope_loss > 0
 
 
@@ -222,7 +235,7 @@ def test_curvature_is_off_without_weight(spark):
 ])
 def test_r2_of_a_constant_target(spark, pairs, r2):
     rows = scored(spark, [(y, p, 1.0) for y, p in pairs])
-    assert metrics.metrics_record(rows, ["model"], SPEC).first().r2 == r2
+    assert metrics.metrics_record(rows, ["m"], ["model"], SPEC).first().r2 == r2
 
 
 def test_comparison_has_a_column_per_model(spark):
@@ -231,22 +244,31 @@ def test_comparison_has_a_column_per_model(spark):
     assert got == {"mse": (1.0, None), "rmse": (1.0, None), "mae": (1.0, None), "r2": (0.5, None)}
 
 
+def test_two_records_of_one_model_are_an_error(spark):
+    schema = "model string, mse double, rmse double, mae double, r2 double"
+    records = spark.createDataFrame([("x", 1.0, 1.0, 1.0, 0.5), ("x", 2.0, 1.0, 1.0, 0.5)], schema)
+    with pytest.raises(Exception, match="two records"):
+        metrics.compare_models(records, ["x"]).collect()
+
+
 # runs
 
-def reference_run(series, patience):
-    best, best_at, count = math.inf, 0, 0
-    for epoch, value in enumerate(series, start=1):
-        if value < best:
-            best, best_at, count = value, epoch, 0
-        else:
-            count += 1
-        if count >= patience:
-            return epoch, True, best, best_at
-    return len(series), False, best, best_at
+def expected_run(series, patience):
+    """An epoch improves if its loss is finite and below every earlier finite loss; a run stops at the first
+    epoch that has ``patience`` epochs since the last improving one, or since the start, behind it."""
+    gains = [e for e, v in enumerate(series, start=1)
+             if math.isfinite(v) and all(v < u for u in series[:e - 1] if math.isfinite(u))]
+    stops = [e for e in range(1, len(series) + 1) if e - max([0, *[g for g in gains if g <= e]]) >= patience]
+    stop = min(stops, default=len(series))
+    best = max([g for g in gains if g <= stop], default=None)
+    return stop, bool(stops), None if best is None else series[best - 1], best
+
+
+LOSSES = st.sampled_from([0.0, 1.0, 2.0, 3.0, 4.0, math.inf, math.nan])
 
 
 @slow
-@given(st.lists(st.lists(st.integers(0, 4), min_size=1, max_size=12), min_size=1, max_size=4), st.integers(1, 4))
+@given(st.lists(st.lists(LOSSES, min_size=1, max_size=12), min_size=1, max_size=4), st.integers(1, 4))
 def test_early_stopping(spark, series, patience):
     history = spark.createDataFrame(
         [(i, e, float(v)) for i, s in enumerate(series) for e, v in enumerate(s, start=1)],
@@ -254,9 +276,10 @@ def test_early_stopping(spark, series, patience):
     )
     got = {r.run: (r.stop_epoch, r.stopped_early, r.best_val_loss, r.best_epoch)
            for r in runs.run_report(history, ["run"], patience).collect()}
-    assert got == {i: reference_run(s, patience) for i, s in enumerate(series)}
+    assert got == {i: expected_run(s, patience) for i, s in enumerate(series)}
     best = {r.run: r.best_epoch for r in runs.best_epoch(history, ["run"]).collect()}
-    assert best == {i: s.index(min(s)) + 1 for i, s in enumerate(series)}
+    numbers = [[math.inf if math.isnan(v) else v for v in s] for s in series]
+    assert all(best[i] == s.index(min(s)) + 1 for i, s in enumerate(numbers) if math.isfinite(min(s)))
 
 
 def test_failed_trials_come_last_and_ties_go_to_the_earlier(spark):

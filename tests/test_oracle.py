@@ -5,7 +5,10 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from panelcast.plans.oracle import ORACLE
+from panelcast.plans.queries import QUERIES
+from panelcast.sources.stage import staging_scope
 
 TABLES = Path("/root/testdata/sf0.001")
 ROWS_ONLY = {"fit_score", "training_history", "tune"}
@@ -22,14 +25,15 @@ def duck():
 
 
 def test_only_model_fits_lack_sql():
-    assert set(queries()) - set(oracle_sql()) == ROWS_ONLY
-    assert not set(oracle_sql()) - set(queries())
+    assert set(QUERIES) - set(ORACLE) == ROWS_ONLY
+    assert not set(ORACLE) - set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - ROWS_ONLY))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - ROWS_ONLY))
 def test_query_equals_sql(spark, duck, name):
-    got = queries()[name](spark, str(TABLES)).toPandas()
-    want = duck.execute(oracle_sql()[name]).df()
+    with staging_scope():
+        got = QUERIES[name](spark, str(TABLES)).toPandas()
+    want = duck.execute(ORACLE[name]).df()
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     got = got[columns].sort_values(columns, ignore_index=True)
@@ -42,7 +46,8 @@ def test_query_equals_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(ROWS_ONLY))
 def test_model_queries_give_rows(spark, name):
-    assert queries()[name](spark, str(TABLES)).count() > 0
+    with staging_scope():
+        assert QUERIES[name](spark, str(TABLES)).count() > 0
 
 
 def test_entry(spark):

@@ -120,9 +120,9 @@ def test_losses_and_metrics(case):
     spec, panel, _, _ = case
     rows = pipeline.evaluation_rows(panel)
     by = ["model", "split"]
-    total = {tuple(r)[:2]: r.total_loss for r in losses.shape_loss(rows, by, spec).collect()}
-    batch = {tuple(r)[:2]: r for r in losses.mean_batch_loss(rows, by, spec).collect()}
-    record = {tuple(r)[:2]: r for r in metrics.metrics_record(rows, by, spec).collect()}
+    total = {tuple(r)[:2]: r.total_loss for r in losses.shape_loss(rows, baselines.BASELINES, by, spec).collect()}
+    batch = {tuple(r)[:2]: r for r in losses.mean_batch_loss(rows, baselines.BASELINES, by, spec).collect()}
+    record = {tuple(r)[:2]: r for r in metrics.metrics_record(rows, baselines.BASELINES, by, spec).collect()}
     wanted = scored_windows(case)
     assert set(total) == {(m, s) for m in baselines.BASELINES for s in wanted}
     for split, found in wanted.items():
@@ -133,12 +133,12 @@ def test_losses_and_metrics(case):
             cuts = range(0, len(found), spec.batch_size)
             size = spec.batch_size
             each = [brute.loss(p[i:i + size], t[i:i + size], w[i:i + size], spec) for i in cuts]
-            level = [brute.weighted_mse(p[i:i + size], t[i:i + size], w[i:i + size]) for i in cuts]
+            level = [brute.mean_square(zip(w[i:i + size].ravel(), (p - t)[i:i + size].ravel())) for i in cuts]
             assert batch[model, split].mean_batch_loss == pytest.approx(np.mean(each), rel=1e-9)
             assert batch[model, split].n_batches == len(each)
             r = record[model, split]
             assert r.avg_loss_transformed == pytest.approx(np.mean(level), rel=1e-9)
-            pn, tn = brute.inverse(p, spec).ravel(), brute.inverse(t, spec).ravel()
+            pn, tn = (np.array([brute.natural(v, spec) for v in x.ravel()]) for x in (p, t))
             e = pn - tn
             assert r.n == len(e)
             assert r.mse == pytest.approx((e ** 2).mean(), rel=1e-9)

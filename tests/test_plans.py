@@ -6,7 +6,7 @@ import pytest
 import small
 from pyspark.sql import functions as F
 
-from panelcast.operators import metrics, outline, sampling, windows
+from panelcast.operators import baselines, losses, metrics, outline, report, sampling, sequences, windows
 from panelcast.plans import pipeline
 from panelcast.sources.lineitem import LINEITEM_SPEC, lineitem_facts
 
@@ -51,7 +51,7 @@ def test_sample_is_a_per_task_top_k(spark, fact_path):
 
 def test_features_need_no_python_and_no_cross_join(spark, fact_path):
     panel = pipeline.prepare(spark.read.parquet(fact_path), SPEC)
-    for df in (panel.features(), metrics.metrics_record(pipeline.evaluation_rows(panel), ["model"], SPEC)):
+    for df in (panel.features(), metrics.metrics_record(pipeline.evaluation_rows(panel), baselines.BASELINES, ["model"], SPEC)):
         text = plan(df)
         for absent in ("Python", "CartesianProduct", "BroadcastNestedLoopJoin", "SortAggregate"):
             assert absent not in text.split("== Physical Plan ==")[1], absent
@@ -66,6 +66,30 @@ def test_row_level_sorts_are_by_chunk(spark, fact_path):
     assert "SortAggregate" not in text and text.count("HashAggregate") == 2
 
 
+def physical(df) -> str:
+    return plan(df).split("== Physical Plan ==")[1]
+
+
+def test_evaluation_shuffles_steps_once_however_many_models(spark, fact_path):
+    rows = pipeline.evaluation_rows(pipeline.prepare(spark.read.parquet(fact_path), SPEC))
+    text = physical(losses.shape_loss(rows, baselines.BASELINES, ["model", "split"], SPEC))
+    assert text.count("Exchange hashpartitioning(parameter_index") - physical(rows).count(
+        "Exchange hashpartitioning(parameter_index") == 1
+    assert text.index("Generate") < text.index("Window")  # models part above the differences
+
+
+def test_comparing_with_the_truth_is_a_projection(spark, fact_path):
+    rows = pipeline.baseline_rows(pipeline.prepare(spark.read.parquet(fact_path), SPEC))
+    assert physical(report.actual_vs_predicted(rows, baselines.BASELINES, SPEC)).count("Exchange") == physical(rows).count("Exchange")
+
+
+def test_window_numbers_ride_along_when_starts_are_made(spark, fact_path):
+    panel = pipeline.prepare(spark.read.parquet(fact_path), SPEC)
+    numbered = sequences.number_windows(panel.outline, SPEC)
+    text = physical(sequences.window_starts(numbered, SPEC, ("windows_before",)))
+    assert "Join" not in text[:text.index("Generate explode")]
+
+
 def test_large_joins_are_not_broadcast(spark, fact_path):
     """With automatic broadcasts off, as for big tables, rows meet their series by a sort-merge join."""
     panel = pipeline.prepare(spark.read.parquet(fact_path), SPEC)
@@ -73,7 +97,9 @@ def test_large_joins_are_not_broadcast(spark, fact_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         text = plan(panel.features())
-        assert "SortMergeJoin [parameter_index" in text and "BroadcastHashJoin" not in text
+        assert "SortMergeJoin [parameter_index" in text
+        # but for the counts of the buckets that split labels are ranked in
+        assert text.count("BroadcastExchange") == text.count("BroadcastExchange HashedRelationBroadcastMode(List(input[0, string")
         assert panel.features().agg(F.count("*")).first()[0] > 0
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
