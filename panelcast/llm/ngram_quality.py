@@ -44,6 +44,7 @@ MOST_REPEATED = 50  # per cent
 _SYMBOLS = b"#*$%&|<>"
 _SPACE, _TAIL = b" \t\n\v\f\r", bytes(range(0x80, 0xC0))
 _SHIFT = np.uint64(64 - BITS)
+_PIECE = 1 << 20
 
 
 def repeated_words(tokens: list[bytes]) -> int:
@@ -82,7 +83,7 @@ class Hasher:
     def __init__(self) -> None:
         self.known = WordHashes()
 
-    def word_grams(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def word_grams(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Buckets of words and of pairs within each text, and the text of each bucket."""
         if len(self.known) > 300_000:
             self.known.clear()
@@ -95,30 +96,39 @@ class Hasher:
         same = owner[1:] == owner[:-1]
         pair = mixed(mixed(hashes[:-1]) + hashes[1:])[same]
         buckets = np.concatenate([mixed(hashes), pair]) >> _SHIFT
-        return buckets.astype(np.int64), np.concatenate([owner, owner[1:][same]])
+        yield buckets.astype(np.int64), np.concatenate([owner, owner[1:][same]])
 
-    def byte_grams(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    def byte_grams(self, texts: list[bytes | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The same for runs of four bytes, piece by piece, so that memory does not grow with the texts."""
         texts = [t or b"" for t in texts]
-        octets = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
+        octets = np.frombuffer(b"".join(texts), np.uint8)
         owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-        n = len(octets) - BYTE_RUN + 1
-        if n < 1:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        code = np.full(n, 1, np.uint64)
-        for i in range(BYTE_RUN):
-            code = (code << np.uint64(8)) | octets[i:n + i]
-        same = owner[BYTE_RUN - 1:] == owner[:n]
-        return (mixed(code[same]) >> _SHIFT).astype(np.int64), owner[:n][same]
-
-
-def margins(weights: np.ndarray, bias: float, texts: list[bytes | None], hasher: Hasher):
-    """Margin of each text, and what its gradient needs: buckets, owners and sizes of both kinds."""
-    total, parts = np.full(len(texts), bias), []
-    for buckets, owner in (hasher.word_grams(texts), hasher.byte_grams(texts)):
-        size = np.maximum(1, np.bincount(owner, minlength=len(texts)))
-        total = total + np.bincount(owner, weights[buckets], minlength=len(texts)) / size
-        parts.append((buckets, owner, size))
-    return total, parts
+        for start in range(0, len(octets) - BYTE_RUN + 1, _PIECE):
+            piece = octets[start:start + _PIECE + BYTE_RUN - 1].astype(np.uint64)
+            n = len(piece) - BYTE_RUN + 1
+            code = np.full(n, 1, np.uint64)
+            for i in range(BYTE_RUN):
+                code = (code << np.uint64(8)) | piece[i:n + i]
+            own = owner[start:start + n]
+            same = owner[start + BYTE_RUN - 1:start + BYTE_RUN - 1 + n] == own
+            yield (mixed(code[same]) >> _SHIFT).astype(np.int64), own[same]
+
+
+def margins(weights: np.ndarray, bias: float, texts: list[bytes | None], hasher: Hasher, keep: list | None = None):
+    """Margin of each text. ``keep`` takes what the gradient needs of either kind: its buckets with owners, and sizes."""
+    total = np.full(len(texts), bias)
+    for kind in (hasher.word_grams, hasher.byte_grams):
+        weight, size, pieces = np.zeros(len(texts)), np.zeros(len(texts)), []
+        for buckets, owner in kind(texts):
+            weight += np.bincount(owner, weights[buckets], minlength=len(texts))
+            size += np.bincount(owner, minlength=len(texts))
+            if keep is not None:
+                pieces.append((buckets, owner))
+        size = np.maximum(1, size)
+        total = total + weight / size
+        if keep is not None:
+            keep.append((pieces, size))
+    return total
 
 
 def logistic(x):
@@ -130,11 +140,13 @@ def epoch(weights: np.ndarray, bias: float, rows: list[tuple[bytes, float]], has
     weights, seen, bias_seen = weights.copy(), np.full(len(weights), 1e-8), 1e-8
     for start in range(0, len(rows), MINI_BATCH):
         texts, labels = zip(*rows[start:start + MINI_BATCH])
-        margin, parts = margins(weights, bias, list(texts), hasher)
+        parts: list = []
+        margin = margins(weights, bias, list(texts), hasher, parts)
         error = (logistic(margin) - np.array(labels)) / len(texts)
         step = np.zeros(len(weights))
-        for buckets, owner, size in parts:
-            step += np.bincount(buckets, (error / size)[owner], minlength=len(weights))
+        for pieces, size in parts:
+            for buckets, owner in pieces:
+                step += np.bincount(buckets, (error / size)[owner], minlength=len(weights))
         seen += step * step
         weights -= RATE * step / np.sqrt(seen)
         bias_seen += error.sum() ** 2
@@ -152,7 +164,7 @@ class NgramModel:
     offset: float
 
     def probabilities(self, texts: list[bytes | None], hasher: Hasher) -> np.ndarray:
-        margin, _ = margins(self.weights, self.bias, texts, hasher)
+        margin = margins(self.weights, self.bias, texts, hasher)
         return logistic(self.slope * margin + self.offset)
 
 
@@ -211,7 +223,7 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> NgramMo
     hasher = Hasher()
 
     def measured(batch: pa.RecordBatch) -> list:
-        return [margins(*start.value, as_bytes(batch.column("text")), hasher)[0]]
+        return [margins(*start.value, as_bytes(batch.column("text")), hasher)]
 
     aside = map_rows(sample.where("aside").select("text", "label"), measured, "margin double")
     pairs = aside.select("margin", "label").toArrow()

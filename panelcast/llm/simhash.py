@@ -58,10 +58,11 @@ def fingerprint(text: bytes | None) -> int:
     ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     size = min(SHINGLE, len(tokens))
-    starts, ends = starts[: len(tokens) - size + 1].tolist(), ends[size - 1:].tolist()
+    starts, ends = starts[: len(tokens) - size + 1], ends[size - 1:]
     votes = np.zeros(64, np.int64)
     for i in range(0, len(starts), _PIECE):
-        votes += _votes([xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[i:i + _PIECE], ends[i:i + _PIECE])])
+        places = zip(starts[i:i + _PIECE].tolist(), ends[i:i + _PIECE].tolist())
+        votes += _votes([xxh64_intdigest(joined[a:b], SEED) for a, b in places])
     return int(np.packbits(votes * 2 > len(starts), bitorder="little").view(np.int64)[0])
 
 

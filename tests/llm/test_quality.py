@@ -124,14 +124,23 @@ def test_gradient_is_the_slope_of_the_margin():
     hasher = ngram_quality.Hasher()
     weights = np.random.default_rng(3).normal(size=1 << ngram_quality.BITS)
     texts = ["the cat sat".encode(), b"", None, "é".encode()]
-    margin, parts = ngram_quality.margins(weights, 0.5, texts, hasher)
+    parts = []
+    margin = ngram_quality.margins(weights, 0.5, texts, hasher, parts)
     assert margin[1] == margin[2] == 0.5
-    buckets, owner, size = parts[0]
-    assert [int((owner == i).sum()) for i in range(4)] == [5, 0, 0, 1]
-    alone, _ = ngram_quality.margins(weights, 0.5, texts[:1], hasher)
+    ((_, owner),), size = parts[0]
+    assert [int((owner == i).sum()) for i in range(4)] == [5, 0, 0, 1] and size.tolist() == [5, 1, 1, 1]
+    alone = ngram_quality.margins(weights, 0.5, texts[:1], hasher)
     assert alone[0] == pytest.approx(margin[0])
 
 
+def test_long_texts_are_scored_in_pieces(monkeypatch):
+    weights = np.random.default_rng(3).normal(size=1 << ngram_quality.BITS)
+    texts = [("word and more " * 40).encode(), "é".encode() * 77, b"ab", b""]
+    whole = ngram_quality.margins(weights, 0.5, texts, ngram_quality.Hasher())
+    monkeypatch.setattr(ngram_quality, "_PIECE", 10)
+    assert ngram_quality.margins(weights, 0.5, texts, ngram_quality.Hasher()) == pytest.approx(whole)
+
+
 @pytest.mark.parametrize("query", [rule_ensemble.query, ngram_quality.query])
 def test_edges(spark, docs, clashing, empty, labels, query):
     nothing = labels.limit(0)
