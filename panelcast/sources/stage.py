@@ -10,7 +10,7 @@ nothing is ever written to a folder of one machine.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark import StorageLevel
@@ -38,6 +38,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     else:
         df.write.parquet(path)
         staged = df.sparkSession.read.schema(df.schema).parquet(path)
+    staged.staged_path = path
     if _scopes:
         _scopes[-1].append(staged)
     return staged
@@ -57,12 +58,28 @@ def staging_scope() -> Iterator[None]:
             unstage(staged)
 
 
+def staged_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """Stage what ``make`` returns and delete what it staged on the way; in the cache everything stays."""
+    if staging_folder(spark) is None:
+        return stage(make(), name)
+    _scopes.append([])
+    try:
+        result = stage(make(), name)
+    finally:
+        own = _scopes.pop()
+    for staged in own:
+        if staged is not result:
+            unstage(staged)
+    if _scopes:
+        _scopes[-1].append(result)
+    return result
+
+
 def unstage(staged: DataFrame) -> None:
     """Delete a table of ``stage`` that nothing reads any more."""
-    spark = staged.sparkSession
-    if staging_folder(spark) is None:
+    if staged.staged_path is None:
         staged.unpersist()
         return
-    for path in staged._jdf.queryExecution().analyzed().collectLeaves().head().relation().location().rootPaths().mkString("\n").split("\n"):
-        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

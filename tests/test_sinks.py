@@ -171,6 +171,16 @@ def test_nothing_staged_stays_behind(spark):
     assert {p.name for p in folder.iterdir()} == before
 
 
+def test_a_staged_result_outlives_what_it_was_made_of(spark):
+    folder = Path(stage.staging_folder(spark))
+    before = {p.name for p in folder.iterdir()}
+    with stage.staging_scope():
+        result = stage.staged_result(spark, "result", lambda: stage.stage(spark.range(4), "part").union(spark.range(2)))
+        assert [p.name.split("-")[0] for p in folder.iterdir() if p.name not in before] == ["result"]
+        assert result.count() == 6
+    assert {p.name for p in folder.iterdir()} == before
+
+
 def test_without_a_shared_folder_tables_are_cached(spark, monkeypatch):
     monkeypatch.setattr(stage, "staging_folder", lambda _: None)
     with stage.staging_scope():
