@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import decontaminate, langid, mixing, secret_scan, simhash
 from panelcast.llm.text import read
-from panelcast.sources.stage import stage
+from panelcast.sources.stage import staged_result, unstage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +54,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what a stage wrote goes once the next one is written."""
     docs = read(spark, sf_dir, "documents")
-    for name, function in STAGES:
-        docs = stage(function(spark, docs, sf_dir), name)
+    for k, (name, function) in enumerate(STAGES):
+        kept = staged_result(spark, name, lambda docs=docs, function=function: function(spark, docs, sf_dir))
+        if k and kept.staged_path is not None:
+            unstage(docs)
+        docs = kept
     return docs

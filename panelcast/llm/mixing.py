@@ -46,8 +46,11 @@ def _keyed(sized: DataFrame) -> DataFrame:
         "_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
 
 
-def fill_level(sources: DataFrame) -> float:
-    """Words per unit of weight at which the targets add up to all words, with no source above its passes."""
+def fill_level(sources: DataFrame, most_passes: int = MOST_PASSES) -> float:
+    """Words per unit of weight at which the targets add up to all words, with no source above its passes.
+
+    Each round is one aggregate over the sources; a round that caps no further source is the last.
+    """
     capped, level = F.lit(False), 0.0
     before = None
     while True:
@@ -58,24 +61,25 @@ def fill_level(sources: DataFrame) -> float:
         ).first()
         if not row["total"]:
             return 0.0
-        level = (row["total"] - MOST_PASSES * row["capped_size"]) / (row["weight"] - row["capped_weight"])
+        level = (row["total"] - most_passes * row["capped_size"]) / (row["weight"] - row["capped_weight"])
         if row["capped_weight"] == before:
             return level
         before = row["capped_weight"]
-        capped = F.col("weight") * level > MOST_PASSES * F.col("source_size")
+        capped = F.col("weight") * level > most_passes * F.col("source_size")
 
 
-def targets(sums: DataFrame) -> DataFrame:
+def targets(sums: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES,
+            tilt: float = TILT) -> DataFrame:
     """Add ``weight``, ``target`` and the weights at either end of the schedule, ``_w0`` and ``_w1``, to sums by source."""
     placed = running_total(sums.withColumn("_last", F.col("source").isNull()), ["_last", "_source"], F.lit(1), "_rank")
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("_rank") % len(WEIGHTS) + 1).cast("int"))
+    weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("_rank") % len(weights) + 1).cast("int"))
     sources = stage(placed.withColumn("weight", weight.cast("bigint")), "source_weights")
-    level = fill_level(sources)
-    capped = F.col("weight") * level > MOST_PASSES * F.col("source_size")
+    level = fill_level(sources, most_passes)
+    capped = F.col("weight") * level > most_passes * F.col("source_size")
     sources = sources.withColumn(
-        "target", F.when(capped, (MOST_PASSES * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.lit(level)))
+        "target", F.when(capped, (most_passes * F.col("source_size")).cast("double")).otherwise(F.col("weight") * F.lit(level)))
     mean = sources.agg(F.try_divide(F.sum(F.col("target") * F.col("weight")), F.sum("target"))).first()[0] or 0.0
-    lean = F.lit(TILT) * (F.col("weight") - F.lit(mean)) / (max(WEIGHTS) - min(WEIGHTS))
+    lean = F.lit(tilt) * (F.col("weight") - F.lit(mean)) / max(1, max(weights) - min(weights))
     return sources.withColumn("_w0", 1 + lean).withColumn("_w1", 1 - lean).drop("_last", "_rank", "source")
 
 
@@ -85,16 +89,19 @@ def due(offset, total, w0, w1):
     return 2 * c / (w0 + F.sqrt(w0 * w0 + 4 * a * c))
 
 
-def mix(sized: DataFrame) -> DataFrame:
+def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES,
+        tilt: float = TILT) -> DataFrame:
     """Add ``source_size``, ``target``, ``taken`` and ``position`` to documents with a ``size``.
 
-    ``sized`` is read twice: for the sums, and for the documents.
+    ``weights`` go to the sources in turn; no source is read more than ``most_passes`` times; at a ``tilt`` of
+    0 all sources keep their share throughout, at 1 the heaviest may fade to nothing. ``sized`` is read twice: for the
+    sums, and for the documents.
     """
     added = ["source_size", "target", "taken", "position"]
     rows = _keyed(sized.drop(*added)).withColumn("_bucket", F.substring("_order", 1, _DIGITS))
     buckets = stage(rows.groupBy("_source", "source", "_bucket").agg(F.sum("size").alias("size")), "source_buckets")
     sums = buckets.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
-    wanted = stage(targets(sums), "source_targets")
+    wanted = stage(targets(sums, weights, most_passes, tilt), "source_targets")
     earlier = Window.partitionBy("_source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = buckets.select(
         "_source", "_bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start"))
