@@ -15,7 +15,7 @@ from panelcast.operators import (
 from panelcast.operators.features import panel_features
 from panelcast.operators.runs import best_trial
 from panelcast.sources import records
-from panelcast.sources.stage import stage
+from panelcast.sources.stage import stage, staged_result
 from panelcast.spec import PanelSpec
 
 
@@ -64,9 +64,11 @@ def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = No
 
 def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None, saved_split: str | None = None,
             population: DataFrame | None = None, reuse_split: bool = False) -> Panel:
-    """Sample, aggregate, threshold, split and fit the scaler. Window rows and the outline are staged."""
+    """Sample, aggregate, threshold, split and fit the scaler. Window rows and the labelled outline are staged."""
     rows = windows.stage_windows(facts, spec, population)
-    labelled = label_outline(kept_outline(rows, spec, statics), spec, saved_split, reuse_split)
+    labelled = staged_result(
+        facts.sparkSession, "series",
+        lambda: label_outline(kept_outline(rows, spec, statics), spec, saved_split, reuse_split))
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
 

@@ -166,7 +166,7 @@ def test_nothing_staged_stays_behind(spark):
     before = {p.name for p in folder.iterdir()}
     with stage.staging_scope():
         panel = pipeline.prepare(spark.createDataFrame(small.facts()), SPEC)
-        assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before} == {"windows", "outline"}
+        assert {p.name.split("-")[0] for p in folder.iterdir() if p.name not in before} == {"windows", "series"}
         assert pipeline.evaluation_rows(panel).count() > 0
     assert {p.name for p in folder.iterdir()} == before
 
