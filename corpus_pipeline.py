@@ -22,8 +22,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, the one with the least ``doc_id``."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates (edited copies too), the one with the least ``doc_id``."""
+    return simhash.keep_first(docs, edited=True)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
