@@ -40,14 +40,26 @@ ROUNDS = 8
 
 _PIECE = 1 << 14
 _NOTHING = bytes(BITS // 8)
+_STEP = 0x9E3779B97F4A7C15
+#: One salt for each view, then one for each 64 bits of the fingerprint.
+_SALTS = np.array([(200 + i) * _STEP % 2**64 for i in range(VIEWS + BITS // 64)], np.uint64)
 
 
-def _mixed(h: np.ndarray, salt: int) -> np.ndarray:
-    """A bijection of 64-bit hashes, another one for every salt."""
-    x = h + np.uint64((salt + 1) * 0x9E3779B97F4A7C15 % 2**64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit integers that scatters them; ``x`` is overwritten."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
+    x ^= x >> np.uint64(31)
+    return x
+
+
+def _bit_sums(octets: np.ndarray) -> np.ndarray:
+    """How many rows have each bit; blocks of 255 rows are summed in bytes."""
+    bits = np.unpackbits(octets, axis=1)
+    even = len(bits) // 255 * 255
+    blocks = bits[:even].reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8)
+    return blocks.sum(axis=0, dtype=np.int64) + bits[even:].sum(axis=0, dtype=np.uint8)
 
 
 def shingle_hashes(text: bytes | None) -> np.ndarray:
@@ -60,7 +72,9 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
     n = len(tokens) - size + 1
     h = np.zeros(n, np.uint64)
     for i in range(size):
-        h = _mixed(h ^ of_word[i:i + n], i)
+        h ^= of_word[i:i + n]
+        h += np.uint64((i + 1) * _STEP % 2**64)
+        _mixed(h)
     return np.unique(h)
 
 
@@ -70,15 +84,14 @@ def sketch(text: bytes | None) -> tuple[bytes, list[int]]:
     if not len(h):
         return _NOTHING, []
     votes = np.zeros(BITS, np.int64)
+    least = np.empty((VIEWS, 0), np.uint64)
     for start in range(0, len(h), _PIECE):
-        piece = h[start:start + _PIECE]
-        wide = np.stack([_mixed(piece, 100 + i) for i in range(BITS // 64)], axis=1)
-        votes += np.unpackbits(wide.view(np.uint8), axis=1).sum(axis=0, dtype=np.uint32)
-    keys = []
-    for view in range(VIEWS):
-        order = _mixed(h, 200 + view)
-        least = np.sort(np.partition(order, KEY_SHINGLES - 1)[:KEY_SHINGLES] if len(h) > KEY_SHINGLES else order)
-        keys.append(xxh64_intdigest(least.tobytes(), view) - 2**63)
+        salted = _mixed(h[start:start + _PIECE] + _SALTS[:, None])
+        votes += _bit_sums(np.ascontiguousarray(salted[VIEWS:].T).view(np.uint8))
+        least = np.concatenate([least, salted[:VIEWS]], axis=1)
+        if least.shape[1] > KEY_SHINGLES:
+            least = np.partition(least, KEY_SHINGLES - 1, axis=1)[:, :KEY_SHINGLES]
+    keys = [xxh64_intdigest(row.tobytes(), view) - 2**63 for view, row in enumerate(np.sort(least, axis=1))]
     return np.packbits(votes * 2 > len(h)).tobytes(), keys
 
 
