@@ -31,7 +31,7 @@ from xxhash import xxh64_intdigest
 from panelcast.llm.bktree import groups
 from panelcast.llm.components import components
 from panelcast.llm.text import as_bytes, map_rows, words
-from panelcast.llm.wide_prints import sketch, wide_links
+from panelcast.llm.wide_prints import similar_links, sketch
 from panelcast.sources.stage import stage
 
 RADIUS = 3
@@ -171,14 +171,14 @@ def wide_fingerprints(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "fp", "wide", "keys")
 
 
-def least_of_edited(found: DataFrame) -> DataFrame:
-    """The least ``doc_id`` of each group of documents that either kind of fingerprint links."""
+def least_of_edited(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The least ``doc_id`` of each group of documents that fingerprints or a similarity of 0.8 or more link."""
     named = found.where(F.col("doc_id").isNotNull())
     nodes = stage(named.groupBy("wide").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys")), "wide_nodes")
     alike = stage(named.select("wide", "component_id").distinct(), "wide_components")
     least = alike.groupBy("component_id").agg(F.min("wide").alias("least"))
     edges = alike.join(least, "component_id").select(F.col("wide").alias("a"), F.col("least").alias("b"))
-    roots = components(edges.union(wide_links(nodes)), "wide_links").select(F.col("a").alias("wide"), F.col("b").alias("root"))
+    roots = components(edges.union(similar_links(docs, nodes)), "wide_links").select(F.col("a").alias("wide"), F.col("b").alias("root"))
     placed = nodes.select("wide", "doc_id").join(roots, "wide", "left")
     return placed.groupBy(F.coalesce("root", "wide")).agg(F.min("doc_id").alias("_kept_id")).select("_kept_id")
 
@@ -186,15 +186,15 @@ def least_of_edited(found: DataFrame) -> DataFrame:
 def keep_first(docs: DataFrame, edited: bool = False) -> DataFrame:
     """One document of each component, with all its columns: the one with the least ``doc_id``.
 
-    With ``edited``, documents of five-word shingle sets of a similarity of 0.8 or more are linked as well, by
-    their wide fingerprints (see ``wide_prints``); rows without ``doc_id`` take no part in that.
+    With ``edited``, documents of five-word shingle sets of a similarity of 0.8 or more are linked as well, found by
+    their wide fingerprints and compared exactly (see ``wide_prints``); rows without ``doc_id`` take no part in that.
     Of several rows with the least ``doc_id`` the first by text stays. Without any ``doc_id`` in a component
     the first row by text stays.
     """
     if edited:
         prints = stage(wide_fingerprints(docs), "wide_fingerprints")
         found = prints.join(label(prints), "fp")
-        named = least_of_edited(found)
+        named = least_of_edited(docs, found)
     else:
         found = near_duplicates(docs)
         named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id"))

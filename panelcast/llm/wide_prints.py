@@ -4,12 +4,17 @@ Texts whose shingle sets have a similarity (Jaccard) of 0.8 differ in about 15 %
 64 bits is more than blocks of equal bits can find. So a fingerprint here has 256 bits, and a text is filed
 in ``VIEWS`` shards, each named by the least ``KEY_SHINGLES`` shingles under an order of its own: two texts
 of similarity ``s`` share a given shard with probability of about ``s ** 4``, and at 0.8 some shard in 99.8 % of cases.
-Each shard gets a BK-tree in the task that holds it, and only fingerprints within ``RADIUS`` bits are linked.
+Each shard gets a BK-tree in the task that holds it, which groups fingerprints within ``RADIUS`` bits.
+
+That is the search. Groups of all shards are joined to clusters, and the shingle sets of clustered texts, and of
+those alone, are brought together once per cluster, where a BK-tree proposes pairs and the exact similarity decides:
+texts are linked at ``SIMILARITY`` or more and never below.
 
 A shard of more than ``SHARD_LIMIT`` fingerprints is dealt into chunks. Each chunk has a tree of its own, and one
 fingerprint of each group found goes on to the next round, until the shard fits or its groups are all apart
 (fewer than a tenth merged in a round). Links between chunks are thus sought between representatives; the other
-views deal the same texts otherwise.
+views deal the same texts otherwise. Clusters of more than ``CLUSTER_LIMIT`` texts or ``CLUSTER_SHINGLES`` shingles are
+dealt likewise, and what is then still apart is dealt by the shards within the cluster.
 
 Defined results: null and blank text has fingerprint zero and is in no shard; a text of fewer than five words is
 one shingle; repeated shingles count once.
@@ -18,6 +23,7 @@ one shingle; repeated shingles count once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +31,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from panelcast.llm.bktree import groups
-from panelcast.llm.text import words
+from panelcast.llm.bktree import BKTree, groups
+from panelcast.llm.components import components
+from panelcast.llm.text import as_bytes, map_rows, words
 from panelcast.sources.stage import stage
 
 SHINGLE = 5
 BITS = 256
 VIEWS = 12
 KEY_SHINGLES = 4
-#: Between the bits expected to differ at a similarity of 0.8 (39) and of 0.7 (49).
-RADIUS = 44
+#: At a similarity of 0.8, 39 bits are expected to differ, with a deviation of 5.7; this is three deviations more.
+RADIUS = 57
 SHARD_LIMIT = 1024
 ROUNDS = 8
+SIMILARITY = Fraction(4, 5)
+CLUSTER_LIMIT = 512
+CLUSTER_SHINGLES = 4 << 20
 
 _PIECE = 1 << 14
 _NOTHING = bytes(BITS // 8)
@@ -80,7 +90,11 @@ def shingle_hashes(text: bytes | None) -> np.ndarray:
 
 def sketch(text: bytes | None) -> tuple[bytes, list[int]]:
     """The fingerprint and the shards of a text."""
-    h = shingle_hashes(text)
+    return sketch_of(shingle_hashes(text))
+
+
+def sketch_of(h: np.ndarray) -> tuple[bytes, list[int]]:
+    """The fingerprint and the shards of a shingle set."""
     if not len(h):
         return _NOTHING, []
     votes = np.zeros(BITS, np.int64)
@@ -147,3 +161,115 @@ def wide_links(nodes: DataFrame) -> DataFrame:
         before = total
         rows = grouped.where("a = b").join(hot, "shard", "left_semi").select(F.col("a").alias("wide"), "shard")
     return found
+
+
+def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two arrays of distinct values have a similarity of ``SIMILARITY`` or more."""
+    sizes, num, den = len(a) + len(b), SIMILARITY.numerator, SIMILARITY.denominator
+    if min(len(a), len(b)) * (num + den) < num * sizes:  # even one within the other would not do
+        return False
+    return len(np.intersect1d(a, b, assume_unique=True)) * (num + den) >= num * sizes
+
+
+def similar_groups(prints: list[int], sets: list[np.ndarray]) -> list[int]:
+    """For each set, the place of the first one of its group; pairs come from a BK-tree, nearest first."""
+    root = list(range(len(prints)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    tree = BKTree()  # prints are distinct, so nodes are numbered as they are
+    for i, value in enumerate(prints):
+        for j in sorted(tree.near(value, RADIUS), key=lambda j: (value ^ prints[j]).bit_count()):
+            a, b = find(i), find(j)
+            if a != b and are_similar(sets[i], sets[j]):
+                root[max(a, b)] = min(a, b)
+        tree.add(value)
+    return [find(i) for i in range(len(prints))]
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text with the first one of its group in its part; rows come ordered by part, which may span batches.
+
+    The first of each group keeps its shingles if its part is one of several (``dealt``).
+    """
+    schema = pa.schema([("cluster", pa.int64()), ("a", pa.binary()), ("b", pa.binary()),
+                        ("keys", pa.list_(pa.int64())), ("shingles", pa.list_(pa.int64()))])
+
+    def of_part(rows: dict[bytes, tuple]) -> pa.RecordBatch:
+        prints = list(rows)
+        own = similar_groups([int.from_bytes(p) for p in prints], [r[2] for r in rows.values()])
+        on = [r[3] and i == first for i, (first, r) in enumerate(zip(own, rows.values()))]
+        columns = [[r[0] for r in rows.values()], prints, [prints[i] for i in own],
+                   [r[1] if goes else None for goes, r in zip(on, rows.values())],
+                   [r[2] if goes else None for goes, r in zip(on, rows.values())]]
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+    part, held = None, {}
+    for batch in batches:
+        names = ("part", "cluster", "wide", "keys", "dealt")
+        shingles = batch.column("shingles")
+        for i, (at, cluster, wide, keys, dealt) in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            if held and at != part:
+                yield of_part(held)
+                held = {}
+            # a copy, so that a batch need not be kept for one of its rows; rows that come twice are one
+            part = at
+            if wide not in held:
+                held[wide] = (cluster, keys, shingles[i].values.to_numpy(zero_copy_only=False).copy(), dealt)
+    if held:
+        yield of_part(held)
+
+
+def _shingled(rows: DataFrame) -> DataFrame:
+    """``cluster``, ``wide``, ``keys`` and ``shingles`` of the texts whose fingerprint is the ``node`` they are joined to."""
+
+    def of_batch(batch: pa.RecordBatch) -> list[list]:
+        sets = [shingle_hashes(t) for t in as_bytes(batch.column("text"))]
+        sketches = [sketch_of(h) for h in sets]
+        return [[s[0] for s in sketches], [s[1] for s in sketches], [h.view(np.int64) for h in sets]]
+
+    made = map_rows(rows, of_batch, "wide binary, keys array<bigint>, shingles array<bigint>")
+    return made.where("wide = node").select("cluster", "wide", "keys", "shingles")
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(a, b)``: edges between fingerprints of ``nodes`` whose texts have a similarity of 0.8 or more.
+
+    ``nodes`` has each fingerprint ``wide`` once, with its shards ``keys`` and the ``doc_id`` of a text of ``docs``.
+    """
+    roots = components(wide_links(nodes), "wide_clusters").toDF("node", "root")
+    clusters = roots.union(roots.select("root", "root").distinct()).select("node", F.xxhash64("root").alias("cluster"))
+    members = nodes.select("doc_id", F.col("wide").alias("node")).join(clusters, "node")
+    rows = stage(_shingled(docs.select("doc_id", "text").join(members, "doc_id")), "similar_texts")
+    found, before, by_shard = None, None, False
+    while True:
+        weighed = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
+        chunks = F.greatest(F.ceil(F.col("n") / CLUSTER_LIMIT), F.ceil(F.col("total") / CLUSTER_SHINGLES))
+        hot = stage(weighed.withColumn("chunks", chunks * 2).where("chunks > 2"), "hot_clusters")
+        left = hot.agg(F.sum("n")).first()[0] or 0
+        if before is not None and left > 0.75 * before:
+            if by_shard:
+                break
+            # what is apart in chunks is compared within the shards that its texts share
+            by_shard, before = True, None
+            rows = stage(rows.withColumn("cluster", F.explode(F.transform("keys", lambda k: F.xxhash64("cluster", k)))),
+                         "similar_texts")
+            continue
+        placed = rows.join(hot.select("cluster", "chunks"), "cluster", "left")
+        chunk = F.coalesce(F.pmod(F.xxhash64("wide", F.lit(left)), F.col("chunks")), F.lit(0))
+        parts = placed.select("cluster", "wide", "keys", "shingles", F.col("chunks").isNotNull().alias("dealt"),
+                              F.xxhash64("cluster", chunk).alias("part"))
+        parts = parts.repartition("part").sortWithinPartitions("part", "wide")
+        compared = stage(parts.mapInArrow(
+            _compared, "cluster bigint, a binary, b binary, keys array<bigint>, shingles array<bigint>"), "similar_groups")
+        links = compared.where("a <> b").select("a", "b")
+        found = links if found is None else found.union(links)
+        if not left:
+            break
+        before = left
+        rows = compared.where("shingles is not null").select("cluster", F.col("a").alias("wide"), "keys", "shingles")
+    return found
