@@ -134,9 +134,15 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield of_part(held)
 
 
+def _by_part(rows: DataFrame) -> DataFrame:
+    """Rows ordered by ``part``, in as many tasks as the session shuffles to: few bytes cost much to compare, so
+    adaptive execution must not merge them."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(tasks, "part").sortWithinPartitions("part", "wide")
+
+
 def _in_trees(rows: DataFrame) -> DataFrame:
-    dealt = rows.select("part", "shard", "wide").repartition("part").sortWithinPartitions("part", "wide")
-    return dealt.mapInArrow(_grouped, "shard bigint, a binary, b binary")
+    return _by_part(rows.select("part", "shard", "wide")).mapInArrow(_grouped, "shard bigint, a binary, b binary")
 
 
 def wide_links(nodes: DataFrame) -> DataFrame:
@@ -263,8 +269,7 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         chunk = F.coalesce(F.pmod(F.xxhash64("wide", F.lit(left)), F.col("chunks")), F.lit(0))
         parts = placed.select("cluster", "wide", "keys", "shingles", F.col("chunks").isNotNull().alias("dealt"),
                               F.xxhash64("cluster", chunk).alias("part"))
-        parts = parts.repartition("part").sortWithinPartitions("part", "wide")
-        compared = stage(parts.mapInArrow(
+        compared = stage(_by_part(parts).mapInArrow(
             _compared, "cluster bigint, a binary, b binary, keys array<bigint>, shingles array<bigint>"), "similar_groups")
         links = compared.where("a <> b").select("a", "b")
         found = links if found is None else found.union(links)
