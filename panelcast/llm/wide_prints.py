@@ -11,10 +11,12 @@ those alone, are brought together once per cluster, where a BK-tree proposes pai
 texts are linked at ``SIMILARITY`` or more and never below.
 
 A shard of more than ``SHARD_LIMIT`` fingerprints is dealt into chunks. Each chunk has a tree of its own, and one
-fingerprint of each group found goes on to the next round, until the shard fits or its groups are all apart
-(fewer than a tenth merged in a round). Links between chunks are thus sought between representatives; the other
-views deal the same texts otherwise. Clusters of more than ``CLUSTER_LIMIT`` texts or ``CLUSTER_SHINGLES`` shingles are
-dealt likewise, and what is then still apart is dealt by the shards within the cluster.
+fingerprint of each group found goes on to the next round, until the shard fits or few more merge. Clusters of more
+than ``CLUSTER_LIMIT`` texts or ``CLUSTER_SHINGLES`` shingles are dealt likewise. These rounds are a short cut that joins
+what is plainly alike. What a dealt shard or cluster then holds in several components is compared in full: all its
+members, representatives or not, are dealt into chunks once more, and any two of different components meet in a part
+(``crossed``). So the work of a large group grows with the pairs that its components leave open, in tasks of two
+chunks each; no round or limit ends it.
 
 Defined results: null and blank text has fingerprint zero and is in no shard; a text of fewer than five words is
 one shingle; repeated shingles count once.
@@ -145,6 +147,147 @@ def _in_trees(rows: DataFrame) -> DataFrame:
     return _by_part(rows.select("part", "shard", "wide")).mapInArrow(_grouped, "shard bigint, a binary, b binary")
 
 
+def crossed(members: DataFrame) -> DataFrame:
+    """``part``, ``chunk``, ``wide`` and ``root``: any two members of a ``group`` that differ in ``root`` meet in a part.
+
+    ``weight`` is the share of a chunk that a member fills. The members of the group's largest root never meet each
+    other; their chunks meet each chunk of the rest, and the chunks of the rest each other. A group of one root is done.
+    """
+    of_root = members.groupBy("group", "root").agg(F.sum("weight").alias("weight"))
+    sizes = of_root.groupBy("group").agg(
+        F.max_by("root", F.struct("weight", "root")).alias("core"), F.max("weight").alias("in_core"),
+        F.sum("weight").alias("total"), F.count("*").alias("roots")).where("roots > 1")
+    whole = lambda weight: F.greatest(F.lit(1), F.ceil(F.round(weight, 6)).cast("int"))
+    sizes = sizes.select("group", "core", whole(F.col("in_core")).alias("n_core"),
+                         whole(F.col("total") - F.col("in_core")).alias("n_rest"))
+    placed = members.join(sizes, "group").withColumn("is_core", F.col("root") == F.col("core"))
+    placed = placed.withColumn("at", F.pmod(F.xxhash64("wide", F.lit(-1)), F.when(F.col("is_core"), F.col("n_core")).otherwise(
+        F.col("n_rest"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    part = lambda kind, i, j: F.xxhash64("group", F.lit(kind), i, j)
+    at = F.col("at")
+    parts = F.when(F.col("is_core"), F.transform(up_to("n_rest"), lambda r: part(0, at, r))).otherwise(F.concat(
+        F.transform(up_to("n_core"), lambda c: part(0, c, at)),
+        F.transform(up_to("n_rest"), lambda r: part(1, F.least(at, r), F.greatest(at, r)))))
+    chunk = (at * 2 + F.col("is_core").cast("int")).cast("bigint")
+    return placed.select(F.explode(parts).alias("part"), chunk.alias("chunk"), "wide", "root")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the ``root`` of their component."""
+    return members.join(roots.toDF("wide", "root"), "wide", "left").withColumn("root", F.coalesce("root", "wide"))
+
+
+class _Open:
+    """The rows of one part by place, and which of them are still to be compared: not of one label, and of different
+    chunks unless the part is one chunk."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes, bytes]]) -> None:
+        self.prints = [r[2] for r in rows]
+        self._bits = np.frombuffer(b"".join(self.prints), np.uint64).reshape(len(rows), -1)
+        self._chunks = np.array([r[1] for r in rows], np.int64)
+        self._one = bool((self._chunks == self._chunks[0]).all())
+        numbers: dict[bytes, int] = {}
+        self._labels = np.array([numbers.setdefault(r[3], len(numbers)) for r in rows], np.int64)
+
+    def near(self, i: int) -> np.ndarray:
+        """Places before ``i`` whose fingerprints are within the radius."""
+        ok = self._labels[:i] != self._labels[i]
+        if not self._one:
+            ok &= self._chunks[:i] != self._chunks[i]
+        at = np.flatnonzero(ok)
+        return at[np.bitwise_count(self._bits[at] ^ self._bits[i]).sum(axis=1) <= RADIUS]
+
+    def join(self, i: int, at: np.ndarray) -> list[int]:
+        """Give ``at`` the label of ``i``; one place of each label that this joins."""
+        if not len(at):
+            return []
+        labels, first = np.unique(self._labels[at], return_index=True)
+        self._labels[np.isin(self._labels, labels)] = self._labels[i]
+        return at[first].tolist()
+
+
+def _parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """The rows ``(part, chunk, wide, root, ...)`` of each part; they come ordered by part, which may span batches."""
+    held: list[tuple] = []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in ("part", "chunk", "wide", "root")]
+        if "shingles" in batch.schema.names:
+            sets = batch.column("shingles")
+            columns.append([sets[i].values.to_numpy(zero_copy_only=False).copy() for i in range(len(sets))])
+        for row in zip(*columns):
+            if held and held[0][0] != row[0]:
+                yield held
+                held = []
+            if not held or held[-1][2] != row[2]:  # ordered by wide too; rows that come twice are one
+                held.append(row)
+    if held:
+        yield held
+
+
+def _edges(prints: list[bytes], pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([prints[p[k]] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+
+class _Overlaps:
+    """Which sets of a part are similar to one of them, counted exactly."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self._sizes = np.array([len(x) for x in sets], np.int64)
+        self._ends = np.cumsum(self._sizes)
+        values, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        self._numbers, self._has = numbers, np.zeros(len(values), np.int32)
+
+    def _own(self, i: int) -> np.ndarray:
+        return self._numbers[self._ends[i] - self._sizes[i]:self._ends[i]]
+
+    def similar(self, i: int, at: np.ndarray) -> np.ndarray:
+        """Those of the places ``at`` whose sets are similar to set ``i``."""
+        num, den = SIMILARITY.numerator, SIMILARITY.denominator
+        sums = self._sizes[at] + self._sizes[i]
+        fits = np.minimum(self._sizes[at], self._sizes[i]) * (num + den) >= num * sums
+        at, sums = at[fits], sums[fits]
+        if not len(at):
+            return at
+        own = self._own(i)
+        self._has[own] = 1
+        if len(at) * 4 > len(self._sizes):
+            shared = np.add.reduceat(self._has[self._numbers], self._ends - self._sizes)[at]
+        else:
+            shared = np.fromiter((self._has[self._own(j)].sum() for j in at.tolist()), np.int64, len(at))
+        self._has[own] = 0
+        return at[shared * (num + den) >= num * sums]
+
+
+def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the labels of each part whose fingerprints are within the radius."""
+    for rows in _parts_of(batches):
+        opened = _Open(rows)
+        yield _edges(opened.prints, [(i, j) for i in range(len(rows)) for j in opened.join(i, opened.near(i))])
+
+
+def _contested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part that have another one of it within the radius."""
+    names = ["part", "chunk", "wide", "root"]
+    types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+    for rows in _parts_of(batches):
+        opened, hit = _Open(rows), np.zeros(len(rows), bool)
+        for i in range(len(rows)):
+            at = opened.near(i)
+            hit[at] = True
+            hit[i] |= len(at) > 0
+        kept = [rows[i] for i in np.flatnonzero(hit).tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], t) for k, t in enumerate(types)], names)
+
+
+def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges that join the labels of each part whose sets are similar and fingerprints within the radius."""
+    for rows in _parts_of(batches):
+        opened, overlaps = _Open(rows), _Overlaps([r[4] for r in rows])
+        yield _edges(opened.prints, [
+            (i, j) for i in range(len(rows)) for j in opened.join(i, overlaps.similar(i, opened.near(i)))])
+
+
 def wide_links(nodes: DataFrame) -> DataFrame:
     """``(a, b)``: edges between distinct fingerprints ``wide`` that are filed in the shards ``keys``."""
     rows = stage(nodes.select("wide", F.explode("keys").alias("shard")), "wide_shards")
@@ -250,21 +393,16 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     roots = components(wide_links(nodes), "wide_clusters").toDF("node", "root")
     clusters = roots.union(roots.select("root", "root").distinct()).select("node", F.xxhash64("root").alias("cluster"))
     members = nodes.select("doc_id", F.col("wide").alias("node")).join(clusters, "node")
-    rows = stage(_shingled(docs.select("doc_id", "text").join(members, "doc_id")), "similar_texts")
-    found, before, by_shard = None, None, False
+    texts = stage(_shingled(docs.select("doc_id", "text").join(members, "doc_id")), "similar_texts")
+    rows, found, before, dealt = texts, None, None, None
     while True:
         weighed = rows.groupBy("cluster").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("total"))
         chunks = F.greatest(F.ceil(F.col("n") / CLUSTER_LIMIT), F.ceil(F.col("total") / CLUSTER_SHINGLES))
         hot = stage(weighed.withColumn("chunks", chunks * 2).where("chunks > 2"), "hot_clusters")
         left = hot.agg(F.sum("n")).first()[0] or 0
+        dealt = hot if dealt is None else dealt
         if before is not None and left > 0.75 * before:
-            if by_shard:
-                break
-            # what is apart in chunks is compared within the shards that its texts share
-            by_shard, before = True, None
-            rows = stage(rows.withColumn("cluster", F.explode(F.transform("keys", lambda k: F.xxhash64("cluster", k)))),
-                         "similar_texts")
-            continue
+            break
         placed = rows.join(hot.select("cluster", "chunks"), "cluster", "left")
         chunk = F.coalesce(F.pmod(F.xxhash64("wide", F.lit(left)), F.col("chunks")), F.lit(0))
         parts = placed.select("cluster", "wide", "keys", "shingles", F.col("chunks").isNotNull().alias("dealt"),
@@ -277,4 +415,15 @@ def similar_links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             break
         before = left
         rows = compared.where("shingles is not null").select("cluster", F.col("a").alias("wide"), "keys", "shingles")
-    return found
+    if before is None:
+        return found
+    # all texts of dealt clusters, not those alone that stood for others, as far as components leave pairs open
+    members = texts.join(dealt.select("cluster"), "cluster", "left_semi").groupBy("cluster", "wide").agg(
+        F.max(F.size("shingles")).alias("n")).select(F.col("cluster").alias("group"), "wide", F.greatest(
+            F.lit(2 / CLUSTER_LIMIT), F.col("n") * 2 / CLUSTER_SHINGLES).alias("weight"))
+    open_rows = crossed(stage(_rooted(members, components(found, "similar_roots")), "similar_members"))
+    contested = stage(_by_part(open_rows).mapInArrow(
+        _contested, "part bigint, chunk bigint, wide binary, root binary"), "similar_contested")
+    full = _by_part(contested.join(texts.select("wide", "shingles"), "wide").select(
+        "part", "chunk", "wide", "root", "shingles"))
+    return found.union(full.mapInArrow(_similar, "a binary, b binary"))
