@@ -290,14 +290,15 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def wide_links(nodes: DataFrame) -> DataFrame:
     """``(a, b)``: edges between distinct fingerprints ``wide`` that are filed in the shards ``keys``."""
-    rows = stage(nodes.select("wide", F.explode("keys").alias("shard")), "wide_shards")
-    found, before = None, None
+    filed = stage(nodes.select("wide", F.explode("keys").alias("shard")), "wide_shards")
+    rows, found, before, dealt = filed, None, None, None
     for k in range(ROUNDS):
         counts = rows.groupBy("shard").count()
         # a shard of one has nothing to link; a large one is dealt into chunks
         sizes = stage(counts.where(F.col("count") > 1), "wide_sizes")
         hot = sizes.where(F.col("count") > SHARD_LIMIT)
         total = hot.agg(F.sum("count")).first()[0] or 0
+        dealt = hot if dealt is None else dealt
         apart = before is not None and total > 0.9 * before
         chunks = F.ceil(F.col("count") * 2 / SHARD_LIMIT)
         chunk = F.when(F.col("count") > SHARD_LIMIT, F.pmod(F.xxhash64("wide", F.lit(k)), chunks)).otherwise(F.lit(0))
@@ -309,7 +310,13 @@ def wide_links(nodes: DataFrame) -> DataFrame:
             break
         before = total
         rows = grouped.where("a = b").join(hot, "shard", "left_semi").select(F.col("a").alias("wide"), "shard")
-    return found
+    if before is None:
+        return found
+    # all fingerprints of dealt shards, not those alone that stood for others, as far as components leave pairs open
+    members = filed.join(dealt, "shard", "left_semi").select(
+        F.col("shard").alias("group"), "wide", F.lit(2 / SHARD_LIMIT).alias("weight"))
+    open_rows = crossed(stage(_rooted(members, components(found, "wide_roots")), "wide_members"))
+    return found.union(_by_part(open_rows).mapInArrow(_close, "a binary, b binary"))
 
 
 def are_similar(a: np.ndarray, b: np.ndarray) -> bool:
