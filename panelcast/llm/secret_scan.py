@@ -1,12 +1,13 @@
 """Secret scans: three plain patterns, and a token-efficiency test for random strings.
 
 Ordinary text takes few tokens of a byte-pair vocabulary; random keys take many. A run of key characters
-whose characters per token fall below ``MAX_RATIO`` is a secret, unless it is a known kind of digest or
-identifier: a digest in hex, a UUID, a number or date, an e-mail address, host name or file name, a path,
-or words joined by punctuation. Spans are in code points, the end excluded.
+whose characters per token fall below the ratio for its length is a secret, unless it is a known kind of digest or
+identifier: a digest in hex, a UUID, a number or date, a whole e-mail address, or the host of an address. Letters with
+at most four digits behind them could be a name and need a lower ratio. Of a run that is no secret itself the pieces
+between ``/``, ``_`` and ``-`` are tested, of an address each part. Spans are in code points, the end excluded.
 
-Defined results: null text is empty; overlapping spans of different kinds are all reported; a ``token`` span
-never overlaps one of the plain kinds; repeated rows are scanned once each; other columns are ignored.
+Defined results: null text is empty; overlapping spans of different kinds are all reported; of a ``token`` span
+that overlaps plain kinds the parts outside of those stay; repeated rows are scanned once each; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,12 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KINDS = ("assign", "access", "hex", "token")
 MASK = "[SECRET]"
-MIN_LENGTH = 20
-MAX_RATIO = 2.0
+MIN_LENGTH = 12
+#: Least lengths with the ratio that holds from there, for keys and for what could be a name.
+KEY_RATIOS = ((20, 2.0), (MIN_LENGTH, 1.75))
+NAME_RATIOS = ((20, 1.9), (16, 1.6))
+#: Keys with marks between their characters are tested whole from this length.
+MARKED_LENGTH = 20
 
 _ASSIGN = re.compile(
     r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -41,11 +46,12 @@ _KEY = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % MIN_LENGTH)
 _KNOWN = re.compile(
     r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})"  # digests
     r"|[0-9a-f]{8}(?:-[0-9a-f]{4}){3}-[0-9a-f]{12}"  # UUIDs
-    r"|[0-9+/_=.:-]+"  # numbers, dates, rules of dashes
-    r"|[^@]*@[^@]*|[a-z]+://.*", re.IGNORECASE)  # addresses
+    r"|[0-9+/_=.:-]+", re.IGNORECASE)  # numbers, dates, rules of dashes
+_MAIL = re.compile(r"(?:mailto:)?[A-Za-z0-9_.+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}[.:]?")
+_HOST = re.compile(r"(?:://(?:[^/@]*@)?|@)((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,63})(?=[:/.]|$)")
 #: Letters with at most four digits behind them, joined by single marks: names of code, files, hosts and paths.
 _NAME = re.compile(r"/?(?:[A-Za-z]*[0-9]{0,4})(?:[/_.:-][A-Za-z]*[0-9]{0,4})*")
-_DIGIT = re.compile(r"[0-9]")
+_MARKS = "/_-"
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -63,24 +69,63 @@ def plain_spans(text: str) -> list[tuple[str, int, int]]:
     return spans
 
 
-def is_random(key: str, count_tokens: Callable[[str], int], max_ratio: float = MAX_RATIO) -> bool:
+def is_random(key: str, count_tokens: Callable[[str], int]) -> bool:
     """Whether the key takes many tokens for its length and is no known kind of identifier."""
-    if _KNOWN.fullmatch(key) or _NAME.fullmatch(key) or not _DIGIT.search(key) or len(set(key)) < 8:
+    marked = any(mark in key for mark in _MARKS)
+    if len(key) < (MARKED_LENGTH if marked else MIN_LENGTH) or len(set(key)) < 8 or _KNOWN.fullmatch(key):
         return False
-    return len(key) < max_ratio * count_tokens(key)
+    named = _NAME.fullmatch(key)
+    if named and marked:
+        return False
+    ratio = next((ratio for least, ratio in (NAME_RATIOS if named else KEY_RATIOS) if len(key) >= least), 0.0)
+    return len(key) < ratio * count_tokens(key)
+
 
+def random_parts(text: str, start: int, end: int, count_tokens: Callable[[str], int], marks: str = _MARKS,
+                 whole: bool = True) -> list[tuple[int, int]]:
+    """The key from ``start`` to ``end`` if it is random, else what is random of its pieces between the marks."""
+    key = text[start:end]
+    if len(key) < MIN_LENGTH or _KNOWN.fullmatch(key):
+        return []
+    known = any(len(piece) >= 32 and _KNOWN.fullmatch(piece) for piece in key.replace("_", "/").split("/"))
+    if whole and not known and is_random(key, count_tokens):
+        return [(start, end)]
+    if not marks:
+        return []
+    if marks[0] not in key:
+        return random_parts(text, start, end, count_tokens, marks[1:], not whole)
+    out = []
+    for piece in key.split(marks[0]):
+        out += random_parts(text, start, start + len(piece), count_tokens, marks[1:])
+        start += len(piece) + 1
+    return out
 
-def token_spans(text: str, count_tokens: Callable[[str], int], max_ratio: float = MAX_RATIO):
+
+def token_spans(text: str, count_tokens: Callable[[str], int]) -> list[tuple[str, int, int]]:
     spans = []
     for run in _RUN.finditer(text):
-        if _KNOWN.fullmatch(run[0]):
+        if _KNOWN.fullmatch(run[0]) or _MAIL.fullmatch(run[0]):
             continue
-        for m in _KEY.finditer(text, *run.span()):
-            if is_random(m[0], count_tokens, max_ratio):
-                spans.append(("token", *m.span()))
+        whole, at = "://" not in run[0], run.start()
+        hosts = [(run.start() + m.start(1), run.start() + m.end(1)) for m in _HOST.finditer(run[0])] if not whole or "@" in run[0] else []
+        for a, b in [*hosts, (run.end(), run.end())]:
+            for m in _KEY.finditer(text, at, a):
+                spans += [("token", *part) for part in random_parts(text, *m.span(), count_tokens, whole=whole)]
+            at = b
     return spans
 
 
+def outside(span: tuple[str, int, int], plain: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The parts of a span that no plain span covers; one of the latter that covers none of it changes nothing."""
+    kind, start, end = span
+    out = []
+    for _, a, b in sorted(plain, key=lambda s: s[1:]):
+        if a < end and b > start:
+            out.append((kind, start, a))
+            start = b
+    return [s for s in [*out, (kind, start, end)] if s[1] < s[2]]
+
+
 def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -90,8 +135,8 @@ def secret_spans(text: str | None, count_tokens: Callable[[str], int]) -> list[t
     if not text:
         return []
     plain = plain_spans(text)
-    added = [s for s in token_spans(text, count_tokens) if all(s[2] <= a or s[1] >= b for _, a, b in plain)]
-    return ordered(plain + added)
+    added = [part for s in token_spans(text, count_tokens) for part in outside(s, plain)]
+    return ordered(plain + [s for s in added if any(c.isalnum() for c in text[s[1]:s[2]])])
 
 
 def listed(spans: list[tuple[str, int, int]]) -> str:
