@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
-    decontaminate, langid, licenses, lm, mixing, ngram_quality, rule_ensemble, secret_scan, simhash, token_counts, urls,
+    decontaminate, langid, licenses, lm, merkle, mixing, ngram_quality, rule_ensemble, secret_scan, simhash, token_counts,
+    urls,
 )
 from panelcast.llm.text import read
 
@@ -27,10 +28,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": on("documents", secret_scan.query),
     "op9_benchmark_decontamination": on("documents", decontaminate.query, "benchmark"),
     "op10_language_id": on("documents", langid.query),
+    "op11_merkle_manifest": on("documents", merkle.query),
     "op12_token_counts": on("documents", token_counts.query),
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filters": urls.SQL,
     "op3_curriculum_mix": mixing.SQL,
+    "op11_merkle_manifest": merkle.SQL,
 }
