@@ -30,7 +30,8 @@ def running_total(df: DataFrame, order: list[str], weight: Column, before: str,
     return out.drop("_slice", "_weight", "_slice_before", "_total")
 
 
-def total_within(df: DataFrame, group: str, order: list[str], weight: Column, before: str) -> DataFrame:
+def total_within(df: DataFrame, group: str, order: list[str], weight: Column, before: str,
+                 total: str | None = None) -> DataFrame:
     """The same running total, started anew in each group; a group of any size spans many slices.
 
     The table of sums has a row per slice and group that meet: slices and groups together at most.
@@ -38,10 +39,13 @@ def total_within(df: DataFrame, group: str, order: list[str], weight: Column, be
     placed = _sliced(df, [group, *order], weight)
     earlier = Window.partitionBy(group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = placed.groupBy("_slice", group).agg(F.sum("_weight").alias("_size")).select(
-        "_slice", group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_slice_before")
+        "_slice", group, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_slice_before"),
+        F.sum("_size").over(Window.partitionBy(group)).alias("_total"),
     )
     out = _finished(placed.join(slices, ["_slice", group]), ["_slice", group], order, before)
-    return out.drop("_slice", "_weight", "_slice_before")
+    if total is not None:
+        out = out.withColumn(total, F.col("_total"))
+    return out.drop("_slice", "_weight", "_slice_before", "_total")
 
 
 def _sliced(df: DataFrame, order: list[str], weight: Column) -> DataFrame:
