@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelcast.llm import (
-    decontaminate, langid, licenses, lm, merkle, mixing, ngram_quality, rule_ensemble, secret_scan, simhash, token_counts,
-    urls,
+    decontaminate, langid, lexical, licenses, lm, merkle, mixing, ngram_quality, rule_ensemble, secret_scan, simhash,
+    token_counts, urls,
 )
 from panelcast.llm.text import read
 
@@ -30,10 +30,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": on("documents", langid.query),
     "op11_merkle_manifest": on("documents", merkle.query),
     "op12_token_counts": on("documents", token_counts.query),
+    "op13_ranked_search": on("documents", lexical.query, "benchmark"),
 }
 
 ORACLE: dict[str, str] = {
     "op2_url_filters": urls.SQL,
     "op3_curriculum_mix": mixing.SQL,
     "op11_merkle_manifest": merkle.SQL,
+    "op13_ranked_search": lexical.SQL,
 }
