@@ -6,13 +6,14 @@ from pyspark.ml import Model
 from pyspark.ml.base import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelcast.functions import targets
 from panelcast.operators import losses
+from panelcast.operators.boosting import FORECAST, Training, fit_rounds
 from panelcast.operators.losses import forecast_of
-from panelcast.operators.sequences import coverage
+from panelcast.operators.sequences import batched_steps, coverage
 from panelcast.spec import PanelSpec
 
 HISTORY_SCHEMA = "model string, trial bigint, epoch bigint, train_loss double, val_loss double"
@@ -51,6 +52,22 @@ def fit(family: str, features: DataFrame, spec: PanelSpec, **params) -> Model:
     return estimator.fit(train)
 
 
+def fit_early(features: DataFrame, spec: PanelSpec, before: str, patience: int | None = None, **params) -> Training:
+    """Boosting on the training split that stops ``patience`` rounds (the panel's by default) after its last gain on validation.
+
+    ``before`` names the column with the number of earlier evaluation windows.
+    """
+    validate = assemble(batched_steps(features.filter(F.col("split") == "validate"), spec, before), spec)
+    kept = validate.select(*spec.pair, "start", "position", "batch_id", "y", "w", "features")
+    return fit_rounds(training_rows(features, spec), kept, spec, spec.patience if patience is None else patience, **params)
+
+
+def early_history(training: Training, spark: SparkSession, name: str = FORECAST, trial: int = 0) -> DataFrame:
+    """The rounds that ran, as a run history without training losses."""
+    rows = [(name, trial, k, None, loss) for k, loss in enumerate(training.losses, 1)]
+    return spark.createDataFrame(rows, HISTORY_SCHEMA)
+
+
 def predict(models: dict[str, Model], features: DataFrame, spec: PanelSpec) -> DataFrame:
     """Score every step of whole series in one pass; each family adds its transformed ``yhat_<family>``."""
     scored = assemble(features, spec)

@@ -35,10 +35,10 @@ def by_model(rows: DataFrame, models: list[str], parts: tuple[str, ...] = ("yhat
     return rows.select(*[c for c in rows.columns if c not in own], F.inline(F.array(*each)))
 
 
-def with_differences(rows: DataFrame, models: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
-    """First and second differences of truth and forecasts, with mid-point weights; a row per step and model.
+def differenced(rows: DataFrame, models: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
+    """Steps with levels, first and second differences of truth (``t0`` to ``t2``) and of each model's forecast.
 
-    Differences stay inside one look-back window, so each sort group has L rows.
+    Mid-point weights are ``w0`` to ``w2``. Differences stay inside one look-back window, so each sort group has L rows.
     """
     step = Window.partitionBy(*spec.pair, "start").orderBy("position")
     level = rows.withColumns({
@@ -56,14 +56,23 @@ def with_differences(rows: DataFrame, models: list[str], spec: PanelSpec, space:
             *[(F.col(last) - lagged(last)).alias(name) for name, last in parts.items()],
             ((F.col(weight) + lagged(weight)) * 0.5).alias(f"w{order}"),
         )
-    return by_model(level, models, ("yhat", "p0", "p1", "p2"))
+    return level
+
+
+def with_differences(rows: DataFrame, models: list[str], spec: PanelSpec, space: str | None = None) -> DataFrame:
+    """First and second differences of truth and forecasts, with mid-point weights; a row per step and model."""
+    return by_model(differenced(rows, models, spec, space), models, ("yhat", "p0", "p1", "p2"))
 
 
-def shape_terms(spec: PanelSpec) -> dict[str, Column]:
-    """Aggregates over rows with differences. A group without differences has zero for that term."""
+def shape_terms(spec: PanelSpec, model: str | None = None) -> dict[str, Column]:
+    """Aggregates over rows with differences. A group without differences has zero for that term.
+
+    ``model`` takes the model's own columns of ``differenced``.
+    """
+    own = "" if model is None else f"_{model}"
 
     def term(order: int) -> Column:
-        return weighted_mse(F.col(f"p{order}") - F.col(f"t{order}"), F.col(f"w{order}" if order else "w"))
+        return weighted_mse(F.col(f"p{order}{own}") - F.col(f"t{order}"), F.col(f"w{order}" if order else "w"))
 
     return {
         "base_loss": term(0),
@@ -93,12 +102,15 @@ def level_loss(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpe
 def mean_batch_loss(rows: DataFrame, models: list[str], by: list[str], spec: PanelSpec) -> DataFrame:
     """Means over batches of the total loss and of the level loss in transformed space.
 
-    Rows carry ``batch_id``; both means come from one pass over them.
+    Rows carry ``batch_id``; both means of all models come from one pass over them. Models stand side by side until
+    their batches are summed, so no step is ever copied.
     """
-    batches = with_differences(rows, models, spec).groupBy(*by, "batch_id").agg(
-        *[c.alias(name) for name, c in shape_terms(spec).items()],
-        weighted_mse(F.col("yhat") - F.col("y"), F.col("w")).alias("level_loss"),
-    )
+    groups = [c for c in by if c != "model"]
+    sums, terms = [], ("base_loss", "slope_loss", "curvature_loss", "level_loss")
+    for m in models:
+        own = shape_terms(spec, m) | {"level_loss": weighted_mse(F.col(forecast_of(m)) - F.col("y"), F.col("w"))}
+        sums += [own[term].alias(f"{term}_{m}") for term in terms]
+    batches = by_model(differenced(rows, models, spec).groupBy(*groups, "batch_id").agg(*sums), models, terms)
     return with_total(batches, spec).groupBy(*by).agg(
         F.count("*").alias("n_batches"),
         F.avg("total_loss").alias("mean_batch_loss"),

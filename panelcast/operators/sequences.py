@@ -77,14 +77,14 @@ def scored_steps(rows: DataFrame, spec: PanelSpec) -> DataFrame:
     return rows.filter(position < complete).withColumn("start", position - position % length)
 
 
-def coverage(spec: PanelSpec) -> Column:
-    """How many overlapping training windows hold this step.
+def coverage(spec: PanelSpec, order: int = 0) -> Column:
+    """How many overlapping training windows hold this step and the ``order`` steps before it.
 
     Fitting a per-step model on all overlapping windows equals fitting it on single steps weighted
-    by this count, without making L copies of the data.
+    by this count, without making L copies of the data. The same goes for differences of neighbouring steps.
     """
     first = F.greatest(F.lit(0), F.col("position") - spec.lookback + 1)
-    last = F.least(F.col("position"), F.col("valid_length") - spec.lookback)
+    last = F.least(F.col("position") - order, F.col("valid_length") - spec.lookback)
     count = F.floor(last / spec.train_stride) - F.ceil(first / spec.train_stride) + 1
     return F.when(last >= 0, F.greatest(count, F.lit(0))).otherwise(F.lit(0)).cast("double")
 

@@ -9,12 +9,14 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelcast.operators import forecast, sequences
+from panelcast.operators import forecast, losses, sequences
+from panelcast.operators.normal import ONE, TARGET, LinearForecast, penalised, product_sums
 from panelcast.spec import PanelSpec
 
 log = logging.getLogger(__name__)
@@ -82,7 +84,7 @@ def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tup
     ``features`` carries ``evaluation_windows_before`` for each look-back, see ``with_window_numbers``.
     """
     spec = spec.with_(lookback=candidate.lookback)
-    shown = {**{k: float(v) for k, v in candidate.params.items()}, "lookback": float(candidate.lookback)}
+    shown = shown_parameters(candidate)
     loss, epoch, state = math.inf, None, "FAIL"
     try:
         model = forecast.fit(candidate.family, features, spec, **candidate.params)
@@ -94,6 +96,54 @@ def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tup
     return (candidate.number, candidate.family, shown, loss, epoch if state == "COMPLETE" else None, state)
 
 
+def shown_parameters(candidate: Candidate) -> dict[str, float]:
+    return {**{k: float(v) for k, v in candidate.params.items()}, "lookback": float(candidate.lookback)}
+
+
+def lookback_sums(features: DataFrame, lookbacks: list[int], spec: PanelSpec) -> dict[int, np.ndarray]:
+    """Sums of products of the training steps for each look-back, from one pass over them."""
+    each = [
+        F.struct(F.lit(n).alias("lookback"), (F.col("w") * sequences.coverage(spec.with_(lookback=n))).alias("fit_weight"))
+        for n in lookbacks
+    ]
+    columns = [ONE, *spec.feature_columns, TARGET]
+    train = features.filter(F.col("split") == "train").withColumns({ONE: F.lit(1.0), TARGET: F.col("y")})
+    found = product_sums(train.select(*columns, F.inline(F.array(*each))), columns, "fit_weight", ["lookback"])
+    return {lookback: sums for (lookback,), sums in found.items()}
+
+
+def linear_trials(drawn: list[Candidate], features: DataFrame, spec: PanelSpec, deadline: float | None = None) -> list[tuple]:
+    """All linear candidates: one pass over the training steps, and one per look-back over the validation windows.
+
+    The penalised systems are solved from the same sums; the forecasts of all candidates of a look-back are scored side by
+    side. Results are as those of ``run_trial``.
+    """
+    results, lookbacks = [], list(dict.fromkeys(c.lookback for c in drawn))
+    late = deadline is not None and time.monotonic() > deadline
+    sums = {} if late else lookback_sums(features, lookbacks, spec)
+    for lookback in lookbacks:
+        own, losses_, state = [c for c in drawn if c.lookback == lookback], {}, "FAIL"
+        if deadline is not None and time.monotonic() > deadline:
+            state = "SKIPPED"
+        elif lookback not in sums:
+            log.error("%s linear trials failed: no training series reaches the look-back length %s", len(own), lookback)
+        else:
+            spec_ = spec.with_(lookback=lookback)
+            scored = sequences.batched_steps(features.filter(F.col("split") == "validate"), spec_, numbered(lookback))
+            for c in own:
+                weights = penalised(sums[lookback], c.params.get("regParam", 0.0), c.params.get("elasticNetParam", 0.0))
+                scored = LinearForecast(spec.feature_columns, weights).setPredictionCol(
+                    losses.forecast_of(str(c.number))).transform(scored)
+            found = losses.mean_batch_loss(scored, [str(c.number) for c in own], ["model"], spec_)
+            losses_ = {int(r["model"]): r["mean_batch_loss"] for r in found.select("model", "mean_batch_loss").collect()}
+        for c in own:
+            loss = losses_.get(c.number)
+            good = loss is not None and math.isfinite(loss)
+            results.append((c.number, c.family, shown_parameters(c), loss if good else math.inf,
+                            1 if good else None, "COMPLETE" if good else state))
+    return sorted(results)
+
+
 def numbered(lookback: int) -> str:
     """Name of the column with the number of earlier evaluation windows at this look-back."""
     return f"windows_before_{lookback}"
@@ -105,7 +155,7 @@ def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tup
            chosen: dict[str, list[Candidate]] | None = None) -> DataFrame:
     """Trial table over all families; ``features`` is a staged table, since every trial reads it.
 
-    Each family gets an equal part of the timeout; once it is used up no further trial starts, and those
+    Linear candidates share their passes (``linear_trials``); boosted ones are fitted one by one. Each family gets an equal part of the timeout; once it is used up no further trial starts, and those
     left are recorded as ``SKIPPED``. Set ``spark.scheduler.mode=FAIR`` to let parallel trials share executors
     evenly. ``chosen`` replaces the random candidates of a family.
     """
@@ -115,11 +165,13 @@ def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tup
 
         def attempt(candidate: Candidate):
             if deadline is not None and time.monotonic() > deadline:
-                shown = {k: float(v) for k, v in candidate.params.items()} | {"lookback": float(candidate.lookback)}
-                return (candidate.number, candidate.family, shown, math.inf, None, "SKIPPED")
+                return (candidate.number, candidate.family, shown_parameters(candidate), math.inf, None, "SKIPPED")
             return run_trial(candidate, features, spec)
 
         drawn = (chosen or {}).get(family) or candidates(family, trials, spec, lookbacks)
+        if family == "linear":
+            results += linear_trials(drawn, features, spec, deadline)
+            continue
         with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
             results += pool.map(attempt, drawn)
     return features.sparkSession.createDataFrame(results, TRIAL_SCHEMA)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from panelcast.operators.baselines import SEASON_DAYS
 from panelcast.operators.tuning import LOOKBACKS
-from panelcast.plans.queries import CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE, SAMPLED_SPEC
+from panelcast.plans.queries import (
+    CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE, RIDGE, SAMPLED_SPEC, SHAPE, TUNED,
+)
 from panelcast.spec import DAYS_PER_YEAR, METRIC_EPS, PanelSpec
 
 KEY = "parameter_index, simulation_index"
@@ -282,8 +284,8 @@ def compare_sql() -> str:
     })
 
 
-def fit_steps(spec: PanelSpec) -> dict[str, str]:
-    """Weighted least squares on the training steps: normal equations, one elimination a step, coefficients."""
+def fit_steps(spec: PanelSpec, penalties: dict[str, float] = {"linear": 0.0}) -> dict[str, str]:  # noqa: B006
+    """Weighted least squares on the training steps: normal equations, a model per penalty."""
     x = ["1.0::DOUBLE", *spec.feature_columns]
     n, stride = len(x), spec.train_stride
     first, last = f"greatest(0, position - {spec.lookback} + 1)", f"least(position, n_steps - {spec.lookback})"
@@ -292,23 +294,68 @@ def fit_steps(spec: PanelSpec) -> dict[str, str]:
     sums = ", ".join(f"sum(fw * {x[i]} * {(*x, 'y')[j]}) AS a_{i}_{j}" for i, j in cells)
     steps = {
         "fit_rows": f"SELECT *, w * ({held}) AS fw FROM feat WHERE split = 'train'",
-        "step_0": f"SELECT {sums} FROM fit_rows",
+        "sums": f"SELECT {sums}, sum(fw * y * y) AS yy FROM fit_rows",
     }
+    # a penalty adds a share of a column's variation to its own square; the share is over the target's deviation
+    share = f"penalty / sqrt(yy / a_0_0 - (a_0_{n} / a_0_0) ** 2)"
+    diagonal = {i: f"a_{i}_{i} + {share} * (a_{i}_{i} - a_0_{i} * a_0_{i} / a_0_0)" for i in range(1, n)}
+    first_step = ", ".join(f"{diagonal.get(i, f'a_{i}_{i}') if i == j else f'a_{i}_{j}'} AS a_{i}_{j}" for i, j in cells)
+    listed = ", ".join(f"('{name}', {p!r}::DOUBLE)" for name, p in penalties.items())
+    steps["step_0"] = f"SELECT model, {first_step} FROM sums, (VALUES {listed}) v(model, penalty)"
+    return steps | solve_steps(x)
+
+
+def solve_steps(x: list[str]) -> dict[str, str]:
+    """One elimination a step from ``step_0``, a row per model; its coefficients, and its forecast of every step."""
+    n, steps = len(x), {}
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
     for k in range(n):
         rest = (f"a_{i}_{j} - a_{i}_{k} / a_{k}_{k} * a_{k}_{j}" if i != k else f"a_{i}_{j}" for i, j in cells)
         named = ", ".join(f"{e} AS a_{i}_{j}" for e, (i, j) in zip(rest, cells))
-        steps[f"step_{k + 1}"] = f"SELECT {named} FROM step_{k}"
-    steps["beta"] = "SELECT " + ", ".join(f"a_{i}_{n} / a_{i}_{i} AS b_{i}" for i in range(n)) + f" FROM step_{n}"
+        steps[f"step_{k + 1}"] = f"SELECT model, {named} FROM step_{k}"
+    steps["beta"] = "SELECT model, " + ", ".join(f"a_{i}_{n} / a_{i}_{i} AS b_{i}" for i in range(n)) + f" FROM step_{n}"
     value = " + ".join(f"b_{i} * {x[i]}" for i in range(n))
-    steps["predicted"] = f"SELECT feat.*, 'linear' AS model, {value} AS yhat FROM feat, beta"
+    steps["predicted"] = f"SELECT feat.*, beta.model, {value} AS yhat FROM feat, beta"
     return steps
 
 
-def fitted_sql(body: str, spec: PanelSpec, after: tuple[str, ...] = ()) -> str:
+def shape_steps(spec: PanelSpec) -> dict[str, str]:
+    """Least squares on levels and differences inside every training window, each made as rows of its own."""
+    x = ["1.0::DOUBLE", *spec.feature_columns]
+    n, columns = len(x), [*spec.feature_columns, "y"]
+    inside = f"PARTITION BY {KEY}, start ORDER BY position"
+
+    def lagging(order: int) -> str:
+        last = "" if order == 1 else f"{order - 1}"
+        parts = [f"{c}{last} - lag({c}{last}) OVER s AS {c}{order}" for c in columns]
+        weight = f"(w{last} + lag(w{last}) OVER s) * 0.5 AS w{order}"
+        return f"SELECT *, {', '.join(parts)}, {weight} FROM held{order - 1} WINDOW s AS ({inside})"
+
+    def cell(i: int, j: int) -> str:
+        own = [*x, "y"]
+        terms = [f"sum(w * {own[i]} * {own[j]}) / greatest(sum(w), 1.0)"]
+        if i and j:
+            terms += [f"{share} * sum(w{o} * {own[i]}{o} * {own[j]}{o}) / greatest(sum(w{o}), 1.0)"
+                      for o, share in ((1, spec.slope_weight), (2, spec.curvature_weight))]
+        return " + ".join(terms)
+
+    cells = [(i, j) for i in range(n) for j in range(n + 1)]
+    return {
+        "held0": f"""
+            SELECT f.*, start FROM feat f JOIN ({STARTS}) s ON f.parameter_index = s.parameter_index
+             AND f.simulation_index = s.simulation_index AND f.position >= start AND f.position < start + {spec.lookback}
+            WHERE f.split = 'train'""",
+        "held1": lagging(1),
+        "held2": lagging(2),
+        "step_0": "SELECT 'shape' AS model, " + ", ".join(f"{cell(i, j)} AS a_{i}_{j}" for i, j in cells) + " FROM held2",
+    } | solve_steps(x)
+
+
+def fitted_sql(body: str, spec: PanelSpec, after: tuple[str, ...] = (), fit: dict[str, str] | None = None) -> str:
     """The chain up to features, the fit in place of the baselines, and further steps of the chain."""
     steps = chain(spec)
     names = list(steps)
-    wanted = {name: steps[name] for name in names[: names.index("feat") + 1]} | fit_steps(spec)
+    wanted = {name: steps[name] for name in names[: names.index("feat") + 1]} | (fit or fit_steps(spec))
     wanted |= {name: steps[name] for name in after}
     return "WITH " + ",\n".join(f"{n} AS MATERIALIZED ({t})" for n, t in wanted.items()) + "\n" + body
 
@@ -328,6 +375,30 @@ def tune_sql() -> str:
         FROM ({" UNION ALL ".join(parts)})"""
 
 
+def ridge_sql() -> str:
+    parts = []
+    for number, lookback in enumerate(LOOKBACKS):
+        spec = TUNED.with_(lookback=lookback)
+        penalties = {str(number * len(RIDGE) + k): p for k, p in enumerate(RIDGE)}
+        loss = f"SELECT model, avg(total_loss) AS loss FROM ({losses('model, split, batch_id', spec)}) WHERE split = 'validate' GROUP BY model"
+        inner = fitted_sql(loss, spec, ("bases", "scored", "d1", "d2"), fit_steps(spec, penalties))
+        parts.append(f"SELECT v.model, {lookback} AS lookback, loss FROM (VALUES {', '.join(f'({chr(39)}{m}{chr(39)})' for m in penalties)}) v(model) "
+                     f"LEFT JOIN ({inner}) q ON v.model = q.model")
+    return f"""
+        SELECT model::BIGINT AS trial_number, lookback::BIGINT AS lookback, round(coalesce(loss, 'inf'::DOUBLE), 6) AS best_val_loss,
+               CASE WHEN loss IS NOT NULL THEN 1::BIGINT END AS best_epoch,
+               CASE WHEN loss IS NOT NULL THEN 'COMPLETE' ELSE 'FAIL' END AS state
+        FROM ({" UNION ALL ".join(parts)})"""
+
+
+def scores_sql(spec: PanelSpec, fit: dict[str, str] | None = None) -> str:
+    return fitted_sql(
+        f"SELECT {KEY}, split, timesteps, abs_timesteps, {r(natural('y', spec), 'truth')}, "
+        f"{r(natural('yhat', spec), 'prediction')} FROM predicted",
+        spec, fit=fit,
+    )
+
+
 def window_sql(spec: PanelSpec, shown: str) -> str:
     return sql(f"SELECT {KEY}, global_index, group_id, abs_timesteps, {shown}, {STATICS} "
                "FROM win WHERE target IS NOT NULL", spec, "win")
@@ -458,12 +529,10 @@ ORACLE: dict[str, str] = {
         f"SELECT {PREDICTED} FROM forecasts SEMI JOIN chosen USING ({KEY})",
         upto="forecasts", extra={"shown": SHOWN, "chosen": CHOSEN},
     ),
-    "fit_score_linear": fitted_sql(
-        f"SELECT {KEY}, split, timesteps, abs_timesteps, {r(natural('y', PREVALENCE), 'truth')}, "
-        f"{r(natural('yhat', PREVALENCE), 'prediction')} FROM predicted",
-        PREVALENCE,
-    ),
+    "fit_score_linear": scores_sql(PREVALENCE),
+    "fit_shape": scores_sql(SHAPE, shape_steps(SHAPE)),
     "tune_linear": tune_sql(),
+    "tune_ridge": ridge_sql(),
     "saved_split": sql(f"SELECT {KEY}, global_index, split FROM series", upto="series"),
     "reused_split": sql(f"SELECT {KEY}, global_index, split FROM series WHERE split <> 'test'", upto="series"),
     "split_examples": sql(f"SELECT {KEY} FROM series WHERE split = 'test' ORDER BY {KEY} LIMIT 5", upto="series"),

@@ -133,12 +133,18 @@ def fit_models(features: DataFrame, spec: PanelSpec, parameters: dict[str, dict[
     return models
 
 
+def winning_parameters(parameters: dict[str, float], best_epoch: int) -> dict[str, float]:
+    """The parameters that give the model of the best round: rounds are grown one after another, so the first ones are equal."""
+    return {**parameters, "maxIter": best_epoch} if "maxIter" in parameters else parameters
+
+
 def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeout: float | None = None,
                      lookbacks: tuple[int, ...] = tuning.LOOKBACKS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Search, refit the best candidate of each family, score the test split and compare.
 
-    Returns the trial table, the metrics record per model, and the actual-vs-predicted table. A
-    family whose trials all failed is fitted with its defaults.
+    A boosted winner is refitted with as many rounds as its best one had: that is the model the search ranked. Returns
+    the trial table, the metrics record per model, and the actual-vs-predicted table. A family whose trials all
+    failed is fitted with its defaults.
     """
     spec = panel.spec
     features = stage(features_with_windows(panel, (*lookbacks, spec.lookback)), "features")
@@ -146,7 +152,7 @@ def tune_fit_compare(panel: Panel, trials: int, parallel_trials: int = 1, timeou
                           lookbacks=lookbacks)
     chosen = {family: {} for family in forecast.FAMILIES}
     for row in best_trial(found).filter(F.col("state") == "COMPLETE").collect():
-        chosen[row.model_type] = row.hyperparameters
+        chosen[row.model_type] = winning_parameters(row.hyperparameters, row.best_epoch)
     scored = stage(forecast.predict(fit_models(features, spec, chosen), features, spec), "scored")
 
     records_ = None

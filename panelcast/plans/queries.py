@@ -13,6 +13,7 @@ from panelcast.operators import (
     baselines, features, forecast, losses, metrics, outline, report, runs, sampling, scale, sequences, split,
     tuning, windows,
 )
+from panelcast.operators.shape_fit import fit_shape as fit_on_shape
 from panelcast.plans import pipeline
 from panelcast.sources import records
 from panelcast.sources.lineitem import LINEITEM_SPEC, SAMPLED_SPEC, lineitem_facts, supplier_statics
@@ -23,8 +24,11 @@ PREVALENCE = LINEITEM_SPEC
 CASES = LINEITEM_SPEC.with_(mode="cases", slope_weight=0.1, curvature_weight=0.05)
 KEYS = ["parameter_index", "simulation_index"]
 PARAM_LIMIT = 40
-#: Candidates per family that ``tune`` draws; a search of its own takes the library's default of 32.
-TRIALS = 4
+#: Weekly windows, so that series reach all look-backs of a search.
+TUNED = LINEITEM_SPEC.with_(window=7)
+SHAPE = LINEITEM_SPEC.with_(slope_weight=0.5, curvature_weight=0.25, loss_space="transformed")
+NATURAL_SHAPE = SHAPE.with_(loss_space="natural")
+RIDGE = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 HISTORY_START = "2024-01-01"
 EVENT_COLUMNS = "ts timestamp_ntz, user_id bigint, event_type string, value double"
 DEFAULT_PARAMETERS = {"learning_rate": 0.001, "lookback": 30}
@@ -411,8 +415,8 @@ def report_table(spark, d):
 
 # models
 
-def _features_for(spark, d, lookbacks=(PREVALENCE.lookback,)):
-    return stage(pipeline.features_with_windows(panel(spark, d), lookbacks), "features")
+def _features_for(spark, d, lookbacks=(PREVALENCE.lookback,), spec=PREVALENCE):
+    return stage(pipeline.features_with_windows(panel(spark, d, spec), lookbacks), "features")
 
 
 def fit_score(spark, d):
@@ -423,29 +427,65 @@ def fit_score(spark, d):
     return forecast.natural_predictions(scored, list(parameters), PREVALENCE)
 
 
+def _linear_scores(scored, model, spec):
+    return round_doubles(forecast.natural_predictions(scored, [model], spec).drop("model", "global_index"))
+
+
 def fit_score_linear(spark, d):
     """The linear family without a penalty, which has a closed form."""
     rows = _features_for(spark, d)
     models = pipeline.fit_models(rows, PREVALENCE, {"linear": {}})
-    scored = forecast.predict(models, rows, PREVALENCE)
-    return round_doubles(forecast.natural_predictions(scored, ["linear"], PREVALENCE).drop("model", "global_index"))
+    return _linear_scores(forecast.predict(models, rows, PREVALENCE), "linear", PREVALENCE)
+
+
+def fit_shape(spark, d):
+    """Fitted on level, slope and curvature of the training windows in transformed space."""
+    rows = _features_for(spark, d, spec=SHAPE)
+    model = fit_on_shape(rows, SHAPE)
+    return _linear_scores(forecast.predict({"shape": model}, rows, SHAPE), "shape", SHAPE)
+
+
+def fit_shape_natural(spark, d):
+    """The same loss in natural space, by rounds of linearised fits; no SQL form."""
+    rows = _features_for(spark, d, spec=NATURAL_SHAPE)
+    model = fit_on_shape(rows, NATURAL_SHAPE)
+    return _linear_scores(forecast.predict({"shape": model}, rows, NATURAL_SHAPE), "shape", NATURAL_SHAPE)
 
 
 def tune(spark, d):
-    """Random candidates of both families over all look-backs, ranked by validation loss; no SQL form."""
-    rows = _features_for(spark, d, tuning.LOOKBACKS)
-    found = tuning.search(rows, PREVALENCE, trials=TRIALS, parallel_trials=2)
+    """The library's number of random candidates of both families over all look-backs; no SQL form."""
+    rows = _features_for(spark, d, tuning.LOOKBACKS, TUNED)
+    found = tuning.search(rows, TUNED, parallel_trials=4)
     return runs.leaderboard(found).select("model_type", "trial_number", "best_val_loss", "best_epoch", "state", "rank")
 
 
+def _linear_leaderboard(found, *shown):
+    return round_doubles(runs.leaderboard(found).select(
+        "trial_number", F.col("hyperparameters")["lookback"].cast("bigint").alias("lookback"), *shown,
+        "best_val_loss", "best_epoch", "state", "rank"))
+
+
 def tune_linear(spark, d):
     """Every look-back with the linear family without a penalty; those that no series reaches score infinity."""
     rows = _features_for(spark, d, tuning.LOOKBACKS)
     chosen = [tuning.Candidate(k, "linear", n, {}) for k, n in enumerate(tuning.LOOKBACKS)]
-    found = tuning.search(rows, PREVALENCE, ("linear",), chosen={"linear": chosen})
-    return round_doubles(runs.leaderboard(found).select(
-        "trial_number", F.col("hyperparameters")["lookback"].cast("bigint").alias("lookback"),
-        "best_val_loss", "best_epoch", "state", "rank"))
+    return _linear_leaderboard(tuning.search(rows, PREVALENCE, ("linear",), chosen={"linear": chosen}))
+
+
+def tune_ridge(spark, d):
+    """Eight squared penalties at each look-back: 32 candidates from one pass over training and four over validation."""
+    rows = _features_for(spark, d, tuning.LOOKBACKS, TUNED)
+    chosen = [tuning.Candidate(k, "linear", n, {"regParam": p})
+              for k, (n, p) in enumerate((n, p) for n in tuning.LOOKBACKS for p in RIDGE)]
+    found = tuning.search(rows, TUNED, ("linear",), chosen={"linear": chosen})
+    return _linear_leaderboard(found).drop("rank")
+
+
+def tune_fit_compare(spark, d):
+    """Search, refit of the winners, and their records on the test split; boosting has no SQL form."""
+    found, scores, _ = pipeline.tune_fit_compare(panel(spark, d, TUNED), trials=8, parallel_trials=4)
+    best = runs.best_trial(found).select(F.col("model_type").alias("model"), "best_val_loss", "best_epoch")
+    return scores.join(best, "model")
 
 
 def training_history(spark, d):
@@ -457,6 +497,15 @@ def training_history(spark, d):
     return runs.patience_counter(parts[0].unionByName(parts[1]), ["model", "trial"])
 
 
+def early_stop(spark, d):
+    """Boosting that ends by patience and keeps its best round, with every step's forecast; no SQL form."""
+    rows = _features_for(spark, d)
+    trained = forecast.fit_early(rows, PREVALENCE, tuning.numbered(PREVALENCE.lookback), patience=2, seed=PREVALENCE.seed)
+    scored = forecast.predict({"boosted": trained.model}, rows, PREVALENCE)
+    return forecast.natural_predictions(scored, ["boosted"], PREVALENCE).withColumns(
+        {"stop_epoch": F.lit(trained.stop_epoch), "best_epoch": F.lit(trained.best_epoch)})
+
+
 # sinks: written twice below the staging folder, first with other content, then read back
 
 def saved_path(spark, name):
@@ -570,7 +619,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         diffs, weighted_loss, shape_loss, batch_loss, metrics_prevalence, metrics_rate, compare_models,
         best_epoch, patience, run_report, leaderboard, best_trial, param_precedence,
         report_params, report_series, actual_vs_pred, report_table,
-        fit_score, fit_score_linear, training_history, tune, tune_linear,
+        fit_score, fit_score_linear, fit_shape, fit_shape_natural, training_history, early_stop,
+        tune, tune_linear, tune_ridge, tune_fit_compare,
         saved_split, reused_split, split_examples, saved_scaler, saved_metrics, saved_history, saved_trials, best_params,
         saved_report,
     )

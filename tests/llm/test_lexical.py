@@ -79,7 +79,7 @@ def test_most_documents_are_never_scored():
     assert len(best.scores) == 10 and scored < 1_000
 
 
-@pytest.mark.parametrize("pack_bytes", [lexical.PACK_BYTES, 60])
+@pytest.mark.parametrize("pack_bytes", [lexical.PACK_BYTES, 20_000])
 def test_equals_scoring_everything(spark, docs, benchmark, pack_bytes):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     items = [(r.item_id, r.text) for r in benchmark.collect()] + [(20 + i, rows[i][1]) for i in range(0, 40, 4)]
