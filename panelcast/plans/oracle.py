@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from panelcast.operators.baselines import SEASON_DAYS
+from panelcast.operators.shuffling import DIGITS, FEISTEL_ROUNDS
 from panelcast.operators.tuning import LOOKBACKS
 from panelcast.plans.queries import (
-    CASES, DEFAULT_PARAMETERS, HISTORY_START, PARAM_LIMIT, PREVALENCE, RIDGE, SAMPLED_SPEC, SHAPE, TUNED,
+    CASES, DEFAULT_PARAMETERS, EPOCHS, HISTORY_START, PARAM_LIMIT, PREVALENCE, RIDGE, SAMPLED_SPEC, SHAPE, STATE_DECAYS,
+    STATEFUL, TUNED,
 )
 from panelcast.spec import DAYS_PER_YEAR, METRIC_EPS, PanelSpec
 
@@ -284,16 +286,17 @@ def compare_sql() -> str:
     })
 
 
-def fit_steps(spec: PanelSpec, penalties: dict[str, float] = {"linear": 0.0}) -> dict[str, str]:  # noqa: B006
+def fit_steps(spec: PanelSpec, penalties: dict[str, float] = {"linear": 0.0}, rows: str = "feat",  # noqa: B006
+              more: tuple[str, ...] = ()) -> dict[str, str]:
     """Weighted least squares on the training steps: normal equations, a model per penalty."""
-    x = ["1.0::DOUBLE", *spec.feature_columns]
+    x = ["1.0::DOUBLE", *spec.feature_columns, *more]
     n, stride = len(x), spec.train_stride
     first, last = f"greatest(0, position - {spec.lookback} + 1)", f"least(position, n_steps - {spec.lookback})"
     held = f"CASE WHEN {last} < 0 THEN 0 ELSE greatest(0, floor({last} / {stride}.0) - ceil({first} / {stride}.0) + 1) END"
     cells = [(i, j) for i in range(n) for j in range(n + 1)]
     sums = ", ".join(f"sum(fw * {x[i]} * {(*x, 'y')[j]}) AS a_{i}_{j}" for i, j in cells)
     steps = {
-        "fit_rows": f"SELECT *, w * ({held}) AS fw FROM feat WHERE split = 'train'",
+        "fit_rows": f"SELECT *, w * ({held}) AS fw FROM {rows} WHERE split = 'train'",
         "sums": f"SELECT {sums}, sum(fw * y * y) AS yy FROM fit_rows",
     }
     # a penalty adds a share of a column's variation to its own square; the share is over the target's deviation
@@ -302,10 +305,10 @@ def fit_steps(spec: PanelSpec, penalties: dict[str, float] = {"linear": 0.0}) ->
     first_step = ", ".join(f"{diagonal.get(i, f'a_{i}_{i}') if i == j else f'a_{i}_{j}'} AS a_{i}_{j}" for i, j in cells)
     listed = ", ".join(f"('{name}', {p!r}::DOUBLE)" for name, p in penalties.items())
     steps["step_0"] = f"SELECT model, {first_step} FROM sums, (VALUES {listed}) v(model, penalty)"
-    return steps | solve_steps(x)
+    return steps | solve_steps(x, rows)
 
 
-def solve_steps(x: list[str]) -> dict[str, str]:
+def solve_steps(x: list[str], rows: str = "feat") -> dict[str, str]:
     """One elimination a step from ``step_0``, a row per model; its coefficients, and its forecast of every step."""
     n, steps = len(x), {}
     cells = [(i, j) for i in range(n) for j in range(n + 1)]
@@ -315,7 +318,7 @@ def solve_steps(x: list[str]) -> dict[str, str]:
         steps[f"step_{k + 1}"] = f"SELECT model, {named} FROM step_{k}"
     steps["beta"] = "SELECT model, " + ", ".join(f"a_{i}_{n} / a_{i}_{i} AS b_{i}" for i in range(n)) + f" FROM step_{n}"
     value = " + ".join(f"b_{i} * {x[i]}" for i in range(n))
-    steps["predicted"] = f"SELECT feat.*, beta.model, {value} AS yhat FROM feat, beta"
+    steps["predicted"] = f"SELECT {rows}.*, beta.model, {value} AS yhat FROM {rows}, beta"
     return steps
 
 
@@ -375,6 +378,58 @@ def tune_sql() -> str:
         FROM ({" UNION ALL ".join(parts)})"""
 
 
+def states(columns: dict[str, tuple[str, float]]) -> str:
+    """Steps with decaying sums over all earlier ones, each weight worked out from the distance."""
+    sums = ", ".join(f"sum({d}::DOUBLE ** (f.position - e.position) * e.{c}) AS {name}" for name, (c, d) in columns.items())
+    return f"""
+        SELECT f.*, {", ".join(f"q.{name}" for name in columns)} FROM feat f JOIN (
+            SELECT f.parameter_index, f.simulation_index, f.position, {sums} FROM feat f JOIN feat e
+              ON f.parameter_index = e.parameter_index AND f.simulation_index = e.simulation_index AND e.position <= f.position
+            GROUP BY ALL) q
+          ON f.parameter_index = q.parameter_index AND f.simulation_index = q.simulation_index AND f.position = q.position"""
+
+
+STATES = {f"{c}_h{round(d * 1000)}": (c, d) for c in ("years_since", "cos_day") for d in STATE_DECAYS}
+
+
+def stateful_sql() -> str:
+    columns = {"s1": ("cos_day", STATE_DECAYS[0]), "s2": ("post_intervention", STATE_DECAYS[0])}
+    fit = {"stated": states(columns)} | fit_steps(STATEFUL, rows="stated", more=tuple(columns))
+    return scores_sql(STATEFUL, fit)
+
+
+def shuffle_sql(spec: PanelSpec, turns: int = 4) -> str:
+    """Ordinals as pairs over two radices, rounds of digests, and further turns for results of n or more."""
+    steps = {
+        "starts": STARTS,
+        "placed": f"""
+            SELECT {KEY}, CAST(start AS BIGINT) AS start, epoch::BIGINT AS epoch,
+                   row_number() OVER (PARTITION BY epoch ORDER BY {KEY}, start) - 1 AS x
+            FROM starts, range({EPOCHS}) e(epoch) WHERE split = 'train'""",
+        "size_": "SELECT count(*)::BIGINT // 2 AS n, floor(sqrt(count(*) // 2))::BIGINT AS root FROM placed",
+        "radix": """
+            SELECT n, a, CAST(ceil(n / a::DOUBLE) AS BIGINT) AS b FROM (
+                SELECT n, unnest(range(greatest(2, root // 4), root + 1))::BIGINT AS a FROM size_)
+            ORDER BY (a - n % a) % a, a DESC LIMIT 1""",
+        "t0": "SELECT p.*, n, a, b FROM placed p, radix",
+    }
+    last = "t0"
+    for turn in range(turns):
+        steps[f"h{turn}_0"] = f"SELECT *, x % a AS l, x // a AS h FROM {last}"
+        for k in range(FEISTEL_ROUNDS):
+            def number(half: str, k: int = k) -> str:
+                return f"('0x' || substr(md5('{spec.seed}:' || epoch || ':{k}:' || {half}), 1, {DIGITS}))::BIGINT"
+
+            moved = f"(l + {number('h')}) % a AS l, h" if k % 2 == 0 else f"l, (h + {number('l')}) % b AS h"
+            steps[f"h{turn}_{k + 1}"] = f"SELECT * EXCLUDE (l, h), {moved} FROM h{turn}_{k}"
+        kept = "l + h * a" if not turn else "CASE WHEN x >= n THEN l + h * a ELSE x END"
+        steps[f"t{turn + 1}"] = f"SELECT * EXCLUDE (l, h) REPLACE ({kept} AS x) FROM h{turn}_{FEISTEL_ROUNDS}"
+        last = f"t{turn + 1}"
+    return sql(
+        f"SELECT {KEY}, start, epoch, x // {spec.batch_size} AS batch_id, x % {spec.batch_size} AS slot "
+        f"FROM {last} WHERE x // {spec.batch_size} < n // {spec.batch_size}", spec, "series", steps)
+
+
 def ridge_sql() -> str:
     parts = []
     for number, lookback in enumerate(LOOKBACKS):
@@ -533,6 +588,11 @@ ORACLE: dict[str, str] = {
     "fit_shape": scores_sql(SHAPE, shape_steps(SHAPE)),
     "tune_linear": tune_sql(),
     "tune_ridge": ridge_sql(),
+    "series_states": sql(
+        f"SELECT {KEY}, timesteps, " + ", ".join(r(n) for n in STATES) + " FROM stated", STATEFUL, "feat",
+        {"stated": states(STATES)}),
+    "fit_stateful": stateful_sql(),
+    "train_batches": shuffle_sql(PREVALENCE),
     "saved_split": sql(f"SELECT {KEY}, global_index, split FROM series", upto="series"),
     "reused_split": sql(f"SELECT {KEY}, global_index, split FROM series WHERE split <> 'test'", upto="series"),
     "split_examples": sql(f"SELECT {KEY} FROM series WHERE split = 'test' ORDER BY {KEY} LIMIT 5", upto="series"),
@@ -546,7 +606,7 @@ ORACLE: dict[str, str] = {
             FROM ({metric_sql(spec)}) WHERE split = 'test'"""
         for spec in (PREVALENCE, CASES)
     ).replace("log_likelihood AS log_likelihood", "log_likelihood"),
-    "saved_history": f"SELECT 'user' AS model, run AS trial, epoch, val_loss * 2 AS train_loss, val_loss FROM ({HISTORY})",
+    "saved_history": f"SELECT CASE WHEN run % 2 = 0 THEN 'even' ELSE 'odd' END AS model, run AS trial, epoch, val_loss * 2 AS train_loss, val_loss FROM ({HISTORY})",
     "saved_trials": f"""SELECT model_type, trial_number, best_val_loss, n_events AS best_epoch, 'COMPLETE' AS state,
                                n_events::DOUBLE AS lookback FROM ({TRIALS})""",
     "best_params": f"""

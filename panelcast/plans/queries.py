@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import targets
 from panelcast.operators import (
-    baselines, features, forecast, losses, metrics, outline, report, runs, sampling, scale, sequences, split,
-    tuning, windows,
+    baselines, features, forecast, losses, metrics, outline, recurrent, report, runs, sampling, scale, sequences,
+    shuffling, split, tuning, windows,
 )
 from panelcast.operators.shape_fit import fit_shape as fit_on_shape
 from panelcast.plans import pipeline
@@ -28,6 +28,10 @@ PARAM_LIMIT = 40
 TUNED = LINEITEM_SPEC.with_(window=7)
 SHAPE = LINEITEM_SPEC.with_(slope_weight=0.5, curvature_weight=0.25, loss_space="transformed")
 NATURAL_SHAPE = SHAPE.with_(loss_space="natural")
+#: Chunks of eight windows, so that series span many.
+STATEFUL = LINEITEM_SPEC.with_(chunk=8)
+STATE_DECAYS = (0.8, 0.3)
+EPOCHS = 2
 RIDGE = (0.0, 1e-6, 1e-5, 1e-4, 1e-3, 1e-2, 1e-1, 1.0)
 HISTORY_START = "2024-01-01"
 EVENT_COLUMNS = "ts timestamp_ntz, user_id bigint, event_type string, value double"
@@ -263,6 +267,12 @@ def batch_ids(spark, d):
     return starts.select(*KEYS, "split", "start", batch.alias("batch_id"))
 
 
+def train_batches(spark, d):
+    """Two epochs of shuffled training batches; the last one of each, if short, is left out."""
+    series = sequences.number_windows(labelled(spark, d), PREVALENCE)
+    return shuffling.train_batches(series, PREVALENCE, EPOCHS)
+
+
 def coverage(spark, d):
     rows = panel(spark, d).features().filter("split = 'train'")
     return rows.select(*KEYS, "timesteps", sequences.coverage(PREVALENCE).cast("bigint").alias("n_windows"))
@@ -452,6 +462,21 @@ def fit_shape_natural(spark, d):
     return _linear_scores(forecast.predict({"shape": model}, rows, NATURAL_SHAPE), "shape", NATURAL_SHAPE)
 
 
+def series_states(spark, d):
+    """Decaying sums along every kept series, in chunks of a few steps."""
+    rows = panel(spark, d, STATEFUL).features()
+    inputs = ["years_since", "cos_day"]
+    states = recurrent.with_states(rows, inputs, STATE_DECAYS, STATEFUL)
+    return round_doubles(states.select(*KEYS, "timesteps", *[recurrent.state_name(c, x) for c in inputs for x in STATE_DECAYS]))
+
+
+def fit_stateful(spark, d):
+    """A read-out of inputs and states, fitted on train and run over whole series."""
+    rows = _features_for(spark, d, spec=STATEFUL)
+    model = recurrent.fit_stateful(rows, STATEFUL, ["cos_day", "post_intervention"], STATE_DECAYS[:1])
+    return _linear_scores(forecast.predict({"stateful": model}, rows, STATEFUL), "stateful", STATEFUL)
+
+
 def tune(spark, d):
     """The library's number of random candidates of both families over all look-backs; no SQL form."""
     rows = _features_for(spark, d, tuning.LOOKBACKS, TUNED)
@@ -553,11 +578,12 @@ def saved_metrics(spark, d):
 
 
 def saved_history(spark, d):
+    """Histories of two models in one folder; that of the first is written again after the second's."""
     path, history = saved_path(spark, "history"), run_history(spark, d).select(
-        F.lit("user").alias("model"), F.col("run").alias("trial"), "epoch",
+        F.when(F.col("run") % 2 == 0, "even").otherwise("odd").alias("model"), F.col("run").alias("trial"), "epoch",
         (F.col("val_loss") * 2).alias("train_loss"), "val_loss")
-    records.write_history(history.limit(1), path)
-    records.write_history(history, path)
+    for part in (history.filter("model = 'even'").limit(1), history.filter("model = 'odd'"), history.filter("model = 'even'")):
+        records.write_history(part, path)
     return records.read_history(spark, path)
 
 
@@ -615,11 +641,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         split_params, split_series, split_sizes, split_overlap, split_restrict, scaler_stats,
         gate_scale, event_features, cyclic_time, norm_time, target_logit, target_log1p, target_roundtrip,
         row_weights, panel_features, panel_features_rate,
-        window_starts, window_rows, batch_ids, coverage,
+        window_starts, window_rows, batch_ids, train_batches, coverage,
         diffs, weighted_loss, shape_loss, batch_loss, metrics_prevalence, metrics_rate, compare_models,
         best_epoch, patience, run_report, leaderboard, best_trial, param_precedence,
         report_params, report_series, actual_vs_pred, report_table,
-        fit_score, fit_score_linear, fit_shape, fit_shape_natural, training_history, early_stop,
+        fit_score, fit_score_linear, fit_shape, fit_shape_natural, series_states, fit_stateful, training_history, early_stop,
         tune, tune_linear, tune_ridge, tune_fit_compare,
         saved_split, reused_split, split_examples, saved_scaler, saved_metrics, saved_history, saved_trials, best_params,
         saved_report,

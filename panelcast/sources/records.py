@@ -1,4 +1,7 @@
-"""Saved splits, scalers, metrics, histories and trials, as Spark tables in open formats."""
+"""Saved splits, scalers, metrics, histories and trials, as Spark tables in open formats.
+
+All are written as versions (see ``versions``): a table is there before, during and after it is replaced.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ from pyspark.sql import types as T
 
 from panelcast.operators.forecast import HISTORY_SCHEMA
 from panelcast.operators.tuning import TRIAL_SCHEMA
+from panelcast.sources import versions
 from panelcast.spec import PanelSpec
 
 METRICS_SCHEMA = (
@@ -18,6 +22,8 @@ METRICS_SCHEMA = (
 
 
 def exists(spark: SparkSession, path: str) -> bool:
+    if versions.latest(spark, path)[0]:
+        return True
     try:
         spark.read.format("text").load(path)
     except AnalysisException as error:
@@ -29,6 +35,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def is_complete(spark: SparkSession, path: str) -> bool:
     """Whether the table is there and, if it is a folder, its writing ended."""
+    if versions.latest(spark, path)[0]:
+        return True
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(hadoop):
@@ -36,63 +44,59 @@ def is_complete(spark: SparkSession, path: str) -> bool:
     return files.getFileStatus(hadoop).isFile() or files.exists(spark._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS"))
 
 
-def _replace_parts(df: DataFrame, *keys: str):
-    """A writer that replaces the folders of the keys it writes and leaves all others."""
-    return df.write.partitionBy(*keys).mode("overwrite").option("partitionOverwriteMode", "dynamic")
-
-
 def write_split(split: DataFrame, path: str, spec: PanelSpec) -> None:
-    split.select(*spec.unit, "split").write.option("header", True).mode("overwrite").csv(path)
+    versions.write(split.select(*spec.unit, "split"), path, "csv", header=True)
 
 
 def read_split(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
     """The saved table; global ids written as decimals, like ``11.0``, are read as whole numbers."""
     keys = [T.StructField(c, T.LongType()) for c in spec.pair]
     texts = [T.StructField(c, T.StringType()) for c in (spec.global_id, "split")]
-    saved = spark.read.schema(T.StructType([*keys, *texts])).option("header", True).csv(path)
+    saved = versions.read(spark, path, "csv", T.StructType([*keys, *texts]), header=True)
     whole = F.col(spec.global_id).try_cast("bigint")
     decimal = F.col(spec.global_id).try_cast("double").try_cast("bigint")
     return saved.withColumn(spec.global_id, F.coalesce(whole, decimal))
 
 
 def write_scaler(scaler: DataFrame, path: str) -> None:
-    scaler.write.mode("overwrite").parquet(path)
+    versions.write(scaler, path, "parquet")
 
 
 def read_scaler(spark: SparkSession, path: str, spec: PanelSpec) -> DataFrame:
     fields = [T.StructField(f"{s}_{c}", T.DoubleType()) for c in spec.statics for s in ("mean", "std")]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+    return versions.read(spark, path, "parquet", T.StructType(fields))
 
 
 def write_metrics(records: DataFrame, path: str, spec: PanelSpec) -> None:
     """One folder per target mode and model, so that each can be written or replaced alone."""
-    _replace_parts(records.withColumn("mode", F.lit(spec.mode)), "mode", "model").json(path)
+    versions.write(records.withColumn("mode", F.lit(spec.mode)), path, "json", ("mode", "model"))
 
 
 def read_metrics(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(METRICS_SCHEMA).json(path)
+    return versions.read(spark, path, "json", METRICS_SCHEMA)
 
 
 def write_history(history: DataFrame, path: str) -> None:
-    history.write.mode("overwrite").json(path)
+    """One folder per model; a new run of a model replaces its history."""
+    versions.write(history, path, "json", ("model",))
 
 
 def read_history(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(HISTORY_SCHEMA).json(path)
+    return versions.read(spark, path, "json", HISTORY_SCHEMA)
 
 
 def write_trials(trials: DataFrame, path: str) -> None:
     """One folder per model; a new search of a model replaces its trials."""
-    _replace_parts(trials, "model_type").json(path)
+    versions.write(trials, path, "json", ("model_type",))
 
 
 def read_trials(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(TRIAL_SCHEMA).json(path)
+    return versions.read(spark, path, "json", TRIAL_SCHEMA)
 
 
 def write_best_params(best: DataFrame, path: str) -> None:
     """One folder per model, replaced when the model is tuned again."""
-    _replace_parts(best, "model_type").json(path)
+    versions.write(best, path, "json", ("model_type",))
 
 
 def read_best_params(spark: SparkSession, models: list[str], combined: str,
@@ -108,12 +112,12 @@ def read_best_params(spark: SparkSession, models: list[str], combined: str,
         return wanted.join(found.select("model_type", "hyperparameters"), "model_type", "left")
 
     if exists(spark, combined):
-        found = spark.read.schema(schema).json(combined)
+        found = versions.read(spark, combined, "json", schema)
         covered = found.filter(F.col("model_type").isin(models)).select("model_type").distinct().count()
         if covered == len(set(models)):
             return of_models(found)
     parts = [
-        spark.read.schema(schema).json(per_model[m]).withColumn("model_type", F.lit(m))
+        versions.read(spark, per_model[m], "json", schema).withColumn("model_type", F.lit(m))
         for m in models
         if m in per_model and exists(spark, per_model[m])
     ]
@@ -127,8 +131,8 @@ def read_actual_vs_predicted(spark: SparkSession, models: list[str], path: str,
     keys = ", ".join(f"{c} bigint" for c in spec.unit)
     values = ", ".join(f"{c} double" for c in (f"true_{spec.target}", *[f"{m}_prediction" for m in models]))
     schema = f"{keys}, is_test boolean, timestep bigint, {values}"
-    return spark.read.schema(schema).option("header", True).csv(path)
+    return versions.read(spark, path, "csv", schema, header=True)
 
 
 def write_actual_vs_predicted(table: DataFrame, path: str) -> None:
-    table.write.option("header", True).mode("overwrite").csv(path)
+    versions.write(table, path, "csv", header=True)
