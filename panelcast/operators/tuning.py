@@ -5,11 +5,16 @@ from __future__ import annotations
 import logging
 import math
 import random
+import threading
 import time
+import uuid
 from concurrent.futures import ThreadPoolExecutor
+from contextvars import copy_context
 from dataclasses import dataclass
 
 import numpy as np
+from py4j.protocol import Py4JError
+from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +96,7 @@ def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tup
         batched = sequences.batched_steps(features, spec, numbered(candidate.lookback))
         epoch, loss = min(validation_history(model, batched, candidate, spec), key=lambda r: (r[1], r[0]))
         state = "COMPLETE" if math.isfinite(loss) else "FAIL"
-    except (ValueError, RuntimeError, PySparkException) as error:
+    except (ValueError, RuntimeError, PySparkException, Py4JError) as error:
         log.error("trial %s of %s failed: %s", candidate.number, candidate.family, error)
     return (candidate.number, candidate.family, shown, loss, epoch if state == "COMPLETE" else None, state)
 
@@ -149,6 +154,40 @@ def numbered(lookback: int) -> str:
     return f"windows_before_{lookback}"
 
 
+def one_by_one(drawn: list[Candidate], features: DataFrame, spec: PanelSpec, parallel_trials: int = 1,
+               deadline: float | None = None) -> list[tuple]:
+    """Each candidate by ``run_trial``, in threads whose jobs carry a tag by which they are cancelled at the deadline."""
+    spark, tag = features.sparkSession, f"trials-{uuid.uuid4().hex}"
+    context, over = spark.sparkContext, threading.Event()
+
+    def attempt(candidate: Candidate) -> tuple:
+        late = (candidate.number, candidate.family, shown_parameters(candidate), math.inf, None)
+        if deadline is not None and time.monotonic() > deadline:
+            return (*late, "SKIPPED")
+        context.addJobTag(tag)
+        try:
+            found = run_trial(candidate, features, spec)
+        finally:
+            context.removeJobTag(tag)
+        ended = deadline is not None and time.monotonic() > deadline
+        return (*late, "CANCELLED") if found[-1] == "FAIL" and ended else found
+
+    def watch() -> None:
+        while not over.wait(max(0.0, deadline - time.monotonic()) if time.monotonic() < deadline else 0.5):
+            context.cancelJobsWithTag(tag)  # again and again, as a trial has many jobs
+
+    watcher = None if deadline is None else threading.Thread(target=inheritable_thread_target(spark)(watch), daemon=True)
+    if watcher is not None:
+        watcher.start()
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
+            # each trial runs in a copy of the caller's context, and its thread has the caller's local properties
+            tasks = [pool.submit(copy_context().run, inheritable_thread_target(spark)(attempt), c) for c in drawn]
+            return [task.result() for task in tasks]
+    finally:
+        over.set()
+
+
 def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tuple(forecast.FAMILIES),
            trials: int = 32, parallel_trials: int = 1, timeout: float | None = None,
            lookbacks: tuple[int, ...] = LOOKBACKS,
@@ -163,15 +202,9 @@ def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tup
     for family in families:
         deadline = None if timeout is None else time.monotonic() + timeout / len(families)
 
-        def attempt(candidate: Candidate):
-            if deadline is not None and time.monotonic() > deadline:
-                return (candidate.number, candidate.family, shown_parameters(candidate), math.inf, None, "SKIPPED")
-            return run_trial(candidate, features, spec)
-
         drawn = (chosen or {}).get(family) or candidates(family, trials, spec, lookbacks)
         if family == "linear":
             results += linear_trials(drawn, features, spec, deadline)
-            continue
-        with ThreadPoolExecutor(max_workers=max(1, parallel_trials)) as pool:
-            results += pool.map(attempt, drawn)
+        else:
+            results += one_by_one(drawn, features, spec, parallel_trials, deadline)
     return features.sparkSession.createDataFrame(results, TRIAL_SCHEMA)

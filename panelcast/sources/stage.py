@@ -12,11 +12,13 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
-_scopes: list[list[DataFrame]] = []
+#: Scopes around the running code. A thread starts without any, unless it runs in a copy of its parent's context.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("staging_scopes", default=())
 
 
 def staging_folder(spark: SparkSession) -> str | None:
@@ -39,8 +41,8 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
         staged = df.sparkSession.read.schema(df.schema).parquet(path)
     staged.staged_path = path
-    if _scopes:
-        _scopes[-1].append(staged)
+    if _scopes.get():
+        _scopes.get()[-1].append(staged)
     return staged
 
 
@@ -50,11 +52,13 @@ def staging_scope() -> Iterator[None]:
 
     Without a scope staged tables stay in the shared folder, as a lazy result may still read them.
     """
-    _scopes.append([])
+    own: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         yield
     finally:
-        for staged in _scopes.pop():
+        _scopes.reset(token)
+        for staged in own:
             unstage(staged)
 
 
@@ -62,16 +66,17 @@ def staged_result(spark: SparkSession, name: str, make: Callable[[], DataFrame])
     """Stage what ``make`` returns and delete what it staged on the way; in the cache everything stays."""
     if staging_folder(spark) is None:
         return stage(make(), name)
-    _scopes.append([])
+    own: list[DataFrame] = []
+    token = _scopes.set((*_scopes.get(), own))
     try:
         result = stage(make(), name)
     finally:
-        own = _scopes.pop()
+        _scopes.reset(token)
     for staged in own:
         if staged is not result:
             unstage(staged)
-    if _scopes:
-        _scopes[-1].append(result)
+    if _scopes.get():
+        _scopes.get()[-1].append(result)
     return result
 
 

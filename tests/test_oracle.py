@@ -11,7 +11,7 @@ from panelcast.plans.queries import QUERIES
 from panelcast.sources.stage import staging_scope
 
 TABLES = Path("/root/testdata/sf0.001")
-ROWS_ONLY = {"fit_score", "training_history", "tune"}
+ROWS_ONLY = {"fit_score", "fit_shape_natural", "training_history", "early_stop", "tune", "tune_fit_compare"}
 
 pytestmark = pytest.mark.skipif(not TABLES.exists(), reason="driver tables are not here")
 

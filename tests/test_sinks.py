@@ -42,7 +42,9 @@ def test_split_is_saved_then_reused(spark, tmp_path, panel):
     assert rows(records.read_split(spark, path, SPEC)) == rows(table)
     again = pipeline.prepare(facts, SPEC.with_(seed=5), saved_split=path, reuse_split=True)
     assert rows(split.split_table(again.outline, SPEC)) == rows(table)
-    (tmp_path / "split" / "_SUCCESS").unlink()  # as if its writing had broken off
+    path = str(tmp_path / "plain")  # a folder that was not written as versions, and whose writing broke off
+    table.write.option("header", True).csv(path)
+    (tmp_path / "plain" / "_SUCCESS").unlink()
     fresh = pipeline.prepare(facts, SPEC.with_(seed=5), saved_split=path, reuse_split=True)
     assert rows(split.split_table(fresh.outline, SPEC)) != rows(table)
     assert rows(records.read_split(spark, path, SPEC)) == rows(split.split_table(fresh.outline, SPEC))
