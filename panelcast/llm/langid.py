@@ -5,6 +5,8 @@ A document gets the language whose profile has the least out-of-place distance:
 document's own profile, of how far each n-gram's rank is from its rank in the language, where an
 n-gram that the language lacks costs a whole profile.
 
+Letters are the characters of Unicode's category L; combining marks belong to the letter before them.
+
 Defined results: null text and text without a letter are ``und`` with score 0, as is every text when
 nothing was learned; distances that tie give the first language by code point; n-grams with equal
 counts rank by code points; repeated rows are predicted (and counted) once each; other columns are
@@ -14,12 +16,14 @@ ignored.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,15 +35,27 @@ HELD_OUT = (3, 1)
 #: A confident text scores above 0.3; unrelated letters stay near 0.
 REJECT_BELOW = 0.05
 
+#: Between words: whatever is no letter. Other numerals count as word characters here, and marks as gaps.
 _GAP = re.compile(r"[\W\d_]+")
+#: The same for texts that have such numerals or marks: a mark belongs to the letter that it follows.
+_WIDE_GAP = regex.compile(r"(?:[^\p{L}\p{M}]\p{M}*|\A\p{M}+)+")
+_WIDE = frozenset(("No", "Nl", "Mn", "Mc", "Me"))
 _EDGE = ord("_")
 _FLUSH = 200_000
 _PIECE = 1 << 20
 
 
+def gap_of(text: str):
+    """The pattern that parts the words of a text in lower case."""
+    if text.isascii() or not any(unicodedata.category(c) in _WIDE for c in set(text)):
+        return _GAP
+    return _WIDE_GAP
+
+
 def grams(text: str) -> np.ndarray:
     """Codes of all letter n-grams of one to three code points, 21 bits a code point; words are edged with ``_``."""
-    letters = _GAP.sub("_", text.lower()).strip("_")
+    text = text.lower()
+    letters = gap_of(text).sub("_", text).strip("_")
     if not letters:
         return np.empty(0, np.int64)
     u = np.frombuffer(f"_{letters}_".encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
@@ -53,10 +69,10 @@ def counted(text: str) -> tuple[np.ndarray, np.ndarray]:
     if len(text) <= _PIECE:
         return np.unique(grams(text), return_counts=True)
     total: Counter = Counter()
-    cuts, start = [], 0
+    cuts, start, between = [], 0, gap_of(text)
     while start < len(text):  # cut between words where there is a gap
         end = start + _PIECE
-        gap = _GAP.search(text, end) if end < len(text) else None
+        gap = between.search(text, end) if end < len(text) else None
         end = gap.end() if gap else len(text)
         cuts.append((start, end))
         start = end
@@ -127,9 +143,11 @@ def gram_counts(docs: DataFrame) -> DataFrame:
             langs = batch.column("lang").to_pylist()
             texts = batch.column("text").to_pylist()
             for lang in set(langs):
-                parts = [grams(t) for t, own in zip(texts, langs) if own == lang]
-                codes, n = np.unique(np.concatenate(parts), return_counts=True)
-                sums.setdefault(lang, Counter()).update(dict(zip(codes.tolist(), n.tolist())))
+                own = [t for t, its in zip(texts, langs) if its == lang]
+                short = [grams(t) for t in own if len(t) <= _PIECE]
+                found = [np.unique(np.concatenate(short), return_counts=True)] if short else []
+                for codes, n in [*found, *(counted(t) for t in own if len(t) > _PIECE)]:
+                    sums.setdefault(lang, Counter()).update(dict(zip(codes.tolist(), n.tolist())))
             if sum(map(len, sums.values())) > _FLUSH:
                 yield flush()
         yield flush()

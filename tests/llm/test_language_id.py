@@ -98,3 +98,28 @@ def test_stage_keeps_identified_rows_whole(clashing, empty):
     want = Counter(tuple(r) for r in clashing.collect() if r.text is not None and r.doc_id not in gone)
     assert Counter(map(tuple, kept.collect())) == want
     assert langid.keep_identified(empty, profiles).collect() == []
+
+
+def test_letters_are_those_of_unicode():
+    """Numerals of other kinds are no letters, and a mark belongs to its letter."""
+    profiles = langid.Profiles.of([("xx", int(c), k) for k, c in enumerate(langid.grams("some letters"))], 400)
+    for text in ("²½①", "Ⅷ ⅷ", "̀́", "１２ ٣", "①̀", "_ _"):
+        assert langid.grams(text).size == 0 and profiles.predict(text) == ("und", 0.0)
+    word = "कि"  # a letter and a vowel sign
+    edged = [ord(c) for c in f"_{word}_"]
+    two = [a << 21 | b for a, b in zip(edged, edged[1:])]
+    three = [a << 42 | b << 21 | c for a, b, c in zip(edged, edged[1:], edged[2:])]
+    assert sorted(langid.grams(f"① {word}²").tolist()) == sorted([*edged[1:-1], *two, *three])
+
+
+def test_a_long_learned_text_is_counted_in_pieces(spark, monkeypatch):
+    rows = [("one two three deux " * 40, "en"), ("short", "en"), ("ein zwei " * 50, "de"), ("क्षि ½ " * 30, "hi")]
+    docs = spark.createDataFrame(rows, "text string, lang string").coalesce(1)
+    want = sorted(map(tuple, langid.gram_counts(docs).collect()))
+    got = {}
+    for text, lang in rows:  # the workers of the session keep their bound; the piecewise path is checked here
+        with monkeypatch.context() as m:
+            m.setattr(langid, "_PIECE", 16)
+            for code, n in zip(*map(list, langid.counted(text))):
+                got[lang, int(code)] = got.get((lang, int(code)), 0) + int(n)
+    assert sorted((lang, code, n) for (lang, code), n in got.items()) == want
