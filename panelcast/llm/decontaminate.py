@@ -32,7 +32,7 @@ def item_words(text: bytes | None) -> list[bytes]:
     return text.translate(_FOLD).split() if text else []
 
 
-def searchers(items: list[tuple[int | None, bytes | None]]) -> list[WuManber]:
+def searchers(items: list[tuple[str | None, bytes | None]]) -> list[WuManber]:
     """One search per length of window: ten words, and what the shorter items have."""
     by_length: dict[int, dict[tuple[bytes, ...], set]] = {}
     for item_id, text in items:
@@ -49,7 +49,7 @@ def searchers(items: list[tuple[int | None, bytes | None]]) -> list[WuManber]:
             for size, patterns in sorted(by_length.items())]
 
 
-def hits(text: bytes | None, search: list[WuManber]) -> tuple[int, list[int], list[int]]:
+def hits(text: bytes | None, search: list[WuManber]) -> tuple[int, list[int], list[str]]:
     """Number of words, places of the words that are hit, and items with occurring windows."""
     tokens = item_words(text)
     places, items = set(), set()
@@ -62,7 +62,7 @@ def hits(text: bytes | None, search: list[WuManber]) -> tuple[int, list[int], li
 
 def packs(benchmark: DataFrame, pack_bytes: int = PACK_BYTES):
     """The searchers of each pack; the driver holds one pack's texts at a time."""
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), F.col("text").cast("binary").alias("text"))
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
     size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     n = -(-size // pack_bytes) or 1
     for k in range(n):
@@ -77,11 +77,11 @@ def _scan(docs: DataFrame, search: list[WuManber]) -> DataFrame:
         found = [hits(t, shared.value) for t in as_bytes(batch.column("text"))]
         return [[f[0] for f in found], [f[1] for f in found], [f[2] for f in found]]
 
-    return map_rows(docs, of_batch, "n_words bigint, places array<int>, items array<bigint>")
+    return map_rows(docs, of_batch, "n_words bigint, places array<int>, items array<string>")
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
-    """``doc_id``, ``n_words``, ``places`` of the hit words and ``items``, one row per document."""
+    """``doc_id``, ``n_words``, ``places`` of the hit words and ``items`` (ids as text), one row per document."""
     rows = docs.select("doc_id", "text")
     found = [_scan(rows, search) for search in packs(benchmark, pack_bytes)]
     if len(found) == 1:
@@ -101,7 +101,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTE
 
 
 def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    ids = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    ids = F.array_sort("items")
     return find_hits(docs, benchmark).select(
         "doc_id", "n_words", F.size("places").cast("bigint").alias("n_hit"),
         F.size("items").cast("bigint").alias("n_items"),

@@ -71,3 +71,11 @@ def test_search_finds_every_occurrence(length, patterns, text):
     want = {(i, patterns[tuple(text[i:i + length])]) for i in range(len(text) - length + 1)
             if tuple(text[i:i + length]) in patterns}
     assert len(found) == len(set(found)) and set(found) == want
+
+
+def test_item_ids_are_texts(spark, docs):
+    items = spark.createDataFrame([("item-10", "short item here"), ("item-9", "short item here"), (None, "short item here")],
+                                  "item_id string, text string")
+    rows = {r.doc_id: r for r in decontaminate.query(docs, items).collect()}
+    want = hashlib.sha256(b"item-10,item-9").hexdigest()
+    assert rows[110].n_items == 2 and rows[110].items_sha256 == want
