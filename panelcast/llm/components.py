@@ -1,7 +1,8 @@
 """Connected components by alternating star contractions, each a join and an aggregate on the edges.
 
 Edges go towards smaller nodes until every component is one star. All state stays in tables; the
-driver sees one checksum a round.
+driver sees one checksum and the largest number of neighbours a round. Nodes with very many neighbours are split (see
+``with_least``).
 """
 
 from __future__ import annotations
@@ -11,19 +12,45 @@ from pyspark.sql import functions as F
 
 from panelcast.sources.stage import stage, unstage
 
+#: A key with more rows is a hub, whose rows are dealt into ``SALTS`` parts.
+HOT = 1_000
+SALTS = 64
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def is_hot(rows: DataFrame, key: str, limit: int | None = None) -> bool:
+    """Whether some key has over ``HOT`` rows."""
+    return (rows.groupBy(key).count().agg(F.max("count")).first()[0] or 0) > (HOT if limit is None else limit)
+
+
+def with_least(rows: DataFrame, key: str, value: str, name: str, hot: bool) -> DataFrame:
+    """Add the least ``value`` of each row's key as ``name``.
+
+    With ``hot``, a key's rows are dealt by their value into ``SALTS`` parts, and the least comes back to each part: the
+    table that brings it has a row per key and part, so the rows of a hub go to many tasks.
+    """
+    if not hot:
+        return rows.join(rows.groupBy(key).agg(F.min(value).alias(name)), key)
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.lit(SALTS)))
+    parts = dealt.groupBy(key, "_salt").agg(F.min(value).alias("_part"))
+    least = parts.groupBy(key).agg(F.min("_part").alias(name))
+    return dealt.join(parts.select(key, "_salt").join(least, key), [key, "_salt"]).drop("_salt")
+
+
+def _both(edges: DataFrame) -> DataFrame:
+    return edges.union(edges.select("b", "a")).toDF("a", "b")
+
+
+def _large_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Each node links its larger neighbours to the least of its neighbourhood."""
-    both = edges.union(edges.select("b", "a")).toDF("a", "b")
-    least = both.groupBy("a").agg(F.min("b").alias("least")).withColumn("least", F.least("a", "least"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("least").alias("b")).distinct()
+    found = with_least(_both(edges), "a", "b", "least", hot).where("b > a")
+    return found.select(F.col("b").alias("a"), F.least("a", "least").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, hot: bool) -> DataFrame:
     """Each node links itself and its smaller neighbours to the least of them; edges run from ``a`` down to ``b``."""
-    least = edges.groupBy("a").agg(F.min("b").alias("least"))
-    across = edges.join(least, "a").where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    return across.union(least).toDF("a", "b").distinct()
+    found = with_least(edges, "a", "b", "least", hot)
+    across = found.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    return across.union(found.select("a", "least")).toDF("a", "b").distinct()
 
 
 def _checksum(edges: DataFrame) -> tuple:
@@ -39,7 +66,8 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     current = stage(edges.where(a != b).select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).distinct(), name)
     before = _checksum(current)
     while before[0]:
-        following = stage(_small_star(_large_star(current)), name)
+        hot = is_hot(_both(current), "a")  # a node never gets more neighbours within a round
+        following = stage(_small_star(_large_star(current, hot), hot), name)
         after = _checksum(following)
         unstage(current)
         current = following

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelcast.llm.bktree import groups
-from panelcast.llm.components import components
+from panelcast.llm.components import components, is_hot, with_least
 from panelcast.llm.text import as_bytes, map_rows, words
 from panelcast.llm.wide_prints import similar_links, sketch
 from panelcast.sources.stage import stage
@@ -149,8 +149,8 @@ def label(prints: DataFrame) -> DataFrame:
     least = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "distinct_prints")
     roots = components(links(least), "print_links").select(F.col("a").alias("fp"), F.col("b").alias("root"))
     placed = stage(least.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "print_roots")
-    names = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return placed.join(names, "root").select("fp", "component_id")
+    named = with_least(placed, "root", "doc_id", "component_id", is_hot(placed, "root"))
+    return named.select("fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -176,8 +176,8 @@ def least_of_edited(docs: DataFrame, found: DataFrame) -> DataFrame:
     named = found.where(F.col("doc_id").isNotNull())
     nodes = stage(named.groupBy("wide").agg(F.min("doc_id").alias("doc_id"), F.min("keys").alias("keys")), "wide_nodes")
     alike = stage(named.select("wide", "component_id").distinct(), "wide_components")
-    least = alike.groupBy("component_id").agg(F.min("wide").alias("least"))
-    edges = alike.join(least, "component_id").select(F.col("wide").alias("a"), F.col("least").alias("b"))
+    starred = with_least(alike, "component_id", "wide", "least", is_hot(alike, "component_id"))
+    edges = starred.select(F.col("wide").alias("a"), F.col("least").alias("b"))
     roots = components(edges.union(similar_links(docs, nodes)), "wide_links").select(F.col("a").alias("wide"), F.col("b").alias("root"))
     placed = nodes.select("wide", "doc_id").join(roots, "wide", "left")
     return placed.groupBy(F.coalesce("root", "wide")).agg(F.min("doc_id").alias("_kept_id")).select("_kept_id")

@@ -136,3 +136,20 @@ def test_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)]
     got = components(spark.createDataFrame(edges, "x bigint, y bigint"), "chain").collect()
     assert sorted((r.a, r.b) for r in got) == [(i, 0) for i in range(1, 201)]
+
+
+@pytest.mark.parametrize("limit", [2, 10_000])
+def test_hubs_are_split(spark, monkeypatch, limit):
+    """Stars, chains and a clique of hubs give the same components whether their nodes count as hubs or not."""
+    from panelcast.llm import components
+
+    monkeypatch.setattr(components, "HOT", limit)
+    monkeypatch.setattr(components, "SALTS", 5)
+    pairs = [(0, k) for k in range(1, 60)] + [(100, k) for k in range(101, 140)] + [(59, 139)]
+    pairs += [(200 + k, 201 + k) for k in range(12)] + [(300, 300), (401, 400), (400, 401)]
+    found = components.components(spark.createDataFrame(pairs, "a bigint, b bigint").repartition(3), "test_links")
+    want = {(k, 0) for k in [*range(1, 60), *range(100, 140)]} | {(k, 200) for k in range(201, 213)} | {(401, 400)}
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+    named = components.with_least(spark.createDataFrame([(1, 5), (1, None), (1, 3), (2, None)], "k bigint, v bigint"), "k", "v", "m", limit == 2)
+    assert sorted(map(tuple, named.collect()), key=str) == sorted([(1, 5, 3), (1, None, 3), (1, 3, 3), (2, None, None)], key=str)
