@@ -6,7 +6,7 @@ from panelcast.operators.baselines import SEASON_DAYS
 from panelcast.operators.shuffling import DIGITS, FEISTEL_ROUNDS
 from panelcast.operators.tuning import LOOKBACKS
 from panelcast.plans.queries import (
-    CASES, DEFAULT_PARAMETERS, EPOCHS, HISTORY_START, PARAM_LIMIT, PREVALENCE, RIDGE, SAMPLED_SPEC, SHAPE, STATE_DECAYS,
+    CASES, DEFAULT_PARAMETERS, EPOCHS, HISTORY_START, ORDERED_RANGE, PARAM_LIMIT, PREVALENCE, RIDGE, SAMPLED_SPEC, SHAPE, STATE_DECAYS,
     STATEFUL, TUNED,
 )
 from panelcast.spec import DAYS_PER_YEAR, METRIC_EPS, PanelSpec
@@ -616,5 +616,8 @@ ORACLE: dict[str, str] = {
         FROM (SELECT DISTINCT event_type AS model_type FROM events) m
         LEFT JOIN (SELECT * FROM ({RANKED}) WHERE rank = 1 AND model_type IN ('click', 'view')) b
           ON m.model_type = b.model_type""",
+    "ordered_panel": sql(
+        f"SELECT {KEY}, timesteps, abs_timesteps, split, {r('y')} FROM feat "
+        f"WHERE parameter_index BETWEEN {ORDERED_RANGE[0]} AND {ORDERED_RANGE[1]}", upto="feat"),
     "saved_report": sql(f"SELECT {PREDICTED} FROM forecasts", upto="forecasts"),
 }

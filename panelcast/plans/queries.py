@@ -15,7 +15,7 @@ from panelcast.operators import (
 )
 from panelcast.operators.shape_fit import fit_shape as fit_on_shape
 from panelcast.plans import pipeline
-from panelcast.sources import records
+from panelcast.sources import ordered, records
 from panelcast.sources.lineitem import LINEITEM_SPEC, SAMPLED_SPEC, lineitem_facts, supplier_statics
 from panelcast.sources.stage import stage, staging_folder
 from panelcast.spec import PanelSpec
@@ -24,6 +24,7 @@ PREVALENCE = LINEITEM_SPEC
 CASES = LINEITEM_SPEC.with_(mode="cases", slope_weight=0.1, curvature_weight=0.05)
 KEYS = ["parameter_index", "simulation_index"]
 PARAM_LIMIT = 40
+ORDERED_RANGE = (20, 60)
 #: Weekly windows, so that series reach all look-backs of a search.
 TUNED = LINEITEM_SPEC.with_(window=7)
 SHAPE = LINEITEM_SPEC.with_(slope_weight=0.5, curvature_weight=0.25, loss_space="transformed")
@@ -626,6 +627,15 @@ def best_params(spark, d):
     return runs.choose_parameters(defaults, loaded, loaded.limit(0), ["learning_rate", "lookback"])
 
 
+def ordered_panel(spark, d):
+    """The panel saved in order of its keys, and a range of parameters read from the files that hold it."""
+    path = saved_path(spark, "ordered")
+    table = panel(spark, d).features().select(*KEYS, "timesteps", "abs_timesteps", "split", "y")
+    ordered.write_ordered(table.limit(5), path, [*KEYS, "timesteps"])
+    ordered.write_ordered(table, path, [*KEYS, "timesteps"])
+    return round_doubles(ordered.read_range(spark, path, table.schema, "parameter_index", *ORDERED_RANGE))
+
+
 def saved_report(spark, d):
     path, table = saved_path(spark, "report"), actual_vs_pred(spark, d)
     records.write_actual_vs_predicted(table.limit(3), path)
@@ -648,6 +658,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         fit_score, fit_score_linear, fit_shape, fit_shape_natural, series_states, fit_stateful, training_history, early_stop,
         tune, tune_linear, tune_ridge, tune_fit_compare,
         saved_split, reused_split, split_examples, saved_scaler, saved_metrics, saved_history, saved_trials, best_params,
-        saved_report,
+        saved_report, ordered_panel,
     )
 }

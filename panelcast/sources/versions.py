@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
@@ -81,13 +82,19 @@ def _parts(spark: SparkSession, path: str, depth: int) -> list[str]:
     return found
 
 
-def write(df: DataFrame, path: str, kind: str, keys: tuple[str, ...] = (), **options) -> None:
-    """Replace the table, or the key folders that ``df`` has rows for."""
+def write(df: DataFrame, path: str, kind: str, keys: tuple[str, ...] = (),
+          finish: Callable[[str], None] | None = None, **options) -> None:
+    """Replace the table, or the key folders that ``df`` has rows for.
+
+    ``finish`` gets the written version's folder before the switch, say to add an index to it.
+    """
     spark, path = df.sparkSession, path.rstrip("/")
     number, before = latest(spark, path)
     version = f"v-{uuid.uuid4().hex}"
     writer = df.write.format(kind).options(**options)
     (writer.partitionBy(*keys) if keys else writer).save(f"{path}/{version}")
+    if finish is not None:
+        finish(f"{path}/{version}")
     own = dict.fromkeys(_parts(spark, f"{path}/{version}", len(keys)), version)
     if not _switch(spark, path, number + 1, {**before, **own} if keys else own):
         files, place = _files(spark, f"{path}/{version}")
