@@ -24,7 +24,7 @@ PREVALENCE = LINEITEM_SPEC
 CASES = LINEITEM_SPEC.with_(mode="cases", slope_weight=0.1, curvature_weight=0.05)
 KEYS = ["parameter_index", "simulation_index"]
 PARAM_LIMIT = 40
-ORDERED_RANGE = (20, 60)
+ORDERED_RANGE = (3, 60)
 #: Weekly windows, so that series reach all look-backs of a search.
 TUNED = LINEITEM_SPEC.with_(window=7)
 SHAPE = LINEITEM_SPEC.with_(slope_weight=0.5, curvature_weight=0.25, loss_space="transformed")
