@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
 from panelcast.llm import ngram_quality, rule_ensemble
 from panelcast.llm.rule_ensemble import STATISTICS, RuleEnsemble, tree_rules
@@ -120,25 +121,56 @@ def test_calibration_recovers_a_known_logistic():
     assert slope == pytest.approx(2.5, abs=0.15) and offset == pytest.approx(-1, abs=0.15)
 
 
-def test_gradient_is_the_slope_of_the_margin():
-    hasher = ngram_quality.Hasher()
-    weights = np.random.default_rng(3).normal(size=1 << ngram_quality.BITS)
-    texts = ["the cat sat".encode(), b"", None, "é".encode()]
-    parts = []
-    margin = ngram_quality.margins(weights, 0.5, texts, hasher, parts)
-    assert margin[1] == margin[2] == 0.5
-    ((_, owner),), size = parts[0]
-    assert [int((owner == i).sum()) for i in range(4)] == [5, 0, 0, 1] and size.tolist() == [5, 1, 1, 1]
-    alone = ngram_quality.margins(weights, 0.5, texts[:1], hasher)
-    assert alone[0] == pytest.approx(margin[0])
+TEXTS = ["The cat sat, the CAT".encode(), b"", None, "é".encode(), "naïve 数据 \U0001f600\U0001f600 x".encode(), b"ab", b"abc"]
+
+
+def bucket(x):
+    return int(ngram_quality.mixed(np.array([x % 2**64], np.uint64))[0]) >> (64 - ngram_quality.BITS)
+
 
+def plain_buckets(text):
+    """Buckets of words and pairs, and of runs of characters, one n-gram after another."""
+    hashes = [xxh64_intdigest(w) for w in (text or b"").lower().split()]
+    spread = [int(x) for x in ngram_quality.mixed(np.array(hashes, np.uint64))]
+    of_words = [bucket(h) for h in hashes] + [bucket(a + b) for a, b in zip(spread, hashes[1:])]
+    chars = [int.from_bytes(c.encode(), "big") for c in (text or b"").decode()]
+    runs = [(n, chars[i:i + n]) for n in (3, 4) for i in range(len(chars) - n + 1)]
+    return of_words, [bucket(sum(v * int(p) for v, p in zip(run, ngram_quality._PLACES)) + n) for n, run in runs]
 
-def test_long_texts_are_scored_in_pieces(monkeypatch):
+
+def plain_margin(weights, bias, text):
+    return bias + sum(sum(float(weights[b]) for b in own) / max(1, len(own)) for own in plain_buckets(text))
+
+
+@pytest.mark.parametrize("piece", [1 << 20, 7, 1])
+def test_margins_and_gradients_equal_brute_force(monkeypatch, piece):
+    monkeypatch.setattr(ngram_quality, "_PIECE", piece)
+    hasher = ngram_quality.Hasher()
     weights = np.random.default_rng(3).normal(size=1 << ngram_quality.BITS)
-    texts = [("word and more " * 40).encode(), "é".encode() * 77, b"ab", b""]
-    whole = ngram_quality.margins(weights, 0.5, texts, ngram_quality.Hasher())
-    monkeypatch.setattr(ngram_quality, "_PIECE", 10)
-    assert ngram_quality.margins(weights, 0.5, texts, ngram_quality.Hasher()) == pytest.approx(whole)
+    texts = [*TEXTS, ("word and möre " * 40).encode(), "é".encode() * 77]
+    margin, sizes = ngram_quality.margins(weights, 0.5, texts, hasher)
+    assert margin == pytest.approx([plain_margin(weights, 0.5, t) for t in texts])
+    error = np.random.default_rng(4).normal(size=len(texts))
+    want = np.zeros(len(weights))
+    for e, t in zip(error, texts):
+        for own in plain_buckets(t):
+            for b in own:
+                want[b] += e / len(own)
+    assert ngram_quality.gradient(error, texts, sizes, hasher) == pytest.approx(want)
+
+
+def test_scores_equal_brute_force_and_do_not_hang_on_partitions(graded):
+    docs, labels = graded
+    extra = docs.sparkSession.createDataFrame([(1000 + i, t.decode() if t is not None else None) for i, t in enumerate(TEXTS)], docs.schema)
+    rows = docs.union(extra)
+    model = ngram_quality.fit(rows, labels)
+    again = ngram_quality.fit(rows.repartition(7, "text"), labels.repartition(3))
+    assert (model.weights == again.weights).all() and (model.bias, model.slope, model.offset) == (again.bias, again.slope, again.offset)
+    for r in ngram_quality.judge(rows, model).collect():
+        text = r.text.encode() if r.text is not None else None
+        score = 1 / (1 + np.exp(-(model.slope * plain_margin(model.weights, model.bias, text) + model.offset)))
+        assert r.score == pytest.approx(score, rel=1e-6, abs=1e-9)
+        assert r.kept == (not r.base_failed and r.score >= 0.3)
 
 
 @pytest.mark.parametrize("query", [rule_ensemble.query, ngram_quality.query])
