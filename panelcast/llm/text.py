@@ -50,6 +50,12 @@ def small_batches(batches: Iterator[pa.RecordBatch], limit: int = BATCH_BYTES) -
             yield batch.slice(start, step)
 
 
+def hidden(df: DataFrame, used: tuple[str, ...]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with every column but ``used`` under a name that no operator has, and the columns that bring it back."""
+    names = [c if c in used else f"in{i}" for i, c in enumerate(df.columns)]
+    return df.toDF(*names), [F.col(name).alias(c) for name, c in zip(names, df.columns)]
+
+
 def map_rows(df: DataFrame, of_batch: Callable[[pa.RecordBatch], list], added: str) -> DataFrame:
     """Append the columns of the DDL ``added``, whose values ``of_batch`` gives as one list or array per column.
 

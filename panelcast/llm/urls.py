@@ -7,7 +7,12 @@ longest rule that fits decides.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and fits only a rule
 without host; rules of one length that fit alike do not exist (they would be the same rule; of repeated
-rules ``block`` wins); repeated pages come back as often as they came in; other columns are ignored.
+rules ``block`` wins); repeated pages come back as often as they came in; columns that the operator adds replace columns of the
+same name, others stay as they are.
+
+Every distinct host and path is judged once. What was found comes back to the pages by host and path; where a host and
+path has over ``HOT`` pages, its pages are dealt by the hash of the whole page into ``SALTS`` parts first, so that null and
+very common urls are spread over many tasks.
 """
 
 from __future__ import annotations
@@ -15,6 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelcast.llm.components import HOT, SALTS
+from panelcast.llm.text import hidden
+from panelcast.sources.stage import stage
+
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 DEFAULT = "allow"
 
@@ -68,18 +77,28 @@ def expanded(urls: DataFrame, most_labels: int, most_directories: int) -> DataFr
     return pairs.select("host", "path", full.alias("digest"), F.substring(full, 1, 8).alias("short"))
 
 
-def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, default: str = DEFAULT, hot: int = HOT) -> DataFrame:
     """Add ``host``, ``path``, ``rule`` and ``verdict`` to pages with a ``url``."""
-    parts = with_parts(pages)
+    rows, own = hidden(pages.drop("host", "path", "rule", "verdict"), ("url",))
+    parts = with_parts(rows)
     reach = rules.agg(
         F.max(F.size(F.split("host", r"\.", -1))), F.max(F.size(F.split("path", "/", -1)) - 1)).first()
-    pairs = expanded(parts.select("host", "path").distinct(), reach[0] or 1, reach[1] or 0)
+    places = stage(parts.groupBy("host", "path").agg(F.count("*").alias("n")), "url_places")
+    pairs = expanded(places.select("host", "path"), reach[0] or 1, reach[1] or 0)
     fits = pairs.join(filed(rules), "short").where(
         (F.col("digest") == F.col("rule_digest")) & F.startswith("path", "rule_path"))
     best = fits.groupBy("host", "path").agg(
         F.max_by(F.struct("rule", "verdict"), F.struct(F.length("rule"), "rule")).alias("best"))
-    return parts.join(best, ["host", "path"], "left").withColumn("rule", F.col("best.rule")).withColumn(
-        "verdict", F.coalesce("best.verdict", F.lit(default))).drop("best")
+    key = ["host", "path"]
+    if (places.agg(F.max("n")).first()[0] or 0) > hot:
+        hashable = [c for c, t in rows.dtypes if "map<" not in t and t != "variant"]
+        parts = parts.withColumn("salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
+        best = parts.groupBy(*key, "salt").agg(F.lit(1).alias("one")).drop("one").join(best, key)
+        key = [*key, "salt"]
+    judged = parts.join(best, key, "left")
+    return judged.select(
+        *own, "host", "path", F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 
 
 def query(pages: DataFrame) -> DataFrame:

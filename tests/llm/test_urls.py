@@ -2,6 +2,7 @@ from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelcast.llm import urls
 
@@ -57,3 +58,22 @@ def test_plan_has_no_python_and_no_cross_join(spark):
     df = spark.createDataFrame([(1, "http://a.net/")], "page_id bigint, url string")
     plan = urls.query(df)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow", "Cartesian", "NestedLoop"))
+
+
+def test_common_urls_are_spread(spark):
+    rows = [(i, None if i % 5 else URLS[i % 7], "own", "own", {"k": i}) for i in range(6000)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, salt string, best string, more map<string,int>")
+    judged = urls.judge(pages, urls.rule_table(spark), hot=1000)
+    assert judged.columns == [*pages.columns, "host", "path", "rule", "verdict"]
+    got = judged.collect()
+    assert Counter((r.page_id, r.salt, r.best, r.host, r.path, r.rule, r.verdict) for r in got) == Counter(
+        (i, "own", "own", *plain(u, urls.RULES)) for i, u, *_ in rows)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        judged = urls.judge(pages, urls.rule_table(spark), hot=1000)
+        sizes = judged.groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert max(r["count"] for r in sizes) < 4800 / 2  # no task has half of the rows of the null urls
