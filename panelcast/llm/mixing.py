@@ -4,23 +4,23 @@ Each source has a weight that changes linearly over training time 0 to 1. Its in
 source's target, is the number of words demanded by any time; inverting it gives the time at which a
 document's first word is due. Documents are sorted by that position.
 
-A source is read in a fixed order (MD5 of the id) over and over until its target is reached, so all passes
+A source is read in a fixed order (MD5 of the id and of the text) over and over until its target is reached, so all passes
 but the last take whole documents and only one document per source is cut. Running totals are taken in
 ``BUCKETS`` hash ranges per source, so a source of any size is spread over many tasks.
 
 Defined results: null, empty and blank text has size 0 and is never taken; a null source is a source of its
-own, in the last place; rows with equal ids follow by size and text; repeated rows are separate documents; a
-document that is not taken has no position; an empty table gives no rows. Columns that the operator adds
-replace columns of the same name.
+own, in the last place; rows with equal or null ids are spread by their texts; rows alike in id and text are separate
+documents, one after another; a document that is not taken has no position; an empty table gives no rows. Columns
+that the operator adds replace columns of the same name, others stay as they are.
 """
 
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelcast.llm.text import as_bytes, map_rows, words
+from panelcast.llm.text import as_bytes, hidden, map_rows, words
 from panelcast.operators.ordinals import running_total
 from panelcast.sources.stage import stage
 
@@ -41,9 +41,15 @@ def with_sizes(docs: DataFrame) -> DataFrame:
     return map_rows(docs.drop("size"), of_batch, "size bigint")
 
 
-def _keyed(sized: DataFrame) -> DataFrame:
-    return sized.withColumn("_source", F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))).withColumn(
-        "_order", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+def order_of() -> Column:
+    """The place of a document within its source: the MD5 of its id and of its text's MD5."""
+    text = F.coalesce(F.md5(F.col("text").cast("binary")), F.lit(""))
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("\n"), text).cast("binary"))
+
+
+def source_key() -> Column:
+    """Tells sources apart and null from all of them."""
+    return F.coalesce(F.concat(F.lit("="), F.col("source")), F.lit(""))
 
 
 def fill_level(sources: DataFrame, most_passes: int = MOST_PASSES) -> float:
@@ -89,6 +95,9 @@ def due(offset, total, w0, w1):
     return 2 * c / (w0 + F.sqrt(w0 * w0 + 4 * a * c))
 
 
+ADDED = ("size", "source_size", "target", "taken", "position")
+
+
 def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES,
         tilt: float = TILT) -> DataFrame:
     """Add ``source_size``, ``target``, ``taken`` and ``position`` to documents with a ``size``.
@@ -97,8 +106,14 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int =
     0 all sources keep their share throughout, at 1 the heaviest may fade to nothing. ``sized`` is read twice: for the
     sums, and for the documents.
     """
-    added = ["source_size", "target", "taken", "position"]
-    rows = _keyed(sized.drop(*added)).withColumn("_bucket", F.substring("_order", 1, _DIGITS))
+    rows, own = hidden(sized.drop(*ADDED[1:]), ("doc_id", "source", "text", "size"))
+    return _placed(rows.withColumn("_order", order_of()), weights, most_passes, tilt).select(*own, *ADDED[1:])
+
+
+def _placed(rows: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int = MOST_PASSES,
+            tilt: float = TILT) -> DataFrame:
+    """What ``mix`` adds, and the columns it is made of, to documents with ``doc_id``, ``source``, ``size`` and ``_order``."""
+    rows = rows.withColumn("_source", source_key()).withColumn("_bucket", F.substring("_order", 1, _DIGITS))
     buckets = stage(rows.groupBy("_source", "source", "_bucket").agg(F.sum("size").alias("size")), "source_buckets")
     sums = buckets.groupBy("_source", "source").agg(F.sum("size").alias("source_size"))
     wanted = stage(targets(sums, weights, most_passes, tilt), "source_targets")
@@ -106,8 +121,7 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int =
     starts = buckets.select(
         "_source", "_bucket", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("_start"))
     starts = starts.join(wanted, "_source").select("_source", "_bucket", "_start", "source_size", "target", "_w0", "_w1")
-    tie = [F.xxhash64("text")] if "text" in sized.columns else []
-    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id", "size", *tie)
+    within = Window.partitionBy("_source", "_bucket").orderBy("_order", "doc_id", "size")
     inside = F.coalesce(F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = rows.join(starts, ["_source", "_bucket"]).withColumn("_before", F.col("_start") + inside)
     goal = F.floor(F.col("target") + 0.5)
@@ -120,8 +134,9 @@ def mix(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, most_passes: int =
 
 
 def query(docs: DataFrame) -> DataFrame:
-    sized = stage(with_sizes(docs.select("doc_id", "source", "text")).drop("text"), "document_sizes")
-    mixed = mix(sized).select("doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
+    sized = with_sizes(docs.select("doc_id", "source", "text")).withColumn("_order", order_of())
+    mixed = _placed(stage(sized.drop("text"), "document_sizes")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.round("position", 9).alias("position"))
     return mixed.orderBy(F.asc_nulls_last("position"), "doc_id")
 
 
@@ -130,23 +145,23 @@ def training_stream(docs: DataFrame) -> DataFrame:
 
     ``taken`` is the number of words that the pass takes: all, but for one document of each source.
     """
-    added = ["size", "source_size", "target", "taken", "position"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in [*added, "pass"]]
-    mixed = mix(with_sizes(docs.drop(*added, "pass"))).where("taken > 0")
+    rows, own = hidden(docs.drop(*ADDED, "pass"), ("doc_id", "source", "text"))
+    mixed = _placed(with_sizes(rows).withColumn("_order", order_of())).where("taken > 0")
     last = F.floor((F.col("taken") - 1) / F.col("size"))
     each = mixed.withColumn("pass", F.explode(F.sequence(F.lit(0), last.cast("int"))))
     offset = F.col("pass") * F.col("source_size") + F.col("_before")
     words_now = F.least(F.col("size"), F.col("taken") - F.col("pass") * F.col("size"))
     position = due(offset, F.col("target"), F.col("_w0"), F.col("_w1"))
     return each.select(
-        *kept, "size", "source_size", "target", words_now.alias("taken"), position.alias("position"), "pass",
+        *own, "size", "source_size", "target", words_now.alias("taken"), position.alias("position"), "pass",
     ).orderBy("position", "doc_id", "pass")
 
 
 #: Words by source, weights by rank, the level at which none is above its passes, and running totals by MD5.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         md5(coalesce(doc_id::VARCHAR, '') || chr(10) || coalesce(md5(text), '')) AS place FROM documents),
 sums AS (
   SELECT source, sum(size)::BIGINT AS source_size,
          [5, 2, 1][((row_number() OVER (ORDER BY source IS NULL, source) - 1) % 3 + 1)::INT]::BIGINT AS weight
@@ -167,7 +182,7 @@ leaning AS (
   SELECT *, 0.5 * (weight - (SELECT sum(target * weight) / sum(target) FROM wanted)) / 4 AS lean FROM wanted),
 placed AS (
   SELECT doc_id, size, source_size, target, lean,
-         (sum(size) OVER (PARTITION BY s.source ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size
+         (sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id, size
                           ROWS UNBOUNDED PRECEDING) - size)::BIGINT AS before_words,
          floor(target + 0.5)::BIGINT AS goal
   FROM sized s JOIN leaning t ON s.source IS NOT DISTINCT FROM t.source),

@@ -26,6 +26,11 @@ def plain_targets(sizes):
         fixed.update({s: 3 * sizes[s] for s in above})
 
 
+def place(doc_id, text):
+    of_text = "" if text is None else hashlib.md5(text.encode()).hexdigest()
+    return hashlib.md5(f"{'' if doc_id is None else doc_id}\n{of_text}".encode()).hexdigest()
+
+
 def plain_mix(rows):
     sized = [(r[0], r[3], len(WORD.findall(r[1] or "")), r[1]) for r in rows]
     sums = Counter()
@@ -34,7 +39,7 @@ def plain_mix(rows):
     out, targets = [], plain_targets(sums)
     for source in sums:
         own = sorted((r for r in sized if r[1] == source),
-                     key=lambda r: (hashlib.md5(str("" if r[0] is None else r[0]).encode()).hexdigest(), r[0] or 0, r[2]))
+                     key=lambda r: (place(r[0], r[3]), r[0] or 0, r[2]))
         goal, before = math.floor(targets[source] + 0.5), 0
         for doc_id, _, size, _ in own:
             passes = goal // sums[source] if sums[source] else 0
@@ -55,6 +60,16 @@ def test_query_equals_brute_force(docs, clashing):
     assert got(mixing.query(clashing)) == want
 
 
+def test_null_ids_are_spread_by_their_texts(spark):
+    rows = [(None, f"text {i} of many", "en", "src0", 0) for i in range(2000)] + [(7, f"other {i}", "en", None, 0) for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    assert got(mixing.query(docs)) == plain_mix(rows)
+    places = docs.groupBy(mixing.order_of().substr(1, 3)).count().agg(F.max("count")).first()[0]
+    assert places < 20
+    mixed = mixing.mix(mixing.with_sizes(docs).withColumn("_order", F.lit("own")))
+    assert {r._order for r in mixed.collect()} == {"own"} and got(mixed) == plain_mix(rows)
+
+
 def test_targets_are_met_and_positions_are_sorted(docs):
     rows = mixing.query(docs).collect()
     by_target = Counter()
@@ -77,7 +92,7 @@ def test_reruns_agree(docs):
 ])
 def test_water_level(spark, sizes):
     sums = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, source_size bigint")
-    rows = mixing.targets(mixing._keyed(sums.withColumn("doc_id", F.lit(0))).drop("doc_id", "_order")).collect()
+    rows = mixing.targets(sums.withColumn("_source", mixing.source_key())).collect()
     want = plain_targets(sizes)
     assert {r._source: round(r.target, 6) for r in rows} == {
         f"={s}" if s is not None else "": round(t, 6) for s, t in want.items()}
@@ -98,7 +113,7 @@ def test_stream_has_each_pass_in_order(docs, clashing, empty):
     assert [r.position for r in rows] == sorted(r.position for r in rows)
     per_doc, passes = Counter(), Counter()
     for r in rows:
-        assert 0 < r.taken <= r["size"] and r.score == "own"
+        assert 0 < r.taken <= r["size"] and {r.score, r._order, r._bucket, r._before, r._start, r._w0, r._w1, r._passes} == {"own"}
         per_doc[r.doc_id, r.text] += r.taken
         passes[r.doc_id, r.source, r.text] += 1
     want = Counter()
