@@ -30,7 +30,7 @@ from xxhash import xxh64_intdigest
 
 from panelcast.llm.bktree import groups
 from panelcast.llm.components import components, is_hot, with_least
-from panelcast.llm.text import as_bytes, map_rows, words
+from panelcast.llm.text import as_bytes, hidden, map_rows, words
 from panelcast.llm.wide_prints import similar_links, sketch
 from panelcast.sources.stage import stage
 
@@ -191,6 +191,7 @@ def keep_first(docs: DataFrame, edited: bool = False) -> DataFrame:
     Of several rows with the least ``doc_id`` the first by text stays. Without any ``doc_id`` in a component
     the first row by text stays.
     """
+    docs, own = hidden(docs, ("doc_id", "text"))
     if edited:
         prints = stage(wide_fingerprints(docs), "wide_fingerprints")
         found = prints.join(label(prints), "fp")
@@ -206,11 +207,11 @@ def keep_first(docs: DataFrame, edited: bool = False) -> DataFrame:
     of_text = map_rows(nameless, lambda b: [[fingerprint(t) for t in as_bytes(b.column("text"))]], "_fp bigint")
     alone = found.where(F.col("component_id").isNull()).select("fp").distinct()
     if alone.isEmpty():
-        return kept
+        return kept.select(own)
     roots = components(links(alone), "nameless_links").toDF("_fp", "_root")
     of_text = of_text.join(alone.toDF("_fp"), "_fp", "left_semi").join(roots, "_fp", "left")
     first = _first_of(of_text.withColumn("_root", F.coalesce("_root", "_fp")), "_root")
-    return kept.union(first.select([F.col(f"`{c}`") for c in docs.columns]))
+    return kept.union(first.select(docs.columns)).select(own)
 
 
 def _first_of(rows: DataFrame, key: str) -> DataFrame:

@@ -59,7 +59,9 @@ def document_rows() -> list[tuple]:
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 #: Names that the operators use for columns of their own.
-CLASHING = ("score", "size", "position", "fp", "component_id", "held_out", "n", "word", "taken", "a", "rank", "kept")
+CLASHING = ("score", "size", "position", "fp", "component_id", "held_out", "n", "word", "taken", "a", "rank", "kept",
+            "_row", "_kept_id", "_fp", "_root", "_salt", "salt", "wide", "keys", "root", "_source", "_order", "_bucket", "_before",
+            "_start", "_passes", "_w0", "_w1", "in0", "best", "host", "places", "items", "n_words", "text_hash")
 
 
 def rows_with_length():

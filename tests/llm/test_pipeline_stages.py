@@ -4,13 +4,10 @@ import importlib
 from collections import Counter
 
 import pytest
-
 import corpus_pipeline
 from panelcast.llm import decontaminate, langid, secret_scan, simhash
 
 
-
-
 @pytest.fixture(scope="module")
 def folder(clashing, benchmark, tmp_path_factory):
     path = str(tmp_path_factory.mktemp("tables"))
@@ -32,6 +29,7 @@ def test_each_stage(spark, folder, tmp_path):
         docs = spark.read.parquet(f"{tmp_path}/{k}")
         if k < len(corpus_pipeline.STAGES) - 1:
             assert docs.columns == columns
+            assert set(docs.select(columns[5:]).distinct().collect()) == {tuple("own" for _ in columns[5:])}
         if name == "language_id":
             said = langid.predict(before.select("text"), langid.fit(langid.learned_rows(before)))
             texts = Counter(r.text for r in said.collect() if r.lang_pred != "und" and r.score >= langid.REJECT_BELOW)
