@@ -1,8 +1,9 @@
 """Benchmark decontamination: documents that hold a window of ten words of a benchmark item.
 
 Windows are searched with Wu-Manber tables that every task gets by broadcast. The tables are built from
-packs of items of at most about ``PACK_BYTES`` of text, a documented bound: a larger benchmark is searched
-pack by pack, each pack over all documents, and the hits of a document are then united.
+packs of about ``PACK_WORDS`` words of items at most, as a table takes some 700 bytes per window: a larger benchmark is
+searched pack by pack, each pack over all documents, and the hits of a document are then united. Longer items are cut
+into pieces that overlap by nine words, which have the same windows, so no item is larger than a pack.
 
 Defined results: null text has no words, is never hit, and a null or wordless item has no windows; an item
 without ``item_id`` still marks words but is not counted; items that share a window are all counted;
@@ -11,15 +12,19 @@ repeated rows come back as often as they came in; other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelcast.llm.text import as_bytes, filter_rows, map_rows
+from panelcast.llm.text import as_bytes, filter_rows, map_rows, small_batches
 from panelcast.llm.wumanber import WuManber
+from panelcast.sources.stage import stage
 
 WINDOW = 10
-PACK_BYTES = 16 << 20
+PACK_WORDS = 200_000
+PIECE_WORDS = 10_000
 
 #: Bytes of UTF-8: A-Z become a-z; other ASCII but digits and a-z separates words; all others belong to words.
 _FOLD = bytes(
@@ -60,14 +65,33 @@ def hits(text: bytes | None, search: list[WuManber]) -> tuple[int, list[int], li
     return len(tokens), sorted(places), sorted(items)
 
 
-def packs(benchmark: DataFrame, pack_bytes: int = PACK_BYTES):
-    """The searchers of each pack; the driver holds one pack's texts at a time."""
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("binary").alias("text"))
-    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
-    n = -(-size // pack_bytes) or 1
+def cut(tokens: list[bytes], length: int = PIECE_WORDS) -> list[list[bytes]]:
+    """Pieces that start ``length`` words apart and have, all together, the windows of the whole."""
+    return [tokens[i:i + length + WINDOW - 1] for i in range(0, max(1, len(tokens) - WINDOW + 1), length)]
+
+
+def pieces(benchmark: DataFrame) -> DataFrame:
+    """``item_id``, ``n`` words, and the words themselves, for every piece of an item that has words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            for item_id, text in zip(batch.column("item_id").to_pylist(), as_bytes(batch.column("text"))):
+                own = [p for p in cut(item_words(text)) if p]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([item_id] * len(own), pa.string()), pa.array([len(p) for p in own], pa.int64()),
+                     pa.array([b" ".join(p) for p in own], pa.binary())], ["item_id", "n", "words"])
+
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    return rows.mapInArrow(run, "item_id string, n bigint, words binary")
+
+
+def packs(benchmark: DataFrame, pack_words: int = PACK_WORDS):
+    """The searchers of each pack; the driver holds one pack's words at a time."""
+    rows = stage(pieces(benchmark).distinct(), "benchmark_pieces")
+    n = -(-(rows.agg(F.sum("n")).first()[0] or 0) // pack_words) or 1
     for k in range(n):
-        pack = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).distinct()
-        yield searchers([(r["item_id"], bytes(r["text"]) if r["text"] is not None else None) for r in pack.collect()])
+        pack = rows.where(F.pmod(F.xxhash64("item_id", "words"), F.lit(n)) == k)
+        yield searchers([(r["item_id"], bytes(r["words"])) for r in pack.collect()])
 
 
 def _scan(docs: DataFrame, search: list[WuManber]) -> DataFrame:
@@ -80,10 +104,10 @@ def _scan(docs: DataFrame, search: list[WuManber]) -> DataFrame:
     return map_rows(docs, of_batch, "n_words bigint, places array<int>, items array<string>")
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def find_hits(docs: DataFrame, benchmark: DataFrame, pack_words: int = PACK_WORDS) -> DataFrame:
     """``doc_id``, ``n_words``, ``places`` of the hit words and ``items`` (ids as text), one row per document."""
     rows = docs.select("doc_id", "text")
-    found = [_scan(rows, search) for search in packs(benchmark, pack_bytes)]
+    found = [_scan(rows, search) for search in packs(benchmark, pack_words)]
     if len(found) == 1:
         return found[0].drop("text")
     key = F.xxhash64("text").alias("text_hash")
@@ -109,10 +133,10 @@ def query(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         (F.size("places") > 0).alias("contaminated"))
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, pack_bytes: int = PACK_BYTES) -> DataFrame:
+def keep_clean(docs: DataFrame, benchmark: DataFrame, pack_words: int = PACK_WORDS) -> DataFrame:
     """The documents, all columns, that no window occurs in."""
     spark = docs.sparkSession
-    for search in packs(benchmark, pack_bytes):
+    for search in packs(benchmark, pack_words):
         shared = spark.sparkContext.broadcast(search)
 
         def clean(batch: pa.RecordBatch, shared=shared) -> list[bool]:

@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from panelcast.llm import decontaminate
 from panelcast.llm.wumanber import WuManber
@@ -36,9 +37,9 @@ def plain(doc_rows, items):
     return out
 
 
-@pytest.mark.parametrize("pack_bytes", [1 << 20, 60])
-def test_query_equals_brute_force(docs, benchmark, monkeypatch, pack_bytes):
-    monkeypatch.setattr(decontaminate.find_hits, "__defaults__", (pack_bytes,))
+@pytest.mark.parametrize("pack_words", [1 << 20, 12])
+def test_query_equals_brute_force(docs, benchmark, monkeypatch, pack_words):
+    monkeypatch.setattr(decontaminate.find_hits, "__defaults__", (pack_words,))
     got = Counter(map(tuple, decontaminate.query(docs, benchmark).collect()))
     want = plain(docs.collect(), [tuple(r) for r in benchmark.collect()])
     assert got == want
@@ -53,9 +54,9 @@ def test_empty_tables_and_clashing_names(docs, clashing, empty, benchmark):
     assert same(decontaminate.query(clashing, benchmark)) == same(decontaminate.query(docs, benchmark))
 
 
-@pytest.mark.parametrize("pack_bytes", [1 << 20, 60])
-def test_stage_drops_exactly_the_contaminated(clashing, benchmark, pack_bytes):
-    kept = decontaminate.keep_clean(clashing, benchmark, pack_bytes)
+@pytest.mark.parametrize("pack_words", [1 << 20, 12])
+def test_stage_drops_exactly_the_contaminated(clashing, benchmark, pack_words):
+    kept = decontaminate.keep_clean(clashing, benchmark, pack_words)
     assert kept.columns == clashing.columns
     bad = {r.doc_id for r in decontaminate.query(clashing, benchmark).collect() if r.contaminated}
     assert bad >= {108, 109, 110, 111}
@@ -79,3 +80,25 @@ def test_item_ids_are_texts(spark, docs):
     rows = {r.doc_id: r for r in decontaminate.query(docs, items).collect()}
     want = hashlib.sha256(b"item-10,item-9").hexdigest()
     assert rows[110].n_items == 2 and rows[110].items_sha256 == want
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 60), st.integers(1, 12))
+def test_pieces_have_the_windows_of_the_whole(n, length):
+    tokens = [b"%d" % i for i in range(n)]
+    windows = lambda w: [tuple(w[i:i + 10]) for i in range(max(1, len(w) - 9))]
+    parts = decontaminate.cut(tokens, length)
+    assert [x for p in parts for x in windows(p)] == windows(tokens)
+    assert all(len(p) <= length + 9 for p in parts)
+
+
+def test_long_items_are_searched_in_packs(spark):
+    text = " ".join(f"w{i}" for i in range(45_000))
+    items = spark.createDataFrame([("long", text), ("other", "one two")], "item_id string, text string")
+    docs = spark.createDataFrame(
+        [(i, " ".join(f"w{j}" for j in range(at, at + 10))) for i, at in enumerate([0, 9_995, 10_000, 29_991, 44_990, 44_991])],
+        "doc_id bigint, text string")
+    assert len(list(decontaminate.packs(items, 12_000))) == 4
+    got = {r.doc_id: (r.n_hit, list(r["items"])) for r in decontaminate.find_hits(docs, items, 12_000).select(
+        "doc_id", F.size("places").alias("n_hit"), "items").collect()}
+    assert got == {**{i: (10, ["long"]) for i in range(5)}, 5: (0, [])}
