@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelcast.sources.by_series import CHUNK, layout_of
 from panelcast.sources.stage import stage
 from panelcast.spec import PanelSpec
 
@@ -58,10 +59,17 @@ def sampled(facts: DataFrame, spec: PanelSpec, population: DataFrame | None = No
 
     Series are drawn from ``population`` where the facts were already cut, say by date. The staged sample
     has a known size, by which the planner sends it to every scan or shuffles both sides by the pair;
-    the latter partitioning also serves the window sums that follow.
+    the latter partitioning also serves the window sums that follow. Facts kept by series stay where they are: their
+    sample is brought to one row per chunk, kept in the same buckets.
     """
     facts = limit_params(facts, spec)
     if spec.sims_per_param is None:
         return facts
-    units = stage(sample_units(facts if population is None else population, spec), "units")
-    return facts.join(units, spec.pair, "left_semi")
+    layout = layout_of(facts, spec)
+    if layout is None:
+        units = stage(sample_units(facts if population is None else population, spec), "units")
+        return facts.join(units, spec.pair, "left_semi")
+    chunks = stage(facts.select(*spec.pair, CHUNK).distinct(), "chunks", layout)
+    units = sample_units(chunks if population is None else population, spec)
+    chosen = stage(chunks.join(units, spec.pair, "left_semi"), "units", layout)
+    return facts.join(chosen, list(layout.keys), "left_semi")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelcast.operators.sampling import sampled
+from panelcast.sources.by_series import CHUNK, layout_of
 from panelcast.sources.stage import stage
 from panelcast.spec import PanelSpec
 
@@ -32,7 +33,10 @@ def assign_windows(facts: DataFrame, spec: PanelSpec) -> DataFrame:
 
 
 def window_sums(facts: DataFrame, spec: PanelSpec) -> DataFrame:
-    """Target, first day and covariates of each (unit, window); one map-side combined aggregate."""
+    """Target, first day and covariates of each (unit, window); one map-side combined aggregate.
+
+    Facts kept by series are summed in their buckets, and the windows keep the chunk.
+    """
     total = F.sum(F.col(spec.num).cast("double"))
     exposure = F.sum(F.col(spec.den).cast("double"))
     if spec.is_rate:
@@ -44,9 +48,10 @@ def window_sums(facts: DataFrame, spec: PanelSpec) -> DataFrame:
     else:
         target = [ratio(total, exposure).alias(spec.target)]
     held = [c for c in spec.statics if c in facts.columns]
+    chunk = [] if layout_of(facts, spec) is None else [CHUNK]  # follows from the window
     return (
         assign_windows(facts, spec)
-        .groupBy(*spec.unit, "group_id")
+        .groupBy(*spec.unit, *chunk, "group_id")
         .agg(
             F.min(spec.day).alias("abs_timesteps"),
             *target,
@@ -92,11 +97,9 @@ def number_in_chunks(windows: DataFrame, spec: PanelSpec) -> DataFrame:
     order = Window.partitionBy(*spec.pair, "chunk").orderBy("group_id", spec.global_id)
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
-    placed = windows.withColumns({
-        "chunk": F.floor(F.col("group_id") / spec.chunk).cast("bigint"),
-        "is_valid": is_finite(spec.target),
-    })
-    return placed.select(
+    if layout_of(windows, spec) is None:
+        windows = windows.withColumn(CHUNK, F.floor(F.col("group_id") / spec.chunk).cast("bigint"))
+    return windows.withColumn("is_valid", is_finite(spec.target)).select(
         "*",
         F.row_number().over(order).cast("bigint").alias("in_chunk"),
         F.sum(F.col("is_valid").cast("bigint")).over(so_far).alias("valid_in_chunk"),
@@ -109,7 +112,8 @@ def stage_windows(facts: DataFrame, spec: PanelSpec, population: DataFrame | Non
 
     Series are sampled from ``population`` where the facts were already cut, say by date.
     """
-    return stage(number_in_chunks(panel_windows(facts, spec, population), spec), "windows")
+    rows = number_in_chunks(panel_windows(facts, spec, population), spec)
+    return stage(rows, "windows", layout_of(rows, spec))
 
 
 def with_steps(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> DataFrame:

@@ -472,6 +472,8 @@ ORACLE: dict[str, str] = {
     "window_prevalence": window_sql(PREVALENCE, "target AS prevalence"),
     "window_rate": window_sql(CASES, f"{r('target', 'cases')}, cases_count, exposure_pd"),
     "renumber": sql(f"SELECT {KEY}, global_index, group_id, timesteps, abs_timesteps FROM panel", upto="panel"),
+    "renumber_by_series": sql(
+        f"SELECT {KEY}, global_index, group_id, timesteps, abs_timesteps FROM panel", SAMPLED_SPEC, "panel"),
     "threshold_filter": sql(
         f"SELECT {KEY}, group_id, target AS prevalence, {r('mean_target')} FROM panel JOIN kept USING ({KEY})", upto="kept"
     ),

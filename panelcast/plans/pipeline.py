@@ -15,6 +15,7 @@ from panelcast.operators import (
 from panelcast.operators.features import panel_features
 from panelcast.operators.runs import best_trial
 from panelcast.sources import records
+from panelcast.sources.by_series import layout_of
 from panelcast.sources.stage import stage, staged_result
 from panelcast.spec import PanelSpec
 
@@ -41,8 +42,8 @@ class Panel:
 
 def kept_outline(rows: DataFrame, spec: PanelSpec, statics: DataFrame | None = None) -> DataFrame:
     """Staged outline of the series that reach the threshold."""
-    series = outline.chunk_outline(rows, spec, statics)
-    return stage(outline.above_threshold(series, spec), "outline")
+    series = outline.above_threshold(outline.chunk_outline(rows, spec, statics), spec)
+    return stage(series, "outline", layout_of(series, spec))
 
 
 def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = None,
@@ -64,11 +65,14 @@ def label_outline(kept: DataFrame, spec: PanelSpec, saved_split: str | None = No
 
 def prepare(facts: DataFrame, spec: PanelSpec, statics: DataFrame | None = None, saved_split: str | None = None,
             population: DataFrame | None = None, reuse_split: bool = False) -> Panel:
-    """Sample, aggregate, threshold, split and fit the scaler. Window rows and the labelled outline are staged."""
+    """Sample, aggregate, threshold, split and fit the scaler. Window rows and the labelled outline are staged.
+
+    With facts kept by series both are staged in the same buckets, and meet there.
+    """
     rows = windows.stage_windows(facts, spec, population)
     labelled = staged_result(
         facts.sparkSession, "series",
-        lambda: label_outline(kept_outline(rows, spec, statics), spec, saved_split, reuse_split))
+        lambda: label_outline(kept_outline(rows, spec, statics), spec, saved_split, reuse_split), layout_of(rows, spec))
     return Panel(spec, rows, labelled, scale.fit_scaler(labelled, spec))
 
 

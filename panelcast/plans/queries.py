@@ -15,7 +15,8 @@ from panelcast.operators import (
 )
 from panelcast.operators.shape_fit import fit_shape as fit_on_shape
 from panelcast.plans import pipeline
-from panelcast.sources import ordered, records
+from panelcast.sources import by_series, ordered, records
+from panelcast.sources.facts import select_facts
 from panelcast.sources.lineitem import LINEITEM_SPEC, SAMPLED_SPEC, lineitem_facts, supplier_statics
 from panelcast.sources.stage import stage, staging_folder
 from panelcast.spec import PanelSpec
@@ -127,6 +128,17 @@ def renumber(spark, d):
     return steps.select(*KEYS, "global_index", "group_id", "timesteps", "abs_timesteps")
 
 
+def renumber_by_series(spark, d):
+    """Steps of sampled series from facts kept by series: summed, numbered and joined in their buckets."""
+    spec, buckets = SAMPLED_SPEC, int(spark.conf.get("spark.sql.shuffle.partitions"))
+    facts = by_series.with_chunks(lineitem_facts(spark, d, spec), spec, buckets)
+    facts = stage(facts, "facts", by_series.layout_of(facts, spec))
+    rows = windows.stage_windows(select_facts(facts, spec), spec)
+    series = outline.chunk_outline(rows, spec, supplier_statics(spark, d, spec))
+    steps = windows.with_steps(rows, stage(series, "outline", by_series.layout_of(series, spec)), spec)
+    return steps.select(*KEYS, "global_index", "group_id", "timesteps", "abs_timesteps")
+
+
 def threshold_filter(spark, d):
     rows = staged_windows(spark, d)
     series = outline.above_threshold(series_of(rows, spark, d), PREVALENCE)
@@ -647,7 +659,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         scan_panel, param_limit, distinct_units, sample_units, semi_join_sample, row_rate,
-        window_prevalence, window_rate, renumber, threshold_filter, series_outline,
+        window_prevalence, window_rate, renumber, renumber_by_series, threshold_filter, series_outline,
         split_params, split_series, split_sizes, split_overlap, split_restrict, scaler_stats,
         gate_scale, event_features, cyclic_time, norm_time, target_logit, target_log1p, target_roundtrip,
         row_weights, panel_features, panel_features_rate,

@@ -13,6 +13,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
+from dataclasses import dataclass
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -32,15 +33,36 @@ def staging_path(spark: SparkSession, name: str) -> str | None:
     return f"{folder}/{name}-{uuid.uuid4().hex}" if folder else None
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Compute ``df`` once and return a reader of the result."""
-    path = staging_path(df.sparkSession, name)
+@dataclass(frozen=True)
+class Layout:
+    """Rows kept in ``buckets`` buckets of ``keys``, so that work by these keys needs no shuffle."""
+
+    buckets: int
+    keys: tuple[str, ...]
+
+    def place(self, df: DataFrame) -> DataFrame:
+        """Rows in one task per bucket; the planner drops this where they are so placed already."""
+        return df.repartition(self.buckets, *self.keys)
+
+    def save(self, df: DataFrame, table: str, path: str | None = None) -> None:
+        """Write a new catalog table, one sorted file per bucket."""
+        writer = self.place(df).write.format("parquet").bucketBy(self.buckets, *self.keys).sortBy(*self.keys)
+        (writer.option("path", path) if path else writer).saveAsTable(table)
+
+
+def stage(df: DataFrame, name: str, layout: Layout | None = None) -> DataFrame:
+    """Compute ``df`` once and return a reader of the result, which keeps the ``layout`` if one is given."""
+    spark, path, table = df.sparkSession, staging_path(df.sparkSession, name), None
     if path is None:
-        staged = df.persist(StorageLevel.MEMORY_AND_DISK)
-    else:
+        staged = (layout.place(df) if layout else df).persist(StorageLevel.MEMORY_AND_DISK)
+    elif layout is None:
         df.write.parquet(path)
-        staged = df.sparkSession.read.schema(df.schema).parquet(path)
-    staged.staged_path = path
+        staged = spark.read.schema(df.schema).parquet(path)
+    else:
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        layout.save(df, table, path)
+        staged = spark.table(table)
+    staged.staged_path, staged.staged_table = path, table
     if _scopes.get():
         _scopes.get()[-1].append(staged)
     return staged
@@ -62,14 +84,15 @@ def staging_scope() -> Iterator[None]:
             unstage(staged)
 
 
-def staged_result(spark: SparkSession, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+def staged_result(spark: SparkSession, name: str, make: Callable[[], DataFrame],
+                  layout: Layout | None = None) -> DataFrame:
     """Stage what ``make`` returns and delete what it staged on the way; in the cache everything stays."""
     if staging_folder(spark) is None:
-        return stage(make(), name)
+        return stage(make(), name, layout)
     own: list[DataFrame] = []
     token = _scopes.set((*_scopes.get(), own))
     try:
-        result = stage(make(), name)
+        result = stage(make(), name, layout)
     finally:
         _scopes.reset(token)
     for staged in own:
@@ -86,5 +109,7 @@ def unstage(staged: DataFrame) -> None:
         staged.unpersist()
         return
     spark = staged.sparkSession
+    if staged.staged_table is not None:
+        spark.sql(f"DROP TABLE IF EXISTS `{staged.staged_table}`")  # the files of a table at a path stay
     path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
