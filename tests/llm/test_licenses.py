@@ -91,3 +91,44 @@ def test_query_equals_brute_force(spark, docs, clashing, empty):
     assert licenses.query(empty).collect() == []
     assert Counter(map(tuple, licenses.query(clashing).collect())) == Counter(map(tuple, licenses.query(docs).collect()))
     assert {r.license for r in licenses.query(docs).collect() if r.doc_id == 116} == {"Apache-2.0"}
+
+
+def stretches(text):
+    return [(f.name, f.start, f.end) for f in Scanner().scan_all(text.encode())[1]]
+
+
+def test_notices_that_come_twice_are_there_twice():
+    once = "Released under the MIT License."
+    assert stretches(f"{once} {once}") == [("MIT", 0, 5), ("MIT", 5, 10)]
+    for name in ("MIT-text", "GPL-3.0-or-later", "BSD-3-Clause"):
+        n = len(words_of(TEMPLATES[name].encode()))
+        for between in ("", "and some other words"):
+            gap = len(between.split())
+            assert stretches(f"{TEMPLATES[name]} {between} {TEMPLATES[name]}") == [(name, 0, n), (name, n + gap, 2 * n + gap)]
+
+
+def test_each_part_of_the_text_names_one_template():
+    for name, text in TEMPLATES.items():
+        assert stretches(text) == [(name, 0, len(words_of(text.encode())))], name
+    joined = [n for n in sorted(TEMPLATES)]
+    assert [s[0] for s in stretches(" x y z ".join(TEMPLATES[n] for n in joined))] == joined
+
+
+def test_phrases_hold_word_by_word():
+    for name, text in licenses.PHRASES.items():
+        n = len(words_of(text.encode()))
+        assert (name, 1, 1 + n) in stretches(f"// see {text}\n#include x"), name
+    assert stretches("// SPDX-License-Identifier: GPL-2.0-only") == [("SPDX:GPL-2.0-only", 0, 7)]
+    assert stretches("SPDX-License-Identifier: see MIT") == []
+    assert [s[0] for s in stretches("Licensed under CC BY-NC 4.0.")] == ["CC-BY-NC-4.0"]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([*sorted(TEMPLATES), "x", "the", "license", "under"]), max_size=6))
+def test_stretches_do_not_overlap_and_miss_no_template(names):
+    scanner = Scanner()
+    best, found = scanner.scan_all(" ".join(TEMPLATES.get(n, n) for n in names).encode())
+    spans = sorted((f.start, f.end) for f in found)
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    for f in best:  # what has no stretch of its own overlaps one that is at least as good
+        assert f in found or any(f.start < g.end and g.start < f.end and (-g.coverage, -g.length) <= (-f.coverage, -f.length) for g in found)
