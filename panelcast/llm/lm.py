@@ -12,7 +12,10 @@ grow with the corpus, the number of passes does.
 
 Probabilities are those of a bigram model with Dirichlet smoothing towards the words' own frequencies. Next
 to them comes the exact unigram score. Its counts are broadcast for at most ``HEAD_WORDS`` most frequent
-words; the other words of a document are joined with the count table.
+words of at most ``HEAD_BYTES`` bytes each; the other words of a document are joined with the count table.
+
+``least_count`` leaves rarer n-grams out of the filter (they are then probed like unseen ones), which bounds the passes where the
+distinct n-grams of a corpus are mostly rare. By default, 1, the filter holds all.
 
 Defined results: null and blank text is one end token; a row without ``doc_id`` is neither held out nor
 learned from; repeated rows are counted and scored once each; without training texts every probability is
@@ -38,6 +41,7 @@ from panelcast.sources.stage import stage
 HELD_OUT = (5, 1)
 END = ""  # no word is empty
 HEAD_WORDS = 200_000
+HEAD_BYTES = 64
 SHARD_BYTES = 128 << 20
 SEGMENT_TOKENS = 1 << 20
 #: Bits per entry and probes per level; together about 3 % of absent levels are taken for present.
@@ -143,13 +147,17 @@ class Totals:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.distinct + 1)))
 
 
+#: Of a word that the head may hold.
+_IS_SHORT = f"octet_length(word) <= {HEAD_BYTES}"
+
+
 def head(counts: DataFrame, most: int = HEAD_WORDS) -> tuple[dict[bytes, int], int]:
-    """Counts of the most frequent words, at most ``most``, and the least count that they have.
+    """Counts of the most frequent words that are not too long, at most ``most``, and the least count that they have.
 
     The bound is a count that at most that many words reach, found from a table of words per power of two.
     """
     power = F.floor(F.log2("n")).cast("int").alias("power")
-    reached, least = 0, 1
+    counts, reached, least = counts.where(_IS_SHORT), 0, 1
     for row in sorted(counts.groupBy(power).count().collect(), key=lambda r: -r["power"]):
         reached += row["count"]
         if reached > most:
@@ -203,10 +211,13 @@ def gram_sums(texts: DataFrame, segments: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "segment int, grams binary, counts binary")
 
 
-def _segment(grams: list[bytes], counts: list[bytes]) -> tuple[int, bytes]:
+def _segment(grams: list[bytes], counts: list[bytes], least_count: int) -> tuple[int, bytes]:
     """Length in bits, and the bits."""
     distinct, back = np.unique(np.concatenate([np.frombuffer(g, np.uint64) for g in grams]), return_inverse=True)
     sums = np.bincount(back, np.concatenate([np.frombuffer(c, np.uint32) for c in counts]))
+    distinct, sums = distinct[sums >= least_count], sums[sums >= least_count]
+    if not len(distinct):
+        return 0, b""
     level = levels(sums)
     bits = 64 * -(-int(level.sum()) * BITS_PER_ENTRY // 64)
     out = np.zeros(bits, np.bool_)
@@ -216,14 +227,14 @@ def _segment(grams: list[bytes], counts: list[bytes]) -> tuple[int, bytes]:
     return bits, np.packbits(out, bitorder="little").tobytes()
 
 
-def segments_of(sums: DataFrame) -> DataFrame:
-    """``segment``, ``bits`` and ``filter``, one row per segment."""
+def segments_of(sums: DataFrame, least_count: int = 1) -> DataFrame:
+    """``segment``, ``bits`` and ``filter``, one row per segment, of n-grams that come at least ``least_count`` times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, grams, counts = None, [], []
 
         def done() -> pa.RecordBatch:
-            bits, data = _segment(grams, counts)
+            bits, data = _segment(grams, counts, least_count)
             return pa.RecordBatch.from_arrays(
                 [pa.array([current], pa.int32()), pa.array([bits], pa.int64()), pa.array([data], pa.binary())],
                 ["segment", "bits", "filter"])
@@ -321,7 +332,7 @@ def log_probabilities(one: np.ndarray, two: np.ndarray, bounds: np.ndarray, end:
 
 
 def _fill(docs: DataFrame, shard: Shard) -> DataFrame:
-    """Merge what the shard knows into ``one`` and ``two``, a byte per token each."""
+    """Merge what the shard knows into ``one`` and ``two``, a byte per token each; staged, so that the shard can go."""
     shared = docs.sparkSession.sparkContext.broadcast(shard)
     known = WordHashes()
 
@@ -337,20 +348,24 @@ def _fill(docs: DataFrame, shard: Shard) -> DataFrame:
 
     kept = [c for c in docs.columns if c not in ("_one", "_two")]
     filled = map_rows(docs, of_batch, "_new_one binary, _new_two binary")
-    return filled.select(*kept, F.col("_new_one").alias("_one"), F.col("_new_two").alias("_two"))
+    filled = stage(filled.select(*kept, F.col("_new_one").alias("_one"), F.col("_new_two").alias("_two")), "token_levels")
+    if filled.staged_path is not None:  # what is cached may be computed again
+        shared.destroy()
+    return filled
 
 
 class Model:
     """Exact word counts, and the filter's segments in a staged table."""
 
-    def __init__(self, texts: DataFrame, head_words: int = HEAD_WORDS, shard_bytes: int = SHARD_BYTES) -> None:
+    def __init__(self, texts: DataFrame, head_words: int = HEAD_WORDS, shard_bytes: int = SHARD_BYTES, *,
+                 least_count: int = 1) -> None:
         texts = texts.select("text")
         self.counts = stage(word_counts(texts).where("n > 0"), "word_counts")
         n, v = self.counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
         self.totals = Totals(n, v)
         self.head, self.least = head(self.counts, head_words)
         self.segments = 1 << max(1, math.ceil(math.log2(max(2, n / SEGMENT_TOKENS))))
-        self.filter = stage(segments_of(gram_sums(texts, self.segments)), "filter_segments")
+        self.filter = stage(segments_of(gram_sums(texts, self.segments), least_count), "filter_segments")
         self.ranges = shard_ranges([tuple(r) for r in self.filter.select("segment", "bits").collect()], shard_bytes)
 
     def shard(self, first: int, last: int) -> Shard:
@@ -369,7 +384,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark, totals = docs.sparkSession, model.totals
     for first, last in model.ranges[:-1]:
-        docs = stage(_fill(docs, model.shard(first, last)), "token_levels")
+        docs = _fill(docs, model.shard(first, last))
     shared = spark.sparkContext.broadcast(model.shard(*model.ranges[-1]))
     words = spark.sparkContext.broadcast(model.head)
     end_level, known = model.level_of_end(), WordHashes()
@@ -403,7 +418,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     rows = stage(rows, "scored_rows")  # fixes the row numbers
     rare = rows.select("_row", F.explode(F.arrays_zip("_rare", "_times")).alias("_w"))
     rare = rare.select("_row", F.col("_w._rare").alias("word"), F.col("_w._times").alias("times"))
-    counts = model.counts.where(F.col("n") < model.least)
+    if rows.staged_path is not None:
+        shared.destroy()
+        words.destroy()
+    counts = model.counts.where((F.col("n") < model.least) | ~F.expr(_IS_SHORT))
     n = F.coalesce("n", F.lit(0))
     log = F.log10((n + 0.5) / F.lit(totals.tokens + 0.5 * (totals.distinct + 1)))
     of_rare = rare.join(counts, "word", "left").groupBy("_row").agg(

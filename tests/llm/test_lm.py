@@ -121,3 +121,33 @@ def test_shard_ranges():
     assert lm.shard_ranges([(0, 80), (1, 80), (5, 80)], limit=20) == [(0, 1), (5, 5)]
     assert lm.shard_ranges([]) == [(0, 0)]
     assert Shard.of([], 2).levels_of(np.array([1, 2], np.uint64)).tolist() == [0, 0]
+
+
+def test_long_words_are_joined_and_not_in_the_head(spark):
+    """However often they come; the base score is that of the definition all the same."""
+    long, limit = "x" * (lm.HEAD_BYTES + 1), "é" * (lm.HEAD_BYTES // 2)
+    texts = [f"{long} {limit} a", f"{long} {long} b", None, long.upper()]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    model = Model(rows)
+    assert set(model.head) == {b"a", b"b", limit.encode(), b""}
+    counts = Counter(w for t in texts for w in tokens(t))
+    n, v = sum(counts.values()), len(counts)
+    for r in lm.score(rows, model).collect():
+        t = tokens(texts[r.doc_id])
+        assert (r.n_tokens, r.n_known) == (len(t), len(t))
+        assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t))
+
+
+def test_rare_ngrams_can_stay_out_of_the_filter(docs):
+    texts = docs.where("doc_id < 50")
+    every, frequent = Model(texts), Model(texts, least_count=3)
+    shard = frequent.shard(0, frequent.segments)
+    size = lambda m: m.filter.selectExpr("sum(bits)").first()[0]
+    assert size(frequent) < size(every)
+    counts = Counter(w for r in texts.collect() for w in tokens(r.text))
+    grams = lm.mixed(np.array([xxh64_intdigest(w.encode()) for w in sorted(counts)], np.uint64))
+    n = np.array([counts[w] for w in sorted(counts)])
+    level = shard.levels_of(grams)
+    assert (level[n >= 3] >= lm.levels(n[n >= 3])).all() and (level[n < 3] > 0).mean() < 0.2
+    assert Model(texts, least_count=10**9).shard(0, every.segments).levels_of(grams).sum() == 0
+    assert all(math.isfinite(r.score) for r in lm.score(texts.select("doc_id", "text"), frequent).collect())
