@@ -2,7 +2,8 @@
 
 Ordinary text takes few tokens of a byte-pair vocabulary; random keys take many. A run of key characters
 whose characters per token fall below the ratio for its length is a secret, unless it is a known kind of digest or
-identifier: a digest in hex, a UUID, a number or date, a whole e-mail address, or the host of an address. Letters with
+identifier: a digest in hex, a UUID, a number or date, a book or account number whose check digits hold, a whole e-mail
+address, or the host of an address. Letters with
 at most four digits behind them could be a name and need a lower ratio. Of a run that is no secret itself the pieces
 between ``/``, ``_`` and ``-`` are tested, of an address each part. Spans are in code points, the end excluded.
 
@@ -15,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 import pyarrow as pa
@@ -52,6 +54,18 @@ _HOST = re.compile(r"(?:://(?:[^/@]*@)?|@)((?:[A-Za-z0-9-]{1,63}\.)+[A-Za-z]{2,6
 #: Letters with at most four digits behind them, joined by single marks: names of code, files, hosts and paths.
 _NAME = re.compile(r"/?(?:[A-Za-z]*[0-9]{0,4})(?:[/_.:-][A-Za-z]*[0-9]{0,4})*")
 _MARKS = "/_-"
+_BOOK = re.compile(r"ISBN(?:-1[03])?[:=-]?((?:[0-9]-?){9}[0-9X]|97[89]-?(?:[0-9]-?){9}[0-9])")
+_ACCOUNT = re.compile(r"[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+
+
+def is_checked(key: str) -> bool:
+    """Whether the key is a book number (ISBN) or account number (IBAN) of the right check digits."""
+    if book := _BOOK.fullmatch(key):
+        digits = [10 if c == "X" else int(c) for c in book[1].replace("-", "")]
+        if len(digits) == 10:
+            return sum(d * w for d, w in zip(digits, range(10, 0, -1))) % 11 == 0
+        return sum(d * (3 if i % 2 else 1) for i, d in enumerate(digits)) % 10 == 0
+    return bool(_ACCOUNT.fullmatch(key)) and int("".join(str(int(c, 36)) for c in key[4:] + key[:4])) % 97 == 1
 
 
 def load_ranks(path: str = VOCABULARY) -> dict[bytes, int]:
@@ -85,7 +99,7 @@ def random_parts(text: str, start: int, end: int, count_tokens: Callable[[str],
                  whole: bool = True) -> list[tuple[int, int]]:
     """The key from ``start`` to ``end`` if it is random, else what is random of its pieces between the marks."""
     key = text[start:end]
-    if len(key) < MIN_LENGTH or _KNOWN.fullmatch(key):
+    if len(key) < MIN_LENGTH or _KNOWN.fullmatch(key) or is_checked(key):
         return []
     known = any(len(piece) >= 32 and _KNOWN.fullmatch(piece) for piece in key.replace("_", "/").split("/"))
     if whole and not known and is_random(key, count_tokens):
@@ -155,24 +169,25 @@ def masked(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
     return "".join([*parts, text[done:]])
 
 
-_encodings: dict[int, tiktoken.Encoding] = {}
+#: The last encoding that the worker built, by the number of its broadcast.
+_encodings: dict[str, tiktoken.Encoding] = {}
 
 
-def token_counter(shared) -> Callable[[str], int]:
+def token_counter(number: str, shared) -> Callable[[str], int]:
     """Counts tokens; the worker builds the encoding once from the broadcast ranks."""
-    key = id(shared)
-    if key not in _encodings:
-        _encodings[key] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
-    encoding = _encodings[key]
+    if number not in _encodings:
+        _encodings.clear()
+        _encodings[number] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=shared.value, special_tokens={})
+    encoding = _encodings[number]
     return lambda key: len(encoding.encode_ordinary(key))
 
 
 def scanner(spark: SparkSession, vocabulary: str = VOCABULARY):
     """Spans of each text of a batch. The driver reads the vocabulary (about 1 MB) and broadcasts it."""
-    shared = spark.sparkContext.broadcast(load_ranks(vocabulary))
+    shared, number = spark.sparkContext.broadcast(load_ranks(vocabulary)), uuid.uuid4().hex
 
     def scan(texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
-        count = token_counter(shared)
+        count = token_counter(number, shared)
         return [secret_spans(t, count) for t in texts]
 
     return scan

@@ -75,3 +75,14 @@ def test_masking(docs, clashing, empty):
     dirty = {i for i, found in spans if found}
     assert {r[0] for r in before - after} == dirty and all("[SECRET]" in r[1] and r[4] == len(r[1]) for r in after - before)
     assert Counter(map(tuple, s.query(clashing).collect())) == Counter(map(tuple, s.query(docs).collect()))
+
+
+def test_numbers_with_right_check_digits_are_known():
+    import tiktoken
+
+    encoding = tiktoken.Encoding("t", pat_str=s.PATTERN, mergeable_ranks=s.load_ranks(), special_tokens={})
+    count = lambda key: len(encoding.encode_ordinary(key))
+    for known in ("ISBN978-3-16-148410-0", "ISBN:0-306-40615-2", "ISBN-10:080442957X", "GB82WEST12345698765432", "DE89370400440532013000"):
+        assert s.is_checked(known.replace(" ", "")) and s.secret_spans(f"see {known} there", count) == [], known
+    for other in ("ISBN978-3-16-148410-1", "ISBN:0-306-40615-3", "GB83WEST12345698765432", "ISBN", ""):
+        assert not s.is_checked(other)
