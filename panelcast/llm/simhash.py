@@ -199,9 +199,12 @@ def keep_first(docs: DataFrame, edited: bool = False) -> DataFrame:
     else:
         found = near_duplicates(docs)
         named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id"))
-    named = named.distinct()
-    kept = docs.join(named, F.col("doc_id") == F.col("_kept_id"), "left_semi")
-    kept = _first_of(kept, "doc_id")
+    # texts are sorted for ids that come several times only; written, so that the planner knows how few ids there are
+    times = docs.groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_kept_id")
+    named = stage(named.distinct().join(times, "_kept_id"), "kept_ids")
+    once, several = (docs.join(named.where(c), F.col("doc_id") == F.col("_kept_id"), "left_semi")
+                     for c in ("_times = 1", "_times > 1"))
+    kept = once.union(_first_of(several, "doc_id"))
     # components that consist of rows without doc_id only
     nameless = docs.where(F.col("doc_id").isNull())
     of_text = map_rows(nameless, lambda b: [[fingerprint(t) for t in as_bytes(b.column("text"))]], "_fp bigint")
