@@ -9,6 +9,7 @@ nothing is ever written to a folder of one machine.
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -22,6 +23,34 @@ from pyspark.sql import DataFrame, SparkSession
 _scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("staging_scopes", default=())
 
 
+#: Frees the shuffle files of a query when it ends, not when the driver next collects garbage.
+_FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_freeing: dict[str, int | str | None] = {"writes": 0, "before": None}
+
+
+@contextmanager
+def _freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """What is written inside leaves no shuffle files; the setting goes back once no thread writes any more.
+
+    A query that needs such files again, to compute lost cached rows, makes them anew.
+    """
+    with _lock:
+        if not _freeing["writes"]:
+            _freeing["before"] = spark.conf.get(_FREES_SHUFFLES, None)
+            spark.conf.set(_FREES_SHUFFLES, "true")
+        _freeing["writes"] += 1
+    try:
+        yield
+    finally:
+        with _lock:
+            _freeing["writes"] -= 1
+            if not _freeing["writes"] and _freeing["before"] is None:
+                spark.conf.unset(_FREES_SHUFFLES)
+            elif not _freeing["writes"]:
+                spark.conf.set(_FREES_SHUFFLES, _freeing["before"])
+
+
 def staging_folder(spark: SparkSession) -> str | None:
     """The shared folder, or None if the session names none."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -56,11 +85,13 @@ def stage(df: DataFrame, name: str, layout: Layout | None = None) -> DataFrame:
     if path is None:
         staged = (layout.place(df) if layout else df).persist(StorageLevel.MEMORY_AND_DISK)
     elif layout is None:
-        df.write.parquet(path)
+        with _freed_shuffles(spark):
+            df.write.parquet(path)
         staged = spark.read.schema(df.schema).parquet(path)
     else:
         table = path.rsplit("/", 1)[1].replace("-", "_")
-        layout.save(df, table, path)
+        with _freed_shuffles(spark):
+            layout.save(df, table, path)
         staged = spark.table(table)
     staged.staged_path, staged.staged_table = path, table
     if _scopes.get():

@@ -207,3 +207,13 @@ def test_report_of_rates_is_by_day(spark):
     table = report.actual_vs_predicted(panel.features().withColumn("yhat_same", F.col("y")), ["same"], spec)
     assert table.filter("abs(true_cases - same_prediction) > 1e-9").isEmpty()
     assert table.agg(F.min("timestep")).first()[0] >= spec.burn_in
+
+
+def test_staging_leaves_no_shuffle_files_and_no_setting(spark):
+    from panelcast.sources import stage as staging
+
+    before = spark.conf.get(staging._FREES_SHUFFLES, None)
+    with staging.staging_scope():
+        seen = staging.stage(spark.range(1_000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+        assert sorted(map(tuple, seen.collect())) == [(k, 143 if k < 6 else 142) for k in range(7)]
+    assert spark.conf.get(staging._FREES_SHUFFLES, None) == before and staging._freeing["writes"] == 0
