@@ -4,7 +4,8 @@ The loss over all training windows is a sum of squares of the errors and of thei
 a pair or a triple of steps counts as often as windows hold it, so no window is made: each series is differenced once, in
 runs of bounded size, and one aggregate brings the sums of products of the three orders to the driver.
 
-In natural space the forecast is the inverse transform of a linear one. There the fit goes in rounds of two passes: one
+In natural space the forecast is the inverse transform of a linear one. There the training steps are staged once, in buckets
+of runs, so that no later pass shuffles them, and the fit goes in rounds of two passes: one
 linearises the forecasts around the present weights and takes the same sums, from which steps of several lengths are solved; the
 other takes the true loss of them all side by side, and the lowest is the next round's start.
 """
@@ -20,6 +21,7 @@ from pyspark.sql import functions as F
 from panelcast.functions import targets
 from panelcast.operators.normal import ONE, TARGET, LinearForecast, least_squares, product_sums
 from panelcast.operators.sequences import coverage
+from panelcast.sources.stage import Layout, stage, unstage
 from panelcast.spec import PanelSpec
 
 ORDERS = (0, 1, 2)
@@ -28,27 +30,44 @@ ROUNDS = 10
 DAMPING = (0.0, 1e-3, 1e-2, 1e-1, 1.0, 10.0, 1e2, 1e3)
 
 
+def in_runs(rows: DataFrame, most: int, spec: PanelSpec) -> DataFrame:
+    """Steps in runs of bounded size, which also get the last ``most`` steps before them, so a long series is spread over many tasks.
+
+    ``_held_<k>`` tells how many training windows hold a step and the k before it.
+    """
+    rows = rows.withColumns({f"_held_{k}": coverage(spec, k) for k in range(most + 1)})
+    if not most:
+        return rows.withColumn("_own", F.lit(0)).withColumn("_run", F.lit(0))
+    size = max(spec.chunk, spec.lookback)
+    own = F.floor(F.col("position") / size).cast("bigint")
+    ends = F.col("position") % size >= size - most
+    return rows.withColumn("_own", own).withColumn(
+        "_run", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
+
+
+def staged_runs(train: DataFrame, spec: PanelSpec) -> DataFrame:
+    """The steps of ``in_runs`` that a fit reads, staged in buckets of runs: passes over them difference them without a shuffle."""
+    steps = train.filter(F.col("valid_length") >= spec.lookback).select(
+        *spec.pair, "position", "valid_length", *spec.feature_columns, "y", "w")
+    buckets = int(train.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = in_runs(steps, max(shares(spec)), spec).drop("valid_length")
+    return stage(runs, "fit_runs", Layout(buckets, (*spec.pair, "_run")))
+
+
 def differenced_steps(rows: DataFrame, columns: list[str], orders: list[int], spec: PanelSpec) -> DataFrame:
     """``order``, ``fit_weight`` and the columns, differenced that often, of each step that training windows hold.
 
-    Runs of steps also get the last steps before them, so a long series is spread over many tasks.
+    ``rows`` are steps, or steps that are in runs already.
     """
     most = max(orders)
-    if most:
-        size = max(spec.chunk, spec.lookback)
-        own = F.floor(F.col("position") / size).cast("bigint")
-        ends = F.col("position") % size >= size - most
-        rows = rows.withColumn("_own", own).withColumn(
-            "_run", F.explode(F.when(ends, F.array(own, own + 1)).otherwise(F.array(own))))
-        step = Window.partitionBy(*spec.pair, "_run").orderBy("position")
-    else:
-        rows = rows.withColumn("_own", F.lit(0)).withColumn("_run", F.lit(0))
+    rows = rows if "_run" in rows.columns else in_runs(rows, most, spec)
+    step = Window.partitionBy(*spec.pair, "_run").orderBy("position")
 
     def lagged(column: str, by: int) -> Column:
         return F.lag(column, by).over(step) if by else F.col(column)
 
     lags = [lagged(c, k).alias(f"_{c}_{k}") for c in (*columns, "w") for k in range(most + 1)]
-    lagging = rows.select("_own", "_run", *[coverage(spec, k).alias(f"_held_{k}") for k in orders], *lags)
+    lagging = rows.select("_own", "_run", *[f"_held_{k}" for k in orders], *lags)
 
     def difference(column: str, order: int, signs: int = -1) -> Column:
         terms = [F.lit(float(math.comb(order, k) * signs ** k)) * F.col(f"_{column}_{k}") for k in range(order + 1)]
@@ -128,10 +147,18 @@ def fit_shape(features: DataFrame, spec: PanelSpec, rounds: int = ROUNDS, tolera
     lowers the loss by no more than ``tolerance`` of itself; a round never raises it. The whole split counts as one batch.
     """
     train = features.filter(F.col("split") == "train")
+    if spec.loss_space != "natural":
+        return LinearForecast(spec.feature_columns, least_squares(loss_sums(train, None, spec)))
+    runs = staged_runs(train, spec)
+    try:
+        return _rounds(runs, spec, rounds, tolerance)
+    finally:
+        unstage(runs)
+
+
+def _rounds(train: DataFrame, spec: PanelSpec, rounds: int, tolerance: float) -> LinearForecast:
     inputs = spec.feature_columns
     best = LinearForecast(inputs, least_squares(loss_sums(train, None, spec)))
-    if spec.loss_space != "natural":
-        return best
     lowest = natural_losses(train, [best], spec)[0]
     for _ in range(rounds):
         steps = damped_steps(loss_sums(train, best, spec), best.weights)

@@ -88,6 +88,19 @@ def test_natural_space_ends_where_no_step_helps(features):
         assert whole_loss(windows, near, spec, sigmoid) > losses[1] * (1 - 1e-6)
 
 
+def test_rounds_in_natural_space_shuffle_no_steps(features):
+    """Steps meet their runs once, when they are staged; every later pass finds them in its bucket."""
+    spec = SPEC.with_(loss_space="natural")
+    train = features.filter("split = 'train'")
+    model = normal.LinearForecast(spec.feature_columns, np.linspace(-0.2, 0.2, len(spec.feature_columns) + 1))
+    runs = shape_fit.staged_runs(train, spec)
+    steps = shape_fit.differenced_steps(shape_fit.linearised(runs, model, spec), [normal.ONE, normal.TARGET], [0, 1, 2], spec)
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    assert "Window" in plan and "Exchange" not in plan
+    assert shape_fit.natural_losses(runs, [model], spec) == pytest.approx(shape_fit.natural_losses(train, [model], spec), rel=1e-12)
+    assert shape_fit.loss_sums(runs, model, spec) == pytest.approx(shape_fit.loss_sums(train, model, spec), rel=1e-9)
+
+
 def test_no_training_window_is_an_error(features):
     with pytest.raises(ValueError):
         shape_fit.fit_shape(features, SPEC.with_(lookback=5_000))
