@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import targets
 from panelcast.operators import losses
-from panelcast.operators.boosting import FORECAST, Training, fit_rounds
+from panelcast.operators.boosting import FORECAST, BinnedSteps, Training, fit_boosted, fit_rounds
 from panelcast.operators.losses import forecast_of
 from panelcast.operators.sequences import batched_steps, coverage
 from panelcast.spec import PanelSpec
@@ -35,21 +35,32 @@ def assemble(features: DataFrame, spec: PanelSpec) -> DataFrame:
     return VectorAssembler(inputCols=spec.feature_columns, outputCol="features").transform(features)
 
 
-def training_rows(features: DataFrame, spec: PanelSpec) -> DataFrame:
+def weighted_steps(features: DataFrame, spec: PanelSpec) -> DataFrame:
     """Training steps, each weighted by its row weight and the training windows that hold it."""
     weighted = features.filter(F.col("split") == "train").withColumn(
         "fit_weight", F.col("w") * coverage(spec)
     )
-    return assemble(weighted.filter(F.col("fit_weight") > 0), spec).select("features", "y", "fit_weight")
+    return weighted.filter(F.col("fit_weight") > 0)
+
+
+def training_rows(features: DataFrame, spec: PanelSpec) -> DataFrame:
+    """``weighted_steps`` with the feature vector."""
+    return assemble(weighted_steps(features, spec), spec).select("features", "y", "fit_weight")
+
+
+def boosting_steps(features: DataFrame, spec: PanelSpec) -> DataFrame:
+    """What boosting reads of ``weighted_steps``."""
+    return weighted_steps(features, spec).select(*spec.pair, "position", *spec.feature_columns, "y", "fit_weight")
 
 
-def fit(family: str, features: DataFrame, spec: PanelSpec, **params) -> Model:
-    """Fit on the training split only."""
+def fit(family: str, features: DataFrame, spec: PanelSpec, shared: BinnedSteps | None = None, **params) -> Model:
+    """Fit on the training split only; boosted trials of one table may share binned steps."""
     estimator = create_model(family, **params)
-    train = training_rows(features, spec)
+    boosts = isinstance(estimator, GBTRegressor)
+    train = boosting_steps(features, spec) if boosts else training_rows(features, spec)
     if train.isEmpty():
         raise ValueError(f"no training series reaches the look-back length {spec.lookback}")
-    return estimator.fit(train)
+    return fit_boosted(train, spec, shared, **params) if boosts else estimator.fit(train)
 
 
 def fit_early(features: DataFrame, spec: PanelSpec, before: str, patience: int | None = None, **params) -> Training:
@@ -57,9 +68,9 @@ def fit_early(features: DataFrame, spec: PanelSpec, before: str, patience: int |
 
     ``before`` names the column with the number of earlier evaluation windows.
     """
-    validate = assemble(batched_steps(features.filter(F.col("split") == "validate"), spec, before), spec)
-    kept = validate.select(*spec.pair, "start", "position", "batch_id", "y", "w", "features")
-    return fit_rounds(training_rows(features, spec), kept, spec, spec.patience if patience is None else patience, **params)
+    validate = batched_steps(features.filter(F.col("split") == "validate"), spec, before)
+    kept = validate.select(*spec.pair, "start", "position", "batch_id", "y", "w", *spec.feature_columns)
+    return fit_rounds(boosting_steps(features, spec), kept, spec, spec.patience if patience is None else patience, **params)
 
 
 def early_history(training: Training, spark: SparkSession, name: str = FORECAST, trial: int = 0) -> DataFrame:
@@ -81,15 +92,10 @@ def rounds(model: Model, features: DataFrame, spec: PanelSpec) -> tuple[DataFram
 
     A linear model has one round. All rounds of a boosted one come from one pass, each tree scored once.
     """
-    trees = list(zip(model.trees, model.treeWeights)) if hasattr(model, "trees") else [(model, 1.0)]
-    scored, total = assemble(features, spec), F.lit(0.0)
-    for k, (tree, _) in enumerate(trees, start=1):
-        scored = tree.setPredictionCol(f"_tree_{k}").transform(scored)
-    for k, (_, weight) in enumerate(trees, start=1):
-        total = total + F.lit(float(weight)) * F.col(f"_tree_{k}")
-        scored = scored.withColumn(forecast_of(str(k)), total)
-    return scored.drop("features", *[f"_tree_{k}" for k in range(1, len(trees) + 1)]), [
-        str(k) for k in range(1, len(trees) + 1)]
+    names = [str(k) for k in range(1, len(model.trees) + 1)] if hasattr(model, "trees") else ["1"]
+    if hasattr(model, "trees"):
+        return model.after_rounds(features, [forecast_of(k) for k in names]), names
+    return model.setPredictionCol(forecast_of("1")).transform(assemble(features, spec)).drop("features"), names
 
 
 def history(model: Model, name: str, batched: DataFrame, spec: PanelSpec, trial: int = 0) -> DataFrame:

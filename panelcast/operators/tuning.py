@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from panelcast.operators import forecast, losses, sequences
+from panelcast.operators.boosting import BinnedSteps
 from panelcast.operators.normal import ONE, TARGET, LinearForecast, penalised, product_sums
 from panelcast.spec import PanelSpec
 
@@ -29,6 +30,8 @@ log = logging.getLogger(__name__)
 # Look-back lengths to search and the weight decay range.
 LOOKBACKS = (13, 26, 52, 78)
 WEIGHT_DECAYS = (1e-6, 1e-1)
+#: Attribute of a feature table under which trials find the binned steps that they share.
+BINNED = "_binned_steps"
 #: Boosting takes far larger steps than a gradient descent does.
 STEP_SIZES = (1e-2, 3e-1)
 
@@ -92,7 +95,7 @@ def run_trial(candidate: Candidate, features: DataFrame, spec: PanelSpec) -> tup
     shown = shown_parameters(candidate)
     loss, epoch, state = math.inf, None, "FAIL"
     try:
-        model = forecast.fit(candidate.family, features, spec, **candidate.params)
+        model = forecast.fit(candidate.family, features, spec, getattr(features, BINNED, None), **candidate.params)
         batched = sequences.batched_steps(features, spec, numbered(candidate.lookback))
         epoch, loss = min(validation_history(model, batched, candidate, spec), key=lambda r: (r[1], r[0]))
         state = "COMPLETE" if math.isfinite(loss) else "FAIL"
@@ -159,6 +162,8 @@ def one_by_one(drawn: list[Candidate], features: DataFrame, spec: PanelSpec, par
     """Each candidate by ``run_trial``, in threads whose jobs carry a tag by which they are cancelled at the deadline."""
     spark, tag = features.sparkSession, f"trials-{uuid.uuid4().hex}"
     context, over = spark.sparkContext, threading.Event()
+    features, binned = features.select("*"), BinnedSteps()
+    setattr(features, BINNED, binned)  # for the trials of this call, which read the same steps
 
     def attempt(candidate: Candidate) -> tuple:
         late = (candidate.number, candidate.family, shown_parameters(candidate), math.inf, None)
@@ -186,6 +191,7 @@ def one_by_one(drawn: list[Candidate], features: DataFrame, spec: PanelSpec, par
             return [task.result() for task in tasks]
     finally:
         over.set()
+        binned.unstage()
 
 
 def search(features: DataFrame, spec: PanelSpec, families: tuple[str, ...] = tuple(forecast.FAMILIES),

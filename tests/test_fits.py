@@ -160,6 +160,35 @@ def test_boosting_stops_and_keeps_its_best_round(spark, features):
     assert last.train_loss is not None and boosting.RESTAGE < 12
 
 
+def test_cells_give_the_trees_of_spark_ml(features):
+    """Sums of steps of equal bins lead to the forecasts of trees that are fitted on the steps themselves."""
+    model = forecast.fit("boosted", features, SPEC, maxIter=6, stepSize=0.4, maxDepth=4, seed=2)
+    want = forecast.create_model("boosted", maxIter=6, stepSize=0.4, maxDepth=4, seed=2).setPredictionCol("want").fit(
+        forecast.training_rows(features, SPEC))
+    both = model.setPredictionCol("got").transform(want.transform(forecast.assemble(features, SPEC)))
+    assert both.agg(F.max(F.abs(F.col("got") - F.col("want")))).first()[0] < 1e-9
+    steps = forecast.boosting_steps(features, SPEC)
+    assert boosting.cell_sums(model.bins.add(steps), model.bins, 6, 1.0, 2).count() < steps.count()
+
+
+def test_losses_of_several_rounds_come_from_one_pass(features, monkeypatch):
+    passes, whole = [], boosting.losses.mean_batch_loss
+    monkeypatch.setattr(boosting.losses, "mean_batch_loss", lambda rows, models, *a: passes.append(models) or whole(rows, models, *a))
+    found = forecast.fit_early(features, SPEC, tuning.numbered(SPEC.lookback), patience=100, maxIter=10, maxDepth=2, seed=3)
+    assert found.stop_epoch == 10 and [len(p) for p in passes] == [boosting.RESTAGE, 10 - boosting.RESTAGE]
+
+
+def test_drawn_steps_do_not_hang_on_partitions(features):
+    drawn = {"maxIter": 3, "maxDepth": 3, "seed": 5, "subsamplingRate": 0.6}
+    one, two = (forecast.fit("boosted", f, SPEC, **drawn) for f in (features, features.repartition(7, "position")))
+    both = two.setPredictionCol("two").transform(one.setPredictionCol("one").transform(features))
+    assert both.agg(F.max(F.abs(F.col("one") - F.col("two")))).first()[0] < 1e-9
+    steps = boosting.Bins.add(one.bins, forecast.boosting_steps(features, SPEC)).withColumn("_draw", F.xxhash64(*SPEC.pair, "position"))
+    sums = boosting.cell_sums(steps, one.bins, 2, 0.6, 5).agg(F.sum("_w_1"), F.sum("_w_2")).first()
+    share = [x / steps.agg(F.sum("fit_weight")).first()[0] for x in sums]
+    assert all(0.5 < x < 0.7 for x in share) and share[0] != share[1]
+
+
 def test_winner_of_the_search_is_refitted_as_it_was_ranked(features):
     candidate = tuning.Candidate(0, "boosted", 4, {"maxIter": 8, "stepSize": 0.9, "maxDepth": 4, "seed": 5})
     _, _, shown, loss, epoch, _ = tuning.run_trial(candidate, features, SPEC)
