@@ -53,6 +53,9 @@ LOG_BASE = 1.5
 SMOOTHING = 200.0
 _FLUSH_WORDS = 300_000
 _CHUNK_TOKENS = 1 << 21
+#: Segments that leave a task in one Arrow batch, and that one task builds on average at most.
+_FLUSH_SEGMENTS = 16
+_TASK_SEGMENTS = 4
 _TOP_LEVEL = 1 + int(math.log(2**63, LOG_BASE))
 
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -186,27 +189,29 @@ def gram_sums(texts: DataFrame, segments: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, held, size = WordHashes(), [], 0
 
-        def flush() -> pa.RecordBatch:
+        def flush() -> Iterator[pa.RecordBatch]:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             where, starts = np.unique(grams >> shift, return_index=True)
             ends = np.append(starts[1:], len(grams))
             counts = counts.astype(np.uint32)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(where.astype(np.int32)),
-                 pa.array([grams[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary()),
-                 pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends)], pa.binary())],
-                ["segment", "grams", "counts"])
+            for k in range(0, len(where), _FLUSH_SEGMENTS):
+                some = list(zip(starts[k:k + _FLUSH_SEGMENTS], ends[k:k + _FLUSH_SEGMENTS]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(where[k:k + _FLUSH_SEGMENTS].astype(np.int32)),
+                     pa.array([grams[a:b].tobytes() for a, b in some], pa.binary()),
+                     pa.array([counts[a:b].tobytes() for a, b in some], pa.binary())],
+                    ["segment", "grams", "counts"])
 
         for batch in small_batches(batches):
             words, bounds = hashed(as_bytes(batch.column("text")), known)
             held += [mixed(words), pairs(words, bounds)]
             size += 2 * len(words)
             if size > _CHUNK_TOKENS:
-                yield flush()
+                yield from flush()
                 size = 0
         if held:
-            yield flush()
+            yield from flush()
 
     return texts.select("text").mapInArrow(run, "segment int, grams binary, counts binary")
 
@@ -227,8 +232,11 @@ def _segment(grams: list[bytes], counts: list[bytes], least_count: int) -> tuple
     return bits, np.packbits(out, bitorder="little").tobytes()
 
 
-def segments_of(sums: DataFrame, least_count: int = 1) -> DataFrame:
-    """``segment``, ``bits`` and ``filter``, one row per segment, of n-grams that come at least ``least_count`` times."""
+def segments_of(sums: DataFrame, segments: int, least_count: int = 1) -> DataFrame:
+    """``segment``, ``bits`` and ``filter``, one row per segment, of n-grams that come at least ``least_count`` times.
+
+    Parts are by number, so that adaptive execution does not merge them: a task's rows may reach Python in one Arrow batch.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, grams, counts = None, [], []
@@ -250,7 +258,8 @@ def segments_of(sums: DataFrame, least_count: int = 1) -> DataFrame:
         if grams:
             yield done()
 
-    placed = sums.repartition("segment").sortWithinPartitions("segment")
+    parts = max(min(segments, int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))), segments // _TASK_SEGMENTS)
+    placed = sums.repartition(parts, "segment").sortWithinPartitions("segment")
     return placed.mapInArrow(run, "segment int, bits bigint, filter binary")
 
 
@@ -365,7 +374,7 @@ class Model:
         self.totals = Totals(n, v)
         self.head, self.least = head(self.counts, head_words)
         self.segments = 1 << max(1, math.ceil(math.log2(max(2, n / SEGMENT_TOKENS))))
-        self.filter = stage(segments_of(gram_sums(texts, self.segments), least_count), "filter_segments")
+        self.filter = stage(segments_of(gram_sums(texts, self.segments), self.segments, least_count), "filter_segments")
         self.ranges = shard_ranges([tuple(r) for r in self.filter.select("segment", "bits").collect()], shard_bytes)
 
     def shard(self, first: int, last: int) -> Shard:

@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from panelcast.llm import lm
@@ -151,3 +152,11 @@ def test_rare_ngrams_can_stay_out_of_the_filter(docs):
     assert (level[n >= 3] >= lm.levels(n[n >= 3])).all() and (level[n < 3] > 0).mean() < 0.2
     assert Model(texts, least_count=10**9).shard(0, every.segments).levels_of(grams).sum() == 0
     assert all(math.isfinite(r.score) for r in lm.score(texts.select("doc_id", "text"), frequent).collect())
+
+
+def test_segments_are_not_merged_into_one_task(spark):
+    """However small they are here: at size a task's segments may reach Python in one Arrow batch."""
+    texts = spark.createDataFrame([(f"word{k} follows word{k * 7 % 501} and then word{k * 3 % 499}",) for k in range(3000)], "text string")
+    built = lm.segments_of(lm.gram_sums(texts, 64), 64)
+    tasks = built.groupBy(F.spark_partition_id().alias("task")).count().collect()
+    assert sum(t["count"] for t in tasks) == 64 and len(tasks) > 64 // lm._TASK_SEGMENTS // 2
