@@ -32,7 +32,7 @@ from panelcast.llm.bktree import groups
 from panelcast.llm.components import components, is_hot, with_least
 from panelcast.llm.text import as_bytes, hidden, map_rows, words
 from panelcast.llm.wide_prints import similar_links, sketch
-from panelcast.sources.stage import stage
+from panelcast.sources.stage import stage, staged_result
 
 RADIUS = 3
 SHINGLE = 3
@@ -193,17 +193,20 @@ def keep_first(docs: DataFrame, edited: bool = False) -> DataFrame:
     """
     docs, own = hidden(docs, ("doc_id", "text"))
     if edited:
-        prints = stage(wide_fingerprints(docs), "wide_fingerprints")
-        found = prints.join(label(prints), "fp")
-        named = least_of_edited(docs, found)
+        spark, prints = docs.sparkSession, stage(wide_fingerprints(docs), "wide_fingerprints")
+        found = prints.join(staged_result(spark, "print_components", lambda: label(prints)), "fp")
+        named = staged_result(spark, "edited_ids", lambda: least_of_edited(docs, found))
     else:
         found = near_duplicates(docs)
         named = found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_id"))
-    # texts are sorted for ids that come several times only; written, so that the planner knows how few ids there are
-    times = docs.groupBy("doc_id").agg(F.count("*").alias("_times")).withColumnRenamed("doc_id", "_kept_id")
-    named = stage(named.distinct().join(times, "_kept_id"), "kept_ids")
-    once, several = (docs.join(named.where(c), F.col("doc_id") == F.col("_kept_id"), "left_semi")
-                     for c in ("_times = 1", "_times > 1"))
+    # texts are sorted for ids that come several times only, and joined to the ids that do not simply stay, which are few
+    # in most corpora; written, so that the planner knows how few
+    times = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("_times"))
+    marked = times.join(named.select(F.col("_kept_id").alias("doc_id"), F.lit(True).alias("_stays")).distinct(), "doc_id", "left")
+    apart = stage(marked.where("_times > 1 or _stays is null").withColumnRenamed("doc_id", "_kept_id"), "ids_apart")
+    same = F.col("doc_id") == F.col("_kept_id")
+    once = docs.where(F.col("doc_id").isNotNull()).join(apart.select("_kept_id"), same, "left_anti")
+    several = docs.join(apart.where("_stays").select("_kept_id"), same, "left_semi")
     kept = once.union(_first_of(several, "doc_id"))
     # components that consist of rows without doc_id only
     nameless = docs.where(F.col("doc_id").isNull())

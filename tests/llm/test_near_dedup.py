@@ -153,3 +153,38 @@ def test_hubs_are_split(spark, monkeypatch, limit):
     assert set(rows) == want and len(rows) == len(want)
     named = components.with_least(spark.createDataFrame([(1, 5), (1, None), (1, 3), (2, None)], "k bigint, v bigint"), "k", "v", "m", limit == 2)
     assert sorted(map(tuple, named.collect()), key=str) == sorted([(1, 5, 3), (1, None, 3), (1, 3, 3), (2, None, None)], key=str)
+
+
+def test_rounds_over_hubs_have_small_plans(spark, monkeypatch):
+    """What a round writes moves the edges a few times, with hubs as without, and stars need no round to be told."""
+    from panelcast.llm import components
+
+    plans, write = [], components.stage
+    monkeypatch.setattr(components, "HOT", 5)
+    monkeypatch.setattr(components, "stage", lambda df, name: (
+        plans.append(df._jdf.queryExecution().executedPlan().toString()), write(df, name))[1])
+    star = [(0, k) for k in range(1, 50)]
+    assert len(components.components(spark.createDataFrame(star, "a bigint, b bigint"), "star").collect()) == 49
+    assert len(plans) == 1  # two before
+    found = components.components(spark.createDataFrame([*star, (49, 60), (60, 61)], "a bigint, b bigint"), "tree")
+    assert {tuple(r) for r in found.collect()} == {(k, 0) for k in [*range(1, 50), 60, 61]}
+    assert len(plans) > 3 and max(p.count("Exchange ") for p in plans) <= 8  # 51 before
+
+
+def test_ids_that_stay_are_not_joined_to_texts(spark):
+    """Texts meet the ids that go or come several times; what was written on the way to them is gone."""
+    from panelcast.sources import stage
+
+    rows = [(i, f"text {i} " + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)]
+    docs = spark.createDataFrame([*rows, (40, rows[3][1]), (7, rows[7][1]), (None, rows[8][1])], "doc_id bigint, text string")
+    with stage.staging_scope():
+        kept = simhash.keep_first(docs, edited=True)
+        assert "LeftAnti" in kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == list(range(40))
+        left = [s.staged_path.rsplit("/", 1)[1].rsplit("-", 1)[0] for s in stage._scopes.get()[-1] if _exists(spark, s.staged_path)]
+        assert not {"wide_shards", "wide_groups", "similar_texts", "similar_groups", "wide_nodes"} & set(left)
+
+
+def _exists(spark, path):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
