@@ -77,3 +77,27 @@ def test_common_urls_are_spread(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert max(r["count"] for r in sizes) < 4800 / 2  # no task has half of the rows of the null urls
+
+
+def under_broadcasts(plan):
+    """Lines of the plan below a broadcast."""
+    found, depth = [], None
+    for line in plan.splitlines():
+        indent = len(line) - len(line.lstrip(" :+-"))
+        if depth is not None and indent > depth:
+            found.append(line)
+        else:
+            depth = indent if "BroadcastExchange" in line else None
+    return found
+
+
+def test_expanded_places_are_never_sent_to_the_driver(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "page_id bigint, url string")
+    want = Counter((i, *plain(u, urls.RULES)) for i, u in enumerate(URLS))
+    for most in (urls.RULE_BYTES, 0):
+        monkeypatch.setattr(urls, "RULE_BYTES", most)
+        judged = urls.query(pages)
+        text = judged._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" in text and not [line for line in under_broadcasts(text) if "Generate" in line]
+        assert ("BroadcastExchange" in text) == (most > 0)  # a large rule table is not sent either
+        assert Counter(map(tuple, judged.collect())) == want
