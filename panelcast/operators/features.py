@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelcast.functions import calendar, targets
 from panelcast.operators.scale import scaler_value
+from panelcast.sources.stage import unsent
 from panelcast.spec import PanelSpec
 
 
@@ -26,14 +27,14 @@ def join_outline(windows: DataFrame, outline: DataFrame, spec: PanelSpec) -> Dat
     """Valid rows of the kept series with their series-level columns, steps and positions.
 
     ``timesteps`` is the gap-free step 1..T over all windows, ``position`` counts valid rows from 0.
-    The join key includes the chunk, so rows of one long series go to many tasks.
+    The join key includes the chunk, so rows of one long series go to many tasks. Many rows are not sent to every task.
     """
     key = [*spec.pair, "chunk"]
     rows = windows.filter("is_valid").select(
         *key, "in_chunk", "valid_in_chunk", "abs_timesteps", "previous_y", *spec.measures
     )
     return (
-        rows.join(outline.drop("is_first", "n_valid", "length", "mean_target", "fit_statics"), key)
+        unsent(rows).join(outline.drop("is_first", "n_valid", "length", "mean_target", "fit_statics"), key)
         .withColumn("timesteps", F.col("rows_before") + F.col("in_chunk"))
         .withColumn("position", F.col("valid_before") + F.col("valid_in_chunk") - 1)
         .drop("rows_before", "valid_before", "in_chunk", "valid_in_chunk")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from panelcast.operators.ordinals import total_within
 from panelcast.operators.outline import one_per_series
+from panelcast.sources.stage import unsent
 from panelcast.spec import PanelSpec
 
 
@@ -94,7 +95,7 @@ def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Colum
     """Add ``windows_before``, or ``name``: windows of the same split in series with a smaller key.
 
     Windows are ordered by (parameter, simulation, start). Only series lengths are ranked, so no
-    window is made to number it.
+    window is made to number it. Both sides of the join grow with the series, so large ones are not sent to every task.
     """
     length = F.col("valid_length")
     if starts_per_series is None:
@@ -103,7 +104,7 @@ def number_windows(outline: DataFrame, spec: PanelSpec, starts_per_series: Colum
         )
     series = one_per_series(outline).select(*spec.pair, "split", starts_per_series.alias("_windows"))
     bases = total_within(series, "split", spec.pair, F.col("_windows"), name)
-    return outline.join(bases.select(*spec.pair, name), spec.pair)
+    return unsent(outline).join(bases.select(*spec.pair, name), spec.pair)
 
 
 def evaluation_windows(spec: PanelSpec) -> Column:

@@ -25,6 +25,8 @@ _scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("staging_scopes",
 
 #: Frees the shuffle files of a query when it ends, not when the driver next collects garbage.
 _FREES_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of stored tables up to which the planner may choose to send them to every task.
+SENT_BYTES = 1 << 20
 _lock = threading.Lock()
 _freeing: dict[str, int | str | None] = {"writes": 0, "before": None}
 
@@ -144,3 +146,14 @@ def unstage(staged: DataFrame) -> None:
         spark.sql(f"DROP TABLE IF EXISTS `{staged.staged_table}`")  # the files of a table at a path stay
     path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_path)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def unsent(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df``, whose joins sort both sides if the tables that it reads have over ``most`` bytes (by default ``SENT_BYTES``).
+
+    Keys and counts compress to a few bytes a row in files, and files are all that the planner knows of a staged table: left
+    to itself it sends to every task, by way of the driver, what has thirty times the bytes and more in memory.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    stored = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.hint("merge") if stored > (SENT_BYTES if most is None else most) else df

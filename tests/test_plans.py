@@ -90,6 +90,26 @@ def test_window_numbers_ride_along_when_starts_are_made(spark, fact_path):
     assert "Join" not in text[:text.index("Generate explode")]
 
 
+def test_staged_tables_are_not_sent_to_every_task_for_small_files(spark, fact_path, monkeypatch):
+    """Staged series and windows are small files even where they are millions of rows."""
+    panel = pipeline.prepare(spark.read.parquet(fact_path), SPEC)
+
+    def numbered():
+        once = sequences.number_windows(panel.outline, SPEC, sequences.evaluation_windows(SPEC), "n")
+        return sequences.number_windows(once, SPEC.with_(lookback=3))
+
+    small, few = numbered(), panel.features()
+    assert "BroadcastHashJoin [parameter_index" in physical(small)  # a few rows may be sent
+    monkeypatch.setattr("panelcast.sources.stage.SENT_BYTES", 0)
+    many, rows = numbered(), panel.features()
+    for df, joins in ((many, 2), (rows, 1)):
+        assert physical(df).count("SortMergeJoin [parameter_index") == joins
+        assert "BroadcastHashJoin [parameter_index" not in physical(df)
+    assert sorted(many.select(*SPEC.pair, "chunk", "n", "windows_before").collect()) == sorted(
+        small.select(*SPEC.pair, "chunk", "n", "windows_before").collect())
+    assert rows.count() == few.count()
+
+
 def test_large_joins_are_not_broadcast(spark, fact_path):
     """With automatic broadcasts off, as for big tables, rows meet their series by a sort-merge join."""
     panel = pipeline.prepare(spark.read.parquet(fact_path), SPEC)
